@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huepoint.llm import jaccard, mixing, recompression, tokenids, winnowing
+from huepoint.llm import jaccard, lineblocks, mixing, recompression, syncmers, tokenids, winnowing
 from huepoint.llm._store import table
 
 
@@ -32,11 +32,21 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineblocks.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = recompression.remove_repeats(table(spark, sf_dir, "documents"), window=50)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = syncmers.fingerprints(table(spark, sf_dir, "documents"))
+    sha = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return found.select("doc_id", "n_chars", sha, syncmers.written("anchors").alias("fingerprint"), syncmers.written("edited_anchors").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"), k=5, percent=75)
 
@@ -45,7 +55,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_token_ids": op4_token_ids,
     "op5_source_mixing": op5_source_mixing,
+    "op7_html_extraction": op7_html_extraction,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_document_fingerprints": op9_document_fingerprints,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
