@@ -13,8 +13,11 @@ Null and empty texts give the end id alone. An empty table gives no shards. Othe
 from __future__ import annotations
 
 import json
+import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,36 +31,82 @@ from huepoint.llm._exchange import Layout
 from huepoint.llm._store import shared_folder
 
 NULL_ID = np.iinfo(np.int64).max
-MEMO_WORDS = 300_000
+MEMO_WORDS = 400_000
 SHARD = "part int, path string, docs long, tokens long"
 
 
+#: What a vocabulary file must say for its texts to be the sum of their words.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+#: Letters up to U+012F, which neither compose with each other nor change length in lower case, then marks but no apostrophe.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
 class Encoder:
-    """encode(text) with a memory for the blank-separated words.
+    """encode(texts) with a memory for the blank-separated words.
 
-    The vocabulary's rules never look across white space (it is folded, split off and dropped), so the
-    ids of a text are those of its words, one after another; ``exact`` encodes the text as a whole.
+    Where the vocabulary's rules never look across white space (it is folded, split off and dropped), the
+    ids of a text are those of its words, one after another, and those of a word of plain letters with
+    marks after it are the model's for the letters and for the marks. Other vocabularies, and ``exact``,
+    encode the text as a whole.
     """
 
     def __init__(self, path: str, end_id: int, dtype: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer, self.dtype, self.known, self.pieces = Tokenizer.from_file(path), dtype, {}, {}
+        self.kind = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.end = np.array([end_id], dtype).tobytes()
+        rules = json.loads(self.tokenizer.to_str())
+        split = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])
+        self.by_word = (
+            (rules["normalizer"] or {}).get("normalizers") == NORMAL
+            and not rules["post_processor"]
+            and (split[0].get("pattern"), split[0].get("behavior"), split[0].get("invert")) == ({"Regex": SPLIT}, "Removed", True)
+            and [x.get("type") for x in split] == ["Split", "ByteLevel"]
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in rules["added_tokens"])
+        )
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(33, 0x130)}
 
     def exact(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes() + self.end
+        return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end
+
+    def _ids(self, ids: list[int]) -> bytes:
+        return array(self.kind, ids).tobytes()
+
+    def _piece(self, x: str) -> bytes:
+        """Of letters or of marks alone, in lower case."""
+        if (got := self.pieces.get(x)) is None:
+            if len(self.pieces) >= MEMO_WORDS:
+                self.pieces.clear()
+            got = self.pieces[x] = self._ids([t.id for t in self.tokenizer.model.tokenize(x.translate(self.letters))])
+        return got
+
+    def _learn(self, words: list[bytes]) -> None:
+        odd = []
+        for w in words:
+            if m := PLAIN.fullmatch(x := w.decode()):
+                self.known[w] = self._piece(m[1].lower()) + (self._piece(m[2]) if m[2] else b"")
+            else:
+                odd.append((w, x))
+        for at in range(0, len(odd), 1000):
+            part = odd[at : at + 1000]
+            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([x for _, x in part], add_special_tokens=False)):
+                self.known[w] = self._ids(e.ids)
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        if not self.by_word:
+            yield from (self.exact(t.decode() if t else "") for t in texts)
+            return
         words = [t.split() if t else [] for t in texts]
-        new = list(set().union(*words).difference(self.known)) if words else []
+        new = set().union(*words).difference(self.known) if words else set()
         if len(self.known) + len(new) > MEMO_WORDS:
             self.known = {}
-            new = list(set().union(*words))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, self.dtype).tobytes()
+            new = set().union(*words)
+        self._learn(sorted(new))
         for w in words:
             yield b"".join(map(self.known.__getitem__, w)) + self.end
 
@@ -83,8 +132,8 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> list[dict
         with fs.open_output_stream(f"{base}/{name}.ids") as out:
             for b in batches:
                 texts = b["text"].to_pylist()
-                for lo in range(0, len(texts), 500):
-                    for tokens in encoder.encode(texts[lo : lo + 500]):
+                for lo in range(0, len(texts), 200):
+                    for tokens in encoder.encode(texts[lo : lo + 200]):
                         out.write(tokens)
                         offsets.append(at)
                         at += len(tokens) // item

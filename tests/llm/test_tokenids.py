@@ -21,6 +21,17 @@ def test_word_by_word_equals_the_whole_text():
         assert got == e.exact(t or ""), t
 
 
+def test_plain_letters_and_marks_take_the_same_ids():
+    e, r = tokenids.Encoder(PATH, 1, "<u4"), random.Random(6)
+    assert e.by_word
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x131)]] + ["e"] * 60 + ["\u0301"]
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 9))) + "".join(r.choice(marks) for _ in range(r.randint(0, 3))) for _ in range(4000)]
+    texts = [" ".join(words[i : i + 40]) for i in range(0, len(words), 40)] + words[:500] + marks + [chr(c) for c in range(0xA1, 0x130)]
+    for t, got in zip(texts, e.encode([t.encode() for t in texts])):
+        assert got == e.exact(t), t
+
+
 def test_files_round_trip(spark, tmp_path):
     docs = [(i * 7 % 101, t) for i, t in enumerate(ODD * 9)] + [(500, "same id b"), (500, "same id a"), (None, "no id")]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, start int")
