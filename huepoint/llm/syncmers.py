@@ -3,9 +3,9 @@
 A text's symbols are its blank-separated words (of a longer word, each 16 characters). Every k symbols
 are a k-mer, every s of them inside an s-mer. A k-mer is an anchor if the smallest hash of its s-mers is
 that of its first or its last one: a choice that depends on the k-mer alone, so a stretch of text has
-the same anchors wherever it stands. The fingerprint is the ``keep`` smallest distinct anchor hashes (48
-bits) in order, each with the place of its first anchor, as ``hash:place,hash:place...``; a text of
-fewer than k symbols is one anchor. The likeness of two fingerprints is the share of their texts'
+the same anchors wherever it stands. The fingerprint is the ``keep`` smallest distinct anchor hashes (40
+bits) in order, each with the place of its first anchor (places beyond 2**23 - 1 are written as that),
+as ``hash:place,hash:place...``; a text of fewer than k symbols is one anchor. The likeness of two fingerprints is the share of their texts'
 anchors that both have, 2 |A and B| / (|A| + |B|), estimated from the smallest hashes of their union
 (exact for texts of up to ``keep`` anchors).
 
@@ -21,12 +21,17 @@ from pyspark.sql import functions as F
 from huepoint.llm._store import stash
 
 K, S, KEEP = 4, 2, 64
+PLACE_BITS = 23
 SYMBOL = "[^\\x20\\x09-\\x0D]{1,16}"
 
 
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S, keep: int = KEEP) -> DataFrame:
-    """Adds ``out``: array of struct(hash, place), by hash. Staged so that no step is worked out twice."""
-    h, g, a, least = f"__h_{out}", f"__g_{out}", f"__a_{out}", f"__m_{out}"
+    """Adds ``out``: struct(hash, place) of two arrays, by hash. Staged so that no step is worked out twice.
+
+    A k-mer's hash is that of its s-mers at 0, s, 2 s ... and the last; hash and place are packed into
+    one number, so that numbers are sorted, not rows.
+    """
+    h, g, a, least, low = (f"__{x}_{out}" for x in "hgaml")
     inner = k - s + 1  # s-mers in a k-mer
     at = lambda i, j: F.col(g)[i + (j - 1)]  # noqa: E731  i counts from 1
     df = df.withColumn(h, F.transform(F.regexp_extract_all(F.col(text), F.lit(SYMBOL), F.lit(0)), lambda x: F.xxhash64(x)))
@@ -35,22 +40,26 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S, kee
         pair = F.zip_with(pair, F.slice(F.col(h), j + 1, F.greatest(F.size(h), F.lit(1))), lambda x, y: F.xxhash64(x, y))
     df = df.withColumn(g, pair)
     edge = lambda i: F.least(at(i, 0), at(i, inner - 1)) <= (F.least(*[at(i, j) for j in range(1, inner - 1)]) if inner > 3 else at(i, 1))
-    places = F.when(F.size(h) >= k, F.filter(F.sequence(F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(1))), edge)).otherwise(F.array(F.lit(1)))
-    hashed = F.transform(places, lambda i: F.struct(F.shiftrightunsigned(F.xxhash64(F.slice(F.col(h), i, k)), 16).alias("hash"), i.alias("place")))
-    df = df.withColumn(a, F.when(F.size(h) > 0, hashed).otherwise(F.array().cast("array<struct<hash:bigint,place:int>>")))
-    df = df.withColumn(least, F.slice(F.array_sort(F.array_distinct(F.col(f"{a}.hash"))), 1, keep))
-    place = lambda x: F.col(a)[F.array_position(F.col(f"{a}.hash"), x).cast("int") - 1]["place"]
-    return df.withColumn(out, F.transform(F.col(least), lambda x: F.struct(x.alias("hash"), place(x).alias("place")))).drop(h, g, a, least)
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(1))), edge)
+    packed = lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 24), PLACE_BITS) + F.least(i, F.lit((1 << PLACE_BITS) - 1))
+    named = lambda i: packed(F.xxhash64(*[at(i, j) for j in sorted({*range(0, inner, s), inner - 1})]), i)
+    few = F.when(F.size(h) > 0, F.array(packed(F.xxhash64(h), F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+    df = df.withColumn(a, F.when(F.size(h) >= k, F.transform(places, named)).otherwise(few))
+    name = lambda x: F.shiftright(x, PLACE_BITS)
+    df = df.withColumn(least, F.slice(F.sort_array(F.array_distinct(F.transform(a, name))), 1, keep))
+    df = df.withColumn(low, F.sort_array(F.filter(a, lambda x: name(x) <= F.element_at(least, -1))))
+    first = F.filter(low, lambda x, i: (i == 0) | (name(x) != name(F.col(low)[F.greatest(i - 1, F.lit(0))])))
+    return df.withColumn(low, first).withColumn(out, F.struct(F.transform(low, name).alias("hash"), F.transform(low, lambda x: x.bitwiseAND((1 << PLACE_BITS) - 1).cast("int")).alias("place"))).drop(h, g, a, least, low)
 
 
 def written(anchors: str) -> Column:
-    return F.array_join(F.transform(F.col(anchors), lambda x: F.concat(F.lpad(F.lower(F.hex(x["hash"])), 12, "0"), F.lit(":"), x["place"].cast("string"))), ",")
+    return F.array_join(F.zip_with(f"{anchors}.hash", f"{anchors}.place", lambda x, p: F.concat(F.lpad(F.lower(F.hex(x)), 10, "0"), F.lit(":"), p.cast("string"))), ",")
 
 
 def likeness(a: str, b: str, keep: int = KEEP) -> Column:
-    """Of two arrays of anchors."""
+    """Of two texts' anchors."""
     x, y = F.col(f"{a}.hash"), F.col(f"{b}.hash")
-    union = F.slice(F.array_sort(F.array_union(x, y)), 1, keep)
+    union = F.slice(F.sort_array(F.array_union(x, y)), 1, keep)
     both, all_ = F.size(F.array_intersect(union, F.array_intersect(x, y))), F.size(union)
     return F.when(all_ == 0, F.lit(1.0)).otherwise(2.0 * both / (all_ + both))
 
@@ -75,7 +84,7 @@ def key(c: str) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Each document and its text edited: the last third replaced by the beginning of the next document by descending id.
 
-    doc_id, n_chars, edited (text), anchors, edited_anchors, near_edited, near_next. Where rows repeat an
+    doc_id, n_chars, edited (text), anchors, edited_anchors, next_id, near_edited, near_next. Where rows repeat an
     id, all have the next smaller id as next, and the smallest of its texts is taken.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -84,11 +93,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     once = counted["rows"] == counted["ids"]
     order = following(lengths.groupBy("doc_id").agg(F.max("n").alias("n")))
     rows = with_anchors(base, "text", "anchors").select(key("doc_id").alias("k"), "doc_id", "text", "anchors").repartition(F.col("k"))
-    giver = rows if once else rows.groupBy("k").agg(F.min_by("text", F.col("text")).alias("text"), F.min_by("anchors", F.col("text")).alias("anchors"))
+    # both uses read all columns of rows, so that one exchange serves them
+    giver = rows if once else rows.groupBy("k").agg(F.first("doc_id").alias("doc_id"), F.min_by("text", F.col("text")).alias("text"), F.min_by("anchors", F.col("text")).alias("anchors"))
     asked = order.select(key("next_id").alias("k"), key("doc_id").alias("to"), F.floor(F.col("n") / 3).cast("int").alias("third"))
-    given = giver.join(asked, "k").select(F.col("to").alias("k"), F.col("text").substr(F.lit(1), F.col("third")).alias("begin"), F.col("anchors").alias("next_anchors"))
+    given = giver.join(asked, "k").select(F.col("to").alias("k"), F.col("doc_id").alias("next_id"), F.col("text").substr(F.lit(1), F.col("third")).alias("begin"), F.col("anchors").alias("next_anchors"))
     n, third = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - third), F.col("begin").substr(F.lit(1), third))
-    out = rows.join(given, "k").select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "anchors", "next_anchors")
+    out = rows.join(given, "k").select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "anchors", "next_id", "next_anchors")
     out = with_anchors(out, "edited", "edited_anchors")
     return out.withColumn("near_edited", likeness("anchors", "edited_anchors")).withColumn("near_next", likeness("anchors", "next_anchors"))
