@@ -81,13 +81,13 @@ def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(keys >> U64(32), np.array(edges, U64)), len(keys))
 
 
-def messages(chunk: int, keys: np.ndarray, vals: np.ndarray | None, buckets: int, width: int) -> pa.RecordBatch:
-    """One row for each bucket that some of these sorted distinct keys belong to."""
+def messages(chunk: int, keys: np.ndarray, vals: np.ndarray | None, buckets: int, width: int, offset: int = 0) -> pa.Table:
+    """One row for each bucket that some of these sorted distinct keys belong to; offset: number of the first bucket."""
     at = bounds(keys, buckets)
     rows = [b for b in range(buckets) if at[b + 1] > at[b]]
     return pa.table(
         {
-            "bucket": pa.array(rows, pa.int64()),
+            "bucket": pa.array([offset + b for b in rows], pa.int64()),
             "chunk": pa.array([chunk] * len(rows), pa.int64()),
             "keys": pa.array([pack_keys(keys[at[b] : at[b + 1]], width) for b in rows], pa.binary()),
             "vals": pa.array([None if vals is None else pack(vals[at[b] : at[b + 1]]) for b in rows], pa.binary()),
@@ -95,12 +95,13 @@ def messages(chunk: int, keys: np.ndarray, vals: np.ndarray | None, buckets: int
     )
 
 
-def answer(sent: DataFrame, merge: Callable[[list[np.ndarray], list[np.ndarray | None], list[int]], list[bytes]], width: int) -> DataFrame:
-    """``merge(keys of each message, vals of each, chunk of each)`` gives each message's answer."""
+def answer(sent: DataFrame, merge: Callable[[list[np.ndarray], list[np.ndarray | None], list[int]], list[bytes]], width: int | Callable[[int], int]) -> DataFrame:
+    """``merge(keys of each message, vals of each, chunk of each)`` gives each message's answer. width may depend on the bucket."""
 
     def fn(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")  # a rerun sees the same order
-        keys = [unpack_keys(b, width) for b in t["keys"].to_pylist()]
+        own = width if isinstance(width, int) else width(key[0].as_py())
+        keys = [unpack_keys(b, own) for b in t["keys"].to_pylist()]
         vals = [None if v is None else unpack(v, len(k)) for v, k in zip(t["vals"].to_pylist(), keys)]
         chunks = t["chunk"].to_pylist()
         return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "body": pa.array(merge(keys, vals, chunks), pa.binary())})
@@ -108,10 +109,10 @@ def answer(sent: DataFrame, merge: Callable[[list[np.ndarray], list[np.ndarray |
     return sent.groupBy("bucket").applyInArrow(fn, REPLY)
 
 
-def answers(replies: dict[int, bytes], keys: np.ndarray, buckets: int) -> np.ndarray:
+def answers(replies: dict[int, bytes], keys: np.ndarray, buckets: int, offset: int = 0) -> np.ndarray:
     """The chunk's answers in the order of its sorted keys; fails if a bucket's answer is missing."""
     at = bounds(keys, buckets)
-    parts = [unpack(replies[b], at[b + 1] - at[b]) for b in range(buckets) if at[b + 1] > at[b]]
+    parts = [unpack(replies[offset + b], at[b + 1] - at[b]) for b in range(buckets) if at[b + 1] > at[b]]
     out = np.concatenate(parts) if parts else np.empty(0, np.int64)
     if len(out) != len(keys):
         raise RuntimeError(f"{len(out)} answers to {len(keys)} keys")
@@ -122,8 +123,12 @@ def summed(keys: list[np.ndarray], vals: list[np.ndarray | None], _chunks: list[
     """Each key's total over all messages (no vals: the number of messages)."""
     flat = np.concatenate(keys)
     distinct, inverse = np.unique(flat, return_inverse=True)
-    weights = None if vals[0] is None else np.concatenate(vals)
-    total = np.bincount(inverse, weights, len(distinct)).astype(np.int64)[inverse]
+    if vals[0] is None:
+        total = np.bincount(inverse, minlength=len(distinct))[inverse]
+    else:
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, inverse, np.concatenate(vals))
+        total = total[inverse]
     out, at = [], 0
     for k in keys:
         out.append(pack(total[at : at + len(k)]))
@@ -131,6 +136,19 @@ def summed(keys: list[np.ndarray], vals: list[np.ndarray | None], _chunks: list[
     return out
 
 
+def owned(keys: list[np.ndarray], vals: list[np.ndarray | None], _chunks: list[int]) -> list[bytes]:
+    """Twice each key's total, plus 1 for the first message that has it: one chunk owns each key."""
+    flat = np.concatenate(keys)
+    _, at, inverse = np.unique(flat, return_index=True, return_inverse=True)
+    total = 2 * np.bincount(inverse, np.concatenate(vals), len(at)).astype(np.int64)[inverse]
+    total[at] += 1
+    out, lo = [], 0
+    for k in keys:
+        out.append(pack(total[lo : lo + len(k)]))
+        lo += len(k)
+    return out
+
+
 def least(keys: list[np.ndarray], vals: list[np.ndarray | None], _chunks: list[int]) -> list[bytes]:
     """1 where another message has a smaller value for the key, else 0."""
     flat, v = np.concatenate(keys), np.concatenate(vals)

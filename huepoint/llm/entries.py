@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huepoint.llm import jaccard, lineblocks, linededup, mixing, recompression, syncmers, tokenids, toxicity, winnowing
+from huepoint.llm import jaccard, lineblocks, linededup, mixing, pitmanyor, recompression, syncmers, tokenids, toxicity, winnowing
 from huepoint.llm._store import table
 
 
@@ -22,6 +22,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.scored(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
@@ -64,6 +68,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_token_ids": op4_token_ids,
     "op5_source_mixing": op5_source_mixing,
