@@ -47,7 +47,8 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S, kee
     df = df.withColumn(a, F.when(F.size(h) >= k, F.transform(places, named)).otherwise(few))
     name = lambda x: F.shiftright(x, PLACE_BITS)
     df = df.withColumn(least, F.slice(F.sort_array(F.array_distinct(F.transform(a, name))), 1, keep))
-    df = df.withColumn(low, F.sort_array(F.filter(a, lambda x: name(x) <= F.element_at(least, -1))))
+    # bound by a lambda: the optimizer would work out the last of the least for every element
+    df = df.withColumn(low, F.sort_array(F.flatten(F.transform(F.slice(F.col(least), -1, 1), lambda last: F.filter(a, lambda x: name(x) <= last)))))
     first = F.filter(low, lambda x, i: (i == 0) | (name(x) != name(F.col(low)[F.greatest(i - 1, F.lit(0))])))
     return df.withColumn(low, first).withColumn(out, F.struct(F.transform(low, name).alias("hash"), F.transform(low, lambda x: x.bitwiseAND((1 << PLACE_BITS) - 1).cast("int")).alias("place"))).drop(h, g, a, least, low)
 

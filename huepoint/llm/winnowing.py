@@ -144,23 +144,49 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"doc_id": b["doc_id"], "n_words": b["n_words"], "n_hit": pa.array(hit, pa.int64()), "items": pa.array(names, pa.list_(pa.string()))})
 
 
+class _Parts:
+    """The benchmark in parts that are small enough to send."""
+
+    def __init__(self, benchmark: DataFrame, part_bytes: int):
+        self.items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text"))
+        size = self.items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+        self.count = max(1, math.ceil(size / part_bytes))
+
+    def read(self, p: int) -> list[tuple[str, bytes | None]]:
+        """About part_bytes of texts."""
+        part = self.items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(self.count)) == p)
+        return [(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in part.collect()]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items: the ids (as strings, sorted) of the items with windows in the text."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    parts = max(1, math.ceil(size / part_bytes))
-    read = lambda p: [(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == p).collect()]
-    if parts == 1:
-        return _scan(docs, read(0), window, k, False)
+    parts = _Parts(benchmark, part_bytes)
+    if parts.count == 1:
+        return _scan(docs, parts.read(0), window, k, False)
     docs = docs.select("doc_id", "text").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("rows")).withColumn("row", F.sha2(F.to_json(F.struct("doc_id", "text")), 256))
     found = None
-    for p in range(parts):
-        one = _scan(docs, read(p), window, k, True)
+    for p in range(parts.count):
+        one = _scan(docs, parts.read(p), window, k, True)
         found = one if found is None else found.unionByName(one)
     merged = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items")).join(docs.select("row", "rows"), "row")
     return merged.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select("doc_id", "n_words", "hits", "items").mapInArrow(_unite, OUT)
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of ``docs`` without any window of the benchmark, in one pass for each part of it."""
+    parts, schema = _Parts(benchmark, part_bytes), docs.schema
+    for p in range(parts.count):
+        sent = docs.sparkSession.sparkContext.broadcast(Index(parts.read(p), window, k))
+
+        def fn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = b["text"].cast(pa.binary()).to_pylist()
+                yield b.filter(pa.array([not sent.value.hits(values(plain_words(t)))[0].any() for t in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(fn, schema)
+    return docs
+
+
 def brute_force(texts: list[tuple[int, bytes | None]], items: list[tuple[str, bytes | None]], window: int) -> Iterator[tuple[int, int, int, list[str]]]:
     """The definition itself, for small fixtures."""
     windows = set()
