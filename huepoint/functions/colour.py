@@ -16,7 +16,8 @@ WHITE = (0.95047, 1.0, 1.08883)
 
 
 def clip01(c: Column) -> Column:
-    return F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
+    """0 to 1; null stays null (least and greatest would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0)))
 
 
 def linear(c: Column) -> Column:

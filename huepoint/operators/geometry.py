@@ -136,7 +136,9 @@ def reconciled(faces: DataFrame, mesh: DataFrame, key: Sequence[str] = KEY) -> D
     def walk(key_: tuple, a, b):
         import pandas as pd
 
-        a, b = a.sort_values("face_id"), b.sort_values("face_id")
+        if not len(a) or not len(b):  # an absent group comes without columns
+            return pd.DataFrame({c: [] for c in [*key, "face_id", "dropped"]})
+        a, b = (x.sort_values(["face_id", "v0", "v1", "v2"]) for x in (a, b))
         left, want, j = a[["v0", "v1", "v2"]].to_numpy(), b[["v0", "v1", "v2"]].to_numpy(), 0
         dropped = []
         for row in left:
@@ -147,6 +149,7 @@ def reconciled(faces: DataFrame, mesh: DataFrame, key: Sequence[str] = KEY) -> D
         return out if j == len(want) else pd.DataFrame(out.iloc[:0])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in faces.select(*key, "face_id").schema) + ", dropped boolean"
+    mesh = mesh.select(*[F.col(c).alias(c) for c in mesh.columns])  # columns of its own, should both come from one table
     return faces.groupBy(*key).cogroup(mesh.groupBy(*key)).applyInPandas(walk, schema)
 
 

@@ -1 +1,86 @@
+"""Paired statistics."""
 
+from pyspark.sql import functions as F
+
+from huepoint.operators import stats as X
+from huepoint.queries._registry import query, r6, six
+from huepoint.views import EVAL, eval_rows
+
+PAIRS = f"""{EVAL}, pr AS (SELECT difficulty, obj, avg(metric) FILTER (method = 'N') AS a, avg(metric) FILTER (method = 'R') AS b FROM ev GROUP BY 1, 2), p AS (SELECT * FROM pr WHERE a IS NOT NULL AND b IS NOT NULL)"""
+
+
+def pairs(spark, sf_dir):
+    return X.paired(eval_rows(spark, sf_dir), "N", "R", key=("difficulty",))
+
+
+@query(
+    "paired_improvement",
+    f"""WITH {PAIRS} SELECT difficulty, count(*) AS n, {r6('avg(a) AS baseline', 'avg(b) AS conditioned', 'CASE WHEN abs(avg(a)) > 1e-12 THEN -(avg(b) - avg(a)) * 100 / abs(avg(a)) ELSE -(avg(b) - avg(a)) END AS improvement', 'avg(CASE WHEN b < a THEN 1.0::DOUBLE ELSE 0 END) AS win_rate')},
+    CASE WHEN abs(avg(a)) > 1e-12 THEN '%' ELSE 'abs' END AS scale FROM p GROUP BY 1 HAVING count(*) >= 5""",
+)
+def paired_improvement(spark, sf_dir):
+    return six(X.improvement(pairs(spark, sf_dir), key=("difficulty",)))
+
+
+@query(
+    "pearson_spearman",
+    f"""WITH {PAIRS}, r AS (SELECT difficulty, a, b, rank() OVER (PARTITION BY difficulty ORDER BY a) + (count(*) OVER (PARTITION BY difficulty, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY difficulty ORDER BY b) + (count(*) OVER (PARTITION BY difficulty, b) - 1) / 2 AS rb FROM p)
+    SELECT difficulty, count(*) AS n, {r6('corr(a, b) AS pearson', 'corr(ra, rb) AS spearman')} FROM r GROUP BY 1""",
+)
+def pearson_spearman(spark, sf_dir):
+    return six(X.correlations(pairs(spark, sf_dir), "a", "b", ("difficulty",)))
+
+
+@query("linear_fit", f"WITH {PAIRS} SELECT difficulty, {r6('regr_slope(b, a) AS slope', 'regr_intercept(b, a) AS intercept', 'regr_r2(b, a) AS r2')} FROM p GROUP BY 1")
+def linear_fit(spark, sf_dir):
+    return six(X.linear_fit(pairs(spark, sf_dir), "a", "b", ("difficulty",)))
+
+
+@query("relative_improvement", f"WITH {PAIRS} SELECT difficulty, {r6('avg(-100 * (b - a) / nullif(abs(a), 0)) AS mean_of_ratios', '-100 * (avg(b) - avg(a)) / nullif(abs(avg(a)), 0) AS ratio_of_means')} FROM p GROUP BY 1")
+def relative_improvement(spark, sf_dir):
+    return six(X.relative_improvement(pairs(spark, sf_dir), ("difficulty",), "a", "b"))
+
+
+@query("metric_agreement", f"WITH {EVAL} SELECT 'metric' AS metric, CASE WHEN avg(metric) FILTER (method = 'R') < avg(metric) FILTER (method = 'N') THEN 'R' WHEN avg(metric) FILTER (method = 'R') > avg(metric) FILTER (method = 'N') THEN 'N' ELSE 'neither' END AS favours FROM ev UNION ALL SELECT 'other', CASE WHEN avg(other) FILTER (method = 'R') > avg(other) FILTER (method = 'N') THEN 'R' WHEN avg(other) FILTER (method = 'R') < avg(other) FILTER (method = 'N') THEN 'N' ELSE 'neither' END FROM ev")
+def metric_agreement(spark, sf_dir):
+    return X.agreement(eval_rows(spark, sf_dir), {"metric": "lower", "other": "higher"}, "N", "R")
+
+
+@query("compatibility_gate", f"WITH {EVAL}, m AS (SELECT method, difficulty, avg(metric) AS v FROM ev GROUP BY 1, 2) SELECT method, difficulty, {r6('v')} FROM m WHERE difficulty = '1-URGENT' AND (SELECT count(DISTINCT difficulty) FROM m WHERE difficulty = '1-URGENT') = 1")
+def compatibility_gate(spark, sf_dir):
+    m = eval_rows(spark, sf_dir).groupBy("method", "difficulty").agg(F.avg("metric").alias("v"))
+    return six(X.gated(m.filter("difficulty = '1-URGENT'"), "difficulty"))
+
+
+def _compared(spark, sf_dir):
+    return X.compared(pairs(spark, sf_dir), ("difficulty",), draws=500)
+
+
+@query("bootstrap_ci")
+def bootstrap_ci(spark, sf_dir):
+    return six(_compared(spark, sf_dir).select("difficulty", "n", "ci_lo", "ci_hi"))
+
+
+@query("bootstrap_ci_fixed")
+def bootstrap_ci_fixed(spark, sf_dir):
+    return six(X.compared(pairs(spark, sf_dir), ("difficulty",), draws=500, fixed=True).select("difficulty", "n", "ci_lo", "ci_hi"))
+
+
+@query(
+    "wilcoxon_statistic",
+    f"""WITH {PAIRS}, d AS (SELECT difficulty, a - b AS d FROM p WHERE a <> b), r AS (SELECT difficulty, d, rank() OVER (PARTITION BY difficulty ORDER BY abs(d)) + (count(*) OVER (PARTITION BY difficulty, abs(d)) - 1) / 2 AS k FROM d)
+    SELECT difficulty, {r6('least(coalesce(sum(k) FILTER (d > 0), 0), coalesce(sum(k) FILTER (d < 0), 0)) AS statistic')} FROM r GROUP BY 1""",
+)
+def wilcoxon_statistic(spark, sf_dir):
+    return six(_compared(spark, sf_dir).select("difficulty", "statistic"))
+
+
+@query("verdicts")
+def verdicts(spark, sf_dir):
+    c = _compared(spark, sf_dir)
+    return six(c.select("difficulty", "wilcoxon_p", "verdict", X.verdict(words=("second wins", "first wins", "unresolved")).alias("winner")))
+
+
+@query("metric_vote")
+def metric_vote(spark, sf_dir):
+    return X.vote(_compared(spark, sf_dir).withColumn("all", F.lit("all")), ("all",))

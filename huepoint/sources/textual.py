@@ -14,7 +14,7 @@ RESULT = "dataset string, category string, difficulty string, model string, has_
 
 def _lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """object_id, line_no, value; a file is one row of the reader, so that line numbers are those of the file."""
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
+    text = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path, wholetext=True)
     lines = text.select(stem_of(F.input_file_name()).alias("object_id"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
     return lines.filter(F.trim("value") != "")
 
@@ -82,7 +82,7 @@ def json_fields(df: DataFrame, column: str, schema: str) -> DataFrame:
 
 def categories(spark: SparkSession, path: str) -> DataFrame:
     """{category: {directory, labels, colours}} -> a row for each category."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string, struct<directory: string, lables: array<string>, colors: array<string>>>").alias("m"))
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, struct<directory: string, lables: array<string>, colors: array<string>>>").alias("m"))
     return raw.select(F.explode("m").alias("category", "v")).select("category", "v.directory", F.col("v.lables").alias("labels"), F.col("v.colors").alias("colours"))
 
 
