@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huepoint.llm._words import U64, rolling, values
@@ -173,18 +173,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, part_bytes: int = PART_BYTES) -> DataFrame:
-    """The rows of ``docs`` without any window of the benchmark, in one pass for each part of it."""
-    parts, schema = _Parts(benchmark, part_bytes), docs.schema
+    """The rows of ``docs`` without any window of the benchmark, in one pass for each part of it; only texts go to Python."""
+    parts = _Parts(benchmark, part_bytes)
     for p in range(parts.count):
-        sent = docs.sparkSession.sparkContext.broadcast(Index(parts.read(p), window, k))
+        docs = docs.filter(_without_hits(docs, Index(parts.read(p), window, k)))
+    return docs
 
-        def fn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                texts = b["text"].cast(pa.binary()).to_pylist()
-                yield b.filter(pa.array([not sent.value.hits(values(plain_words(t)))[0].any() for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(fn, schema)
-    return docs
+def _without_hits(docs: DataFrame, index: Index) -> Column:
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+    @F.arrow_udf("boolean")
+    def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([not sent.value.hits(values(plain_words(t.as_py())))[0].any() for t in texts], pa.bool_())
+
+    return keep(F.col("text").cast("binary"))
 
 
 def brute_force(texts: list[tuple[int, bytes | None]], items: list[tuple[str, bytes | None]], window: int) -> Iterator[tuple[int, int, int, list[str]]]:
