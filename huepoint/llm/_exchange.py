@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,116 +52,136 @@ class Layout:
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Unsigned integers in the fewest bytes that hold the largest."""
-    top = int(x.max()) if len(x) else 0
-    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else U64).tobytes()
+    """Numbers from 0: a byte each, 255 for those that follow, in order, in 8 bytes. Most counts are small."""
+    large = x >= 255
+    low = np.where(large, 255, x).astype(np.uint8).tobytes()
+    return low + x[large].astype(np.int64).tobytes() if large.any() else low
 
 
 def unpack(b: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(b, f"<u{len(b) // n}").astype(np.int64) if n else np.empty(0, np.int64)
+    out = np.frombuffer(b, np.uint8, n).astype(np.int64)
+    if len(b) > n:
+        out[out == 255] = np.frombuffer(b[n:], np.int64)
+    return out
+
+
+@lru_cache(64)
+def edges(buckets: int) -> np.ndarray:
+    """The smallest top half of a key in each bucket."""
+    return np.array([-(-(b << 32) // buckets) for b in range(buckets)], U64)
+
+
+def _shift(buckets: int, width: int) -> U64:
+    """Bits dropped of a key's distance from its bucket's edge, to leave ``width`` bytes."""
+    return U64(max(0, 65 - buckets.bit_length() - 8 * width))
 
 
-def pack_keys(keys: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each key, plane by plane (the bucket tells the top bits)."""
-    if width == 8:
-        return keys.tobytes()
-    low = keys.astype(np.uint32).tobytes()
-    return low if width == 4 else low + (keys >> U64(32)).astype(np.uint8).tobytes()
+def pack_keys(keys: np.ndarray, bucket: int, buckets: int, width: int) -> bytes:
+    """Sorted keys as steps, byte plane by byte plane: width, planes, then the planes. Steps have few high bytes."""
+    x = (keys - (edges(buckets)[bucket] << U64(32))) >> _shift(buckets, width)
+    steps = np.diff(x, prepend=U64(0)).astype("<u8")
+    planes = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([planes]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
 
 
-def unpack_keys(b: bytes, width: int) -> np.ndarray:
-    if width == 8:
-        return np.frombuffer(b, U64)
-    n = len(b) // width
-    low = np.frombuffer(b, np.uint32, n).astype(U64)
-    return low if width == 4 else low | (np.frombuffer(b, np.uint8, n, 4 * n).astype(U64) << U64(32))
+def unpack_keys(b: bytes) -> np.ndarray:
+    planes = b[0]
+    n = (len(b) - 1) // planes
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :planes] = np.frombuffer(b, np.uint8, n * planes, 1).reshape(planes, n).T
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=U64)
 
 
 def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's slice of sorted keys begins; buckets + 1 numbers."""
-    edges = [(b << 32) // buckets + ((b << 32) % buckets > 0) for b in range(buckets)]
-    return np.append(np.searchsorted(keys >> U64(32), np.array(edges, U64)), len(keys))
+    return np.append(np.searchsorted(keys, edges(buckets) << U64(32)), len(keys))
 
 
-def messages(chunk: int, keys: np.ndarray, vals: np.ndarray | None, buckets: int, width: int, offset: int = 0) -> pa.Table:
-    """One row for each bucket that some of these sorted distinct keys belong to; offset: number of the first bucket."""
+def messages(chunk: int, keys: np.ndarray, vals: np.ndarray, buckets: int, width: int, offset: int = 0, packed: Callable[[np.ndarray], bytes] = pack) -> pa.Table:
+    """One row for each bucket that some of these sorted distinct keys belong to.
+
+    width: bytes that tell the keys of a bucket apart; offset: number of the first bucket; packed: how the
+    values (numbers from 0, or an array with a last axis of the keys' length) are written.
+    """
     at = bounds(keys, buckets)
     rows = [b for b in range(buckets) if at[b + 1] > at[b]]
     return pa.table(
         {
             "bucket": pa.array([offset + b for b in rows], pa.int64()),
             "chunk": pa.array([chunk] * len(rows), pa.int64()),
-            "keys": pa.array([pack_keys(keys[at[b] : at[b + 1]], width) for b in rows], pa.binary()),
-            "vals": pa.array([None if vals is None else pack(vals[at[b] : at[b + 1]]) for b in rows], pa.binary()),
+            "keys": pa.array([pack_keys(keys[at[b] : at[b + 1]], b, buckets, width) for b in rows], pa.binary()),
+            "vals": pa.array([packed(vals[..., at[b] : at[b + 1]].ravel()) for b in rows], pa.binary()),
         }
     )
 
 
-def answer(sent: DataFrame, merge: Callable[[list[np.ndarray], list[np.ndarray | None], list[int]], list[bytes]], width: int | Callable[[int], int]) -> DataFrame:
-    """``merge(keys of each message, vals of each, chunk of each)`` gives each message's answer. width may depend on the bucket."""
+def answer(sent: DataFrame, merge: Callable[[list[np.ndarray], list[bytes], list[int]], list[bytes]]) -> DataFrame:
+    """``merge(keys of each message, vals of each, chunk of each)`` gives each message's answer."""
 
     def fn(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")  # a rerun sees the same order
-        own = width if isinstance(width, int) else width(key[0].as_py())
-        keys = [unpack_keys(b, own) for b in t["keys"].to_pylist()]
-        vals = [None if v is None else unpack(v, len(k)) for v, k in zip(t["vals"].to_pylist(), keys)]
-        chunks = t["chunk"].to_pylist()
-        return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "body": pa.array(merge(keys, vals, chunks), pa.binary())})
+        keys = [unpack_keys(b) for b in t["keys"].to_pylist()]
+        return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "body": pa.array(merge(keys, t["vals"].to_pylist(), t["chunk"].to_pylist()), pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(fn, REPLY)
 
 
-def answers(replies: dict[int, bytes], keys: np.ndarray, buckets: int, offset: int = 0) -> np.ndarray:
-    """The chunk's answers in the order of its sorted keys; fails if a bucket's answer is missing."""
+def answers(replies: dict[int, bytes], keys: np.ndarray, buckets: int, offset: int = 0, each: int = 1) -> np.ndarray:
+    """The chunk's answers in the order of its sorted keys (each > 1: so many rows of them); fails if a bucket's is missing."""
     at = bounds(keys, buckets)
-    parts = [unpack(replies[offset + b], at[b + 1] - at[b]) for b in range(buckets) if at[b + 1] > at[b]]
-    out = np.concatenate(parts) if parts else np.empty(0, np.int64)
-    if len(out) != len(keys):
-        raise RuntimeError(f"{len(out)} answers to {len(keys)} keys")
-    return out
+    parts = [unpack(replies[offset + b], each * (at[b + 1] - at[b])).reshape(each, -1) for b in range(buckets) if at[b + 1] > at[b]]
+    out = np.concatenate(parts, 1) if parts else np.empty((each, 0), np.int64)
+    return out[0] if each == 1 else out
 
 
-def summed(keys: list[np.ndarray], vals: list[np.ndarray | None], _chunks: list[int]) -> list[bytes]:
-    """Each key's total over all messages (no vals: the number of messages)."""
-    flat = np.concatenate(keys)
-    distinct, inverse = np.unique(flat, return_inverse=True)
-    if vals[0] is None:
-        total = np.bincount(inverse, minlength=len(distinct))[inverse]
-    else:
-        total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, inverse, np.concatenate(vals))
-        total = total[inverse]
-    out, at = [], 0
-    for k in keys:
-        out.append(pack(total[at : at + len(k)]))
-        at += len(k)
-    return out
+def raw(x: np.ndarray) -> bytes:
+    """64-bit numbers as they are, for ids."""
+    return x.astype(np.int64).tobytes()
+
+
+def grouped(keys: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """The number of each message's each key among all, and how many there are."""
+    codes, distinct = pd.factorize(np.concatenate(keys))
+    return codes, len(distinct)
 
 
-def owned(keys: list[np.ndarray], vals: list[np.ndarray | None], _chunks: list[int]) -> list[bytes]:
+def flat_values(vals: list[bytes], keys: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([unpack(v, len(k)) for v, k in zip(vals, keys)])
+
+
+def dealt_back(x: np.ndarray, keys: list[np.ndarray]) -> list[bytes]:
+    return [pack(p) for p in np.split(x, np.cumsum([len(k) for k in keys])[:-1])]
+
+
+def summed(keys: list[np.ndarray], vals: list[bytes], _chunks: list[int]) -> list[bytes]:
+    """Each key's total over all messages."""
+    codes, n = grouped(keys)
+    return dealt_back(np.bincount(codes, flat_values(vals, keys), n).astype(np.int64)[codes], keys)
+
+
+def summed_pairs(keys: list[np.ndarray], vals: list[bytes], _chunks: list[int]) -> list[bytes]:
+    """Two totals for each key: a message has all first values, then all second ones, and so has its answer."""
+    codes, n = grouped(keys)
+    both = [unpack(v, 2 * len(k)) for v, k in zip(vals, keys)]
+    first, second = (np.bincount(codes, np.concatenate([b[: len(k)] if part else b[len(k) :] for b, k in zip(both, keys)]), n).astype(np.int64)[codes] for part in (True, False))
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    return [pack(np.concatenate(x)) for x in zip(np.split(first, cuts), np.split(second, cuts))]
+
+
+def owned(keys: list[np.ndarray], vals: list[bytes], _chunks: list[int]) -> list[bytes]:
     """Twice each key's total, plus 1 for the first message that has it: one chunk owns each key."""
-    flat = np.concatenate(keys)
-    _, at, inverse = np.unique(flat, return_index=True, return_inverse=True)
-    total = 2 * np.bincount(inverse, np.concatenate(vals), len(at)).astype(np.int64)[inverse]
-    total[at] += 1
-    out, lo = [], 0
-    for k in keys:
-        out.append(pack(total[lo : lo + len(k)]))
-        lo += len(k)
-    return out
+    codes, n = grouped(keys)
+    total = 2 * np.bincount(codes, flat_values(vals, keys), n).astype(np.int64)[codes]
+    first = np.full(n, len(codes))
+    np.minimum.at(first, codes, np.arange(len(codes)))
+    total[first] += 1
+    return dealt_back(total, keys)
 
 
-def least(keys: list[np.ndarray], vals: list[np.ndarray | None], _chunks: list[int]) -> list[bytes]:
+def least(keys: list[np.ndarray], vals: list[bytes], _chunks: list[int]) -> list[bytes]:
     """1 where another message has a smaller value for the key, else 0."""
-    flat, v = np.concatenate(keys), np.concatenate(vals)
-    order = np.lexsort((v, flat))
-    k, v = flat[order], v[order]
-    first = np.append(True, k[1:] != k[:-1])
-    smaller = v > v[np.flatnonzero(first)][np.cumsum(first) - 1]
-    hit = np.empty(len(flat), np.uint8)
-    hit[order] = smaller
-    out, at = [], 0
-    for x in keys:
-        out.append(hit[at : at + len(x)].tobytes())
-        at += len(x)
-    return out
+    codes, n = grouped(keys)
+    v = np.concatenate([np.frombuffer(x, np.int64) for x in vals])
+    smallest = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(smallest, codes, v)
+    return dealt_back((smallest[codes] < v).astype(np.int64), keys)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huepoint.llm import jaccard, lineblocks, linededup, mixing, pitmanyor, recompression, syncmers, tokenids, toxicity, winnowing
+from huepoint.llm import jaccard, lineblocks, linededup, mixing, oracles, pitmanyor, recompression, syncmers, tokenids, toxicity, winnowing
 from huepoint.llm._store import table
 
 
@@ -81,5 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": linededup.SQL,
+    "op3_benchmark_decontamination": oracles.DECONTAMINATION,
     "op5_source_mixing": mixing.SQL,
+    "op8_substring_dedup": oracles.SUBSTRINGS,
+    "op10_ngram_jaccard": oracles.JACCARD,
 }

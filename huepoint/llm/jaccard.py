@@ -250,7 +250,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
 
     chunks = parts.groupBy("chunk")
     sent = chunks.cogroup(nodes.groupBy("chunk")).applyInArrow(count, X.MESSAGE)
-    both = X.answer(sent, X.summed, 4).unionByName(nodes, allowMissingColumns=True)
+    both = X.answer(sent, X.summed).unionByName(nodes, allowMissingColumns=True)
     found = stash(chunks.cogroup(both.groupBy("chunk")).applyInArrow(select, "id long, h1 long, h2 long, n long, tokens binary, single long, shared long, prefix binary"))
     component = _Join(found.filter("tokens is not null").select("id", "n", "tokens", "single", "shared", "prefix"), percent).run()
     known = found.select("id", "h1", "h2", "n").join(component, "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))

@@ -145,11 +145,11 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
         *_, keys, own = _shared_keys(t, window)
         return X.messages(key[0].as_py(), keys, own, first_buckets, 5)
 
-    replies = stash(X.answer(parts.groupBy("chunk").applyInArrow(reveal, X.MESSAGE), X.summed, 5)).withColumn("stage", F.lit(1))
+    replies = stash(X.answer(parts.groupBy("chunk").applyInArrow(reveal, X.MESSAGE), X.summed)).withColumn("stage", F.lit(1))
 
     def verify(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
         *_, hashes, smallest = _candidates(t, _bodies(r, 1), window, first_buckets)
-        return X.messages(key[0].as_py(), hashes, smallest, second_buckets, 8)
+        return X.messages(key[0].as_py(), hashes, smallest, second_buckets, 8, packed=X.raw)
 
     def remove(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
         ids, words, off, at, doc, inverse, hashes, smallest = _candidates(t, _bodies(r, 1), window, first_buckets)
@@ -168,7 +168,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     chunks = parts.groupBy("chunk")
     sent = chunks.cogroup(replies.groupBy("chunk")).applyInArrow(verify, X.MESSAGE)
-    both = replies.unionByName(X.answer(sent, X.least, 8).withColumn("stage", F.lit(2)))
+    both = replies.unionByName(X.answer(sent, X.least).withColumn("stage", F.lit(2)))
     return chunks.cogroup(both.groupBy("chunk")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
