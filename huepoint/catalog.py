@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from huepoint.plans import completion
-from huepoint.queries import aggregates, colour, formats, geometry, joins, metrics, statistics, windows  # noqa: F401  they register
+from huepoint.queries import aggregates, colour, formats, geometry, joins, metrics, scoring, statistics, streams, windows  # noqa: F401  they register
 from huepoint.queries._registry import QUERIES, SQL
 from huepoint.views import cloud
 
