@@ -20,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from huepoint.llm._words import U64
+from huepoint.llm._words import U64, give_back
 
 MESSAGE = "bucket long, chunk long, keys binary, vals binary"
 REPLY = "chunk long, bucket long, body binary"
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_KEYS = 3_000_000
+#: Text from which chunks and buckets widen with its square root, up to so many times: each chunk writes to
+#: each bucket, so a fixed size would let the number of messages grow with the square of the text.
+WIDEN_FROM, WIDEST = 16 << 30, 16
 
 
 class Layout:
@@ -36,15 +39,16 @@ class Layout:
         spark = docs.sparkSession
         got = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
         self.bytes, self.rows = int(got["b"] or 0), int(got["n"] or 0)
+        self.wide = min(WIDEST, max(1.0, math.sqrt(self.bytes / WIDEN_FROM)))
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.chunks = max(1, math.ceil(self.bytes / chunk_bytes), math.ceil(self.rows / 100_000))
+        self.chunks = max(1, math.ceil(self.bytes / (chunk_bytes * self.wide)), math.ceil(self.rows / 100_000))
         self.partitions = max(least, math.ceil(self.bytes / (64 << 20)))
 
     def chunk(self, doc_id: str = "doc_id") -> Column:
         return F.pmod(F.xxhash64(F.col(doc_id)), F.lit(self.chunks)).alias("chunk")
 
     def buckets(self, keys_per_byte: float) -> int:
-        return max(4, math.ceil(self.bytes * keys_per_byte / BUCKET_KEYS))
+        return max(4, math.ceil(self.bytes * keys_per_byte / (BUCKET_KEYS * self.wide)))
 
     def parts(self, docs: DataFrame) -> DataFrame:
         """chunk, doc_id, text as UTF-8 bytes; dealt by chunk."""
@@ -121,7 +125,10 @@ def answer(sent: DataFrame, merge: Callable[[list[np.ndarray], list[bytes], list
     def fn(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")  # a rerun sees the same order
         keys = [unpack_keys(b) for b in t["keys"].to_pylist()]
-        return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "body": pa.array(merge(keys, t["vals"].to_pylist(), t["chunk"].to_pylist()), pa.binary())})
+        bodies = merge(keys, t["vals"].to_pylist(), t["chunk"].to_pylist())
+        del keys
+        give_back()
+        return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "body": pa.array(bodies, pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(fn, REPLY)
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Odd, so that every word of a window keeps all its bits in the polynomial modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 U64 = np.uint64
 
@@ -73,3 +77,13 @@ def rolling(words: np.ndarray, k: int, base: int = BASE) -> np.ndarray:
         with np.errstate(over="ignore"):
             power = power * power
         size *= 2
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; a worker lives through many tasks, and its heap would keep the peak of each."""
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

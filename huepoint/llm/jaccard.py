@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from huepoint.llm import _exchange as X
 from huepoint.llm._store import stash
-from huepoint.llm._words import U64, blank_words, mix, rolling, values
+from huepoint.llm._words import U64, blank_words, give_back, mix, rolling, values
 from huepoint.llm.components import components
 
 NULL_ID = np.iinfo(np.int64).max
@@ -67,13 +67,17 @@ def shingle_set(w: np.ndarray, k: int) -> np.ndarray:
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        words = [blank_words(t, lower=True) for t in b["text"].to_pylist()]
-        hashes = [sequence_hash(w) for w in words]
-        yield pa.record_batch({"doc_id": b["doc_id"], "words": pa.array([len(w) for w in words], pa.int64()), "h1": pa.array([h[0] for h in hashes], pa.int64()), "h2": pa.array([h[1] for h in hashes], pa.int64())})
+        rows = []
+        for t in b["text"]:  # one text's words at a time
+            words = blank_words(t.as_py(), lower=True)
+            rows.append((len(words), *sequence_hash(words)))
+        give_back()
+        yield pa.record_batch({"doc_id": b["doc_id"], **{c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(("words", "h1", "h2"))}})
 
 
 def _sets(t: pa.Table, nodes: pa.Table, k: int) -> list[tuple[int, int, int, np.ndarray]]:
     """id, both hashes and set of the texts that are nodes, each once."""
+    give_back()  # what the chunk before has left
     wanted = {x for x in zip(nodes["rep"].to_pylist(), nodes["h1"].to_pylist(), nodes["h2"].to_pylist()) if x[1] is not None}
     out = []
     for i, text in zip(t["doc_id"].to_pylist(), t["text"].to_pylist()):

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from huepoint.llm._exchange import Layout
 from huepoint.llm._store import shared_folder
+from huepoint.llm._words import give_back
 
 NULL_ID = np.iinfo(np.int64).max
 MEMO_WORDS = 400_000
@@ -138,6 +139,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> list[dict
                         offsets.append(at)
                         at += len(tokens) // item
                 ids += [NULL_ID if i is None else i for i in b["doc_id"].to_pylist()]
+                give_back()
         with fs.open_output_stream(f"{base}/{name}.off") as out:
             out.write(np.array(ids + offsets + [at], "<i8").tobytes())
         if ids:
