@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from huepoint.llm import _exchange as X
 from huepoint.llm._store import stash
-from huepoint.llm._words import BASE, U64, blank_words, mix, rolling, values
+from huepoint.llm._words import BASE, U64, blank_words, give_back, mix, rolling, values
 
 ROUNDS, SPAN = 6, 16
 NULL_ID = np.iinfo(np.int64).max
@@ -71,12 +71,18 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out) if n else out
 
 
-def anchors(w: np.ndarray, off: np.ndarray, window: int, rounds: int = ROUNDS, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and document of each window, and the name of its anchor key (0: it has none)."""
+def below(values: np.ndarray, n: int) -> np.ndarray:
+    """For each of 0 to n - 1, how many of the sorted values (from -1) are smaller."""
+    return np.cumsum(np.bincount(values[values < n] + 1, minlength=n + 1))[:n]
+
+
+def anchors(w: np.ndarray, off: np.ndarray, window: int, rounds: int = ROUNDS, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and document of each window; first window and anchor key (0: none) of each stretch of windows with one anchor."""
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
     at = np.flatnonzero(np.arange(len(w)) + window <= off[1:][doc])
+    doc = doc[at]
     if not len(at):
-        return at, doc[at], np.empty(0, U64)
+        return at, doc, at, np.empty(0, U64)
     name, s, e, left, right, d = symbols(w, off, rounds)
     last = np.searchsorted(e, s + span)  # the first that makes it span words long
     whole = last < len(s)
@@ -84,17 +90,20 @@ def anchors(w: np.ndarray, off: np.ndarray, window: int, rounds: int = ROUNDS, s
     whole &= d[last] == d
     sums = np.append(U64(0), np.cumsum(name * powers(BASE, len(s)), dtype=U64))
     inverse = pow(BASE, -1, 1 << 64)
-    key = mix((sums[last + 1] - sums[np.arange(len(s))]) * powers(inverse, len(s)) + (e[last] - s).astype(U64))
+    key = mix((sums[last + 1] - sums[:-1]) * powers(inverse, len(s)) + (e[last] - s).astype(U64))
     key[key == 0] = 1
-    first = np.searchsorted(left, at)  # contexts begin and end in the order of the symbols
+    first = below(left, len(w))[at]  # contexts begin and end in the order of the symbols
     held = first < len(s)
     first = np.minimum(first, len(s) - 1)
-    held &= whole[first] & (d[first] == doc[at]) & (right[last[first]] <= at + window)
-    return at, doc[at], np.where(held, key[first], U64(0))
+    held &= whole[first] & (d[first] == doc) & (right[last[first]] <= at + window)
+    code = np.where(held, first, -1 - doc)  # one for each anchor, one for each document's windows without
+    start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    return at, doc, start, np.where(held[start], key[first[start]], U64(0))
 
 
 def _texts(t: pa.Table) -> tuple[np.ndarray, list[list[bytes]], np.ndarray, np.ndarray]:
     """ids (null: largest), words of each text, all word values and offsets."""
+    give_back()  # what the chunk before has left
     ids = np.array([NULL_ID if i is None else i for i in t["doc_id"].to_pylist()], np.int64)
     words = [blank_words(x) for x in t["text"].to_pylist()]
     off = np.zeros(len(words) + 1, np.int64)
@@ -103,24 +112,25 @@ def _texts(t: pa.Table) -> tuple[np.ndarray, list[list[bytes]], np.ndarray, np.n
 
 
 def _shared_keys(t: pa.Table, window: int) -> tuple:
-    """As anchors(), with the chunk's sorted distinct keys and whether two of its own documents hold each."""
+    """ids, words, word values, offsets, then as anchors(), then the chunk's sorted distinct keys and whether two of its own documents hold each."""
     ids, words, w, off = _texts(t)
-    at, doc, key = anchors(w, off, window)
+    at, doc, start, key = anchors(w, off, window)
     some = key > 0
-    order = np.lexsort((ids[doc[some]], key[some]))
-    k, i = key[some][order], ids[doc[some]][order]
+    k, i = key[some], ids[doc[start[some]]]
+    order = np.lexsort((i, k))
+    k, i = k[order], i[order]
     first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, np.int64)
     end = np.append(first[1:], len(k))
-    return ids, words, w, off, at, doc, key, k[first], 1 + (i[first] != i[end - 1] if len(k) else np.empty(0, bool))
+    return ids, words, w, off, at, doc, start, key, k[first], 1 + (i[first] != i[end - 1] if len(k) else np.empty(0, bool))
 
 
 def _candidates(t: pa.Table, replies: dict[int, bytes], window: int, buckets: int) -> tuple:
     """Windows that may be repeated: sorted distinct hashes, the smallest id here of each, and each one's start, document and place in these."""
-    ids, words, w, off, at, doc, key, keys, own = _shared_keys(t, window)
-    total = X.answers(replies, keys, buckets)
-    shared = total >= 2
+    ids, words, w, off, at, doc, start, key, keys, own = _shared_keys(t, window)
+    shared = X.answers(replies, keys, buckets) >= 2
     place = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-    keep = (key == 0) | (shared[place] if len(keys) else False)
+    stretch = (key == 0) | (shared[place] if len(keys) else False)
+    keep = np.repeat(stretch, np.diff(np.append(start, len(at))))
     at, doc = at[keep], doc[keep]
     hashes = rolling(w, window)[at] if len(at) else np.empty(0, U64)
     order = np.lexsort((ids[doc], hashes))
@@ -155,9 +165,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
         ids, words, off, at, doc, inverse, hashes, smallest = _candidates(t, _bodies(r, 1), window, first_buckets)
         repeated = X.answers(_bodies(r, 2), hashes, second_buckets) > 0
         hit = at[repeated[inverse] | (smallest[inverse] < ids[doc])] if len(at) else at
-        change = np.zeros(off[-1] + 1, np.int64)
-        np.add.at(change, hit, 1)
-        np.add.at(change, hit + window, -1)
+        change = np.bincount(hit, minlength=off[-1] + 1) - np.bincount(hit + window, minlength=off[-1] + 1)
         keep = np.cumsum(change[:-1]) == 0
         gone, text = [], []
         for i, x in enumerate(words):
