@@ -44,6 +44,10 @@ SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
+#: Ids of pieces by vocabulary, kept from task to task of a worker.
+_PIECES: dict[tuple[str, str], dict[str, bytes]] = {}
+
+
 class Encoder:
     """encode(texts) with a memory for the blank-separated words.
 
@@ -57,7 +61,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.dtype, self.known, self.pieces = Tokenizer.from_file(path), dtype, {}, {}
+        self.tokenizer, self.dtype, self.known, self.pieces = Tokenizer.from_file(path), dtype, {}, _PIECES.setdefault((path, dtype), {})
         self.kind = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.end = np.array([end_id], dtype).tobytes()
         rules = json.loads(self.tokenizer.to_str())
@@ -83,7 +87,7 @@ class Encoder:
         if (got := self.pieces.get(x)) is None:
             if len(self.pieces) >= MEMO_WORDS:
                 self.pieces.clear()
-            got = self.pieces[x] = self._ids([t.id for t in self.tokenizer.model.tokenize(x.translate(self.letters))])
+            got = self.pieces[x] = self._ids([t.id for t in self.tokenizer.model.tokenize(x if x.isascii() else x.translate(self.letters))])
         return got
 
     def _learn(self, words: list[bytes]) -> None:
