@@ -56,12 +56,14 @@ def de00_matched(spark, sf_dir):
 _DIRS = ", ".join(f"({i}, {', '.join(f'{v!r}::DOUBLE' for v in d)})" for i, d in enumerate(DIRECTIONS))
 
 
-def swd_sql(a: str, b: str) -> str:
-    side = lambda t, s: f"{s} AS (SELECT object_id, dir, r * d0 + g * d1 + b * d2 AS v, row_number() OVER (PARTITION BY object_id, dir ORDER BY r * d0 + g * d1 + b * d2, point_id) - 1 AS k, count(*) OVER (PARTITION BY object_id, dir) AS n FROM {t}, dirs)"
+def swd_sql(a: str, b: str, keys: str = "object_id") -> str:
+    side = lambda t, s: f"{s} AS (SELECT {keys}, dir, r * d0 + g * d1 + b * d2 AS v, row_number() OVER (PARTITION BY {keys}, dir ORDER BY r * d0 + g * d1 + b * d2, point_id) - 1 AS k, count(*) OVER (PARTITION BY {keys}, dir) AS n FROM {t}, dirs)"
+    rank = lambda n: f"round_even(CASE WHEN n > 1 THEN i * ({n} - 1) / (n - 1) ELSE 0 END, 0)::BIGINT"
     return f"""dirs(dir, d0, d1, d2) AS (VALUES {_DIRS}), {side(a, 'sa')}, {side(b, 'sb')},
-n AS (SELECT object_id, dir, a.n AS na, b.n AS nb, least(a.n, b.n) AS n FROM (SELECT DISTINCT object_id, dir, n FROM sa) a JOIN (SELECT DISTINCT object_id, dir, n FROM sb) b USING (object_id, dir)),
-i AS (SELECT *, unnest(range(0, n)) AS i FROM n), s AS (SELECT object_id, dir, round_even(CASE WHEN n > 1 THEN i * (na - 1) / (n - 1) ELSE 0 END, 0)::BIGINT AS ra, round_even(CASE WHEN n > 1 THEN i * (nb - 1) / (n - 1) ELSE 0 END, 0)::BIGINT AS rb FROM i)
-SELECT s.object_id, {r6('avg(abs(sa.v - sb.v)) AS swd')} FROM s JOIN sa ON s.object_id = sa.object_id AND s.dir = sa.dir AND s.ra = sa.k JOIN sb ON s.object_id = sb.object_id AND s.dir = sb.dir AND s.rb = sb.k GROUP BY 1"""
+n AS (SELECT {keys}, dir, a.n AS na, b.n AS nb, least(a.n, b.n) AS n FROM (SELECT DISTINCT {keys}, dir, n FROM sa) a JOIN (SELECT DISTINCT {keys}, dir, n FROM sb) b USING ({keys}, dir)),
+i AS (SELECT *, unnest(range(0, n)) AS i FROM n), s AS (SELECT {keys}, dir, {rank('na')} AS ra, {rank('nb')} AS rb FROM i),
+x AS (SELECT {keys}, dir, k AS ra, v AS va FROM sa), y AS (SELECT {keys}, dir, k AS rb, v AS vb FROM sb)
+SELECT {keys}, {r6('avg(abs(va - vb)) AS swd')} FROM s JOIN x USING ({keys}, dir, ra) JOIN y USING ({keys}, dir, rb) GROUP BY {keys}"""
 
 
 @query("colour_swd", f"WITH {CLOUD}, few AS (SELECT * FROM qry WHERE part <> 1), {swd_sql('ref', 'few')}")
@@ -70,7 +72,7 @@ def colour_swd(spark, sf_dir):
     return six(M.sliced_wasserstein(ref, qry.filter("part <> 1"), DIRECTIONS))
 
 
-@query("part_swd")
+@query("part_swd", f"WITH {CLOUD}, {swd_sql('ref', 'qry', 'object_id, part')}")
 def part_swd(spark, sf_dir):
     ref, qry = split(spark, sf_dir)
     return six(M.sliced_wasserstein(ref, qry, DIRECTIONS, key=("object_id", "part")))
@@ -243,13 +245,17 @@ def headroom(spark, sf_dir):
     return six(M.headroom(cloud(spark, sf_dir), 4))
 
 
-_BASE = f"""{UNIT}, {crop_sql('0.5')}, vis AS (SELECT * FROM crop WHERE NOT is_missing), mis AS (SELECT * FROM crop WHERE is_missing), {knn_sql('e', 'mis', 'vis', 1)},
+def _base(ratio: str) -> str:
+    return f"""{UNIT}, {crop_sql(ratio)}, vis AS (SELECT * FROM crop WHERE NOT is_missing), mis AS (SELECT * FROM crop WHERE is_missing), {knn_sql('e', 'mis', 'vis', 1)},
 g AS (SELECT object_id, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM vis GROUP BY 1), p AS (SELECT object_id, part, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM vis GROUP BY 1, 2), c AS (SELECT object_id, part, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM crop GROUP BY 1, 2),
 j AS (SELECT e.object_id, m.part <> v.part AS wrong, {', '.join(f'm.{x} AS t{x}, v.{x} AS n{x}, coalesce(p.{x}, g.{x}) AS p{x}, c.{x} AS c{x}, g.{x} AS g{x}' for x in RGB)}
   FROM e JOIN mis m ON e.object_id = m.object_id AND q_id = m.point_id JOIN vis v ON e.object_id = v.object_id AND n_id = v.point_id JOIN g ON e.object_id = g.object_id LEFT JOIN p ON e.object_id = p.object_id AND m.part = p.part JOIN c ON e.object_id = c.object_id AND m.part = c.part),
 l AS (SELECT object_id, wrong, {', '.join(sql_lab(f'{s}r', f'{s}g', f'{s}b', s) for s in 'tnpcg')} FROM j)"""
 
 
+_BASE = _base("0.5")
+
+
 def _diff(s: str) -> str:
     return f"avg(sqrt(power({s}_l - t_l, 2) + power({s}_a - t_a, 2) + power({s}_b - t_b, 2)))"
 
@@ -277,7 +283,10 @@ def posterior_mean(spark, sf_dir):
     return six(M.pointwise(mean, c).select("object_id", "de76"))
 
 
-@query("benchmark_by_difficulty")
+_SWEEP = " UNION ALL ".join(f"SELECT '{d}' AS difficulty, * FROM (WITH {_base(str(ratio))} SELECT object_id, {_diff('n')} AS nn_copy, {_diff('p')} AS part_mean, {_diff('c')} AS ceiling FROM l GROUP BY 1)" for d, ratio in G.DIFFICULTIES)
+
+
+@query("benchmark_by_difficulty", f"SELECT difficulty, count(*) AS n, {r6('avg(nn_copy) AS nn_copy', 'avg(part_mean) AS part_mean', 'avg(ceiling) AS ceiling')} FROM ({_SWEEP}) GROUP BY 1")
 def benchmark_by_difficulty(spark, sf_dir):
     return six(completion.by_difficulty(completion.benchmark(cloud(spark, sf_dir), 4)))
 
