@@ -59,7 +59,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = syncmers.fingerprints(table(spark, sf_dir, "documents"))
     sha = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
-    return found.select("doc_id", "n_chars", sha, syncmers.written("anchors").alias("fingerprint"), syncmers.written("edited_anchors").alias("edited_fingerprint"), "near_edited", "near_next", "next_id")
+    return found.select("doc_id", "n_chars", sha, syncmers.written("anchors").alias("fingerprint"), syncmers.written("edited_anchors").alias("edited_fingerprint"), F.col("match_edited").alias("near_edited"), F.col("match_next").alias("near_next"), "next_id")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,37 @@ def test_repeats_clashing_columns_and_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     p = syncmers.fingerprints(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in p and "Arrow" not in p
+
+
+def matched(a, b):
+    """By brute force, from all anchors."""
+    a, b = (dict(anchors(x, keep=None)) for x in (a, b))
+    moved = [b[h] - a[h] for h in a.keys() & b.keys()]
+    return 2 * sum(d == 0 or moved.count(d) > 1 for d in moved) / (len(a) + len(b)) if a or b else 1.0
+
+
+def test_all_anchors_and_their_places_are_matched(spark):
+    r = random.Random(6)
+    own = lambda n: [f"o{r.randrange(10**9)}" for _ in range(n)]
+    passage, phrases = own(60), [own(4) for _ in range(80)]
+    scattered = lambda: [w for p in r.sample(phrases, len(phrases)) for w in (*own(r.randint(3, 30)), *p)]
+    texts = [own(900) + passage + own(2000), own(2500) + passage + own(300), scattered(), scattered(), ["a"] * 500, ["a"] * 400, ["b", "c"], ["b", "c"], [], [], passage + ["new"] + passage[30:], passage]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {x.doc_id: x for x in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert (got[i].match_edited, got[i].match_next) == (matched(text, got[i].edited), matched(text, rows[i - 1][1])), i
+    both = len(dict(anchors(rows[0][1], keep=None)).keys() & dict(anchors(rows[1][1], keep=None)).keys())
+    assert both > 30 and got[1].match_next > 0.01 and got[3].match_next < 0.03 and got[7].match_next == got[9].match_next == 1.0
+
+
+def test_places_have_no_bound(spark):
+    passage = [f"p{i}" for i in range(40)]
+    a, b = " ".join([f"a{i}" for i in range(30)] + passage), " ".join([f"b{i}" for i in range(3)] + passage[:10])
+    df = spark.createDataFrame([(a, b), (b, a), (a, a), (b, b), ("", a)], "x string, y string")
+    for bits in (23, 4):
+        out = df
+        for c in "xy":
+            out = syncmers.with_anchors(out, c, f"{c}_anchors", place_bits=bits)
+        for row in syncmers.with_matching(out, "all_x_anchors", "all_y_anchors", "m", bits).collect():
+            assert row.m == matched(row.x, row.y)
+            assert list(zip(row.x_anchors["hash"], row.x_anchors["place"])) == anchors(row.x)
