@@ -84,3 +84,27 @@ def test_without_training_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in T.score(d, T.train(d, none)).collect()] == [0.0] * 3
     assert T.score(d.limit(0), T.train(d.limit(0), none)).count() == 0
+
+
+def test_every_window_of_a_long_text_is_seen():
+    s = T.Scorer(T.Model(["idiot"], []))
+    words = (["idiot"] + ["word"] * 99) * 640
+    words[32_150:32_160] = ["idiot"] * 10
+    assert s.features(" ".join(words).encode())[4] == pytest.approx(T.math.log1p(10))
+    r = random.Random(3)
+    for _ in range(30):
+        w = [r.choice(["idiot", "a", "b", "c", '"idiot', 'idiot"', '"x', 'x"', "„y", "y“"]) for _ in range(r.choice([5, 60, 900]))]
+        codes = [s.code(x.encode()) for x in w]
+        spans, start = [], -1
+        for i, c in enumerate(codes):
+            if start >= 0 and c & 24:
+                spans.append((start, i))
+                start = -1
+            elif c & 20:
+                start = i
+        hits = [i for i, c in enumerate(codes) if c & 3]
+        quoted = [i for i in hits if any(a <= i <= b <= a + 4 * T.WINDOW for a, b in spans)]
+        direct = [i for i in hits if i not in quoted]
+        most = max((sum(abs(i - j) <= T.WINDOW for j in direct) - sum(abs(i - j) <= T.WINDOW for j in quoted) for i in direct), default=0)
+        got = s.features(" ".join(w).encode())
+        assert (got[3], got[4]) == (T.math.log1p(len(quoted)), T.math.log1p(max(0, most)))
