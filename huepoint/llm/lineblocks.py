@@ -4,9 +4,9 @@ The page is cut into lines at block elements; comments, scripts, styles and the
 line weighs its text's length outside links, and nothing inside menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments, which are told by element, role, and the words of class
 and id; where the page marks an article (or else a main part), lines outside weigh nothing either. The
-weights of ``width`` lines in a row are summed; where the sum surges the text begins, where it dives to
-zero it ends. Between, all lines that aren't excluded stay. A page that marks no article keeps the
-heaviest stretch and those of a fair share of its weight.
+weights of ``width`` lines in a row, excluded ones left out, are summed; where the sum surges the text
+begins, where it dives to zero it ends. Between, all lines that aren't excluded stay, and so does every
+such stretch, however long others are. In a marked part any line begins the text: its short lines belong.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined by a newline. Null and empty pages give an empty text. Other columns are kept by the caller.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, SURGE, SHARE = 3, 60, 0.3
+WIDTH, SURGE = 3, 60
 
 RAW = "script|style|noscript|template|textarea|iframe|svg|canvas|object|math|title|xmp|noembed|noframes"
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<raw>{RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
@@ -120,13 +120,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool, str]]:
     return lines
 
 
-def main_text(page: str | None, width: int = WIDTH, surge: int = SURGE, share: float = SHARE) -> str:
+def main_text(page: str | None, width: int = WIDTH, surge: int = SURGE) -> str:
     if not page:
         return ""
-    lines = lines_of(page)
-    parts = {part for _, _, out, part in lines if not out}
+    lines = [(text, n, part) for text, n, out, part in lines_of(page) if not out]
+    parts = {part for _, _, part in lines}
     wanted = "article" if "article" in parts else "main" if "main" in parts else ""
-    weigh = [0 if out or wanted and part != wanted else len(text) if wanted else n if 2 * n >= len(text) else 0 for text, n, out, part in lines]
+    weigh = [(len(text) if part == wanted else 0) if wanted else n if 2 * n >= len(text) else 0 for text, n, part in lines]
     stretches, i = [], 0
     while i < len(lines):
         block = sum(weigh[i : i + width])
@@ -134,13 +134,12 @@ def main_text(page: str | None, width: int = WIDTH, surge: int = SURGE, share: f
             j = i
             while sum(weigh[j : j + width]):
                 j += 1
-            stretches.append((i, j, sum(weigh[i:j])))
+            stretches.append((i, j))
             i = j
         i += 1
     if not stretches and any(weigh):  # nothing surges: all there is
-        stretches = [(0, len(lines), sum(weigh))]
-    least = 0 if wanted else share * max((s[2] for s in stretches), default=0)
-    return "\n".join(lines[x][0] for i, j, w in stretches if w >= least for x in range(i, j) if not lines[x][2] and (not wanted or lines[x][3] == wanted))
+        stretches = [(0, len(lines))]
+    return "\n".join(lines[x][0] for i, j in stretches for x in range(i, j) if not wanted or lines[x][2] == wanted)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

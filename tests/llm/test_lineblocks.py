@@ -39,3 +39,11 @@ def test_frame(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert sorted((r.page_id or 0, r.text.count("\n")) for r in got) == [(0, 0), (1, 4), (1, 4)]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_sections_of_unequal_length_stay_without_article():
+    adverts = "<div class=ad>Buy</div>" * 4
+    links = "".join(f'<p><a href="/{i}">Link {i} to another page of this site</a></p>' for i in range(5))
+    long, short = "".join(f"<p>{i} {LONG}</p>" for i in range(1000)), f"<p>Small. {LONG}</p>"
+    got = main_text(f"<body><div>{long}</div>{adverts}<p>After the advert.</p>{links}<h2>Section</h2>{short}{adverts}<p>The end.</p></body>").split("\n")
+    assert len(got) == 1004 and got[1000:] == ["After the advert.", "Section", f"Small. {LONG}".strip(), "The end."]
