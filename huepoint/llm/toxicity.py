@@ -1,16 +1,19 @@
 """Toxicity by a lexicon trie and Levenshtein automata.
 
 Terms are learned from labelled training rows: words, and stems (word beginnings that many words share),
-that stand in toxic texts far more often than in others. They make a trie. The automaton that accepts
+that stand in at least ``SUPPORT`` toxic texts and there far more often than in others. The bar is no share
+of the sample but what chance can do: were terms dealt blindly, with probability 1 - ``CHANCE`` none of
+all those tried would pass (Chernoff's bound of the binomial tail). They make a trie. The automaton that accepts
 all words within one edit of a term (two for terms of ``TWO_EDITS`` letters; none for short ones and for
 short stems) is the product of the trie with the Levenshtein automata of its terms; its states are sets
 of (trie node, edits so far), worked out the first time that a word reaches them. So a word costs a step
-for each letter until no term can match it.
+for each letter until no term can match it. A word of four letters also counts with one letter replaced
+or doubled, unless a training text that isn't toxic has it so.
 
 A hit between quotation marks, or a window of ``WINDOW`` words with more quoted than direct hits, counts
 as quotation; a window's direct hits count as abuse. A logistic model of these window scores gives the
 score. Model and lexicon learn from at most ``SAMPLE_ROWS`` labelled rows, those whose ids' hashes are
-smallest (TERMS is the most terms a lexicon can have); every text is scored as a whole.
+smallest; every text is scored as a whole.
 
 Null and empty texts have no hits and get the score of such a text. Labels of unknown documents and null
 labels are not used; of several labels of a document the largest counts. Without training rows of both
@@ -33,9 +36,9 @@ from pyspark.sql import functions as F
 from huepoint.llm._store import stash
 from huepoint.llm._words import give_back
 
-SAMPLE_ROWS, TERMS = 20_000, 2_000
+SAMPLE_ROWS, SUPPORT, CHANCE = 20_000, 4, 0.05
 STEM_SIZES = (4, 5, 6)
-ONE_EDIT, TWO_EDITS, STEM_EDIT = 5, 9, 6
+ONE_EDIT, TWO_EDITS, STEM_EDIT, SHORT = 5, 9, 6, 4
 WINDOW = 20
 MEMO_WORDS = 200_000
 THRESHOLD = 0.3
@@ -134,6 +137,20 @@ class Model:
     stems: list[str] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     base: float = 0.0
+    clean: list[str] = field(default_factory=list)  # words one edit from a word of SHORT letters that aren't misspellings of it
+
+
+def edits_of_short(word: str) -> list[str]:
+    """What a word of SHORT letters has in common with those that have another letter in place of one, or one twice."""
+    if len(word) == SHORT:
+        return [f"{word[:i]}*{word[i + 1 :]}" for i in range(SHORT)]
+    if len(word) == SHORT + 1:
+        return [word[:i] + word[i + 1 :] for i in range(SHORT) if word[i] == word[i + 1]]
+    return []
+
+
+def keys_of_short(words: list[str]) -> set[str]:
+    return {x for w in words if len(w) == SHORT for x in (w, *edits_of_short(w))}
 
 
 def most_in_window(direct: np.ndarray, quoted: np.ndarray) -> int:
@@ -147,12 +164,19 @@ def most_in_window(direct: np.ndarray, quoted: np.ndarray) -> int:
 class Scorer:
     def __init__(self, model: Model):
         self.automaton, self.known = Automaton(model.words, model.stems), {}
+        self.short, self.clean = keys_of_short(model.words), set(model.clean)
+
+    def match(self, word: str) -> int:
+        found = self.automaton.match(word)
+        if not found and SHORT <= len(word) <= SHORT + 1 and word not in self.clean and any(x in self.short for x in edits_of_short(word)):
+            return FUZZY
+        return found
 
     def code(self, raw: bytes) -> int:
         """Kind of hit, plus 4 if the word opens, 8 if it closes a quotation, 16 if its mark can do either."""
         word = raw.decode()
         core = word.strip(STRIP)
-        c = self.automaton.match(core.lower()) if core else 0
+        c = self.match(core.lower()) if core else 0
         head, tail = word[: len(word) - len(word.lstrip(STRIP))], word[len(word.rstrip(STRIP)) :]
         marks = head + tail if core else word
         return c | 4 * any(x in OPENING for x in marks) | 8 * any(x in CLOSING for x in marks) | 16 * (sum(x in EITHER for x in marks) % 2)
@@ -200,7 +224,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = set()
             for raw in set((text or b"").split()):
                 w = raw.decode().strip(STRIP).lower()
-                if len(w) >= 4:
+                if w:
                     own.add((w, 0))
                     own.update((w[:n], n) for n in STEM_SIZES if len(w) >= n)
             for x in own:
@@ -215,10 +239,16 @@ def lexicon(rows: list[tuple[str, int, int, int]]) -> tuple[list[str], list[str]
     """Words and stems from (term, size, toxic texts with it, longer words of toxic texts that begin with it) of the candidates."""
     words = [t for t, n, *_ in rows if not n]
     real = {t: toxic for t, n, toxic, longer in rows if n and longer >= 3}
+    sizes = {len(t) for t in real}
+    beyond: dict[str, int] = defaultdict(int)  # of each beginning, the most texts of a longer stem
+    for t, toxic in real.items():
+        for n in sizes:
+            if n < len(t):
+                beyond[t[:n]] = max(beyond[t[:n]], toxic)
     # of nested stems the longest that loses next to none of the texts
-    kept = {s for s in real if not any(t != s and t.startswith(s) and real[t] >= 0.95 * real[s] for t in real)}
-    kept = {s for s in kept if not any(t != s and s.startswith(t) and real[t] > real[s] for t in kept)}
-    return [w for w in words if not any(w.startswith(s) for s in kept)], sorted(kept)
+    kept = {s for s in real if s not in beyond or beyond[s] < 0.95 * real[s]}
+    kept = {s for s in kept if not any(n < len(s) and s[:n] in kept and real[s[:n]] > real[s] for n in sizes)}
+    return [w for w in words if not any(w[:n] in kept for n in sizes)], sorted(kept)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -248,6 +278,17 @@ def _featured(docs: DataFrame, model: Model, keep: list[str], schema: str) -> Da
     return docs.mapInArrow(fn, f"{schema}, features array<double>")
 
 
+def clean_near_short(counts: DataFrame, words: list[str]) -> list[str]:
+    """The words of other than toxic texts that are one edit from one of ``words`` of SHORT letters."""
+    short = sorted(keys_of_short(words))
+    if not short:
+        return []
+    near = counts.filter(f"size = 0 and other > 0 and length(term) between {SHORT} and {SHORT + 1}").select("term", F.explode(F.udf(edits_of_short, "array<string>")("term")).alias("key"))
+    keys = counts.sparkSession.createDataFrame([(x,) for x in short], "key string")
+    own = set(words)
+    return sorted(r["term"] for r in near.join(F.broadcast(keys), "key").select("term").distinct().collect() if r["term"] not in own)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """``labels(doc_id, toxic)``: training rows only. Learns from the ``sample_rows`` whose ids have the smallest hashes."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -258,15 +299,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     base = toxic / (toxic + other) if toxic + other else 0.0
     if not toxic or not other:
         return Model(base=base)
-    counts = stash(texts.select("text", "toxic").mapInArrow(_terms, "term string, size int, toxic long, other long").groupBy("term", "size").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).filter("toxic > 0"))
+    counts = stash(texts.select("text", "toxic").mapInArrow(_terms, "term string, size int, toxic long, other long").groupBy("term", "size").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
+    seen, counts = counts, counts.filter("toxic > 0")
     odds = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("other") + 0.5) / (other + 1))
-    top = counts.filter((F.col("toxic") >= max(4, toxic // 100)) & (odds >= 30) & (F.col("other") <= F.col("toxic") * 0.02))
+    share = F.col("toxic") / (F.col("toxic") + F.col("other"))
+    rest = F.when(F.col("other") > 0, F.col("other") * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    unlikely = F.col("toxic") * F.log(share / base) + rest >= math.log(max(1, counts.count()) / CHANCE)
+    top = counts.filter((F.col("toxic") >= SUPPORT) & unlikely & (odds >= 30) & (F.col("other") <= F.col("toxic") * 0.02))
     sizes = F.explode(F.array(*[F.lit(n) for n in STEM_SIZES])).alias("size")
     words = counts.filter("size = 0").select("term", sizes).filter(F.length("term") > F.col("size"))
     longer = words.groupBy(F.expr("substr(term, 1, size)").alias("term"), "size").agg(F.count(F.lit(1)).alias("longer"))
     top = top.join(longer, ["term", "size"], "left").select("term", "size", "toxic", F.coalesce("longer", F.lit(0)).alias("longer"))
-    words, stems = lexicon([tuple(r) for r in top.orderBy(F.desc("toxic"), "term", "size").limit(TERMS).collect()])
-    model = Model(words, stems, base=base)
+    words, stems = lexicon([tuple(r) for r in top.orderBy(F.desc("toxic"), "term", "size").collect()])
+    model = Model(words, stems, base=base, clean=clean_near_short(seen, words))
     rows = _featured(texts.select("text", "toxic", "doc_id"), model, ["doc_id", "toxic"], "doc_id long, toxic int").orderBy("doc_id", "toxic").collect()
     model.weights = logistic(np.array([r["features"] for r in rows]), np.array([r["toxic"] for r in rows], float)).tolist()
     return model

@@ -108,3 +108,18 @@ def test_every_window_of_a_long_text_is_seen():
         most = max((sum(abs(i - j) <= T.WINDOW for j in direct) - sum(abs(i - j) <= T.WINDOW for j in quoted) for i in direct), default=0)
         got = s.features(" ".join(w).encode())
         assert (got[3], got[4]) == (T.math.log1p(len(quoted)), T.math.log1p(max(0, most)))
+
+
+def test_rare_and_short_terms_of_large_samples(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("bdfgklmnprs") + r.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    text = lambda *own: " ".join([*r.choices(words, k=3), *own])
+    rows = [(text("wretch"), 1) for _ in range(2000)] + [(text(w), 1) for w in ("vermin", "zx", "scum") for _ in range(12)] + [(text("slum"), 0) for _ in range(3)] + [(text(), 0) for _ in range(8000)]
+    d = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(rows)], "doc_id long, text string, toxic int")
+    model = T.fit(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
+    matched = set(model.words) | set(model.stems)
+    assert {"zx", "scum"} <= matched and T.Scorer(model).match("vermin")
+    s = T.Scorer(model)
+    assert [bool(s.match(w)) for w in ("scum", "scvm", "sccum", "scuum", "slum", "scu", "word")] == [True, True, True, True, False, False, False]
+    many = T.lexicon([(f"w{i}x", 0, 5, 0) for i in range(2500)])
+    assert len(many[0]) == 2500
