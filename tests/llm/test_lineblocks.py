@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from huepoint.llm.lineblocks import extract, main_text
@@ -47,3 +50,80 @@ def test_sections_of_unequal_length_stay_without_article():
     long, short = "".join(f"<p>{i} {LONG}</p>" for i in range(1000)), f"<p>Small. {LONG}</p>"
     got = main_text(f"<body><div>{long}</div>{adverts}<p>After the advert.</p>{links}<h2>Section</h2>{short}{adverts}<p>The end.</p></body>").split("\n")
     assert len(got) == 1004 and got[1000:] == ["After the advert.", "Section", f"Small. {LONG}".strip(), "The end."]
+
+
+def story(r, n=None):
+    return " ".join(r.choice(["one", "two", "three,", "four.", "cinq", "seis", "sieben"]) + str(r.randrange(99)) for _ in range(n or r.choice([1, 2, 9, 40])))
+
+
+def generated(r, marked):
+    """A page and its text, known from how it was made: end tags are left out at random where HTML lets them be."""
+    ends = lambda tag: r.choice(["", f"</{tag}>"])
+    noise = [
+        lambda: f'<div class="{r.choice(["ad", "share-buttons", "newsletter", "comment-list"])}"><p>{story(r)}{ends("p")}<div><b>{story(r)}</b></div></div>',
+        lambda: f"<aside><h3>{story(r)}</h3><ul><li>{story(r)}<li>{story(r)}</ul></aside>",
+        lambda: f'<form action="?q=a>b"><p>{story(r)}</form>',
+        lambda: f'<script>document.write("<p>{story(r)}</p>")</script><style>p > a {{}}</style><!-- <p>{story(r)} -->',
+        lambda: f'<ul><li class="share">{story(r)}<li hidden>{story(r)}</ul>',
+        lambda: f'<nav><nav>{story(r)}</nav><p class="short-form">{story(r)}</nav>',
+        lambda: f'<p class="sponsored-post">{story(r)}',
+    ]
+    parts, want = [], []
+    for _ in range(r.randrange(3, 12)):
+        if r.random() < 0.4:
+            parts.append(r.choice(noise)())
+        kind, t = r.randrange(5), story(r, None if marked else 30)
+        if kind == 0:
+            parts.append(f"<p>{t}<br>{t}{ends('p')}")
+            want.append(f"{t} {t}")
+        elif kind == 1:
+            items = [story(r, None if marked else 30) for _ in range(3)]
+            parts.append("<ul>" + "".join(f"<li>{x}{ends('li')}" for x in items) + "</ul>")
+            want += items
+        elif kind == 2:
+            parts.append(f'<div class="{r.choice(["short-form", "search-results-explained", "story"])}"><p>{t} &amp; <i title="<p>">x</i>{ends("p")}</div>')
+            want.append(f"{t} & x")
+        elif kind == 3:
+            parts.append(f"<table><tr><td>{t}{ends('td')}<td>{t}{ends('td')}{ends('tr')}</table>")
+            want += [t, t]
+        else:
+            parts.append(f"<h2>{t}</h2>" + (f'<div class="rail"><article class="card"><p>{story(r)}</article></div>' if marked else ""))
+            want.append(t)
+    around = "".join(f'<a href="{i}">{story(r)}</a><br>' for i in range(9))
+    tag = r.choice(["article", "main"]) if marked else "div"
+    head = f"<head><title>{story(r)}</title>{ends('head')}<body>"
+    return f"<!doctype html><html>{head}<header>{story(r)}</header><div>{around}</div><{tag}>{''.join(parts)}</{tag}><div id=footer><p>{story(r)}</div>", "\n".join(want)
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_generated_pages(marked):
+    """Against the text that each page was made from; omitted end tags, nested excluded parts, with and without a marked part."""
+    for seed in range(300):
+        page, want = generated(random.Random(seed), marked)
+        assert main_text(page) == want, (seed, page)
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<article><p class="ad">Buy<p>Real text one<p>Real text two</article>', "Real text one\nReal text two"),
+        ('<article><ul><li class="share">Share<li>x</ul><p>later</article>', "x\nlater"),
+        ('<article><div class="search-results-explained"><p>one</div><p class="short-form">two</article>', "one\ntwo"),
+        ("<article><p>Teaser</p></article><div>" + f"<p>{LONG}</p>" * 3 + "</div>", "\n".join(["Teaser"] + [LONG.strip()] * 3)),
+        ('<article><p>one <span class="ad">buy <span>more</span> now</span> two</p></article>', "one two"),
+        ('<div class="related"><article>no</article></div><article><p>yes and more</article>', "yes and more"),
+        ("<article><p title='a>b'>t <b>u<p>v <a href=\"x", "t u\nv"),
+        ('<article><p title="open>t</article>', "t"),
+        ("<article>" + "<div>" * 2000 + "deep" + "</div>" * 2000 + "<p>after</article>", "deep\nafter"),
+    ],
+)
+def test_omitted_ends_and_names(page, want):
+    assert main_text(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<p class="', "<a '>'", "<", "<div>", "<!--", "<script>", "<![CDATA[", "<svg>", "<ul><li>", '<span class="ad">', "<p a=\"'>"])
+def test_time_grows_with_the_page_only(piece):
+    """A megabyte of tags that never close; a quadratic scan would take hours."""
+    began = time.time()
+    main_text(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 60
