@@ -6,53 +6,84 @@ messages); a bucket merges what all chunks sent and answers each message with an
 length and order; the chunk meets its answers again in a cogroup with its texts. A key that a third of
 all documents hold costs one entry for each chunk, so nothing is skewed, and Spark moves a few large
 binary rows instead of one row for each word.
+
+Chunks and buckets have fixed sizes, whatever the corpus. Each chunk would write to each bucket, so
+beyond ``FAN`` buckets there are two hops: chunks write to FAN near buckets, each of a group of chunks
+merged by a task of its own, which writes to the far buckets of its range of keys. A message then carries
+as many keys at 100 TB as at 1 GB, and a task holds as many.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huepoint.llm._words import U64, give_back
 
-MESSAGE = "bucket long, chunk long, keys binary, vals binary"
-REPLY = "chunk long, bucket long, body binary"
+MESSAGE = "bucket int, chunk int, keys binary, vals binary"
+REPLY = "chunk int, bucket int, body binary"
 
 CHUNK_BYTES = 4 << 20
 BUCKET_KEYS = 3_000_000
-#: Text from which chunks and buckets widen with its square root, up to so many times: each chunk writes to
-#: each bucket, so a fixed size would let the number of messages grow with the square of the text.
-WIDEN_FROM, WIDEST = 16 << 30, 16
+FAN = 512
+
+
+@dataclass(frozen=True)
+class Spread:
+    """Where keys go: ``near`` buckets, each of ``far`` buckets beyond (1: there is one hop), by ``groups`` of chunks."""
+
+    near: int
+    far: int = 1
+    groups: int = 1
+    width: int = 8  # bytes that tell the keys of a bucket apart
+
+    @property
+    def buckets(self) -> int:
+        return self.near * self.far
 
 
 class Layout:
     """Sizes for one corpus, from one pass over the lengths of all its texts."""
 
-    def __init__(self, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES):
+    def __init__(self, docs: DataFrame, chunk_bytes: int | None = None):
         spark = docs.sparkSession
         got = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
         self.bytes, self.rows = int(got["b"] or 0), int(got["n"] or 0)
-        self.wide = min(WIDEST, max(1.0, math.sqrt(self.bytes / WIDEN_FROM)))
-        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.chunks = max(1, math.ceil(self.bytes / (chunk_bytes * self.wide)), math.ceil(self.rows / 100_000))
-        self.partitions = max(least, math.ceil(self.bytes / (64 << 20)))
+        self.chunks = max(1, math.ceil(self.bytes / (chunk_bytes or CHUNK_BYTES)), math.ceil(self.rows / 100_000))
+        self.least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.partitions = max(self.least, math.ceil(self.bytes / (64 << 20)))
 
     def chunk(self, doc_id: str = "doc_id") -> Column:
-        return F.pmod(F.xxhash64(F.col(doc_id)), F.lit(self.chunks)).alias("chunk")
-
-    def buckets(self, keys_per_byte: float) -> int:
-        return max(4, math.ceil(self.bytes * keys_per_byte / (BUCKET_KEYS * self.wide)))
+        return F.pmod(F.xxhash64(F.col(doc_id)), F.lit(self.chunks)).cast("int").alias("chunk")
+
+    def spread(self, keys_per_byte: float, width: int = 8) -> Spread:
+        """At least a bucket for each of up to 32 tasks, so that a small corpus with one large group has its work dealt out."""
+        total = self.bytes * keys_per_byte
+        buckets = max(min(self.least, 32), math.ceil(total / BUCKET_KEYS))
+        if buckets <= FAN:
+            return Spread(buckets, width=width)
+        far = math.ceil(buckets / FAN)
+        near = math.ceil(buckets / far)
+        each = max(1, round(BUCKET_KEYS / max(1.0, total / self.chunks / near)))  # chunks that one task merges
+        return Spread(near, far, math.ceil(self.chunks / each), width)
 
     def parts(self, docs: DataFrame) -> DataFrame:
         """chunk, doc_id, text as UTF-8 bytes; dealt by chunk."""
-        return docs.select(self.chunk(), "doc_id", F.col("text").cast("binary").alias("text")).repartition(self.partitions, "chunk")
+        return dealt(docs.select(self.chunk(), "doc_id", F.col("text").cast("binary").alias("text")), self.partitions, "chunk")
+
+
+def dealt(df: DataFrame, partitions: int, column: str) -> DataFrame:
+    """By the number in ``column`` in turn, so that all partitions get as many; grouping by it needs no more exchange."""
+    return df.repartitionById(partitions, F.col(column))
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -81,19 +112,20 @@ def _shift(buckets: int, width: int) -> U64:
 
 
 def pack_keys(keys: np.ndarray, bucket: int, buckets: int, width: int) -> bytes:
-    """Sorted keys as steps, byte plane by byte plane: width, planes, then the planes. Steps have few high bytes."""
+    """Sorted keys as steps, byte plane by byte plane: planes, then the planes. Steps have few high bytes."""
     x = (keys - (edges(buckets)[bucket] << U64(32))) >> _shift(buckets, width)
     steps = np.diff(x, prepend=U64(0)).astype("<u8")
     planes = max(1, (int(steps.max()).bit_length() + 7) // 8)
     return bytes([planes]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
 
 
-def unpack_keys(b: bytes) -> np.ndarray:
+def unpack_keys(b: bytes, bucket: int, buckets: int, width: int) -> np.ndarray:
+    """The keys, without the bits that ``width`` drops."""
     planes = b[0]
     n = (len(b) - 1) // planes
     steps = np.zeros((n, 8), np.uint8)
     steps[:, :planes] = np.frombuffer(b, np.uint8, n * planes, 1).reshape(planes, n).T
-    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=U64)
+    return (np.cumsum(steps.reshape(-1).view("<u8"), dtype=U64) << _shift(buckets, width)) + (edges(buckets)[bucket] << U64(32))
 
 
 def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -101,94 +133,191 @@ def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, edges(buckets) << U64(32)), len(keys))
 
 
-def messages(chunk: int, keys: np.ndarray, vals: np.ndarray, buckets: int, width: int, offset: int = 0, packed: Callable[[np.ndarray], bytes] = pack) -> pa.Table:
-    """One row for each bucket that some of these sorted distinct keys belong to.
+def messages(chunk: int, keys: np.ndarray, vals: np.ndarray, spread: Spread, packed: Callable[[np.ndarray], bytes] = pack) -> pa.Table:
+    """One row for each bucket that some of these sorted keys belong to.
 
-    width: bytes that tell the keys of a bucket apart; offset: number of the first bucket; packed: how the
-    values (numbers from 0, or an array with a last axis of the keys' length) are written.
+    packed: how the values (numbers from 0, or an array with a last axis of the keys' length) are written.
     """
-    at = bounds(keys, buckets)
-    rows = [b for b in range(buckets) if at[b + 1] > at[b]]
-    return pa.table(
-        {
-            "bucket": pa.array([offset + b for b in rows], pa.int64()),
-            "chunk": pa.array([chunk] * len(rows), pa.int64()),
-            "keys": pa.array([pack_keys(keys[at[b] : at[b + 1]], b, buckets, width) for b in rows], pa.binary()),
-            "vals": pa.array([packed(vals[..., at[b] : at[b + 1]].ravel()) for b in rows], pa.binary()),
-        }
-    )
-
-
-def answer(sent: DataFrame, merge: Callable[[list[np.ndarray], list[bytes], list[int]], list[bytes]]) -> DataFrame:
-    """``merge(keys of each message, vals of each, chunk of each)`` gives each message's answer."""
-
-    def fn(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("chunk")  # a rerun sees the same order
-        keys = [unpack_keys(b) for b in t["keys"].to_pylist()]
-        bodies = merge(keys, t["vals"].to_pylist(), t["chunk"].to_pylist())
-        del keys
-        give_back()
-        return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "body": pa.array(bodies, pa.binary())})
+    at = bounds(keys, spread.near)
+    rows = [b for b in range(spread.near) if at[b + 1] > at[b]]
+    return table(chunk, rows, [pack_keys(keys[at[b] : at[b + 1]], b, spread.near, spread.width) for b in rows], [packed(vals[..., at[b] : at[b + 1]].ravel()) for b in rows])
+
+
+def table(chunk: int, buckets: list[int], keys: list[bytes | None], vals: list[bytes]) -> pa.Table:
+    return pa.table({"bucket": pa.array(buckets, pa.int32()), "chunk": pa.array([chunk] * len(buckets), pa.int32()), "keys": pa.array(keys, pa.binary()), "vals": pa.array(vals, pa.binary())})
+
+
+def raw(x: np.ndarray) -> bytes:
+    """64-bit numbers as they are, for ids."""
+    return np.ascontiguousarray(x, np.int64).tobytes()
 
-    return sent.groupBy("bucket").applyInArrow(fn, REPLY)
 
+def replies_of(chunks: list[int], buckets: list[int], bodies: list[bytes]) -> pa.Table:
+    return pa.table({"chunk": pa.array(chunks, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "body": pa.array(bodies, pa.binary())})
 
-def answers(replies: dict[int, bytes], keys: np.ndarray, buckets: int, offset: int = 0, each: int = 1) -> np.ndarray:
+
+def answers(replies: dict[int, bytes], keys: np.ndarray, spread: Spread, each: int = 1) -> np.ndarray:
     """The chunk's answers in the order of its sorted keys (each > 1: so many rows of them); fails if a bucket's is missing."""
-    at = bounds(keys, buckets)
-    parts = [unpack(replies[offset + b], each * (at[b + 1] - at[b])).reshape(each, -1) for b in range(buckets) if at[b + 1] > at[b]]
+    return answers_at(replies, bounds(keys, spread.near), each)
+
+
+def answers_at(replies: dict[int, bytes], at: np.ndarray, each: int = 1) -> np.ndarray:
+    parts = [unpack(replies[b], each * (at[b + 1] - at[b])).reshape(each, -1) for b in range(len(at) - 1) if at[b + 1] > at[b]]
     out = np.concatenate(parts, 1) if parts else np.empty((each, 0), np.int64)
     return out[0] if each == 1 else out
 
 
-def raw(x: np.ndarray) -> bytes:
-    """64-bit numbers as they are, for ids."""
-    return x.astype(np.int64).tobytes()
+class Sum:
+    """Each key's total over all messages. An exchange's merge: ``up`` makes one value of each key's, ``down`` each message's answer."""
+
+    each = 1  # numbers in an answer
+
+    def read(self, b: bytes, n: int) -> np.ndarray:
+        return unpack(b, n)
+
+    def write(self, x: np.ndarray) -> bytes:
+        return pack(x)
 
+    def codes(self, keys: np.ndarray, vals: np.ndarray) -> np.ndarray:
+        """The number of each entry's key among all."""
+        return pd.factorize(keys)[0]
 
-def grouped(keys: list[np.ndarray]) -> tuple[np.ndarray, int]:
-    """The number of each message's each key among all, and how many there are."""
-    codes, distinct = pd.factorize(np.concatenate(keys))
-    return codes, len(distinct)
+    def up(self, codes: np.ndarray, n: int, vals: np.ndarray) -> np.ndarray:
+        return np.bincount(codes, vals, n).astype(np.int64)
 
+    def down(self, codes: np.ndarray, vals: np.ndarray, merged: np.ndarray, reply: np.ndarray | None) -> np.ndarray:
+        """merged: of these messages; reply: what the far buckets say of it, if there are any."""
+        return (merged if reply is None else reply)[codes]
 
-def flat_values(vals: list[bytes], keys: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([unpack(v, len(k)) for v, k in zip(vals, keys)])
 
+class Own(Sum):
+    """Twice each key's total, plus 1 for one message that has it: one chunk owns each key."""
 
-def dealt_back(x: np.ndarray, keys: list[np.ndarray]) -> list[bytes]:
-    return [pack(p) for p in np.split(x, np.cumsum([len(k) for k in keys])[:-1])]
+    def down(self, codes: np.ndarray, vals: np.ndarray, merged: np.ndarray, reply: np.ndarray | None) -> np.ndarray:
+        total, give = (merged, np.ones(len(merged), bool)) if reply is None else (reply >> 1, (reply & 1) > 0)
+        first = np.full(len(merged), len(codes))
+        np.minimum.at(first, codes, np.arange(len(codes)))
+        out = 2 * total[codes]
+        out[first[give]] += 1
+        return out
 
 
-def summed(keys: list[np.ndarray], vals: list[bytes], _chunks: list[int]) -> list[bytes]:
-    """Each key's total over all messages."""
-    codes, n = grouped(keys)
-    return dealt_back(np.bincount(codes, flat_values(vals, keys), n).astype(np.int64)[codes], keys)
+class Least(Sum):
+    """1 where another message has a smaller value for the key, else 0. A key is 128 bits: the one sent and a second half, sent with the values."""
 
+    def read(self, b: bytes, n: int) -> np.ndarray:
+        return np.frombuffer(b, np.int64).reshape(2, n)
 
-def summed_pairs(keys: list[np.ndarray], vals: list[bytes], _chunks: list[int]) -> list[bytes]:
-    """Two totals for each key: a message has all first values, then all second ones, and so has its answer."""
-    codes, n = grouped(keys)
-    both = [unpack(v, 2 * len(k)) for v, k in zip(vals, keys)]
-    first, second = (np.bincount(codes, np.concatenate([b[: len(k)] if part else b[len(k) :] for b, k in zip(both, keys)]), n).astype(np.int64)[codes] for part in (True, False))
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    return [pack(np.concatenate(x)) for x in zip(np.split(first, cuts), np.split(second, cuts))]
+    def write(self, x: np.ndarray) -> bytes:
+        return raw(x)
 
+    def codes(self, keys: np.ndarray, vals: np.ndarray) -> np.ndarray:
+        codes, distinct = pd.factorize(keys)
+        half = np.empty(len(distinct), np.int64)
+        half[codes[::-1]] = vals[1][::-1]  # of each key's first entry
+        other = np.flatnonzero(vals[1] != half[codes])
+        if len(other):  # equal in 64 bits only
+            codes = codes.copy()
+            codes[other] = len(distinct) + pd.factorize(pd.MultiIndex.from_arrays([codes[other], vals[1][other]]))[0]
+        return codes
 
-def owned(keys: list[np.ndarray], vals: list[bytes], _chunks: list[int]) -> list[bytes]:
-    """Twice each key's total, plus 1 for the first message that has it: one chunk owns each key."""
-    codes, n = grouped(keys)
-    total = 2 * np.bincount(codes, flat_values(vals, keys), n).astype(np.int64)[codes]
-    first = np.full(n, len(codes))
-    np.minimum.at(first, codes, np.arange(len(codes)))
-    total[first] += 1
-    return dealt_back(total, keys)
+    def up(self, codes: np.ndarray, n: int, vals: np.ndarray) -> np.ndarray:
+        out = np.full((2, n), np.iinfo(np.int64).max)
+        np.minimum.at(out[0], codes, vals[0])
+        out[1][codes] = vals[1]
+        return out
 
+    def down(self, codes: np.ndarray, vals: np.ndarray, merged: np.ndarray, reply: np.ndarray | None) -> np.ndarray:
+        out = merged[0][codes] < vals[0]
+        return (out if reply is None else out | (reply[codes] > 0)).astype(np.int64)
+
+
+def exchange(sent: DataFrame, spread: Spread, op: Sum, layout: Layout, keys: DataFrame | None = None, deal: bool = True) -> DataFrame:
+    """chunk, bucket, body: ``op``'s answer to each message; dealt by chunk, unless the caller does that.
+
+    keys: messages sent before, whose keys those of ``sent`` (without keys) have again; then rows of ``sent``
+    for buckets from ``near`` on are notes of chunks to themselves, which come back as they are.
+    """
+    near, far, buckets, width, notes = spread.near, spread.far, spread.buckets, spread.width, keys is not None
+
+    def opened(left: pa.Table, right: pa.Table | None, bucket: int, buckets: int) -> tuple:
+        """Senders, sizes, codes and values of a bucket's messages; then of each distinct key itself and the merged value."""
+        left = left.sort_by("chunk")  # a rerun sees the same order
+        senders, got = left["chunk"].to_pylist(), [unpack_keys(b, bucket, buckets, width) for b in left["keys"].to_pylist()]
+        said = dict(zip(right["chunk"].to_pylist(), right["vals"].to_pylist())) if right is not None else dict(zip(senders, left["vals"].to_pylist()))
+        vals = np.concatenate([op.read(said[c], len(k)) for c, k in zip(senders, got)], -1)
+        sizes, flat = [len(k) for k in got], np.concatenate(got)
+        codes = op.codes(flat, vals)
+        n = int(codes.max()) + 1
+        of = np.empty(n, U64)
+        of[codes] = flat
+        return senders, sizes, codes, vals, of, op.up(codes, n, vals)
+
+    def cut(x: np.ndarray, sizes: list[int]) -> list[bytes]:
+        return [pack(p.ravel()) for p in np.split(x, np.cumsum(sizes)[:-1], axis=-1)]
+
+    def returned(t: pa.Table) -> pa.Table:
+        return replies_of(t["chunk"].to_pylist(), t["bucket"].to_pylist(), t["vals"].to_pylist())
+
+    def answered(left: pa.Table, right: pa.Table | None, bucket: int, buckets: int) -> pa.Table:
+        senders, sizes, codes, vals, _, merged = opened(left, right, bucket, buckets)
+        out = replies_of(senders, [bucket] * len(senders), cut(op.down(codes, vals, merged, None), sizes))
+        give_back()
+        return out
+
+    def applied(column: str, partitions: int, one: DataFrame, two: DataFrame | None, fn: Callable, schema: str) -> DataFrame:
+        first = dealt(one, partitions, column).groupBy(column)
+        if two is None:
+            return first.applyInArrow(lambda key, t: fn(key[0].as_py(), t, None), schema)
+        return first.cogroup(dealt(two, partitions, column).groupBy(column)).applyInArrow(lambda key, t, r: fn(key[0].as_py(), t, r), schema)
+
+    def answer(bucket: int, left: pa.Table, right: pa.Table | None) -> pa.Table:
+        return answered(left, right, bucket, near) if len(left) else returned(right)
+
+    one, two = (keys.select("bucket", "chunk", "keys"), sent.select("bucket", "chunk", "vals")) if notes else (sent, None)
+    if far == 1:
+        out = applied("bucket", min(near, layout.partitions), one, two, answer, REPLY)
+        return dealt(out, layout.partitions, "chunk") if deal else out
+
+    # a merging task's number: its group of chunks and its near bucket; notes have one for each chunk
+    groups, tasks = spread.groups, min(spread.groups * near, layout.partitions)
+    mid = F.when(F.col("bucket") < near, F.col("chunk") % groups * near + F.col("bucket")).otherwise(groups * near + F.col("chunk")).cast("int").alias("mid")
+    one, two = one.select("*", mid), two.select("*", mid) if notes else None
+
+    def ranged(mid: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the keys, and where those of each far bucket begin."""
+        order = np.argsort(of, kind="stable")
+        first = mid % near * far
+        at = np.searchsorted(of[order], edges(buckets)[first : first + far] << U64(32))
+        at[0] = 0
+        return order, np.append(at, len(of))
+
+    def further(mid: int, left: pa.Table, right: pa.Table | None) -> pa.Table:
+        if not len(left):
+            return table(mid, [], [], [])
+        *_, of, merged = opened(left, right, mid % near, near)
+        order, at = ranged(mid, of)
+        of, merged, first = of[order], merged[..., order], mid % near * far
+        rows = [b for b in range(far) if at[b + 1] > at[b]]
+        out = table(mid, [first + b for b in rows], [pack_keys(of[at[b] : at[b + 1]], first + b, buckets, width) for b in rows], [op.write(merged[..., at[b] : at[b + 1]]) for b in rows])
+        give_back()
+        return out
+
+    def back(mid: int, left: pa.Table, right: pa.Table) -> pa.Table:
+        told = right.filter(pc.is_valid(right["body"]))
+        right = right.filter(pc.is_null(right["body"])) if notes else None
+        if not len(left):
+            return returned(right)
+        senders, sizes, codes, vals, of, merged = opened(left, right, mid % near, near)
+        order, at = ranged(mid, of)
+        reply = np.empty((op.each, len(of)), np.int64)
+        reply[:, order] = answers_at({b - mid % near * far: x for b, x in zip(told["bucket"].to_pylist(), told["body"].to_pylist())}, at, op.each)
+        out = replies_of(senders, [mid % near] * len(senders), cut(op.down(codes, vals, merged, reply if op.each > 1 else reply[0]), sizes))
+        give_back()
+        return out
 
-def least(keys: list[np.ndarray], vals: list[bytes], _chunks: list[int]) -> list[bytes]:
-    """1 where another message has a smaller value for the key, else 0."""
-    codes, n = grouped(keys)
-    v = np.concatenate([np.frombuffer(x, np.int64) for x in vals])
-    smallest = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(smallest, codes, v)
-    return dealt_back((smallest[codes] < v).astype(np.int64), keys)
+    up = applied("mid", tasks, one, two, further, MESSAGE)
+    told = applied("bucket", min(buckets, layout.partitions), up, None, lambda b, t, _: answered(t, None, b, buckets), REPLY).withColumnRenamed("chunk", "mid")
+    right = told if two is None else told.unionByName(two, allowMissingColumns=True)
+    out = applied("mid", tasks, one, right, back, REPLY)
+    return dealt(out, layout.partitions, "chunk") if deal else out

@@ -224,20 +224,20 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     seq = stash(docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_sequences, "doc_id long, words long, h1 long, h2 long"))
     reps = seq.filter("words > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     parts = layout.parts(docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text"))
-    nodes = reps.select(layout.chunk("rep"), "rep", "h1", "h2")
-    buckets = layout.buckets(0.16)
+    nodes = X.dealt(reps.select(layout.chunk("rep"), "rep", "h1", "h2"), layout.partitions, "chunk")
+    spread = layout.spread(0.16, 4)
 
     def count(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
         sets = [x[3] for x in _sets(t, r, k)]
         keys, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, U64), np.empty(0, np.int64))
-        return X.messages(key[0].as_py(), keys, n, buckets, 4)
+        return X.messages(key[0].as_py(), keys, n, spread)
 
     def select(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
         sets = _sets(t, r, k)
         replies = {b: x for b, x in zip(r["bucket"].to_pylist(), r["body"].to_pylist()) if b is not None}
         flat = np.concatenate([x[3] for x in sets]) if sets else np.empty(0, U64)
         keys, inverse = np.unique(flat, return_inverse=True)
-        df, at, rows = X.answers(replies, keys, buckets)[inverse], 0, []
+        df, at, rows = X.answers(replies, keys, spread)[inverse], 0, []
         for i, h1, h2, own in sets:
             n, times = len(own), df[at : at + len(own)]
             at += n
@@ -254,7 +254,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
 
     chunks = parts.groupBy("chunk")
     sent = chunks.cogroup(nodes.groupBy("chunk")).applyInArrow(count, X.MESSAGE)
-    both = X.answer(sent, X.summed).unionByName(nodes, allowMissingColumns=True)
+    both = X.exchange(sent, spread, X.Sum(), layout).unionByName(nodes, allowMissingColumns=True)
     found = stash(chunks.cogroup(both.groupBy("chunk")).applyInArrow(select, "id long, h1 long, h2 long, n long, tokens binary, single long, shared long, prefix binary"))
     component = _Join(found.filter("tokens is not null").select("id", "n", "tokens", "single", "shared", "prefix"), percent).run()
     known = found.select("id", "h1", "h2", "n").join(component, "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))

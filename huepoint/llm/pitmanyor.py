@@ -1,19 +1,25 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
 Each word that precedes another is a context restaurant; a follower's customers sit at tables, and each
-table sends one customer to the restaurant of all words, the parent that all contexts share, whose base
-is uniform over the vocabulary and one unknown word. Seatings are sampled by Gibbs: a sweep seats the
-customers of every (context, follower) anew, given the tables of the context's other followers and the
-parent's customers as the sweep before left them. The probability of a word is the mean over the states
-of its predictive probabilities; the score of a text is the log10 of its tokens' probabilities.
-
-Everything runs over the packed exchange: chunks learn how often each of their words and pairs occurs in
-all training texts, and for each sweep the tables of each context and the parent's customers of each
-word. A pair's tables are drawn from a hash of the pair and the sweep, so every chunk that holds the
-pair draws the same; the chunk that owns the pair adds it to the sums. A new customer of k sits at a new
-table with the restaurant's probability; from the 16th on, customers are seated in blocks of an eighth
-of those that sit, so a pair that occurs a billion times takes a few hundred steps. Words of the parent
-have one table each: with a uniform base a second is next to never opened.
+table sends one customer to the restaurant of all words, the parent that all contexts share, whose tables
+draw from a base that is uniform over the vocabulary and one unknown word. Seatings are sampled by Gibbs:
+a sweep draws the tables of every (context, follower), its own left out of all sums, and then those of
+every word at the parent, from their conditionals (``_seating``). The pairs of a sweep are drawn at once,
+given the sums of the sweep before. After ``burn_in`` sweeps the next ``samples`` states are kept; the
+probability of a word is the mean of their predictive probabilities, and the score of a text is the log10
+of its tokens' probabilities.
+
+Everything runs over the packed exchange. Chunks learn how often each of their words and pairs occurs in
+all training texts, and which pairs they own: of the chunks that hold a pair, one draws its tables. For
+each sweep a chunk sends, under the words sent once, what its own pairs add to the tables of each context
+and the customers of each word at the parent; the bucket of a word adds up, draws the word's tables at
+the parent, and answers. A pair that occurs once has one table and is drawn no more. At last the owners
+tell all chunks that hold a pair the sum of its tables over the kept states. All draws come from hashes of
+the pair and the sweep, so that a rerun, on other partitions too, gives the same.
+
+A pair is a 64-bit hash of its words, told apart in its bucket by 6 bytes and thus by 52 bits at half a
+gigabyte and all 64 from about 2 TB on: up to there less than one pair is expected to share another's
+count. Words keep 64 bits.
 
 Tokens are the blank-separated words with A-Z lower-cased, then one end. Null and empty texts have the
 end alone. Texts whose ids hash to a multiple of ``folds`` are held out: scored, never counted. With no
@@ -23,28 +29,29 @@ counted each. Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from huepoint.llm import _exchange as X
+from huepoint.llm._seating import pair_tables, parent_tables
 from huepoint.llm._words import BASE, U64, blank_words, give_back, mix, values
 
-FOLDS, SWEEPS = 10, 1
-CHUNK_BYTES, BLOCK = 9 << 20, 8
+FOLDS, BURN_IN, SAMPLES = 10, 3, 3
+CHUNK_BYTES = 9 << 20
 STRENGTH, PARENT_STRENGTH, PARENT_DISCOUNT = 1.0, 1.0, 0.75
 END, START = U64(0x1D8E4E27C47D124F), U64(0xEB44ACCAB455D165)
-#: Keys under which chunks add up: training tokens, known words, tables, pairs that occur once and twice.
-TOKENS, KNOWN, TABLES, ONCE, TWICE = (U64(x) for x in (0x0123456789ABCDEF, 0x2B7E151628AED2A6, 0x452821E638D01377, 0x6A09E667F3BCC908, 0x9B05688C2B3E6C1F))
-STATS = np.array([TOKENS, KNOWN, TABLES, ONCE, TWICE], U64)
+#: Keys under which chunks add up: training tokens, known words, customers and tables of the parent, pairs that occur once and twice.
+STATS = np.array([0x0123456789ABCDEF, 0x2B7E151628AED2A6, 0x452821E638D01377, 0x3C6EF372FE94F82B, 0x6A09E667F3BCC908, 0x9B05688C2B3E6C1F], U64)
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -62,53 +69,43 @@ def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct[order], rank[codes]
 
 
-def seat(c: np.ndarray, new: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables of c customers each, where a new table has weight ``new`` and a taken seat that of its customers."""
-    out = np.minimum(c, 1).astype(np.float64)
-    place = np.flatnonzero(c > 1)
-    c, new, key = c[place], new[place], key[place]
-    t, sat, step = np.ones(len(place)), np.ones(len(place)), 0
-    while len(place):
-        step += 1
-        block = np.minimum(np.maximum(1, np.floor(sat / BLOCK)), c - sat)
-        p = new / (new + np.maximum(sat + (block - 1) / 2 - discount * t, 1e-12))
-        expected = block * p
-        whole = np.floor(expected)
-        u = (mix(key + U64((sweep * 1_000_003 + step) * 0x9E3779B1)) >> U64(11)).astype(np.float64) / 2.0**53
-        t += whole + (u < expected - whole)
-        sat += block
-        more = sat < c
-        if not more.all():
-            out[place[~more]] = t[~more]
-            place, c, new, key, t, sat = (x[more] for x in (place, c, new, key, t, sat))
-    return out
+def squeeze(**arrays: np.ndarray) -> bytes:
+    """Arrays by name; each byte plane of a column apart, as high bytes are few."""
+    plain = {k: (x.dtype.str, x.tobytes() if x.dtype.itemsize == 1 else np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes(), len(x)) for k, x in arrays.items()}
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(plain))
+
 
+def unsqueeze(b: bytes) -> dict[str, np.ndarray]:
+    out = {}
+    for k, (kind, data, n) in pickle.loads(zstandard.ZstdDecompressor().decompress(b)).items():
+        kind = np.dtype(kind)
+        out[k] = np.frombuffer(data, kind) if kind.itemsize == 1 else np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()
+    return out
 
-SIZED = "chunk long, ids array<long>, sizes binary, words binary, codes binary"
 
+SIZED = "chunk int, ids array<long>, body binary"
 
-def chunked(batches: Iterator[pa.RecordBatch], size: float) -> Iterator[pa.RecordBatch]:
-    """Texts of about ``size`` bytes as one row: the sorted distinct words and, for each token, its word's place.
 
-    The row's number is a hash of its place and of what it holds, so that a rerun over other rows could not pass for it.
-    """
+def chunked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Texts of about ``size`` bytes as one row: the distinct words, frequent ones first, and each token's place among them."""
     texts: list[bytes | None] = []
     ids: list[int | None] = []
     held = count = 0
+    task = TaskContext.get()
 
     def row() -> pa.RecordBatch:
         parts = [values(blank_words(x, lower=True)) for x in texts]
-        sizes = np.array([len(p) + 1 for p in parts], np.int64)
         ends = np.array([END], U64)
         tokens = np.concatenate([x for p in parts for x in (p, ends)])
-        words, place = numbered(mix(np.concatenate([tokens, np.array([START], U64), STATS])))
-        codes = place[: len(tokens)].astype(np.uint32)
-        codes = zstandard.ZstdCompressor(level=1).compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes())  # by byte planes
-        h = xxhash.xxh3_64(codes)
-        h.update(words.tobytes())
-        h.update(repr((TaskContext.get().partitionId(), count, ids)).encode())
-        number = int.from_bytes(h.digest(), "big", signed=True)
-        return pa.record_batch({"chunk": pa.array([number], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([sizes.tobytes()]), "words": pa.array([words.tobytes()]), "codes": pa.array([codes])})
+        codes, words = pd.factorize(np.concatenate([tokens, np.array([START], U64), STATS]))
+        often = np.argsort(-np.bincount(codes), kind="stable")
+        place = np.empty(len(often), np.uint32)
+        place[often] = np.arange(len(often), dtype=np.uint32)
+        body = squeeze(sizes=np.array([len(p) + 1 for p in parts], np.int64), words=mix(words[often]), codes=place[codes[: len(tokens)]])
+        if task.partitionId() >= 1 << 20 or count >= 1 << 11:
+            raise ValueError("chunks are numbered for up to 2**20 partitions of up to 18 GB; repartition the documents")
+        number = task.partitionId() + (count << 20)
+        return pa.record_batch({"chunk": pa.array([number], pa.int32()), "ids": pa.array([ids], pa.list_(pa.int64())), "body": pa.array([body], pa.binary())})
 
     for b in batches:
         for i, x in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
@@ -124,88 +121,90 @@ def chunked(batches: Iterator[pa.RecordBatch], size: float) -> Iterator[pa.Recor
 
 
 class Chunk:
-    """Words and pairs of one chunk's texts, and what the exchanges said about them."""
+    """Words of one chunk's texts and, if asked for, their pairs."""
 
-    def __init__(self, t: pa.Table, folds: int):
+    def __init__(self, t: pa.Table, folds: int, pairs: bool = True):
         give_back()  # what the chunk before has left
         (row,) = t.to_pylist()
-        self.ids = row["ids"]
+        body = unsqueeze(row["body"])
+        self.number, self.ids = row["chunk"], row["ids"]
         self.out = np.array([held_out(i, folds) for i in self.ids], bool)
-        self.sizes = np.frombuffer(row["sizes"], np.int64)
-        self.words = np.frombuffer(row["words"], U64)
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), np.uint8)
-        self.word = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
-        self.start, *stats = np.searchsorted(self.words, mix(np.array([START, *STATS], U64)))
+        self.sizes = body["sizes"]
+        order = np.argsort(body["words"])
+        self.words = body["words"][order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.word = rank[body["codes"]]
+        self.start, *stats = np.searchsorted(self.words, mix(np.append(START, STATS)))
         self.stats = np.array(stats)
-        starts = np.cumsum(self.sizes) - self.sizes
-        self.context = np.append(self.start, self.word[:-1])
-        self.context[starts] = self.start
         self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
         self.trained = ~self.out[self.doc]
-        self.pairs, self.pair = numbered(mix(self.words[self.context] * U64(BASE) + self.words[self.word]))
-        # each pair's word and context
-        self.pair_word, self.pair_context = np.empty(len(self.pairs), np.int64), np.empty(len(self.pairs), np.int64)
-        self.pair_word[self.pair], self.pair_context[self.pair] = self.word, self.context
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Own training counts of words (of the start: training texts) and pairs."""
+        if pairs:
+            starts = np.cumsum(self.sizes) - self.sizes
+            self.context = np.append(self.start, self.word[:-1])
+            self.context[starts] = self.start
+            self.pairs, self.pair = numbered(mix(self.words[self.context] * U64(BASE) + self.words[self.word]))
+            self.pair_word, self.pair_context = np.empty(len(self.pairs), np.int64), np.empty(len(self.pairs), np.int64)
+            self.pair_word[self.pair], self.pair_context[self.pair] = self.word, self.context
+
+    def word_counts(self) -> np.ndarray:
+        """Own training counts; of the start: training texts."""
         word = np.bincount(self.word[self.trained], minlength=len(self.words))
         word[self.start] = int((~self.out).sum())
         word[self.stats[0]] = int(self.trained.sum())
-        return word, np.bincount(self.pair[self.trained], minlength=len(self.pairs))
+        return word
+
+    def pair_counts(self) -> np.ndarray:
+        return np.bincount(self.pair[self.trained], minlength=len(self.pairs))
 
-    def learn(self, replies: dict[int, dict[int, bytes]], word_buckets: int, pair_buckets: int, last: bool = False) -> None:
-        """Takes in the answers and seats anew for the next sweep, unless this is the last."""
-        word = X.answers(replies[0], self.words, word_buckets)
-        pair = X.answers(replies[0], self.pairs, pair_buckets, word_buckets)
+    def learn(self, replies: dict[int, dict[int, bytes]], words: X.Spread, pairs: X.Spread) -> None:
+        """Counts over all training texts, and what of them this chunk owns."""
+        word, pair = X.answers(replies[WORDS], self.words, words), X.answers(replies[PAIRS], self.pairs, pairs)
         self.count, self.own_word = word >> 1, (word & 1) > 0
-        self.pair_count, self.own = pair >> 1, ((pair & 1) > 0) & (pair > 1)
+        self.pair_count, self.own = pair >> 1, (pair & 1) > 0
         self.total = int(self.count[self.stats[0]])
         self.count[self.stats] = 0
-        self.states: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        t = np.minimum(self.pair_count, 1).astype(np.float64)
-        for sweep in range(len(replies)):
-            if sweep + 1 not in replies:
-                break
-            tables, customers = X.answers(replies[sweep + 1], self.words, word_buckets, each=2).astype(np.float64)
-            self.known, self.tables, once, twice = (int(tables[x]) for x in self.stats[1:])
-            self.discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
-            parent = np.maximum(customers - PARENT_DISCOUNT, 0) + (PARENT_STRENGTH + PARENT_DISCOUNT * self.known) / (self.known + 1)
-            parent /= self.tables + PARENT_STRENGTH
-            self.states.append((t, tables, parent))
-            if sweep + 2 == len(replies) and last:
-                break
-            new = (STRENGTH + self.discount * tables[self.pair_context]) * parent[self.pair_word]
-            t = seat(self.pair_count, new, self.discount, self.pairs, sweep + 1)
-        self.seated = t
-
-    def sums(self) -> np.ndarray:
-        """For each word the tables of its context and the parent's customers, of the pairs that this chunk owns."""
-        t = self.seated[self.own]
-        tables = np.bincount(self.pair_context[self.own], t, len(self.words)).astype(np.int64)
-        customers = np.bincount(self.pair_word[self.own], t, len(self.words)).astype(np.int64)
-        out = np.stack([tables, customers])
-        c = self.pair_count[self.own]
-        words = self.own_word & (self.count > 0)
-        words[self.start] = False
-        out[:, self.stats] = 0
-        out[0, self.stats] = [0, int(words.sum()), int(t.sum()), int((c == 1).sum()), int((c == 2).sum())]
-        return out
-
-    def scores(self) -> pa.Table:
+
+    def owned(self, words: X.Spread, pairs: X.Spread) -> bytes:
+        """What the sweeps need: own pairs that occur twice and more one by one, the others' sums by word."""
+        once, more = self.own & (self.pair_count == 1), np.flatnonzero(self.own & (self.pair_count > 1))
+        known = self.own_word & (self.count > 0)
+        known[self.start] = False
+        single = lambda x: np.bincount(x[once], minlength=len(self.words)).astype(np.uint32)
+        return squeeze(
+            word_at=X.bounds(self.words, words.near),
+            pair_at=X.bounds(self.pairs, pairs.near),
+            stats=self.stats,
+            place=np.diff(more, prepend=0).astype(np.uint32),
+            context=self.pair_context[more].astype(np.uint32),
+            word=self.pair_word[more].astype(np.uint32),
+            count=self.pair_count[more],
+            key=(self.pairs[more] >> U64(32)).astype(np.uint32),
+            single_tables=single(self.pair_context),
+            single_customers=single(self.pair_word),
+            known=known,
+            sums=np.array([int(known.sum()), int(once.sum()), int((self.pair_count[more] == 2).sum())], np.int64),
+        )
+
+    def scores(self, replies: dict[int, dict[int, bytes]], words: X.Spread, pairs: X.Spread, kept: list[int]) -> pa.Table:
         n = len(self.ids)
         add = lambda x: np.bincount(self.doc, x, n) if n else np.empty(0)
         count = self.count[self.word]
         if not self.total:
             base = score = np.zeros(n)
         else:
-            base = add(np.log10((count + 0.1) / (self.total + 0.1 * (self.known + 1))))
-            chosen, p = self.states[1:] if len(self.states) > 2 else self.states, 0.0
-            for t, tables, parent in chosen:
-                seen = self.count[self.context]
-                own = np.maximum(self.pair_count - self.discount * t, 0)[self.pair]
-                p = p + (own + (STRENGTH + self.discount * tables[self.context]) * parent[self.word]) / (STRENGTH + seen)
-            score = add(np.log10(p / len(chosen)))
+            first = Sums(X.answers(replies[SWEEP], self.words, words, Seats.each), self.stats)
+            base = add(np.log10((count + 0.1) / (self.total + 0.1 * (first.known + 1))))
+            tables = X.answers(replies[KEPT], self.pairs, pairs) + len(kept) * (self.pair_count > 0)
+            p = np.zeros(len(self.word))
+            for k in kept:
+                sums = Sums(X.answers(replies[SWEEP + k], self.words, words, Seats.each), self.stats)
+                parents = Sums(X.answers(replies[SWEEP + k + 1], self.words, words, Seats.each), self.stats).parents
+                parent = sums.customers - PARENT_DISCOUNT * sums.tables_there + (PARENT_STRENGTH + PARENT_DISCOUNT * parents) / (first.known + 1)
+                parent /= sums.total + PARENT_STRENGTH
+                p += (STRENGTH + first.discount * sums.tables)[self.context] * parent[self.word]
+            p += np.maximum(len(kept) * self.pair_count - first.discount * tables, 0)[self.pair]
+            score = add(np.log10(p / (len(kept) * (STRENGTH + self.count[self.context]))))
         return pa.table(
             {
                 "doc_id": pa.array(self.ids, pa.int64()),
@@ -219,39 +218,150 @@ class Chunk:
         )
 
 
-def scored(docs: DataFrame, sweeps: int = SWEEPS, folds: int = FOLDS) -> DataFrame:
+class Sums:
+    """A sweep's answer for the words of a chunk: tables of each context, customers and tables of each word at the parent, and totals."""
+
+    def __init__(self, rows: np.ndarray, stats: np.ndarray):
+        self.tables, self.customers, self.tables_there = rows
+        _, self.known, self.total, self.parents, once, twice = (int(self.customers[x]) for x in stats)
+        self.discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
+        self.model = (STRENGTH, self.discount, PARENT_STRENGTH, PARENT_DISCOUNT)
+        for x in rows:
+            x[stats] = 0
+
+
+class Seats(X.Sum):
+    """Adds up tables and customers of each word, then draws the word's tables at the parent."""
+
+    each = 3
+
+    def __init__(self, sweep: int):
+        self.sweep, self.head = sweep, (0, 0)  # the parent's tables as last known, known words
+
+    def read(self, b: bytes, n: int) -> np.ndarray:
+        self.head = struct.unpack("<qq", b[:16])
+        return X.unpack(b[16:], 2 * n).reshape(2, n)
+
+    def write(self, x: np.ndarray) -> bytes:
+        return struct.pack("<qq", *self.head) + X.pack(x.ravel())
+
+    def codes(self, keys: np.ndarray, vals: np.ndarray) -> np.ndarray:
+        codes, self.keys = pd.factorize(keys)
+        return codes
+
+    def up(self, codes: np.ndarray, n: int, vals: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(codes, x, n) for x in vals]).astype(np.int64)
+
+    def down(self, codes: np.ndarray, vals: np.ndarray, merged: np.ndarray, reply: np.ndarray | None) -> np.ndarray:
+        if reply is None:
+            customers, (parents, known) = merged[1], self.head
+            tables = np.minimum(customers, 1)
+            at = np.flatnonzero((customers > 1) & ~np.isin(self.keys, mix(STATS)))
+            if len(at) and known:
+                tables[at] = np.round(customers[at] ** PARENT_DISCOUNT)
+                for turn in range(3):
+                    tables[at] = parent_tables(customers[at], tables[at], parents, 1 / (known + 1), (STRENGTH, 0.5, PARENT_STRENGTH, PARENT_DISCOUNT), self.keys[at], 1_000_000 + 10 * self.sweep + turn)
+            reply = np.concatenate([merged, tables[None]])
+        return reply[:, codes]
+
+
+#: Stages of replies: counts of words and pairs, sums of kept tables, own pairs, then those of each sweep.
+WORDS, PAIRS, KEPT, SWEEP = 0, 1, 2, 10
+
+
+def bodies(t: pa.Table) -> dict[int, dict[int, bytes]]:
+    out: dict[int, dict[int, bytes]] = {}
+    for s, b, x in zip(t["stage"].to_pylist(), t["bucket"].to_pylist(), t["body"].to_pylist()):
+        out.setdefault(s, {})[b] = x
+    return out
+
+
+def scored(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, folds: int = FOLDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    The mean is over the states after each of ``sweeps`` sweeps; with fewer than two, the first seating, a table for each pair, counts too.
+    The first state has one table for each pair; it and the states of the next ``burn_in`` - 1 sweeps aren't kept (burn_in = 0: it is).
     """
     layout = X.Layout(docs)
-    wide = layout.wide
-    parts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lambda batches: chunked(batches, CHUNK_BYTES * wide), SIZED).repartition(layout.partitions, "chunk").groupBy("chunk")
-    word_buckets, pair_buckets = layout.buckets(0.04), layout.buckets(0.12)
-
-    def learned(t: pa.Table, r: pa.Table, last: bool = False) -> Chunk:
-        replies: dict[int, dict[int, bytes]] = {}
-        for s, b, x in zip(r["stage"].to_pylist(), r["bucket"].to_pylist(), r["body"].to_pylist()):
-            replies.setdefault(s, {})[b] = x
-        chunk = Chunk(t, folds)
-        chunk.learn(replies, word_buckets, pair_buckets, last)
-        return chunk
+    parts = X.dealt(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lambda batches: chunked(batches, CHUNK_BYTES), SIZED), layout.partitions, "chunk").groupBy("chunk")
+    words, pairs = layout.spread(0.04), layout.spread(0.12, 6)
+    kept = list(range(burn_in, burn_in + samples))
+    last = burn_in + samples + 1  # one more sweep: its exchange tells how many tables the parent had in the last kept state
 
     def staged(replies: DataFrame, stage: int) -> DataFrame:
-        """Dealt by chunk once, for all sweeps that follow."""
-        return replies.selectExpr("chunk", "bucket", "body", f"{stage} AS stage").repartition(layout.partitions, "chunk")
-
-    def count(key: tuple, t: pa.Table) -> pa.Table:
-        chunk, n = Chunk(t, folds), key[0].as_py()
-        word, pair = chunk.counts()
-        return pa.concat_tables([X.messages(n, chunk.words, word, word_buckets, 8), X.messages(n, chunk.pairs, pair, pair_buckets, 5, word_buckets)])
-
-    def add(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
-        chunk = learned(t, r)
-        return X.messages(key[0].as_py(), chunk.words, chunk.sums(), word_buckets, 6)
-
-    replies = staged(X.answer(parts.applyInArrow(count, X.MESSAGE), X.owned), 0)
-    for sweep in range(1 + sweeps):
-        sent = parts.cogroup(replies.groupBy("chunk")).applyInArrow(add, X.MESSAGE)
-        replies = replies.unionByName(staged(X.answer(sent, X.summed_pairs), sweep + 1))
-    return parts.cogroup(replies.groupBy("chunk")).applyInArrow(lambda key, t, r: learned(t, r, True).scores(), OUT)
+        return replies.selectExpr("chunk", "bucket", "body", f"{stage} AS stage")
+
+    def count_words(key: tuple, t: pa.Table) -> pa.Table:
+        chunk = Chunk(t, folds, False)
+        return X.messages(chunk.number, chunk.words, chunk.word_counts(), words)
+
+    def count_pairs(key: tuple, t: pa.Table) -> pa.Table:
+        chunk = Chunk(t, folds)
+        return X.messages(chunk.number, chunk.pairs, chunk.pair_counts(), pairs)
+
+    def own(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
+        chunk = Chunk(t, folds)
+        chunk.learn(bodies(r), words, pairs)
+        return X.replies_of([chunk.number], [0], [chunk.owned(words, pairs)])
+
+    def told(number: int, o: dict[str, np.ndarray], t: np.ndarray, total: np.ndarray, parents: int) -> pa.Table:
+        """What a state's own tables add to the sums, and the state itself as a note."""
+        n = len(o["known"])
+        sums = np.stack([np.bincount(o["context"], t, n), np.bincount(o["word"], t, n)]).astype(np.int64)
+        sums[0] += o["single_tables"]
+        sums[1] += o["single_customers"]
+        known, once, twice = o["sums"].tolist()
+        sums[0, o["stats"]] = 0
+        sums[1, o["stats"]] = [0, known, int(t.sum()) + once, int(parents), once, twice]
+        at = o["word_at"]
+        rows = [b for b in range(words.near) if at[b + 1] > at[b]]
+        seats = Seats(0)
+        seats.head = o["head"]
+        return X.table(number, [*rows, words.near + number], [None] * (len(rows) + 1), [*(seats.write(sums[:, at[b] : at[b + 1]]) for b in rows), squeeze(tables=t, total=total)])
+
+    def begin(key: tuple, t: pa.Table) -> pa.Table:
+        o = unsqueeze(t["body"][0].as_py()) | {"head": (0, 0)}
+        one = np.ones(len(o["count"]), np.int64)
+        return told(key[0].as_py(), o, one, one * (0 in kept), 0)
+
+    def sweep(k: int):
+        """From the answer to state k - 1 to state k; after the kept ones to their sums, for all chunks that hold the pairs."""
+
+        def fn(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
+            number, o = key[0].as_py(), unsqueeze(t["body"][0].as_py())
+            got = bodies(r)[SWEEP + k - 1]
+            sums = Sums(X.answers_at(got, o["word_at"], Seats.each), o["stats"])
+            note = unsqueeze(got[words.near + number])
+            now, context, word = note["tables"], o["context"], o["word"]
+            if k == last:
+                vals = np.zeros(o["pair_at"][-1], np.int64)
+                vals[np.cumsum(o["place"].astype(np.int64))] = note["total"] - len(kept)
+                at = o["pair_at"]
+                rows = [b for b in range(pairs.near) if at[b + 1] > at[b]]
+                return X.table(number, rows, [None] * len(rows), [X.pack(vals[at[b] : at[b + 1]]) for b in rows])
+            parents = int(sums.tables_there[o["known"]].sum())
+            key_ = mix(o["key"].astype(U64))
+            t = pair_tables(o["count"], now, sums.tables[context], sums.customers[word], sums.tables_there[word], sums.total, sums.model, key_, k)
+            o["head"] = (sums.parents or sums.known, sums.known)
+            return told(number, o, t, note["total"] + t * (k in kept), parents)
+
+        return fn
+
+    sent_words = parts.applyInArrow(count_words, X.MESSAGE)
+    sent_pairs = parts.applyInArrow(count_pairs, X.MESSAGE)
+    counts = staged(X.exchange(sent_words, words, X.Own(), layout), WORDS).unionByName(staged(X.exchange(sent_pairs, pairs, X.Own(), layout), PAIRS))
+    owned = X.dealt(parts.cogroup(counts.groupBy("chunk")).applyInArrow(own, X.REPLY), layout.partitions, "chunk").groupBy("chunk")
+    answers = [staged(X.exchange(owned.applyInArrow(begin, X.MESSAGE), words, Seats(0), layout, sent_words), SWEEP)]
+    for k in range(1, last + 1):
+        sent = owned.cogroup(answers[-1].groupBy("chunk")).applyInArrow(sweep(k), X.MESSAGE)
+        if k < last:
+            answers.append(staged(X.exchange(sent, words, Seats(k), layout, sent_words), SWEEP + k))
+    answers.append(staged(X.exchange(sent, pairs, X.Sum(), layout, sent_pairs), KEPT))
+    for a in [*answers[: 1 if burn_in else 0], *answers[burn_in:]]:
+        counts = counts.unionByName(a)
+
+    def score(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
+        chunk, replies = Chunk(t, folds), bodies(r)
+        chunk.learn(replies, words, pairs)
+        return chunk.scores(replies, words, pairs, kept)
+
+    return parts.cogroup(counts.groupBy("chunk")).applyInArrow(score, OUT)

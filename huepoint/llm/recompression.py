@@ -12,7 +12,7 @@ anchored at the first key whose context lies inside it, and every other occurren
 anchored at the same key. So
 
 1. reveal: each chunk sends its anchor keys, 0.16 a word; a key in one document clears its windows;
-2. verify: the windows of shared keys, and those without an anchor, are compared by the 64-bit hash of
+2. verify: the windows of shared keys, and those without an anchor, are compared by 128 bits of hash of
    all their words, and the smallest document id of each is found.
 
 Nulls and texts without words give no words and an empty text. Documents with equal ids (repeated rows)
@@ -33,6 +33,7 @@ from huepoint.llm._store import stash
 from huepoint.llm._words import BASE, U64, blank_words, give_back, mix, rolling, values
 
 ROUNDS, SPAN = 6, 16
+SECOND_BASE = 0xD6E8FEB86659FD93  # odd, too
 NULL_ID = np.iinfo(np.int64).max
 
 
@@ -124,21 +125,21 @@ def _shared_keys(t: pa.Table, window: int) -> tuple:
     return ids, words, w, off, at, doc, start, key, k[first], 1 + (i[first] != i[end - 1] if len(k) else np.empty(0, bool))
 
 
-def _candidates(t: pa.Table, replies: dict[int, bytes], window: int, buckets: int) -> tuple:
-    """Windows that may be repeated: sorted distinct hashes, the smallest id here of each, and each one's start, document and place in these."""
+def _candidates(t: pa.Table, replies: dict[int, bytes], window: int, spread: X.Spread) -> tuple:
+    """Windows that may be repeated: sorted distinct hashes, of each the smallest id here and the hash's second half, and each one's start, document and place in these."""
     ids, words, w, off, at, doc, start, key, keys, own = _shared_keys(t, window)
-    shared = X.answers(replies, keys, buckets) >= 2
+    shared = X.answers(replies, keys, spread) >= 2
     place = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
     stretch = (key == 0) | (shared[place] if len(keys) else False)
     keep = np.repeat(stretch, np.diff(np.append(start, len(at))))
     at, doc = at[keep], doc[keep]
-    hashes = rolling(w, window)[at] if len(at) else np.empty(0, U64)
-    order = np.lexsort((ids[doc], hashes))
-    h = hashes[order]
-    first = np.append(True, h[1:] != h[:-1]) if len(h) else np.empty(0, bool)
+    hashes, halves = (rolling(w, window, base)[at] if len(at) else np.empty(0, U64) for base in (BASE, SECOND_BASE))
+    order = np.lexsort((ids[doc], halves, hashes))
+    h, half = hashes[order], halves[order]
+    first = np.append(True, (h[1:] != h[:-1]) | (half[1:] != half[:-1])) if len(h) else np.empty(0, bool)
     inverse = np.empty(len(h), np.int64)
     inverse[order] = np.cumsum(first) - 1
-    return ids, words, off, at, doc, inverse, h[first], ids[doc][order][first]
+    return ids, words, off, at, doc, inverse, h[first], np.stack([ids[doc][order][first], half[first].view(np.int64)])
 
 
 def _bodies(t: pa.Table, stage: int) -> dict[int, bytes]:
@@ -149,22 +150,22 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed (longs), kept_text: the words that stay, joined by one space."""
     layout = X.Layout(docs)
     parts = layout.parts(docs)
-    first_buckets, second_buckets = layout.buckets(0.04), layout.buckets(0.06)
+    first, second = layout.spread(0.04, 5), layout.spread(0.06)
 
     def reveal(key: tuple, t: pa.Table) -> pa.Table:
         *_, keys, own = _shared_keys(t, window)
-        return X.messages(key[0].as_py(), keys, own, first_buckets, 5)
+        return X.messages(key[0].as_py(), keys, own, first)
 
-    replies = stash(X.answer(parts.groupBy("chunk").applyInArrow(reveal, X.MESSAGE), X.summed)).withColumn("stage", F.lit(1))
+    replies = stash(X.exchange(parts.groupBy("chunk").applyInArrow(reveal, X.MESSAGE), first, X.Sum(), layout, deal=False)).withColumn("stage", F.lit(1))
 
     def verify(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
-        *_, hashes, smallest = _candidates(t, _bodies(r, 1), window, first_buckets)
-        return X.messages(key[0].as_py(), hashes, smallest, second_buckets, 8, packed=X.raw)
+        *_, hashes, smallest = _candidates(t, _bodies(r, 1), window, first)
+        return X.messages(key[0].as_py(), hashes, smallest, second, packed=X.raw)
 
     def remove(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
-        ids, words, off, at, doc, inverse, hashes, smallest = _candidates(t, _bodies(r, 1), window, first_buckets)
-        repeated = X.answers(_bodies(r, 2), hashes, second_buckets) > 0
-        hit = at[repeated[inverse] | (smallest[inverse] < ids[doc])] if len(at) else at
+        ids, words, off, at, doc, inverse, hashes, smallest = _candidates(t, _bodies(r, 1), window, first)
+        repeated = X.answers(_bodies(r, 2), hashes, second) > 0
+        hit = at[repeated[inverse] | (smallest[0][inverse] < ids[doc])] if len(at) else at
         change = np.bincount(hit, minlength=off[-1] + 1) - np.bincount(hit + window, minlength=off[-1] + 1)
         keep = np.cumsum(change[:-1]) == 0
         gone, text = [], []
@@ -175,8 +176,9 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
         return pa.table({"doc_id": t["doc_id"], "n_words": pa.array([len(x) for x in words], pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(text, pa.binary()).cast(pa.string())})
 
     chunks = parts.groupBy("chunk")
-    sent = chunks.cogroup(replies.groupBy("chunk")).applyInArrow(verify, X.MESSAGE)
-    both = replies.unionByName(X.answer(sent, X.least).withColumn("stage", F.lit(2)))
+    known = X.dealt(replies, layout.partitions, "chunk")
+    sent = chunks.cogroup(known.groupBy("chunk")).applyInArrow(verify, X.MESSAGE)
+    both = known.unionByName(X.exchange(sent, second, X.Least(), layout).withColumn("stage", F.lit(2)))
     return chunks.cogroup(both.groupBy("chunk")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
 
 

@@ -21,46 +21,97 @@ def test_keys_keep_order_and_identity_in_their_buckets(buckets, width):
     for b in range(buckets):
         own = keys[at[b] : at[b + 1]]
         if len(own):
-            got, alone = X.unpack_keys(X.pack_keys(own, b, buckets, width)), X.unpack_keys(X.pack_keys(own[::3], b, buckets, width))
+            got, alone = (X.unpack_keys(X.pack_keys(x, b, buckets, width), b, buckets, width) for x in (own, own[::3]))
             assert (np.diff(got.astype(np.float64)) >= 0).all() and got[::3].tolist() == alone.tolist()
             assert len(np.unique(got)) >= len(own) - (0 if width == 8 else 2)  # 0 and 1 fall together
             if width == 8:
-                assert len(np.unique(got)) == len(own)
+                assert got.tolist() == own.tolist()
 
 
-def exchange(chunks, merge, vals, buckets=4, width=8, each=1, packed=X.pack):
-    sent = [X.messages(i, k, v, buckets, width, packed=packed).to_pylist() for i, (k, v) in enumerate(zip(chunks, vals))]
+class Fixed:
+    partitions = 3
+
+
+def exchanged(spark, chunks, vals, spread, op, packed=X.pack):
+    """Each chunk's answers, by Spark."""
+    rows = [tuple(m.values()) for i, (k, v) in enumerate(zip(chunks, vals)) for m in X.messages(i, k, v, spread, packed).to_pylist()]
     replies = [{} for _ in chunks]
-    for b in range(buckets):
-        rows = [m for ms in sent for m in ms if m["bucket"] == b]
-        if rows:
-            for m, body in zip(rows, merge([X.unpack_keys(m["keys"]) for m in rows], [m["vals"] for m in rows], [m["chunk"] for m in rows])):
-                replies[m["chunk"]][b] = body
-    return [X.answers(p, k, buckets, each=each) for p, k in zip(replies, chunks)]
+    for x in X.exchange(spark.createDataFrame(rows, X.MESSAGE), spread, op, Fixed).collect():
+        replies[x.chunk][x.bucket] = bytes(x.body)
+    return [X.answers(p, k, spread) for p, k in zip(replies, chunks)]
 
 
-def test_merges():
+SPREADS = [X.Spread(4), X.Spread(3, 5, 2), X.Spread(2, 4, 1, 6), X.Spread(1, 7, 5)]
+
+
+@pytest.mark.parametrize("spread", SPREADS, ids=str)
+def test_merges_in_one_and_two_hops(spark, spread):
+    r = np.random.default_rng(5)
     pool = r.integers(0, 1 << 62, 40).astype(np.uint64) * np.uint64(4)
     chunks = [np.unique(r.choice(pool, 25)) for _ in range(5)]
     counts = [r.integers(0, 400, len(c)) for c in chunks]
     total = {int(k): sum(int(v[c == k][0]) for c, v in zip(chunks, counts) if (c == k).any()) for k in pool}
-    for c, got in zip(chunks, exchange(chunks, X.summed, counts)):
+    for c, got in zip(chunks, exchanged(spark, chunks, counts, spread, X.Sum())):
         assert got.tolist() == [total[int(k)] for k in c]
     owners = {int(k): 0 for k in pool}
-    for c, got in zip(chunks, exchange(chunks, X.owned, counts)):
+    for c, got in zip(chunks, exchanged(spark, chunks, counts, spread, X.Own())):
         assert (got >> 1).tolist() == [total[int(k)] for k in c]
         for k, g in zip(c, got):
             owners[int(k)] += int(g & 1)
     assert all(owners[int(k)] == 1 for c in chunks for k in c)
-    pairs = [np.stack([v, v * 2]) for v in counts]
-    for c, got in zip(chunks, exchange(chunks, X.summed_pairs, pairs, each=2)):
-        assert got.tolist() == [[total[int(k)] for k in c], [2 * total[int(k)] for k in c]]
-    ids = [r.integers(-50, 50, len(c)) for c in chunks]
-    smallest = {int(k): min(int(v[c == k][0]) for c, v in zip(chunks, ids) if (c == k).any()) for c in chunks for k in c}
-    for c, v, got in zip(chunks, ids, exchange(chunks, X.least, ids, packed=X.raw)):
-        assert got.tolist() == [int(smallest[int(k)] < x) for k, x in zip(c, v)]
+
+
+@pytest.mark.parametrize("spread", SPREADS[:2], ids=str)
+def test_least_tells_keys_apart_by_their_second_half(spark, spread):
+    r = np.random.default_rng(6)
+    chunks, vals = [], []
+    for _ in range(5):
+        k, half = (r.integers(1, n, 60).astype(np.uint64) for n in (15, 4))
+        k, half = np.unique(np.stack([k << np.uint64(60), half]), axis=1)
+        chunks.append(k)
+        vals.append(np.stack([r.integers(-50, 50, len(k)), half.view(np.int64)]))
+    least = {}
+    for k, (v, h) in zip(chunks, vals):
+        for x in zip(k.tolist(), h.tolist(), v.tolist()):
+            least[x[:2]] = min(least.get(x[:2], 99), x[2])
+    for k, (v, h), got in zip(chunks, vals, exchanged(spark, chunks, vals, spread, X.Least(), X.raw)):
+        assert got.tolist() == [int(least[a, b] < x) for a, b, x in zip(k.tolist(), h.tolist(), v.tolist())]
+
+
+@pytest.mark.parametrize("near,far", [(4, 1), (3, 4)])
+def test_answers_do_not_depend_on_the_layout(spark, monkeypatch, near, far):
+    """The three operators over many chunks and buckets, in one hop and in two, as over one chunk."""
+    from huepoint.llm import jaccard, pitmanyor, recompression
+
+    r = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(300)]
+    passage = " ".join(r.choice(words, 60))
+    texts = [" ".join(r.choice(words, int(r.choice([3, 80, 200])))) + (" " + passage if r.random() < 0.3 else "") for _ in range(120)]
+    texts += [t + " more" for t in texts[:40]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6).cache()
+    ops = [recompression.remove_repeats, jaccard.similar_documents, lambda d: pitmanyor.scored(d, 1, 1)]
+    wide = [sorted(map(str, (tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in op(docs).collect()))) for op in ops]
+    monkeypatch.setattr(X, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(pitmanyor, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(X.Layout, "spread", lambda self, keys_per_byte, width=8: X.Spread(near, far, 3 if far > 1 else 1, width))
+    for op, want in zip(ops, wide):
+        assert sorted(map(str, (tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in op(docs).collect()))) == want
+
+
+def test_sizes_stay_fixed_as_a_corpus_grows():
+    """From a gigabyte to 100 TB: messages, buckets and merging tasks hold as many keys at most."""
+    for size in (1 << 30, 1 << 40, 100 << 40):
+        layout = X.Layout.__new__(X.Layout)
+        layout.bytes, layout.least, layout.chunks = size, 200, size // X.CHUNK_BYTES
+        s = layout.spread(0.16)
+        assert size * 0.16 / s.buckets <= X.BUCKET_KEYS
+        chunk_keys = X.CHUNK_BYTES * 0.16
+        assert s.near <= X.FAN and chunk_keys / s.near > 1000
+        if s.far > 1:
+            merged = layout.chunks / s.groups * chunk_keys / s.near
+            assert merged < 1.1 * X.BUCKET_KEYS and merged / s.far > 200
 
 
 def test_a_missing_answer_is_an_error():
     with pytest.raises(KeyError):
-        X.answers({}, np.array([5], np.uint64), 4)
+        X.answers({}, np.array([5], np.uint64), X.Spread(4))

@@ -6,8 +6,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from huepoint.llm import _seating as S
 from huepoint.llm import pitmanyor as P
 
+
 def corpus(seed=2, n=150):
     r = random.Random(seed)
     words = ["The", "the", "é", "of,"] + [f"w{i}" for i in range(60)]
@@ -39,6 +41,7 @@ def counted(docs):
 
 
 def test_one_table_for_each_pair_equals_brute_force(spark):
+    """The state before any sweep, which burn_in = 0 keeps: one table a pair, one a word at the parent."""
     docs = corpus()
     word, pair, texts = counted(docs)
     total, known = sum(word.values()), len(word)
@@ -55,54 +58,125 @@ def test_one_table_for_each_pair_equals_brute_force(spark):
             score += math.log10((own + (P.STRENGTH + d * tables[v]) * parent(x)) / (P.STRENGTH + seen))
             base += math.log10((word[x] + 0.1) / (total + 0.1 * (known + 1)))
         want.append((i, P.held_out(i), len(w), sum(word[x] > 0 for x in w), total, pytest.approx(base, abs=1e-6), pytest.approx(score, abs=1e-6)))
-    got = [tuple(r) for r in P.scored(spark.createDataFrame([(*x, 1, "a") for x in docs], "doc_id long, text string, score int, chunk string"), sweeps=0).collect()]
+    got = [tuple(r) for r in P.scored(spark.createDataFrame([(*x, 1, "a") for x in docs], "doc_id long, text string, score int, chunk string"), 0, 1).collect()]
     key = lambda r: (str(r[0]), r[2])
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def brute_gibbs(pairs, d, known, sweeps, keep, seed):
+    """Plain Gibbs, one customer after another, with all seats: the predictive numbers of each kept state."""
+    r = random.Random(seed)
+    seats, parent = {x: [] for x in pairs}, {w: [] for _, w in pairs}
+    open_at = Counter()
+    n = [0, 0]  # customers and tables of the parent
+    base = 1 / (known + 1)
+
+    def chance(w):
+        return (sum(parent[w]) - P.PARENT_DISCOUNT * len(parent[w]) + (P.PARENT_STRENGTH + P.PARENT_DISCOUNT * n[1]) * base) / (P.PARENT_STRENGTH + n[0])
+
+    def sit(x):
+        v, w = x
+        k = r.choices(range(len(seats[x]) + 1), [s - d for s in seats[x]] + [(P.STRENGTH + d * open_at[v]) * chance(w)])[0]
+        if k < len(seats[x]):
+            seats[x][k] += 1
+            return
+        seats[x].append(1)
+        open_at[v] += 1
+        k = r.choices(range(len(parent[w]) + 1), [s - P.PARENT_DISCOUNT for s in parent[w]] + [(P.PARENT_STRENGTH + P.PARENT_DISCOUNT * n[1]) * base])[0]
+        n[0] += 1
+        if k < len(parent[w]):
+            parent[w][k] += 1
+        else:
+            parent[w].append(1)
+            n[1] += 1
+
+    def leave(x):
+        v, w = x
+        k = r.choices(range(len(seats[x])), seats[x])[0]
+        seats[x][k] -= 1
+        if seats[x][k]:
+            return
+        del seats[x][k]
+        open_at[v] -= 1
+        k = r.choices(range(len(parent[w])), parent[w])[0]
+        parent[w][k] -= 1
+        n[0] -= 1
+        if not parent[w][k]:
+            del parent[w][k]
+            n[1] -= 1
+
+    customers = [x for x, c in pairs.items() for _ in range(c)]
+    for x in customers:
+        sit(x)
+    out = []
+    for s in range(sweeps):
+        for x in customers:
+            leave(x)
+            sit(x)
+        if s >= sweeps - keep:
+            out.append(({x: len(t) for x, t in seats.items()}, Counter(open_at), {w: chance(w) for w in parent}, (P.PARENT_STRENGTH + P.PARENT_DISCOUNT * n[1]) * base / (P.PARENT_STRENGTH + n[0])))
+    return out
+
+
+def test_registered_settings_agree_with_plain_gibbs(spark):
+    """Scores at the registered burn-in and samples, against the mean of 60 states of the plain sampler."""
+    docs = corpus(4, 250)
+    word, pair, texts = counted(docs)
+    once, twice = (sum(c == x for c in pair.values()) for x in (1, 2))
+    d = once / (once + 2 * twice)
+    states = brute_gibbs(dict(pair), d, len(word), 80, 60, 1)
+    got = {r.doc_id: r for r in P.scored(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    off = []
+    for i, t in docs:
+        w, score = tokens(t), 0.0
+        for v, x in zip(["<s>", *w[:-1]], w):
+            seen = texts if v == "<s>" else word[v]
+            p = sum(max(pair[v, x] - d * s.get((v, x), 0), 0) + (P.STRENGTH + d * at[v]) * there.get(x, unknown) for s, at, there, unknown in states)
+            score += math.log10(p / len(states) / (P.STRENGTH + seen))
+        off.append((got[i].score - score) / len(w))  # for each token
+    assert np.abs(off).max() < 0.15 and np.std(off) < 0.03 and abs(np.mean(off)) < 0.005
+
+
+def test_tables_are_drawn_as_a_plain_sampler_draws_them():
+    """Over 1,500 sweeps on a small restaurant with frequent pairs: mean numbers of tables here and at the parent."""
+    r = np.random.default_rng(1)
+    c = {(v, w): int(r.geometric(0.15)) for v in range(6) for w in range(15) if r.random() < 0.4} | {(0, 0): 60, (1, 0): 40}
+    states = brute_gibbs(c, 0.6, 15, 1200, 1100, 2)
+    keys = list(c)
+    n, v, w = np.array(list(c.values())), np.array([k[0] for k in keys]), np.array([k[1] for k in keys])
+    t, parents, sums = np.ones(len(n), np.int64), np.bincount(w, minlength=15).clip(0, 1), []
+    model, key, word_key = (P.STRENGTH, 0.6, P.PARENT_STRENGTH, P.PARENT_DISCOUNT), np.arange(len(n)).astype(np.uint64), np.arange(15).astype(np.uint64)
+    for sweep in range(1500):
+        tables, customers = np.bincount(v, t, 6).astype(np.int64), np.bincount(w, t, 15).astype(np.int64)
+        some = np.flatnonzero(customers)
+        parents = np.minimum(np.maximum(parents, np.minimum(customers, 1)), customers)
+        parents[some] = S.parent_tables(customers[some], parents[some], int(parents.sum()), 1 / 16, model, word_key[some], 2 * sweep)
+        sums.append((t.sum(), t[keys.index((0, 0))], t[keys.index((1, 0))]))
+        t = S.pair_tables(n, t, tables[v], customers[w], parents[w], int(customers.sum()), model, key, 2 * sweep + 1)
+    got = np.mean(sums[100:], 0)
+    want = np.mean([(sum(s.values()), s[0, 0], s[1, 0]) for s, *_ in states], 0)
+    assert got == pytest.approx(want, rel=0.1)
+
+
+@pytest.mark.parametrize("d", [0.3, 0.5, 0.75, 0.9])
+def test_stirling_numbers_beyond_the_table(d):
+    exact, own = S.exact_table(d, 1500), S.stirling(d)
+    for c in (50, 192, 193, 400, 1500):
+        t = np.unique(np.array([1, 2, 3, 7, int(c**d / 2), int(c**d), c // 2, c - 1, c]).clip(1, c))
+        assert own(np.full(len(t), c), t) == pytest.approx(exact[c, t], abs=0.12)
+    assert np.isneginf(own(np.array([3, 500, 5]), np.array([4, 501, 0]))).all()
+    assert S.gammaln(np.array([0.1, 1, 5.5, 80])) == pytest.approx([math.lgamma(x) for x in (0.1, 1, 5.5, 80)], abs=1e-8)
+
+
 def test_sweeps_help_held_out_texts_and_repeat(spark):
     docs = corpus(3, 400)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    a, b = ({(r.doc_id, r.n_tokens): r for r in P.scored(x, sweeps=2).collect()} for x in (df, df.repartition(5)))
+    a, b = ({(r.doc_id, r.n_tokens): r for r in P.scored(x).collect()} for x in (df, df.repartition(5)))
     assert all(b[k].score == pytest.approx(r.score, abs=1e-9) for k, r in a.items())
     held = [r for r in a.values() if r.held_out]
     assert len(held) > 20 and sum(r.score for r in held) > sum(r.base_score for r in held) + 20
 
 
-def test_probabilities_sum_to_one():
-    """Over the vocabulary and one unknown word, in every context, for sampled seatings."""
-    r = np.random.default_rng(1)
-    contexts, words = 6, 30
-    c = r.geometric(0.2, (contexts, words)) * (r.random((contexts, words)) < 0.5)
-    t, d = np.minimum(c, 1).astype(float), 0.6
-    for sweep in range(3):
-        parent = lambda t: (np.maximum(t.sum(0) - P.PARENT_DISCOUNT, 0) + (P.PARENT_STRENGTH + P.PARENT_DISCOUNT * known) / (known + 1)) / (t.sum() + P.PARENT_STRENGTH)
-        known = int((t.sum(0) > 0).sum())
-        unknown = ((P.PARENT_STRENGTH + P.PARENT_DISCOUNT * known) / (known + 1)) / (t.sum() + P.PARENT_STRENGTH)
-        assert parent(t)[t.sum(0) > 0].sum() + unknown == pytest.approx(1)
-        for v in range(contexts):
-            own = np.maximum(c[v] - d * t[v], 0).sum() / (P.STRENGTH + c[v].sum())
-            back = (P.STRENGTH + d * t[v].sum()) / (P.STRENGTH + c[v].sum())
-            assert own + back == pytest.approx(1)
-        key = r.integers(0, 2**63, c.size).astype(np.uint64)
-        new = (P.STRENGTH + d * t.sum(1))[:, None] * parent(t)[None, :]
-        t = P.seat(c.ravel(), new.ravel(), d, key, sweep + 1).reshape(c.shape)
-        assert ((t <= c) & ((t > 0) == (c > 0))).all()
-
-
-@pytest.mark.parametrize("c,new", [(2, 0.5), (15, 0.3), (200, 2.0), (5000, 10.0)])
-def test_seats_are_those_of_a_chinese_restaurant(c, new):
-    d, n = 0.6, 3000
-    key = np.random.default_rng(c).integers(0, 2**63, n).astype(np.uint64)
-    got = P.seat(np.full(n, c), np.full(n, new), d, key, 1)
-    r, t = np.random.default_rng(7), np.ones(n)
-    for sat in range(1, c):
-        t += r.random(n) < new / (new + sat - d * t)
-    assert got.mean() == pytest.approx(t.mean(), rel=0.03)
-    if c <= 16:
-        assert got.std() == pytest.approx(t.std(), rel=0.15, abs=0.02)
-
-
 def test_untrained_and_empty(spark):
     out = next(i for i in range(100) if P.held_out(i))
     rows = P.scored(spark.createDataFrame([(out, "a b")], "doc_id long, text string")).collect()
