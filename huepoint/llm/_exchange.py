@@ -24,13 +24,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huepoint.llm._words import U64, give_back
 
 MESSAGE = "bucket int, chunk int, keys binary, vals binary"
-REPLY = "chunk int, bucket int, body binary"
+REPLY = "chunk int not null, bucket int, body binary"
 
 CHUNK_BYTES = 4 << 20
 BUCKET_KEYS = 3_000_000
@@ -100,6 +101,15 @@ def unpack(b: bytes, n: int) -> np.ndarray:
     return out
 
 
+def tight(x: np.ndarray) -> bytes:
+    """As pack(), compressed: for answers that most of an operator's traffic consists of."""
+    return zstandard.ZstdCompressor(level=3).compress(pack(x))
+
+
+def untight(b: bytes, n: int) -> np.ndarray:
+    return unpack(zstandard.ZstdDecompressor().decompress(b), n)
+
+
 @lru_cache(64)
 def edges(buckets: int) -> np.ndarray:
     """The smallest top half of a key in each bucket."""
@@ -156,13 +166,13 @@ def replies_of(chunks: list[int], buckets: list[int], bodies: list[bytes]) -> pa
     return pa.table({"chunk": pa.array(chunks, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "body": pa.array(bodies, pa.binary())})
 
 
-def answers(replies: dict[int, bytes], keys: np.ndarray, spread: Spread, each: int = 1) -> np.ndarray:
+def answers(replies: dict[int, bytes], keys: np.ndarray, spread: Spread, each: int = 1, read: Callable[[bytes, int], np.ndarray] = unpack) -> np.ndarray:
     """The chunk's answers in the order of its sorted keys (each > 1: so many rows of them); fails if a bucket's is missing."""
-    return answers_at(replies, bounds(keys, spread.near), each)
+    return answers_at(replies, bounds(keys, spread.near), each, read)
 
 
-def answers_at(replies: dict[int, bytes], at: np.ndarray, each: int = 1) -> np.ndarray:
-    parts = [unpack(replies[b], each * (at[b + 1] - at[b])).reshape(each, -1) for b in range(len(at) - 1) if at[b + 1] > at[b]]
+def answers_at(replies: dict[int, bytes], at: np.ndarray, each: int = 1, read: Callable[[bytes, int], np.ndarray] = unpack) -> np.ndarray:
+    parts = [read(replies[b], each * (at[b + 1] - at[b])).reshape(each, -1) for b in range(len(at) - 1) if at[b + 1] > at[b]]
     out = np.concatenate(parts, 1) if parts else np.empty((each, 0), np.int64)
     return out[0] if each == 1 else out
 
@@ -178,6 +188,8 @@ class Sum:
     def write(self, x: np.ndarray) -> bytes:
         return pack(x)
 
+    packed, unpacked = staticmethod(pack), staticmethod(unpack)  # of answers
+
     def codes(self, keys: np.ndarray, vals: np.ndarray) -> np.ndarray:
         """The number of each entry's key among all."""
         return pd.factorize(keys)[0]
@@ -254,7 +266,7 @@ def exchange(sent: DataFrame, spread: Spread, op: Sum, layout: Layout, keys: Dat
         return senders, sizes, codes, vals, of, op.up(codes, n, vals)
 
     def cut(x: np.ndarray, sizes: list[int]) -> list[bytes]:
-        return [pack(p.ravel()) for p in np.split(x, np.cumsum(sizes)[:-1], axis=-1)]
+        return [op.packed(p.ravel()) for p in np.split(x, np.cumsum(sizes)[:-1], axis=-1)]
 
     def returned(t: pa.Table) -> pa.Table:
         return replies_of(t["chunk"].to_pylist(), t["bucket"].to_pylist(), t["vals"].to_pylist())
@@ -274,7 +286,7 @@ def exchange(sent: DataFrame, spread: Spread, op: Sum, layout: Layout, keys: Dat
     def answer(bucket: int, left: pa.Table, right: pa.Table | None) -> pa.Table:
         return answered(left, right, bucket, near) if len(left) else returned(right)
 
-    one, two = (keys.select("bucket", "chunk", "keys"), sent.select("bucket", "chunk", "vals")) if notes else (sent, None)
+    one, two = (keys, sent.select("bucket", "chunk", "vals")) if notes else (sent, None)  # keys as they are: their exchange is used again
     if far == 1:
         out = applied("bucket", min(near, layout.partitions), one, two, answer, REPLY)
         return dealt(out, layout.partitions, "chunk") if deal else out
@@ -311,7 +323,7 @@ def exchange(sent: DataFrame, spread: Spread, op: Sum, layout: Layout, keys: Dat
         senders, sizes, codes, vals, of, merged = opened(left, right, mid % near, near)
         order, at = ranged(mid, of)
         reply = np.empty((op.each, len(of)), np.int64)
-        reply[:, order] = answers_at({b - mid % near * far: x for b, x in zip(told["bucket"].to_pylist(), told["body"].to_pylist())}, at, op.each)
+        reply[:, order] = answers_at({b - mid % near * far: x for b, x in zip(told["bucket"].to_pylist(), told["body"].to_pylist())}, at, op.each, op.unpacked)
         out = replies_of(senders, [mid % near] * len(senders), cut(op.down(codes, vals, merged, reply if op.each > 1 else reply[0]), sizes))
         give_back()
         return out

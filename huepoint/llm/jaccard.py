@@ -224,7 +224,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     seq = stash(docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_sequences, "doc_id long, words long, h1 long, h2 long"))
     reps = seq.filter("words > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     parts = layout.parts(docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text"))
-    nodes = X.dealt(reps.select(layout.chunk("rep"), "rep", "h1", "h2"), layout.partitions, "chunk")
+    nodes = stash(reps.select(layout.chunk("rep"), "rep", "h1", "h2"))
     spread = layout.spread(0.16, 4)
 
     def count(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
@@ -253,8 +253,8 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
         return pa.table({x: pa.array([row[i] for row in rows], kinds[i]) for i, x in enumerate(("id", "h1", "h2", "n", "tokens", "single", "shared", "prefix"))})
 
     chunks = parts.groupBy("chunk")
-    sent = chunks.cogroup(nodes.groupBy("chunk")).applyInArrow(count, X.MESSAGE)
-    both = X.exchange(sent, spread, X.Sum(), layout).unionByName(nodes, allowMissingColumns=True)
+    sent = chunks.cogroup(X.dealt(nodes, layout.partitions, "chunk").groupBy("chunk")).applyInArrow(count, X.MESSAGE)
+    both = X.dealt(X.exchange(sent, spread, X.Sum(), layout, deal=False).unionByName(nodes, allowMissingColumns=True), layout.partitions, "chunk")
     found = stash(chunks.cogroup(both.groupBy("chunk")).applyInArrow(select, "id long, h1 long, h2 long, n long, tokens binary, single long, shared long, prefix binary"))
     component = _Join(found.filter("tokens is not null").select("id", "n", "tokens", "single", "shared", "prefix"), percent).run()
     known = found.select("id", "h1", "h2", "n").join(component, "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))

@@ -17,9 +17,9 @@ the parent, and answers. A pair that occurs once has one table and is drawn no m
 tell all chunks that hold a pair the sum of its tables over the kept states. All draws come from hashes of
 the pair and the sweep, so that a rerun, on other partitions too, gives the same.
 
-A pair is a 64-bit hash of its words, told apart in its bucket by 6 bytes and thus by 52 bits at half a
-gigabyte and all 64 from about 2 TB on: up to there less than one pair is expected to share another's
-count. Words keep 64 bits.
+Words and pairs are 64-bit hashes, told apart in their bucket by 6 bytes: by 52 bits at half a gigabyte,
+one more for each doubling, all 64 from about 2 TB on. Up to there less than one pair in a corpus is
+expected to share another's count.
 
 Tokens are the blank-separated words with A-Z lower-cased, then one end. Null and empty texts have the
 end alone. Texts whose ids hash to a multiple of ``folds`` are held out: scored, never counted. With no
@@ -46,7 +46,7 @@ from huepoint.llm import _exchange as X
 from huepoint.llm._seating import pair_tables, parent_tables
 from huepoint.llm._words import BASE, U64, blank_words, give_back, mix, values
 
-FOLDS, BURN_IN, SAMPLES = 10, 3, 3
+FOLDS, BURN_IN, SAMPLES = 10, 2, 3
 CHUNK_BYTES = 9 << 20
 STRENGTH, PARENT_STRENGTH, PARENT_DISCOUNT = 1.0, 1.0, 0.75
 END, START = U64(0x1D8E4E27C47D124F), U64(0xEB44ACCAB455D165)
@@ -83,7 +83,7 @@ def unsqueeze(b: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-SIZED = "chunk int, ids array<long>, body binary"
+SIZED = "chunk int not null, ids array<long>, body binary"
 
 
 def chunked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,7 @@ class Chunk:
 
     def __init__(self, t: pa.Table, folds: int, pairs: bool = True):
         give_back()  # what the chunk before has left
-        (row,) = t.to_pylist()
+        (row,) = t.select(["chunk", "ids", "body"]).to_pylist()
         body = unsqueeze(row["body"])
         self.number, self.ids = row["chunk"], row["ids"]
         self.out = np.array([held_out(i, folds) for i in self.ids], bool)
@@ -193,13 +193,13 @@ class Chunk:
         if not self.total:
             base = score = np.zeros(n)
         else:
-            first = Sums(X.answers(replies[SWEEP], self.words, words, Seats.each), self.stats)
+            told = lambda k: Sums(X.answers(replies[SWEEP + k], self.words, words, Seats.each, X.untight), self.stats)
+            first = told(kept[0])
             base = add(np.log10((count + 0.1) / (self.total + 0.1 * (first.known + 1))))
-            tables = X.answers(replies[KEPT], self.pairs, pairs) + len(kept) * (self.pair_count > 0)
+            tables = X.answers(replies[KEPT], self.pairs, pairs, 1, X.untight) + len(kept) * (self.pair_count > 0)
             p = np.zeros(len(self.word))
             for k in kept:
-                sums = Sums(X.answers(replies[SWEEP + k], self.words, words, Seats.each), self.stats)
-                parents = Sums(X.answers(replies[SWEEP + k + 1], self.words, words, Seats.each), self.stats).parents
+                sums, parents = told(k), told(k + 1).parents
                 parent = sums.customers - PARENT_DISCOUNT * sums.tables_there + (PARENT_STRENGTH + PARENT_DISCOUNT * parents) / (first.known + 1)
                 parent /= sums.total + PARENT_STRENGTH
                 p += (STRENGTH + first.discount * sums.tables)[self.context] * parent[self.word]
@@ -230,20 +230,33 @@ class Sums:
             x[stats] = 0
 
 
+class Extra(X.Sum):
+    """The sums of tables beyond one a state; most are 0."""
+
+    packed, unpacked = staticmethod(X.tight), staticmethod(X.untight)
+
+    def read(self, b: bytes, n: int) -> np.ndarray:
+        return X.untight(b, n)
+
+    def write(self, x: np.ndarray) -> bytes:
+        return X.tight(x)
+
+
 class Seats(X.Sum):
     """Adds up tables and customers of each word, then draws the word's tables at the parent."""
 
     each = 3
+    packed, unpacked = staticmethod(X.tight), staticmethod(X.untight)
 
     def __init__(self, sweep: int):
         self.sweep, self.head = sweep, (0, 0)  # the parent's tables as last known, known words
 
     def read(self, b: bytes, n: int) -> np.ndarray:
         self.head = struct.unpack("<qq", b[:16])
-        return X.unpack(b[16:], 2 * n).reshape(2, n)
+        return X.untight(b[16:], 2 * n).reshape(2, n)
 
     def write(self, x: np.ndarray) -> bytes:
-        return struct.pack("<qq", *self.head) + X.pack(x.ravel())
+        return struct.pack("<qq", *self.head) + X.tight(x.ravel())
 
     def codes(self, keys: np.ndarray, vals: np.ndarray) -> np.ndarray:
         codes, self.keys = pd.factorize(keys)
@@ -256,7 +269,7 @@ class Seats(X.Sum):
         if reply is None:
             customers, (parents, known) = merged[1], self.head
             tables = np.minimum(customers, 1)
-            at = np.flatnonzero((customers > 1) & ~np.isin(self.keys, mix(STATS)))
+            at = np.flatnonzero(customers > 1)  # of STATS, too; nobody looks at those
             if len(at) and known:
                 tables[at] = np.round(customers[at] ** PARENT_DISCOUNT)
                 for turn in range(3):
@@ -270,8 +283,10 @@ WORDS, PAIRS, KEPT, SWEEP = 0, 1, 2, 10
 
 
 def bodies(t: pa.Table) -> dict[int, dict[int, bytes]]:
+    """Replies by stage and bucket, of a table of them or of a chunk's row with lists of them."""
     out: dict[int, dict[int, bytes]] = {}
-    for s, b, x in zip(t["stage"].to_pylist(), t["bucket"].to_pylist(), t["body"].to_pylist()):
+    rows = zip(t["stage"].to_pylist(), t["bucket"].to_pylist(), t["body"].to_pylist()) if "stage" in t.column_names else (tuple(x.values()) for c in t.column_names if pa.types.is_list(t[c].type) and c != "ids" for x in t[c].to_pylist()[0])
+    for s, b, x in rows:
         out.setdefault(s, {})[b] = x
     return out
 
@@ -282,8 +297,8 @@ def scored(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, fold
     The first state has one table for each pair; it and the states of the next ``burn_in`` - 1 sweeps aren't kept (burn_in = 0: it is).
     """
     layout = X.Layout(docs)
-    parts = X.dealt(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lambda batches: chunked(batches, CHUNK_BYTES), SIZED), layout.partitions, "chunk").groupBy("chunk")
-    words, pairs = layout.spread(0.04), layout.spread(0.12, 6)
+    parts = X.dealt(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lambda batches: chunked(batches, CHUNK_BYTES), SIZED), layout.partitions, "chunk")
+    words, pairs = layout.spread(0.04, 6), layout.spread(0.12, 6)
     kept = list(range(burn_in, burn_in + samples))
     last = burn_in + samples + 1  # one more sweep: its exchange tells how many tables the parent had in the last kept state
 
@@ -298,9 +313,9 @@ def scored(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, fold
         chunk = Chunk(t, folds)
         return X.messages(chunk.number, chunk.pairs, chunk.pair_counts(), pairs)
 
-    def own(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
+    def own(key: tuple, t: pa.Table) -> pa.Table:
         chunk = Chunk(t, folds)
-        chunk.learn(bodies(r), words, pairs)
+        chunk.learn(bodies(t), words, pairs)
         return X.replies_of([chunk.number], [0], [chunk.owned(words, pairs)])
 
     def told(number: int, o: dict[str, np.ndarray], t: np.ndarray, total: np.ndarray, parents: int) -> pa.Table:
@@ -329,7 +344,7 @@ def scored(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, fold
         def fn(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
             number, o = key[0].as_py(), unsqueeze(t["body"][0].as_py())
             got = bodies(r)[SWEEP + k - 1]
-            sums = Sums(X.answers_at(got, o["word_at"], Seats.each), o["stats"])
+            sums = Sums(X.answers_at(got, o["word_at"], Seats.each, X.untight), o["stats"])
             note = unsqueeze(got[words.near + number])
             now, context, word = note["tables"], o["context"], o["word"]
             if k == last:
@@ -337,7 +352,7 @@ def scored(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, fold
                 vals[np.cumsum(o["place"].astype(np.int64))] = note["total"] - len(kept)
                 at = o["pair_at"]
                 rows = [b for b in range(pairs.near) if at[b + 1] > at[b]]
-                return X.table(number, rows, [None] * len(rows), [X.pack(vals[at[b] : at[b + 1]]) for b in rows])
+                return X.table(number, rows, [None] * len(rows), [X.tight(vals[at[b] : at[b + 1]]) for b in rows])
             parents = int(sums.tables_there[o["known"]].sum())
             key_ = mix(o["key"].astype(U64))
             t = pair_tables(o["count"], now, sums.tables[context], sums.customers[word], sums.tables_there[word], sums.total, sums.model, key_, k)
@@ -346,22 +361,27 @@ def scored(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, fold
 
         return fn
 
-    sent_words = parts.applyInArrow(count_words, X.MESSAGE)
-    sent_pairs = parts.applyInArrow(count_pairs, X.MESSAGE)
-    counts = staged(X.exchange(sent_words, words, X.Own(), layout), WORDS).unionByName(staged(X.exchange(sent_pairs, pairs, X.Own(), layout), PAIRS))
-    owned = X.dealt(parts.cogroup(counts.groupBy("chunk")).applyInArrow(own, X.REPLY), layout.partitions, "chunk").groupBy("chunk")
+    def listed(replies: DataFrame, name: str) -> DataFrame:
+        """A row for each chunk; so frames that are dealt by chunk meet in joins, where a union of them would be dealt once more."""
+        return replies.groupBy("chunk").agg(F.collect_list(F.struct("stage", "bucket", "body")).alias(name))
+
+    sent_words = parts.groupBy("chunk").applyInArrow(count_words, X.MESSAGE)
+    sent_pairs = parts.groupBy("chunk").applyInArrow(count_pairs, X.MESSAGE)
+    counts = X.dealt(staged(X.exchange(sent_words, words, X.Own(), layout, deal=False), WORDS).unionByName(staged(X.exchange(sent_pairs, pairs, X.Own(), layout, deal=False), PAIRS)), layout.partitions, "chunk")
+    counted = parts.join(listed(counts, "counts"), "chunk")
+    owned = X.dealt(counted.groupBy("chunk").applyInArrow(own, X.REPLY), layout.partitions, "chunk").groupBy("chunk")
     answers = [staged(X.exchange(owned.applyInArrow(begin, X.MESSAGE), words, Seats(0), layout, sent_words), SWEEP)]
     for k in range(1, last + 1):
         sent = owned.cogroup(answers[-1].groupBy("chunk")).applyInArrow(sweep(k), X.MESSAGE)
         if k < last:
             answers.append(staged(X.exchange(sent, words, Seats(k), layout, sent_words), SWEEP + k))
-    answers.append(staged(X.exchange(sent, pairs, X.Sum(), layout, sent_pairs), KEPT))
-    for a in [*answers[: 1 if burn_in else 0], *answers[burn_in:]]:
-        counts = counts.unionByName(a)
+    told_all = counted.join(listed(staged(X.exchange(sent, pairs, Extra(), layout, sent_pairs), KEPT), "extra"), "chunk")
+    for k, a in enumerate(answers[burn_in:]):
+        told_all = told_all.join(listed(a, f"state{k}"), "chunk")
 
-    def score(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
-        chunk, replies = Chunk(t, folds), bodies(r)
+    def score(key: tuple, t: pa.Table) -> pa.Table:
+        chunk, replies = Chunk(t, folds), bodies(t)
         chunk.learn(replies, words, pairs)
         return chunk.scores(replies, words, pairs, kept)
 
-    return parts.cogroup(counts.groupBy("chunk")).applyInArrow(score, OUT)
+    return told_all.groupBy("chunk").applyInArrow(score, OUT)

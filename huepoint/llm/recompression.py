@@ -178,7 +178,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     chunks = parts.groupBy("chunk")
     known = X.dealt(replies, layout.partitions, "chunk")
     sent = chunks.cogroup(known.groupBy("chunk")).applyInArrow(verify, X.MESSAGE)
-    both = known.unionByName(X.exchange(sent, second, X.Least(), layout).withColumn("stage", F.lit(2)))
+    both = X.dealt(replies.unionByName(X.exchange(sent, second, X.Least(), layout, deal=False).withColumn("stage", F.lit(2))), layout.partitions, "chunk")
     return chunks.cogroup(both.groupBy("chunk")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
