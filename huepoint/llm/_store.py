@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
@@ -41,3 +42,21 @@ def stash(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession) + "/t"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A key is hot from this share of all rows on, so there are at most so many hot keys.
+HOT_KEYS = 10_000
+
+
+def keyed_join(rows: DataFrame, values: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` inner-joined with ``values``, one row for each key, ``count`` telling how many rows have it (dropped).
+
+    A key of more than total / HOT_KEYS rows would make one task large. There are at most HOT_KEYS of them, so
+    their values are broadcast, which leaves the rows where they are; the others are joined by an exchange. No
+    key column may be null. Both frames are read twice.
+    """
+    hot = F.col(count) > max(1, total // HOT_KEYS)
+    known = values.filter(hot).drop(count)
+    few = F.broadcast(known)
+    return rows.join(few, on).unionByName(rows.join(F.broadcast(known.select(*on)), on, "left_anti").join(values.filter(~hot).drop(count), on))
+

@@ -34,12 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huepoint.llm import _exchange as X
-from huepoint.llm._store import stash
+from huepoint.llm._store import keyed_join, stash
 from huepoint.llm._words import U64, blank_words, give_back, mix, rolling, values
 from huepoint.llm.components import components
 
 NULL_ID = np.iinfo(np.int64).max
 BLOCK = 2048
+MOST_PAIRS = 100_000  # held before they are sent on
 TILE_ROWS = 100_000
 LIKELIEST_ROUNDS = 2
 
@@ -120,8 +121,14 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"id": b["id"], "single": b["single"], "bits": pa.array(bits, pa.binary())})
 
 
-def _tile_pairs(t: pa.Table, percent: int, all_pairs: bool) -> pa.Table:
-    """Pairs of different components in these tiles that no bound excludes; unless all_pairs, the nearest of each two components."""
+PAIRS = ("a", "b", "ca", "cb", "differ")
+
+
+def _tile_pairs(t: pa.Table, percent: int, all_pairs: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components in these tiles that no bound excludes; unless all_pairs, the nearest of each two components.
+
+    They leave in batches of about MOST_PAIRS, so a pair of components may come more than once.
+    """
     names = ("token", "band", "bi", "bj", "home", "block", "n", "rest", "id", "component", "single")
     c = {x: t[x].to_numpy() for x in names}
     bits = t["bits"].to_pylist()
@@ -129,8 +136,20 @@ def _tile_pairs(t: pa.Table, percent: int, all_pairs: bool) -> pa.Table:
     c = {x: v[order] for x, v in c.items()}
     tile = np.stack([c[x] for x in ("token", "band", "bi", "bj")])
     starts = np.flatnonzero(np.append(True, (tile[:, 1:] != tile[:, :-1]).any(0))) if len(order) else np.empty(0, np.int64)
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    out = []
+    held: list[np.ndarray] = []  # rows of PAIRS
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        x = np.concatenate(held, 1) if held else np.empty((5, 0), np.int64)
+        if all_pairs:
+            x = np.unique(x[:2], axis=1)
+            x = np.concatenate([x, np.zeros((3, x.shape[1]), np.int64)])
+        else:
+            x = x[:, np.lexsort((x[1], x[0], x[4], x[3], x[2]))]
+            if x.shape[1]:
+                x = x[:, np.append(True, (x[2:4, 1:] != x[2:4, :-1]).any(0))]
+        return pa.record_batch({name: pa.array(row, pa.int64()) for name, row in zip(PAIRS, x)})
+
     for s, e in zip(starts, np.append(starts[1:], len(order))):
         if e - s < 2 or (c["component"][s:e] == c["component"][s]).all():
             continue
@@ -148,14 +167,15 @@ def _tile_pairs(t: pa.Table, percent: int, all_pairs: bool) -> pa.Table:
                 continue
             differ = np.bitwise_count(small[j] ^ small[i]).sum(1, dtype=np.int64) + single[j] + single[i]
             near = linked((n[j] + n[i] - differ) // 2, n[j] + n[i], percent)
-            for x, d in zip(j[near], differ[near]):
-                if all_pairs:
-                    out.append((int(ids[i]), int(ids[x])))
-                else:
-                    pair = (min(int(comp[i]), int(comp[x])), max(int(comp[i]), int(comp[x])))
-                    found[pair] = min(found.get(pair, (1 << 60, 0, 0)), (int(d), int(ids[i]), int(ids[x])))
-    rows = [(min(a, b), max(a, b), 0, 0, 0) for a, b in set(out)] if all_pairs else [(min(a, b), max(a, b), *k, d) for k, (d, a, b) in found.items()]
-    return pa.table({x: pa.array([r[i] for r in rows], pa.int64()) for i, x in enumerate(("a", "b", "ca", "cb", "differ"))})
+            if not near.any():
+                continue
+            j, differ = j[near], differ[near]
+            held.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]), differ]))
+            size += len(j)
+            if size >= MOST_PAIRS:
+                yield batch()
+                held, size = [], 0
+    yield batch()
 
 
 class _Join:
@@ -202,7 +222,11 @@ class _Join:
         bits = self.nodes.select("id", "n", "single", "tokens").mapInArrow(_bitmaps, "id long, single long, bits binary")
         groups = max(1, math.ceil(2 * size / TILE_ROWS))
         rows = rows.join(bits, "id").withColumn("deal", F.pmod(F.xxhash64("token", "band", "bi", "bj"), F.lit(groups)))
-        return rows.groupBy("deal").applyInArrow(lambda t: _tile_pairs(t, percent, all_pairs), "a long, b long, ca long, cb long, differ long")
+        
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _tile_pairs(pa.Table.from_batches(batches), percent, all_pairs)
+
+        return rows.groupBy("deal").applyInArrow(pairs, "a long, b long, ca long, cb long, differ long")
 
     def run(self) -> DataFrame:
         links = self.verified(self.leaders())
@@ -222,9 +246,9 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     """doc_id, n_shingles, component_id of every document."""
     layout = X.Layout(docs)
     seq = stash(docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_sequences, "doc_id long, words long, h1 long, h2 long"))
-    reps = seq.filter("words > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    reps = stash(seq.filter("words > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     parts = layout.parts(docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text"))
-    nodes = stash(reps.select(layout.chunk("rep"), "rep", "h1", "h2"))
+    nodes = reps.select(layout.chunk("rep"), "rep", "h1", "h2")
     spread = layout.spread(0.16, 4)
 
     def count(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
@@ -258,8 +282,11 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     found = stash(chunks.cogroup(both.groupBy("chunk")).applyInArrow(select, "id long, h1 long, h2 long, n long, tokens binary, single long, shared long, prefix binary"))
     component = _Join(found.filter("tokens is not null").select("id", "n", "tokens", "single", "shared", "prefix"), percent).run()
     known = found.select("id", "h1", "h2", "n").join(component, "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))
+    known = known.join(reps.select("h1", "h2", "copies"), ["h1", "h2"])
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    out = seq.join(known, ["h1", "h2"], "left").select("doc_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    rows = seq.select("doc_id", "words", "h1", "h2")
+    some = keyed_join(rows.filter("words > 0"), stash(known), ["h1", "h2"], "copies", layout.rows).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    out = some.unionByName(rows.filter("words = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     return out.select(back("doc_id"), "n_shingles", back("component_id"))
 
 

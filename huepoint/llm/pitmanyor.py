@@ -132,19 +132,21 @@ class Chunk:
         self.sizes = body["sizes"]
         order = np.argsort(body["words"])
         self.words = body["words"][order]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)  # here and below 4 bytes a token: these are most of a task's memory
+        rank[order] = np.arange(len(order), dtype=np.int32)
         self.word = rank[body["codes"]]
+        del body, row, rank
         self.start, *stats = np.searchsorted(self.words, mix(np.append(START, STATS)))
         self.stats = np.array(stats)
-        self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
         self.trained = ~self.out[self.doc]
         if pairs:
             starts = np.cumsum(self.sizes) - self.sizes
-            self.context = np.append(self.start, self.word[:-1])
+            self.context = np.append(np.int32(self.start), self.word[:-1]).astype(np.int32)
             self.context[starts] = self.start
             self.pairs, self.pair = numbered(mix(self.words[self.context] * U64(BASE) + self.words[self.word]))
-            self.pair_word, self.pair_context = np.empty(len(self.pairs), np.int64), np.empty(len(self.pairs), np.int64)
+            self.pair = self.pair.astype(np.int32)
+            self.pair_word, self.pair_context = np.empty(len(self.pairs), np.int32), np.empty(len(self.pairs), np.int32)
             self.pair_word[self.pair], self.pair_context[self.pair] = self.word, self.context
 
     def word_counts(self) -> np.ndarray:

@@ -64,3 +64,15 @@ def test_keeps_one_of_each(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_many_documents_just_below_the_threshold(spark):
+    """5,000 documents that share 70 % of their shingles with each other: millions of near pairs, no link, bounded batches."""
+    r = random.Random(3)
+    common = [f"c{i}" for i in range(40)]
+    rows = [(i, " ".join([*common, *(f"u{i}x{j}" for j in range(8))])) for i in range(5000)]
+    rows += [(5000 + i, rows[i][1] + " end") for i in range(0, 50)] + [(6000 + i, "same text " * 3) for i in range(3000)] + [(9500 + i, r.choice(["", None, " "])) for i in range(300)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == (44, i) for i in range(5000)) and all(got[5000 + i] == (45, i) for i in range(50))
+    assert all(got[6000 + i] == (2, 6000) for i in range(3000)) and all(got[9500 + i] == (0, 9500 + i) for i in range(300))
