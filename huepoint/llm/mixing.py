@@ -32,30 +32,34 @@ def draw(doc_id: str, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def _ranked(sources: DataFrame) -> DataFrame:
-    """Adds the place of each source in code point order, without bringing all of them to one task."""
-    spark = sources.sparkSession
-    dealt = stash(sources.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
-    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))  # a row for each partition
-    before = counts.withColumn("before", F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("before", F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
-    return dealt.join(before, "part").select("source", "source_size", (own - 1 + F.col("before")).alias("place"))
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds to each row the sums over all rows before it in ``order``, without bringing all rows to one task."""
+    spark = df.sparkSession
+    dealt = stash(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("part", F.spark_partition_id()))
+    totals = dealt.groupBy("part").agg(*[F.sum(x).alias(f"total_{c}") for c, x in sums.items()])  # a row for each partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("part", *[F.coalesce(F.sum(f"total_{c}").over(before), F.lit(0)).alias(f"total_{c}") for c in sums])
+    own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(F.broadcast(totals), "part").select(*df.columns, *[(F.coalesce(F.sum(x).over(own), F.lit(0)) + F.col(f"total_{c}")).alias(c) for c, x in sums.items()])
 
 
 def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """``sized(source, size)`` -> source, source_size, target."""
+    """``sized(source, size)`` -> source, source_size, target.
+
+    In the order of limit / weight the sources that are full come first: the level is that of the first
+    source whose limit is not below what the rest, shared by weight, would give it.
+    """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    placed = _running(sources, [F.col("source").asc_nulls_last()], {"place": F.lit(1).cast("long")})
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
-    s = stash(_ranked(sources).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("limit")))
-    total = s.agg(F.sum("source_size")).first()[0] or 0
-    level = 0.0
-    while True:  # the level only rises, each round stops at least one more source, few rounds are needed
-        full = F.col("limit") < F.col("weight") * F.lit(level)
-        got = s.agg(F.sum(F.when(full, F.col("limit")).otherwise(0)).alias("spent"), F.sum(F.when(full, 0).otherwise(F.col("weight"))).alias("open")).first()
-        if not got["open"] or (now := (total - got["spent"]) / got["open"]) <= level:
-            break
-        level = now
-    return s.select("source", "source_size", F.least(F.col("limit").cast("double"), F.col("weight") * F.lit(level)).alias("target"))
+    s = placed.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("limit"))
+    s = s.withColumn("ratio", F.col("limit") / F.col("weight"))
+    s = stash(_running(s, [F.col("ratio"), F.col("source").asc_nulls_last()], {"spent": F.col("limit"), "shared": F.col("weight")}))
+    all_ = s.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(all_["size"] or 0) - F.col("spent")) / (F.lit(all_["weight"] or 0) - F.col("shared"))
+    got = s.select("ratio", "spent", level.alias("level")).filter("ratio >= level").agg(F.min_by("level", F.struct("ratio", "spent")).alias("level")).first()["level"]
+    top = F.lit(float("inf") if got is None else got)
+    return s.select("source", "source_size", F.least(F.col("limit").cast("double"), F.col("weight") * top).alias("target"))
 
 
 def copies(doc_id: str = "doc_id", source_size: str = "source_size", target: str = "target", most: int = MOST, seed: str = SEED) -> Column:
@@ -73,11 +77,11 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, se
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """The rows of ``docs``, each as often as it is taken."""
+    """The rows of ``docs``, each as often as it is taken; they travel as one struct, so no column's name can clash."""
     t = targets(docs.select("source", size_of().alias("size")), weights, most)
-    s = t.select(F.col("source").alias("__source"), F.col("source_size").alias("__size"), F.col("target").alias("__target"))
-    joined = docs.join(s, docs["source"].eqNullSafe(s["__source"])).withColumn("__copies", copies("doc_id", "__size", "__target", most, seed))
-    return joined.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("source").alias("s"), F.col("doc_id").alias("i"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    taken = rows.join(t, F.col("s").eqNullSafe(F.col("source"))).select("row", copies("i", most=most, seed=seed).alias("n"))
+    return taken.filter("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
 
 
 SQL = """

@@ -61,3 +61,20 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
     for df in (mixing.plan(docs), mixing.mixed(docs)):
         assert "Python" not in (p := df._jdf.queryExecution().toString()) and "Arrow" not in p
+
+
+def test_no_name_of_a_column_clashes(spark):
+    names = ["__source", "__size", "__target", "__copy", "__copies", "n", "s", "i", "row", "source_size", "weight", "part", "a.b"]
+    rows = [(i, f"w{i} x y", "ab"[i % 2], *[77 + k for k in range(len(names))]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns
+    assert got.count() > 0 and all(tuple(r)[3:] == tuple(77 + k for k in range(len(names))) for r in got.collect())
+
+
+def test_levels_of_many_sources(spark):
+    """Over 200 sources of unequal sizes, against the plain resharing."""
+    r = random.Random(5)
+    sizes = {f"s{i:03}": r.choice([0, 1, 5, 50, 5000]) for i in range(199)} | {None: 40}
+    got = {x.source: x.target for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+    assert got == {x: pytest.approx(t) for x, t in reference(sizes).items()}
