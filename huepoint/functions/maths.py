@@ -45,9 +45,15 @@ def stem_of(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)
 
 
+def hashed(*keys: str | Column, seed: int = 0) -> Column:
+    """A long of 52 bits, from an MD5 of the seed and the keys, which any SQL engine can follow."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def uniform(*keys: str | Column, seed: int = 0) -> Column:
     """In [0, 1), a function of the keys and the seed."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / F.lit(float(1 << 53))
+    return hashed(*keys, seed=seed) / F.lit(float(1 << 52))
 
 
 def dot(row: tuple[float, ...], cols: tuple[str, ...]) -> Column:

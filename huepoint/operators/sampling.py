@@ -122,12 +122,6 @@ def limited(df: DataFrame, order: Sequence[str], n: int, key: Sequence[str]) ->
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("__r") <= n).drop("__r")
 
 
-def bootstrap_indices(df: DataFrame, draws: int, size: int, seed: int = 0) -> DataFrame:
-    """draw, slot, pick (0 to size - 1) by hash."""
-    spark = df.sparkSession
-    return spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("slot")).withColumn("pick", F.floor(uniform("draw", "slot", seed=seed) * size).cast("long"))
-
-
 def batches(df: DataFrame, id_: str, size: int, epoch: int, key: Sequence[str] = ()) -> DataFrame:
     """Shuffled batches of an epoch: ``batch`` numbers by hash order."""
     w = Window.partitionBy(*key).orderBy(uniform(id_, seed=epoch), id_)

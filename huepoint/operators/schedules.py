@@ -41,24 +41,30 @@ def jumped(x: Column, noise: Column) -> Column:
     return F.sqrt("alpha") * x + F.sqrt("beta") * noise
 
 
+def walk_times(spark: SparkSession, steps: int, length: int, samples: int) -> DataFrame:
+    """step, t: a countdown of ``steps`` times in which each multiple of ``length`` is followed by detours.
+
+    A detour climbs ``length`` steps and comes down again; there are ``samples`` - 1 of them, and none at the
+    multiples within ``length`` of the beginning. The last time is -1.
+    """
+    t, far = F.col("id"), F.col("id") + length
+    detour = F.concat(F.sequence(t + 1, far), F.sequence(far - 1, t, F.lit(-1).cast("long")))
+    stays = F.array(t)
+    times = F.when((t % length == 0) & (t < steps - length), F.concat(stays, F.flatten(F.array_repeat(detour, samples - 1)))).otherwise(stays)
+    blocks = spark.range(-1, steps).select("id", times.alias("times")).withColumn("size", F.size("times"))
+    before = Window.orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each time of the schedule
+    return blocks.withColumn("first", F.coalesce(F.sum("size").over(before), F.lit(0))).select("first", F.posexplode("times").alias("at", "t")).select((F.col("first") + F.col("at")).alias("step"), "t")
+
+
 def walk(steps: int, length: int = 10, samples: int = 5) -> list[int]:
-    """Times of the walk down to -1 that goes back up ``length`` steps ``samples`` - 1 times at each multiple of length."""
-    left = dict.fromkeys(range(0, steps - length, length), samples - 1)
-    t, out = steps, []
-    while t > 0:
-        t -= 1
-        out.append(t)
-        if left.get(t, 0) > 0:
-            left[t] -= 1
-            out.extend(range(t + 1, t + length + 1))
-            t += length
-    return [*out, -1]
+    """The times of ``walk_times`` for a task's own use."""
+    detours = {m: samples - 1 for m in range(0, max(0, steps - length), length)}
+    return [x for t in range(steps - 1, -1, -1) for x in (t, *([*range(t + 1, t + length), *range(t + length, t - 1, -1)] * detours.get(t, 0)))] + [-1]
 
 
 def walk_steps(spark: SparkSession, steps: int, length: int = 10, samples: int = 5) -> DataFrame:
     """step, t, next_t, kind (denoise or jump)."""
-    ts = spark.createDataFrame(list(enumerate(walk(steps, length, samples))), "step long, t long")
-    s = ts.withColumn("next_t", F.lead("t").over(Window.orderBy("step"))).filter("next_t is not null")
+    s = walk_times(spark, steps, length, samples).withColumn("next_t", F.lead("t").over(Window.orderBy("step"))).filter("next_t is not null")
     return s.withColumn("kind", F.when(F.col("next_t") < F.col("t"), "denoise").otherwise("jump"))
 
 

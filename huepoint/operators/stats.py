@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from huepoint.functions.maths import uniform
+
 
 def paired(df: DataFrame, base: str, other: str, obj: str = "obj", method: str = "method", value: str = "metric", key: Sequence[str] = ()) -> DataFrame:
     """key, obj, a, b: means of the two methods for objects that have both."""
@@ -61,38 +63,50 @@ def wilcoxon(a: np.ndarray, b: np.ndarray, exact_up_to: int = 25) -> tuple[float
     return float(w), float(min(1.0, math.erfc(abs(z) / math.sqrt(2))))
 
 
-def bootstrap_interval(a: np.ndarray, b: np.ndarray, direction: str, draws: int = 2000, seed: int = 0, fixed: bool = False) -> tuple[float, float]:
-    """2.5 and 97.5 percentiles of the resampled improvement; each draw over its own baseline mean, or with ``fixed`` all over the sample's."""
-    pick = np.random.default_rng(seed).integers(0, len(a), (draws, len(a)))
-    ma, mb = a[pick].mean(1), b[pick].mean(1)
-    base = abs(a.mean())
-    with np.errstate(divide="ignore", invalid="ignore"):
-        scale = 1.0 if base <= 1e-12 else 100 / base if fixed else 100 / np.abs(ma)
-        boot = _sign(direction) * (mb - ma) * scale
-    boot = boot[np.isfinite(boot)]
-    if len(boot) < 20:
-        return math.nan, math.nan
-    lo, hi = np.percentile(boot, [2.5, 97.5])
-    return float(lo), float(hi)
+def resampled(pairs: DataFrame, key: Sequence[str], draws: int = 2000, seed: int = 0) -> DataFrame:
+    """key, draw, a, b: means of as many pairs as the key has, drawn with replacement.
+
+    Each (draw, slot) is a row that picks a pair by its place, so a key of any size is spread over all tasks.
+    Keys of equal size draw alike.
+    """
+    w = Window.partitionBy(*key)
+    placed = pairs.select(*key, "a", "b", (F.row_number().over(w.orderBy("obj")) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(w).alias("n"))
+    slots = placed.select(*key, F.col("place").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    picks = slots.select(*key, "draw", F.floor(uniform("draw", "slot", seed=seed) * F.col("n")).cast("long").alias("place"))
+    return picks.join(placed.drop("n"), [*key, "place"]).groupBy(*key, "draw").agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
+
+
+#: The interval's percentiles, and the draws that it needs at least.
+PERCENTILES, LEAST_DRAWS = (0.025, 0.975), 20
+
+
+def bootstrap_interval(pairs: DataFrame, key: Sequence[str], direction: str = "lower", draws: int = 2000, seed: int = 0, fixed: bool = False) -> DataFrame:
+    """key, ci_lo, ci_hi of the improvement: each draw in percent of its own baseline, or with ``fixed`` all of the sample's.
+
+    Where the sample's baseline is about zero the improvement is absolute; draws without a baseline give none.
+    """
+    sample = pairs.groupBy(*key).agg(F.abs(F.avg("a")).alias("base"))
+    drawn = resampled(pairs, key, draws, seed).join(sample, list(key))
+    unit = F.when(F.col("base") <= 1e-12, F.lit(1.0)).otherwise(100 / F.nullif(F.col("base") if fixed else F.abs("a"), F.lit(0.0)))
+    each = drawn.select(*key, (_sign(direction) * (F.col("b") - F.col("a")) * unit).alias("x")).filter("x is not null and not isnan(x)")
+    enough = F.count(F.lit(1)) >= LEAST_DRAWS
+    return each.groupBy(*key).agg(*[F.when(enough, F.percentile("x", p)).alias(name) for p, name in zip(PERCENTILES, ("ci_lo", "ci_hi"))])
 
 
-COMPARED = "n long, ci_lo double, ci_hi double, statistic double, wilcoxon_p double, verdict string"
+SIGNED = "n long, statistic double, wilcoxon_p double"
 
 
 def compared(pairs: DataFrame, key: Sequence[str], direction: str = "lower", draws: int = 2000, least: int = 5, fixed: bool = False) -> DataFrame:
-    """Interval, signed-rank test and verdict for each key; a key's pairs are one per object and fit one task."""
+    """Interval, signed-rank test and verdict for each key of ``least`` pairs or more; a key's signed ranks fit one task."""
 
     def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("obj")
-        a, b = pdf["a"].to_numpy(float), pdf["b"].to_numpy(float)
-        if len(a) < least:
-            return pd.DataFrame(columns=[*key, "n", "ci_lo", "ci_hi", "statistic", "wilcoxon_p", "verdict"])
-        lo, hi = bootstrap_interval(a, b, direction, draws, fixed=fixed)
-        w, p = wilcoxon(a, b)
-        return pd.DataFrame([[*k, len(a), lo, hi, w, p, "helps" if lo > 0 else "hurts" if hi < 0 else "unresolved"]], columns=[*key, "n", "ci_lo", "ci_hi", "statistic", "wilcoxon_p", "verdict"])
+        w, p = wilcoxon(pdf["a"].to_numpy(float), pdf["b"].to_numpy(float))
+        return pd.DataFrame([[*k, len(pdf), w, p]], columns=[*key, "n", "statistic", "wilcoxon_p"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*key).schema)
-    return pairs.groupBy(*key).applyInPandas(one, f"{schema}, {COMPARED}")
+    ranks = pairs.groupBy(*key).applyInPandas(one, f"{schema}, {SIGNED}").filter(F.col("n") >= least)
+    out = ranks.join(bootstrap_interval(pairs, key, direction, draws, fixed=fixed), list(key), "left")
+    return out.select(*key, "n", "ci_lo", "ci_hi", "statistic", "wilcoxon_p", verdict(words=("helps", "hurts", "unresolved")).alias("verdict"))
 
 
 def verdict(lo: str = "ci_lo", hi: str = "ci_hi", words: Sequence[str] = ("helps", "hurts", "unresolved")) -> Column:

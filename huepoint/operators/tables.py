@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huepoint.functions.maths import uniform
+from huepoint.functions.maths import hashed, uniform
 
 
 def declared(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -40,7 +40,7 @@ def validation_bank(objects: DataFrame, steps: int, strata: int, id_: str = "obj
     """id, stratum, t, noise_seed: a time from each of evenly wide strata for every object, the same in every run."""
     rows = objects.select(id_).distinct().withColumn("stratum", F.explode(F.sequence(F.lit(0), F.lit(strata - 1))))
     width = steps / strata
-    return rows.select(id_, "stratum", F.floor((F.col("stratum") + uniform(id_, "stratum", seed=seed)) * width).alias("t"), F.abs(F.xxhash64(F.lit(seed), id_, "stratum")).alias("noise_seed"))
+    return rows.select(id_, "stratum", F.floor((F.col("stratum") + uniform(id_, "stratum", seed=seed)) * width).alias("t"), hashed(id_, "stratum", seed=seed + 1).alias("noise_seed"))
 
 
 def summary(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -62,7 +62,10 @@ def split_overlap(spark, sf_dir):
     return tables.overlap(ev.filter("other > 40"), ev.filter("other < 3"), ("obj", "difficulty"))
 
 
-@query("validation_bank")
+H = lambda seed, *keys: f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, 13))::BIGINT"
+
+
+@query("validation_bank", f"WITH {CLOUD} SELECT object_id, stratum, floor((stratum + {H(0, 'object_id', 'stratum')} / 4503599627370496.0::DOUBLE) * 40)::BIGINT AS t, {H(1, 'object_id', 'stratum')} AS noise_seed FROM (SELECT DISTINCT object_id FROM cloud), range(5) r(stratum)")
 def validation_bank(spark, sf_dir):
     return tables.validation_bank(cloud(spark, sf_dir), 200, 5)
 

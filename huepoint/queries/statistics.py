@@ -56,12 +56,25 @@ def _compared(spark, sf_dir):
     return X.compared(pairs(spark, sf_dir), ("difficulty",), draws=500)
 
 
-@query("bootstrap_ci")
+U = lambda seed, *keys: f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+def _interval_sql(unit: str, pairs: str, sign: int = -1, draws: int = 500) -> str:
+    """CTEs up to ``ci`` over p(difficulty, obj, a, b)."""
+    return f"""{pairs}, placed AS (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY obj) - 1 AS place, count(*) OVER (PARTITION BY difficulty) AS n FROM p),
+    picks AS (SELECT difficulty, draw, floor({U(0, 'draw', 'place')} * n)::BIGINT AS place FROM placed, range({draws}) r(draw)),
+    drawn AS (SELECT difficulty, draw, avg(a) AS a, avg(b) AS b FROM picks JOIN placed USING (difficulty, place) GROUP BY 1, 2),
+    base AS (SELECT difficulty, abs(avg(a)) AS base, count(*) AS n FROM p GROUP BY 1),
+    x AS (SELECT difficulty, n, {sign} * (b - a) * CASE WHEN base <= 1e-12 THEN 1 ELSE 100 / nullif({unit}, 0) END AS x FROM drawn JOIN base USING (difficulty)),
+    ci AS (SELECT difficulty, any_value(n) AS n, CASE WHEN count(x) >= 20 THEN quantile_cont(x, 0.025) END AS ci_lo, CASE WHEN count(x) >= 20 THEN quantile_cont(x, 0.975) END AS ci_hi FROM x GROUP BY 1 HAVING any_value(n) >= 5)"""
+
+
+@query("bootstrap_ci", f"WITH {_interval_sql('abs(a)', PAIRS)} SELECT difficulty, n, {r6('ci_lo', 'ci_hi')} FROM ci")
 def bootstrap_ci(spark, sf_dir):
     return six(_compared(spark, sf_dir).select("difficulty", "n", "ci_lo", "ci_hi"))
 
 
-@query("bootstrap_ci_fixed")
+@query("bootstrap_ci_fixed", f"WITH {_interval_sql('base', PAIRS)} SELECT difficulty, n, {r6('ci_lo', 'ci_hi')} FROM ci")
 def bootstrap_ci_fixed(spark, sf_dir):
     return six(X.compared(pairs(spark, sf_dir), ("difficulty",), draws=500, fixed=True).select("difficulty", "n", "ci_lo", "ci_hi"))
 
@@ -81,6 +94,14 @@ def verdicts(spark, sf_dir):
     return six(c.select("difficulty", "wilcoxon_p", "verdict", X.verdict(words=("second wins", "first wins", "unresolved")).alias("winner")))
 
 
-@query("metric_vote")
+VOTES = " UNION ALL ".join(
+    f"SELECT difficulty, CASE WHEN ci_lo > 0 THEN 'helps' WHEN ci_hi < 0 THEN 'hurts' ELSE 'unresolved' END AS verdict FROM (WITH {_interval_sql('abs(a)', PAIRS.replace('avg(metric)', f'avg({m})'), sign)} SELECT * FROM ci)" for m, sign in (("metric", -1), ("other", 1))
+)
+
+
+@query("metric_vote", f"WITH v AS ({VOTES}), n AS (SELECT difficulty, count(*) FILTER (verdict = 'helps') AS helps, count(*) FILTER (verdict = 'hurts') AS hurts FROM v GROUP BY 1) SELECT *, CASE WHEN helps >= 2 AND helps > hurts THEN 'helps' WHEN hurts >= 2 AND hurts > helps THEN 'hurts' ELSE 'unresolved' END AS outcome FROM n")
 def metric_vote(spark, sf_dir):
-    return X.vote(_compared(spark, sf_dir).withColumn("all", F.lit("all")), ("all",))
+    """Over the two metrics, of which one is better when lower, at each difficulty."""
+    rows = eval_rows(spark, sf_dir)
+    of = lambda m, direction: X.compared(X.paired(rows, "N", "R", value=m, key=("difficulty",)), ("difficulty",), direction, 500).select("difficulty", "verdict")
+    return X.vote(of("metric", "lower").unionByName(of("other", "higher")), ("difficulty",))

@@ -26,7 +26,12 @@ def cumprod_schedule(spark, sf_dir):
     return six(schedules.products(schedules.cosine(spark, 200)).select("t", "beta", "abar", "abar_prev"))
 
 
-@query("walk_steps")
+WALK = """WITH t AS (SELECT unnest(range(-1, 200)) AS m), b AS (SELECT m, [m] || CASE WHEN m % 10 = 0 AND m >= 0 AND m < 190 THEN (range(m + 1, m + 11) || range(m + 9, m - 1, -1)) || (range(m + 1, m + 11) || range(m + 9, m - 1, -1)) ELSE [] END AS ts FROM t),
+e AS (SELECT m, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM b), s AS (SELECT row_number() OVER (ORDER BY m DESC, i) - 1 AS step, t FROM e), n AS (SELECT step, t, lead(t) OVER (ORDER BY step) AS next_t FROM s)
+SELECT step, t, next_t, CASE WHEN next_t < t THEN 'denoise' ELSE 'jump' END AS kind FROM n WHERE next_t IS NOT NULL"""
+
+
+@query("walk_steps", WALK)
 def walk_steps(spark, sf_dir):
     return schedules.walk_steps(spark, 200, 10, 3)
 
@@ -100,21 +105,34 @@ def colour_aware_sample(spark, sf_dir):
     return S.colour_aware(cloud(spark, sf_dir), 48, 0.5, 8).select("object_id", "point_id", "by_colour")
 
 
-@query("random_subsample")
+U = lambda seed, *keys: f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+@query(
+    "random_subsample",
+    f"""WITH {CLOUD}, k AS (SELECT object_id, point_id, row_number() OVER (PARTITION BY object_id ORDER BY {U(1, 'point_id')}, point_id) AS k, count(*) OVER (PARTITION BY object_id) AS n FROM cloud)
+    SELECT object_id, point_id, k - 1 AS slot FROM k WHERE n >= 120 AND k <= 120
+    UNION ALL SELECT k.object_id, k.point_id, slot FROM (SELECT object_id, n, slot, floor({U(2, 'object_id', 'slot')} * n)::BIGINT + 1 AS k FROM (SELECT DISTINCT object_id, n FROM k WHERE n < 120), range(120) s(slot)) d JOIN k USING (object_id, k)""",
+)
 def random_subsample(spark, sf_dir):
     return S.subsample(cloud(spark, sf_dir), 120, seed=1).select("object_id", "point_id", F.col("slot").cast("long"))
 
 
-@query("keep_then_pad")
+@query(
+    "keep_then_pad",
+    f"""WITH {CLOUD}, k AS (SELECT object_id, point_id, row_number() OVER (PARTITION BY object_id ORDER BY point_id) - 1 AS k, count(*) OVER (PARTITION BY object_id) AS n FROM cloud)
+    SELECT object_id, point_id, k AS slot FROM k WHERE k < 140
+    UNION ALL SELECT k.object_id, k.point_id, slot FROM (SELECT object_id, slot, floor({U(1, 'object_id', 'slot')} * n)::BIGINT AS k FROM (SELECT DISTINCT object_id, n FROM k WHERE n < 140), range(140) s(slot) WHERE slot >= n) d JOIN k USING (object_id, k)""",
+)
 def keep_then_pad(spark, sf_dir):
     return S.keep_then_pad(cloud(spark, sf_dir), 140, seed=1).select("object_id", "point_id", F.col("slot").cast("long"))
 
 
-@query("hash_split")
+@query("hash_split", f"WITH {CLOUD} SELECT point_id, {U(0, 'point_id')} < 0.2 AS validation FROM cloud")
 def hash_split(spark, sf_dir):
     return S.hash_split(cloud(spark, sf_dir), "point_id", 0.2).select("point_id", "validation")
 
 
-@query("epoch_batches")
+@query("epoch_batches", f"WITH {CLOUD} SELECT object_id, point_id, (row_number() OVER (PARTITION BY object_id ORDER BY {U(2, 'point_id')}, point_id) - 1) // 16 AS batch FROM cloud")
 def epoch_batches(spark, sf_dir):
     return S.batches(cloud(spark, sf_dir), "point_id", 16, 2, ("object_id",)).select("object_id", "point_id", "batch")

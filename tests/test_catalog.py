@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -36,3 +38,23 @@ def test_contract(spark, duck):
     assert entry.entry(spark).count() == 3
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and set(catalog.QUERIES) <= set(queries) and len(catalog.QUERIES) > 140
+
+
+@pytest.mark.parametrize("missing", ["zstandard", "xxhash", "huepoint.llm", "corpus_pipeline"])
+def test_the_engine_needs_no_library_of_the_optional_part(missing):
+    code = f"""
+import sys, warnings
+warnings.simplefilter("ignore")
+class Block:
+    def find_spec(self, name, path=None, target=None):
+        if name == {missing!r}:
+            raise ModuleNotFoundError("No module named " + repr(name), name=name)
+sys.meta_path.insert(0, Block())
+import __spark_entry__ as e
+names = e.queries()
+assert len([n for n in names if not n.startswith("op") and n != "pipeline"]) >= 160 and "nn_join" in e.oracle_sql()
+assert "pipeline" not in names
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert not done.returncode, done.stderr

@@ -118,6 +118,20 @@ def test_schedule_and_walk(spark):
     w = schedules.walk(40, 10, 3)
     assert w[0] == 39 and w[-1] == -1 and all(abs(a - b) == 1 for a, b in zip(w, w[1:])) and w.count(0) == 3
     assert sum(b > a for a, b in zip(w, w[1:])) == 2 * 10 * 3
+    for args in ((40, 10, 3), (37, 5, 2), (8, 10, 4), (12, 3, 1)):
+        assert [x.t for x in schedules.walk_times(spark, *args).orderBy("step").collect()] == schedules.walk(*args)
+
+
+def test_bootstrap_means_spread_as_the_mean_does(spark):
+    """Against the standard error, and over keys of a size that would not fit one task's matrix of draws."""
+    r = np.random.default_rng(9)
+    pdf = pd.DataFrame({"k": "x", "obj": range(400), "a": 10.0, "b": 10 + r.normal(0, 2, 400)})
+    got = X.resampled(spark.createDataFrame(pdf), ("k",), 300).toPandas()
+    assert len(got) == 300 and got.b.mean() == pytest.approx(pdf.b.mean(), abs=0.03) and got.b.std() == pytest.approx(2 / 20, rel=0.2)
+    i = X.bootstrap_interval(spark.createDataFrame(pdf.assign(a=0.0)), ("k",), "higher", 300).first()
+    assert i.ci_lo == pytest.approx(pdf.b.mean() - 0.196, abs=0.05) and i.ci_hi == pytest.approx(pdf.b.mean() + 0.196, abs=0.05)
+    none = X.bootstrap_interval(spark.createDataFrame(pdf), ("k",), draws=10).first()
+    assert none.ci_lo is None and none.ci_hi is None
 
 
 def test_aggregates_without_rows(spark):
