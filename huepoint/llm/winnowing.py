@@ -7,8 +7,11 @@ many k-word hashes, so equal spans choose an equal one: joining the fingerprints
 those of the benchmark misses no shared span. Each joined fingerprint is extended: the windows around it
 are looked up by their hash and compared word by word with the benchmark's.
 
-The benchmark is the small side: its size is summed first and it is sent to the executors in parts of
-``part_bytes`` at most; with several parts every document is read once for each, and hits are united.
+The benchmark's size is summed first. Up to ``part_bytes`` of distinct texts its index is sent to the
+executors (some 18 bytes a byte of text). A larger one stays a table: only a bitmap of its fingerprints of
+fixed size is sent, which lets nearly no other fingerprint pass; the windows around those that pass are
+joined with the benchmark's windows by 128 bits of hash. Texts aren't moved for that, and a window that
+many documents hold isn't joined in one task.
 
 Null, empty and wordless texts have no words and no hits. Items without words have no window. Equal
 items all count. Rows that repeat an id give a row each. Other columns are ignored.
@@ -17,7 +20,6 @@ items all count. Rows that repeat an id give a row each. Other columns are ignor
 from __future__ import annotations
 
 import hashlib
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from huepoint.llm._store import keyed_join, stash
 from huepoint.llm._words import U64, rolling, values
 
 #: Lower-cases A-Z, keeps 0-9, a-z and all bytes of non-ASCII characters, makes the rest spaces.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-PART_BYTES = 16 << 20
+PART_BYTES = 2 << 20
+BLOCKS, BLOCK_BITS = 256, 1 << 19  # of the bitmap: 16 MB
+SECOND_BASE = 0xD6E8FEB86659FD93  # odd
 OUT = "doc_id long, n_words long, n_hit long, items array<string>"
 
 
@@ -116,68 +121,157 @@ def member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int, k: int, positions: bool) -> DataFrame:
-    """Of one part; with positions, also the hit words, to unite with other parts."""
+def _scan(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int, k: int) -> DataFrame:
+    """With a small benchmark, by its index."""
     sent = docs.sparkSession.sparkContext.broadcast(Index(items, window, k))
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for b in batches:
-            n, hit, names, where = [], [], [], []
+            n, hit, names = [], [], []
             for text in b["text"].to_pylist():
                 mask, found = index.hits(w := values(plain_words(text)))
                 n.append(len(w))
                 hit.append(int(mask.sum()))
                 names.append(sorted(found))
-                where.append(np.flatnonzero(mask).astype(np.uint32).tobytes() if positions else None)
-            cols = {"doc_id": b["doc_id"], "n_words": pa.array(n, pa.int64()), "n_hit": pa.array(hit, pa.int64()), "items": pa.array(names, pa.list_(pa.string()))}
-            yield pa.record_batch(cols | ({"row": b["row"], "hits": pa.array(where, pa.binary())} if positions else {}))
+            yield pa.record_batch({"doc_id": b["doc_id"], "n_words": pa.array(n, pa.int64()), "n_hit": pa.array(hit, pa.int64()), "items": pa.array(names, pa.list_(pa.string()))})
 
-    cols = ["doc_id", F.col("text").cast("binary").alias("text")] + (["row"] if positions else [])
-    return docs.select(*cols).mapInArrow(fn, OUT + (", row string, hits binary" if positions else ""))
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(fn, OUT)
 
 
-def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        hit = [len(np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in each]))) for each in b["hits"].to_pylist()]
-        names = [sorted({x for part in each for x in part}) for each in b["items"].to_pylist()]
-        yield pa.record_batch({"doc_id": b["doc_id"], "n_words": b["n_words"], "n_hit": pa.array(hit, pa.int64()), "items": pa.array(names, pa.list_(pa.string()))})
+class _Benchmark:
+    """Distinct items, and whether their index is small enough to send."""
 
+    def __init__(self, benchmark: DataFrame, part_bytes: int):
+        self.items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text")).distinct()
+        self.small = (self.items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) <= part_bytes
 
-class _Parts:
-    """The benchmark in parts that are small enough to send."""
+    def read(self) -> list[tuple[str, bytes | None]]:
+        """At most part_bytes of texts."""
+        return [(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in self.items.collect()]
+
+
+def _pair(w: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the hash of each window, as signed numbers."""
+    return rolling(w, size).view(np.int64), rolling(w, size, SECOND_BASE).view(np.int64)
+
+
+def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each hash in the bitmap, in one block."""
+    h = h.view(U64)
+    block = (h >> U64(56)).astype(np.int64) * BLOCK_BITS
+    return block + ((h >> U64(37)) & U64(BLOCK_BITS - 1)).astype(np.int64), block + ((h >> U64(18)) & U64(BLOCK_BITS - 1)).astype(np.int64)
+
+
+def _windows(items: DataFrame, window: int, k: int) -> DataFrame:
+    """size, h, h2, item of every window; and rows of size 0 with the hash of every fingerprint (of a short item, its window)."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b["item"].to_pylist(), b["text"].to_pylist()):
+                if not (w := values(plain_words(text))).size:
+                    continue
+                size = min(window, len(w))
+                h, h2 = _pair(w, size)
+                prints = h if size < window else (x := rolling(w, k))[winnow(x, window - k + 1)].view(np.int64)
+                n, m = len(h), len(prints)
+                yield pa.record_batch({"size": pa.array([size] * n + [0] * m, pa.int32()), "h": pa.array(np.concatenate([h, prints])), "h2": pa.array(np.concatenate([h2, np.zeros(m, np.int64)])), "item": pa.array([item] * n + [None] * m, pa.string())})
+
+    return items.mapInArrow(fn, "size int, h long, h2 long, item string").distinct()
+
+
+def _bitmap(windows: DataFrame) -> np.ndarray:
+    """The bits of all fingerprints; BLOCKS rows of BLOCK_BITS / 8 bytes come to the driver, whatever the benchmark."""
+
+    def fn(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BLOCK_BITS, bool)
+        for b in batches:
+            for at in _bits(b["h"].to_numpy()):
+                bits[at % BLOCK_BITS] = True
+        yield pa.record_batch({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    prints = windows.filter("size = 0").select(F.shiftrightunsigned("h", 56).cast("int").alias("block"), "h")
+    out = np.zeros((BLOCKS, BLOCK_BITS // 8), np.uint8)
+    for r in prints.groupBy("block").applyInArrow(fn, "block int, bits binary").collect():
+        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _row_key(docs: DataFrame) -> Column:
+    """Tells rows of other ids or texts apart; equal rows share it."""
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
+def _candidates(docs: DataFrame, windows: DataFrame, window: int, k: int) -> DataFrame:
+    """row, doc_id, n_words, found: the windows at a fingerprint that passes the bitmap."""
+    sizes = [r["size"] for r in windows.filter("size > 0").select("size").distinct().collect()]  # at most ``window``
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(windows))
+
+    def member_bits(h: np.ndarray) -> np.ndarray:
+        a, b = _bits(h)
+        on = lambda at: sent.value[at >> 3] >> (7 - (at & 7)) & 1
+        return (on(a) & on(b)).astype(bool)
+
+    def places(w: np.ndarray, size: int) -> np.ndarray:
+        if size < window:
+            return np.flatnonzero(member_bits(rolling(w, size)))
+        h = rolling(w, k)
+        at = winnow(h, size - k + 1)
+        at = at[member_bits(h[at])]
+        at = np.unique((at[:, None] - np.arange(size - k + 1)[None, :]).ravel())
+        return at[(at >= 0) & (at <= len(w) - size)]
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, found = [], []
+            for text in b["text"].to_pylist():
+                w, own = values(plain_words(text)), []
+                for size in sizes:
+                    if len(w) >= size and len(at := places(w, size)):
+                        h, h2 = _pair(w, size)
+                        own += [{"size": size, "start": int(i), "h": int(h[i]), "h2": int(h2[i])} for i in at]
+                n.append(len(w))
+                found.append(own)
+            kind = pa.list_(pa.struct([("size", pa.int32()), ("start", pa.int64()), ("h", pa.int64()), ("h2", pa.int64())]))
+            yield pa.record_batch({"row": b["row"], "doc_id": b["doc_id"], "n_words": pa.array(n, pa.int64()), "found": pa.array(found, kind)})
+
+    rows = docs.select(_row_key(docs).alias("row"), "doc_id", F.col("text").cast("binary").alias("text"))
+    return stash(rows.mapInArrow(fn, "row string, doc_id long, n_words long, found array<struct<size: int, start: long, h: long, h2: long>>"))
 
-    def __init__(self, benchmark: DataFrame, part_bytes: int):
-        self.items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text"))
-        size = self.items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-        self.count = max(1, math.ceil(size / part_bytes))
 
-    def read(self, p: int) -> list[tuple[str, bytes | None]]:
-        """About part_bytes of texts."""
-        part = self.items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(self.count)) == p)
-        return [(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in part.collect()]
+def _joined(scanned: DataFrame, windows: DataFrame) -> DataFrame:
+    """row, start, size, h, h2 of the candidates that are windows of the benchmark."""
+    key = ["size", "h", "h2"]
+    rows = stash(scanned.filter(F.size("found") > 0).select("row", "found").dropDuplicates(["row"]).select("row", F.explode("found").alias("x")).select("row", "x.*"))
+    known = windows.filter("size > 0").select(*key).distinct()
+    return stash(keyed_join(rows, stash(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).join(known, key)), key, "rows", rows.count()))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items: the ids (as strings, sorted) of the items with windows in the text."""
-    parts = _Parts(benchmark, part_bytes)
-    if parts.count == 1:
-        return _scan(docs, parts.read(0), window, k, False)
-    docs = docs.select("doc_id", "text").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("rows")).withColumn("row", F.sha2(F.to_json(F.struct("doc_id", "text")), 256))
-    found = None
-    for p in range(parts.count):
-        one = _scan(docs, parts.read(p), window, k, True)
-        found = one if found is None else found.unionByName(one)
-    merged = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items")).join(docs.select("row", "rows"), "row")
-    return merged.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select("doc_id", "n_words", "hits", "items").mapInArrow(_unite, OUT)
+    bench = _Benchmark(benchmark, part_bytes)
+    if bench.small:
+        return _scan(docs, bench.read(), window, k)
+    windows = stash(_windows(bench.items, window, k))
+    scanned = _candidates(docs, windows, window, k)
+    hits = _joined(scanned, windows)
+    # words covered by the windows, in order of their starts
+    step = lambda s, x: F.struct(F.greatest(s["end"], x["start"] + x["size"]).alias("end"), (s["n"] + F.greatest(F.lit(0).cast("long"), x["start"] + x["size"] - F.greatest(s["end"], x["start"]))).alias("n"))
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    covered = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.col("size").cast("long").alias("size")))).alias("x")).select("row", F.aggregate("x", zero, step)["n"].alias("n_hit"))
+    named = hits.select("row", "size", "h", "h2").distinct().join(windows.filter("size > 0"), ["size", "h", "h2"]).groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    out = scanned.select("row", "doc_id", "n_words").join(covered.join(named, "row"), "row", "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, part_bytes: int = PART_BYTES) -> DataFrame:
-    """The rows of ``docs`` without any window of the benchmark, in one pass for each part of it; only texts go to Python."""
-    parts = _Parts(benchmark, part_bytes)
-    for p in range(parts.count):
-        docs = docs.filter(_without_hits(docs, Index(parts.read(p), window, k)))
-    return docs
+    """The rows of ``docs`` without any window of the benchmark."""
+    bench = _Benchmark(benchmark, part_bytes)
+    if bench.small:
+        return docs.filter(_without_hits(docs, Index(bench.read(), window, k)))
+    windows = stash(_windows(bench.items, window, k))
+    gone = stash(_joined(_candidates(docs, windows, window, k), windows).select(F.col("row").alias("__gone")).distinct())
+    return docs.join(gone, _row_key(docs) == F.col("__gone"), "left_anti")
 
 
 def _without_hits(docs: DataFrame, index: Index) -> Column:

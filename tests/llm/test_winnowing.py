@@ -66,3 +66,18 @@ def test_empty_tables_repeats_and_clashing_columns(spark):
     some = spark.createDataFrame([(1, "Y", 1)], "item_id long, text string, doc_id int")
     assert [(r.n_hit, r["items"]) for r in winnowing.contamination(d, some).collect()] == [(1, ["1"])] * 3
     assert winnowing.contamination(d.limit(0), some).count() == 0
+
+
+def test_a_large_benchmark_stays_a_table(spark):
+    """Beyond part_bytes: repeated rows, nulls and no hits as before; the pipeline's filter agrees; texts meet no exchange."""
+    docs, items = corpus(3)
+    d, b = spark.createDataFrame(docs + [(95, docs[0][1]), (None, docs[0][1])], "doc_id long, text string"), spark.createDataFrame(items * 2, "item_id long, text string")
+    key = lambda r: (str(r.doc_id), r.n_words, r.n_hit, r["items"])
+    small, large = (sorted(map(key, winnowing.contamination(d, b, part_bytes=n).collect())) for n in (winnowing.PART_BYTES, 1))
+    assert small == large and len(large) == len(docs) + 2
+    kept = [sorted((str(r.doc_id), r.text or "") for r in winnowing.uncontaminated(d, b, part_bytes=n).collect()) for n in (winnowing.PART_BYTES, 1)]
+    assert kept[0] == kept[1] and len(kept[0]) == sum(x[2] == 0 for x in small)
+    windows = winnowing._windows(winnowing._Benchmark(b, 1).items, 10, 5).cache()
+    assert winnowing._bitmap(windows).nbytes == winnowing.BLOCKS * winnowing.BLOCK_BITS // 8
+    scan = winnowing._candidates(d, windows, 10, 5)
+    assert "text" not in scan.columns and winnowing._joined(scan, windows).columns == ["size", "h", "h2", "row", "start"]
