@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -123,3 +124,45 @@ def test_rare_and_short_terms_of_large_samples(spark):
     assert [bool(s.match(w)) for w in ("scum", "scvm", "sccum", "scuum", "slum", "scu", "word")] == [True, True, True, True, False, False, False]
     many = T.lexicon([(f"w{i}x", 0, 5, 0) for i in range(2500)])
     assert len(many[0]) == 2500
+
+
+def plain_features(scorer, text):
+    """The features by their definition: every hit against every quotation and every other hit."""
+    words = text.split()
+    codes = [scorer.code(w) for w in words]
+    spans, start = [], None
+    for i, c in enumerate(codes):
+        if c & 28:
+            if start is not None and c & 24:
+                spans.append((start, i))
+                start = None
+            elif c & 20:
+                start = i
+    spans = [(a, b) for a, b in spans if b - a <= 4 * T.WINDOW]
+    hits = [i for i, c in enumerate(codes) if c & 3]
+    quoted = [i for i in hits if any(a <= i <= b for a, b in spans)]
+    direct = [i for i in hits if i not in set(quoted)]
+    best = max((sum(abs(i - j) <= T.WINDOW for j in direct) - sum(abs(i - j) <= T.WINDOW for j in quoted) for i in direct), default=0)
+    kinds = [sum(codes[i] & 3 == k for i in direct) for k in (T.EXACT, T.STEM, T.FUZZY)]
+    share = 1000 * len(direct) / len(words) if hits else 0
+    return [math.log1p(x) for x in (*kinds, len(quoted), max(0, best), share)]
+
+
+@pytest.mark.parametrize("hits", [0, 1, 10, 130, 1000, 5000])
+def test_features_equal_their_definition(hits):
+    r = random.Random(hits)
+    scorer = T.Scorer(T.Model(["idiot", "moron", "dumb"], ["stupid"]))
+    words = [r.choice(["plain", "words", "of", "a", "text", "house"]) for _ in range(6000 - hits)]
+    for _ in range(hits):
+        words.insert(r.randrange(len(words)), r.choice(["idiot", "idi0t", "stupidly", "Moron!", "dummb", '"idiot"']))
+    for _ in range(40):
+        words[r.randrange(len(words))] += r.choice(['"', "”", "“", "«"])
+    text = " ".join(words).encode()
+    assert scorer.features(text) == pytest.approx(plain_features(scorer, text))
+
+
+def test_a_burst_counts_alike_wherever_it_stands():
+    scorer = T.Scorer(T.Model(["idiot"], []))
+    scattered = (["plain"] * 60 + ["idiot"]) * 2000
+    got = {scorer.features(" ".join([*scattered[:at], *["idiot"] * 12, *scattered[at:]]).encode())[4] for at in range(61_025, 61_035)}  # too far from the scattered ones to count any
+    assert len(got) == 1
