@@ -65,6 +65,12 @@ def confusion(df: DataFrame, truth: str, predicted: str, classes: Sequence) -> D
     return table.select(truth, *[(F.coalesce(F.col(str(c)), F.lit(0)) / total).alias(f"p{c}") for c in classes])
 
 
+def accuracy(df: DataFrame, truth: str, predicted: str, key: Sequence[str] = KEY) -> DataFrame:
+    """One row: objects, points, the share of right points of all (``by_point``) and the mean of each object's share (``by_object``)."""
+    each = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(truth) == F.col(predicted), 1).otherwise(0)).alias("right"))
+    return each.agg(F.count(F.lit(1)).alias("objects"), F.sum("n").alias("points"), (F.sum("right") / F.sum("n")).alias("by_point"), F.avg(F.col("right") / F.col("n")).alias("by_object"))
+
+
 def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """class, support, precision, recall, f1, error_rate."""
     both = F.explode(F.array_distinct(F.array(truth, predicted))).alias("class")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from huepoint.functions.maths import half_even
+from huepoint.functions.maths import half_even, uniform
 from huepoint.operators import nn
 
 KEY, XYZ = ("object_id",), ("x", "y", "z")
@@ -72,6 +73,20 @@ def sweep(df: DataFrame, views: Sequence[Sequence[float]], difficulties: Sequenc
     return crop(rows, [F.col(f"v{c}") for c in XYZ], F.col("ratio"), [*key, "difficulty", "view"]).drop("vx", "vy", "vz")
 
 
+def seeded_viewpoint(*keys: str | Column, seed: int = 0) -> list[Column]:
+    """A normal direction drawn from a hash of the keys; each coordinate by Box and Muller's rule."""
+    u = lambda i: uniform(*keys, F.lit(i), seed=seed)
+    return [F.sqrt(-2 * F.log(1 - u(2 * i))) * F.cos(2 * math.pi * u(2 * i + 1)) for i in range(3)]
+
+
+def seeded_sweep(df: DataFrame, views: int, difficulties: Sequence[tuple[str, float]] = DIFFICULTIES, key: Sequence[str] = KEY, seed: int = 0) -> DataFrame:
+    """Crops of every object by each difficulty and ``views`` viewpoints of its own, the same in every run."""
+    grid = F.explode(F.array(*[F.struct(F.lit(n).alias("difficulty"), F.lit(float(r)).alias("ratio"), F.lit(v).alias("view")) for n, r in difficulties for v in range(views)]))
+    rows = df.withColumn("__g", grid).select("*", "__g.*").drop("__g")
+    drawn = dict(zip(("vx", "vy", "vz"), seeded_viewpoint(*key, "difficulty", "view", seed=seed)))
+    return crop(rows.withColumns(drawn), [F.col(c) for c in drawn], F.col("ratio"), [*key, "difficulty", "view"]).drop(*drawn)
+
+
 def signed_permutations() -> list[tuple[tuple[int, int, int], tuple[int, int, int]]]:
     """The 48 axis orders with signs, in a fixed order."""
     return [(p, s) for p in itertools.permutations(range(3)) for s in itertools.product((1, -1), repeat=3)]

@@ -186,3 +186,9 @@ def pointwise(pred: DataFrame, ref: DataFrame, key: Sequence[str] = KEY) -> Data
     j = j.withColumns({"mae": sum((F.abs(x) for x in err), F.lit(0.0)) / 3, "mse": sum((x * x for x in err), F.lit(0.0)) / 3, "de76": F.sqrt(sum((F.pow(F.col(f"p_{c}") - F.col(f"t_{c}"), F.lit(2.0)) for c in LAB), F.lit(0.0)))})
     out = j.groupBy(*key).agg(F.avg("mae").alias("rgb_mae"), F.avg("mse").alias("rgb_mse"), F.avg("de76").alias("de76"), F.percentile("de76", 0.95).alias("de76_p95"), F.avg("de00").alias("de00"))
     return out.withColumn("psnr", 10 * F.log10(1 / F.greatest("rgb_mse", F.lit(1e-12))))
+
+
+def squared_error(df: DataFrame, predicted: Sequence[str], wanted: Sequence[str], key: Sequence[str] = ("object_id",)) -> DataFrame:
+    """key, mse: mean squared difference of predicted and wanted noise over an object's points and channels."""
+    each = sum((F.pow(F.col(p) - F.col(w), F.lit(2.0)) for p, w in zip(predicted, wanted)), F.lit(0.0)) / len(predicted)
+    return df.groupBy(*key).agg(F.avg(each).alias("mse"))

@@ -46,3 +46,10 @@ def validation_bank(objects: DataFrame, steps: int, strata: int, id_: str = "obj
 def summary(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """n, and mean and population spread of each value."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{n}") for c in values for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
+
+
+def reindexed(df: DataFrame, column: str, order: Sequence) -> DataFrame:
+    """A row (or all rows) of each declared value with its ``place``, nulls where ``df`` has none; other values go."""
+    kind = df.schema[column].dataType
+    declared = F.explode(F.array(*[F.struct(F.lit(v).cast(kind).alias(column), F.lit(i).alias("place")) for i, v in enumerate(order)])).alias("x")
+    return df.sparkSession.range(1).select(declared).select("x.*").join(df, column, "left")

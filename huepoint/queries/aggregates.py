@@ -169,3 +169,9 @@ def overall_and_by_category(spark, sf_dir):
 @query("channel_summary", f"WITH {CLOUD} " + " UNION ALL ".join(f"SELECT '{c}' AS channel, {r6(f'min({c}) AS lo', f'max({c}) AS hi', f'avg({c}) AS mean', f'stddev_pop({c}) AS std')} FROM cloud" for c in RGB))
 def channel_summary(spark, sf_dir):
     return six(A.described(cloud(spark, sf_dir), RGB))
+
+
+@query("accuracy", f"WITH {CLOUD}, e AS (SELECT object_id, count(*) AS n, sum(CASE WHEN part = CASE WHEN point_id % 3 = 0 THEN part + 1 ELSE part END THEN 1 ELSE 0 END) AS ok FROM cloud GROUP BY 1) SELECT count(*) AS objects, sum(n)::BIGINT AS points, {r6('sum(ok) / sum(n) AS by_point', 'avg(ok / n) AS by_object')} FROM e")
+def accuracy(spark, sf_dir):
+    guess = cloud(spark, sf_dir).withColumn("guess", F.when(F.col("point_id") % 3 == 0, F.col("part") + 1).otherwise(F.col("part")))
+    return six(A.accuracy(guess, "part", "guess"))

@@ -172,3 +172,16 @@ def surface_samples(spark, sf_dir):
 )
 def relative_edges(spark, sf_dir):
     return six(G.relative_edges(cloud(spark, sf_dir), 4).drop("rank"))
+
+
+_N = lambda i: "sqrt(-2 * ln(1 - {})) * cos(2 * pi() * {})".format(*(f"('0x' || substr(md5(concat_ws(':', '0', object_id, difficulty, view, {j})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE" for j in (2 * i, 2 * i + 1)))
+
+
+@query(
+    "seeded_crop_sweep",
+    f"""WITH {UNIT}, g AS (SELECT *, {_N(0)} AS vx, {_N(1)} AS vy, {_N(2)} AS vz FROM unit, (VALUES ('simple', 0.25), ('moderate', 0.5), ('hard', 0.75)) d(difficulty, ratio), range(2) v(view)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY object_id, difficulty, view ORDER BY power(ux - vx / sqrt(vx * vx + vy * vy + vz * vz), 2) + power(uy - vy / sqrt(vx * vx + vy * vy + vz * vz), 2) + power(uz - vz / sqrt(vx * vx + vy * vy + vz * vz), 2), point_id) AS k, count(*) OVER (PARTITION BY object_id, difficulty, view) AS n FROM g)
+    SELECT object_id, difficulty, view, point_id FROM r WHERE k <= round_even(n * ratio, 0)""",
+)
+def seeded_crop_sweep(spark, sf_dir):
+    return G.seeded_sweep(cloud(spark, sf_dir), 2).filter("is_missing").select("object_id", "difficulty", F.col("view").cast("long").alias("view"), "point_id")

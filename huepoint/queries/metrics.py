@@ -302,3 +302,7 @@ def fps_regions(spark, sf_dir):
     c = cloud(spark, sf_dir)
     return M.regions(c, sampling.fps(c, 8)).select("object_id", "point_id", "cell")
 
+
+@query("noise_squared_error", f"WITH {CLOUD} SELECT object_id, {r6('avg((power(r - x, 2) + power(g - y, 2) + power(b - z, 2)) / 3) AS mse')} FROM cloud GROUP BY 1")
+def noise_squared_error(spark, sf_dir):
+    return six(M.squared_error(cloud(spark, sf_dir), ("r", "g", "b"), ("x", "y", "z")))

@@ -73,3 +73,9 @@ def validation_bank(spark, sf_dir):
 @query("sweep_summary", f"WITH {EVAL} SELECT difficulty, count(*) AS n, {r6('avg(metric) AS metric_mean', 'stddev_pop(metric) AS metric_std')} FROM ev GROUP BY 1")
 def sweep_summary(spark, sf_dir):
     return six(tables.summary(eval_rows(spark, sf_dir), ("difficulty",), ("metric",)))
+
+
+@query("reindexed_rows", f"WITH {EVAL}, m AS (SELECT difficulty, avg(metric) AS v FROM ev GROUP BY 1) SELECT difficulty, place, {r6('v')} FROM (VALUES ('1-URGENT', 0), ('none', 1), ('5-LOW', 2)) o(difficulty, place) LEFT JOIN m USING (difficulty)")
+def reindexed_rows(spark, sf_dir):
+    m = eval_rows(spark, sf_dir).groupBy("difficulty").agg(F.avg("metric").alias("v"))
+    return six(tables.reindexed(m, "difficulty", ("1-URGENT", "none", "5-LOW")))

@@ -131,3 +131,8 @@ def partial_pairs(files: DataFrame) -> DataFrame:
     base = F.regexp_replace("object_id", "_missing$", "")
     g = files.groupBy(base.alias("object_id")).agg(F.sum((~is_missing).cast("long")).alias("partials"), F.sum(is_missing.cast("long")).alias("missings"))
     return g.withColumn("whole", (F.col("partials") == 1) & (F.col("missings") == 1))
+
+
+def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV with a header, read with the schema that it must have; no pass to guess types, bad cells are null."""
+    return spark.read.csv(path, schema=schema, header=True, enforceSchema=False, mode="PERMISSIVE")

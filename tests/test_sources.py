@@ -164,3 +164,11 @@ def test_surface_samples_lie_on_the_surface(spark):
     t = spark.createDataFrame([(0, 0, 0.0, 0.0, 1.0, 1.0, 0.0, 1.0, 0.0, 1.0, 1.0)], "object_id long, face_id long, " + ", ".join(f"{v}{c} double" for v in "abc" for c in "xyz"))
     p = surface_samples(t, 100).toPandas()
     assert (p.z == 1).all() and (p.x + p.y <= 1 + 1e-12).all() and len(p) == 100
+
+
+def test_csv_with_its_schema(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("name,v\na,1.5\nb,\nc,bad\n")
+    from huepoint.sources import textual
+
+    got = textual.csv_table(spark, f"{tmp_path}/t.csv", "name string, v double")
+    assert got.dtypes == [("name", "string"), ("v", "double")] and sorted((r.name, r.v) for r in got.collect()) == [("a", 1.5), ("b", None), ("c", None)]
