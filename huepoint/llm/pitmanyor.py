@@ -17,7 +17,7 @@ the parent, and answers. A pair that occurs once has one table and is drawn no m
 tell all chunks that hold a pair the sum of its tables over the kept states. All draws come from hashes of
 the pair and the sweep, so that a rerun, on other partitions too, gives the same.
 
-Words and pairs are 64-bit hashes, told apart in their bucket by 6 bytes: by 52 bits at half a gigabyte,
+Words and pairs are 64-bit hashes. Pairs are told apart in their bucket by 6 bytes: by 52 bits at half a gigabyte,
 one more for each doubling, all 64 from about 2 TB on. Up to there less than one pair in a corpus is
 expected to share another's count.
 
@@ -300,7 +300,7 @@ def scored(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, fold
     """
     layout = X.Layout(docs)
     parts = X.dealt(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lambda batches: chunked(batches, CHUNK_BYTES), SIZED), layout.partitions, "chunk")
-    words, pairs = layout.spread(0.04, 6), layout.spread(0.12, 6)
+    words, pairs = layout.spread(0.04), layout.spread(0.12, 6)
     kept = list(range(burn_in, burn_in + samples))
     last = burn_in + samples + 1  # one more sweep: its exchange tells how many tables the parent had in the last kept state
 

@@ -78,7 +78,7 @@ def test_least_tells_keys_apart_by_their_second_half(spark, spread):
         assert got.tolist() == [int(least[a, b] < x) for a, b, x in zip(k.tolist(), h.tolist(), v.tolist())]
 
 
-@pytest.mark.parametrize("near,far", [(4, 1), (3, 4)])
+@pytest.mark.parametrize("near,far", [(3, 4)])
 def test_answers_do_not_depend_on_the_layout(spark, monkeypatch, near, far):
     """The three operators over many chunks and buckets, in one hop and in two, as over one chunk."""
     from huepoint.llm import jaccard, pitmanyor, recompression
@@ -86,9 +86,9 @@ def test_answers_do_not_depend_on_the_layout(spark, monkeypatch, near, far):
     r = np.random.default_rng(7)
     words = [f"w{i}" for i in range(300)]
     passage = " ".join(r.choice(words, 60))
-    texts = [" ".join(r.choice(words, int(r.choice([3, 80, 200])))) + (" " + passage if r.random() < 0.3 else "") for _ in range(120)]
-    texts += [t + " more" for t in texts[:40]]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6).cache()
+    texts = [" ".join(r.choice(words, int(r.choice([3, 80, 200])))) + (" " + passage if r.random() < 0.3 else "") for _ in range(80)]
+    texts += [t + " more" for t in texts[:25]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
     ops = [recompression.remove_repeats, jaccard.similar_documents, lambda d: pitmanyor.scored(d, 1, 1)]
     wide = [sorted(map(str, (tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in op(docs).collect()))) for op in ops]
     monkeypatch.setattr(X, "CHUNK_BYTES", 3000)
