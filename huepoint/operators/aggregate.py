@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from huepoint.operators import ordered
+
 KEY, RGB = ("object_id",), ("r", "g", "b")
 
 
@@ -85,8 +87,12 @@ def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def roc_auc(df: DataFrame, label: str, score: str, key: Sequence[str] = ()) -> DataFrame:
     """Area under the curve from counts by score, ties shared; nulls where a class is missing."""
     by = df.groupBy(*key, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    area = by.withColumn("area", F.col("p") * (below + F.col("n") / 2))
+    if key:
+        below = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        by = by.withColumn("below", below)
+    else:
+        by = ordered.earlier(by, F.col("n"), [score], "below")
+    area = by.withColumn("area", F.col("p") * (F.col("below") + F.col("n") / 2))
     return area.groupBy(*key).agg((F.sum("area") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 
@@ -106,9 +112,7 @@ def margin_bins(df: DataFrame, baseline: str, ceiling: str, method: str, edges:
 
 def overall_and_by(df: DataFrame, over: str, by: str, value: str) -> DataFrame:
     """Means by ``over`` alone (``by`` null) and by both, in one pass."""
-    view = f"__sets_{abs(hash((over, by, value)))}"
-    df.select(over, by, value).createOrReplaceTempView(view)
-    return df.sparkSession.sql(f"SELECT {over}, {by}, avg({value}) AS mean, count({value}) AS n FROM {view} GROUP BY GROUPING SETS (({over}), ({over}, {by}))")
+    return df.groupingSets([[over], [over, by]], over, by).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
 def described(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from huepoint.functions.maths import uniform
+from huepoint.operators import ordered
 
 KEY, XYZ = ("object_id",), ("x", "y", "z")
 
@@ -107,10 +108,28 @@ def keep_then_pad(df: DataFrame, n: int, key: Sequence[str] = KEY, seed: int = 0
 
 def ranked_split(df: DataFrame, order: Sequence[str], share: float, key: Sequence[str] = (), tail: bool = True) -> DataFrame:
     """``df`` with ``held_out``: the last (or first) max(1, floor(n * share)) rows of each group by order."""
-    w = Window.partitionBy(*key)
-    n = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) * share))
-    keys = [F.desc(c) for c in order] if tail else list(order)
-    return df.withColumn("held_out", F.row_number().over(w.orderBy(*keys)) <= n)
+    rows = ordered.placed(ordered.counted(df, "__all", key), order, "__at", key)
+    n = F.greatest(F.lit(1), F.floor(F.col("__all") * share))
+    return rows.withColumn("held_out", F.col("__at") >= F.col("__all") - n if tail else F.col("__at") < n).drop("__all", "__at")
+
+
+def counted_split(df: DataFrame, id_: str, train: int, validation: int, seed: int | None = None) -> DataFrame:
+    """``df(id_, ...)`` with ``split``: the first ``train`` rows by id (with ``seed``: by hash), then ``validation``; the rest goes.
+
+    Both are exact. A table of fewer rows than both together raises an error when it is read; an empty one gives none.
+    """
+    hashed = df if seed is None else df.withColumn("__u", uniform(id_, seed=seed))
+    rows = ordered.placed(ordered.counted(hashed, "__all"), [id_] if seed is None else ["__u", id_], "__at")
+    need = train + validation
+    enough = F.when(F.col("__all") >= need, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{need} rows are needed, there are "), F.col("__all").cast("string"))).cast("boolean"))
+    split = F.when(F.col("__at") < train, "train").otherwise("validation")
+    return rows.filter(enough & (F.col("__at") < need)).withColumn("split", split).drop("__all", "__at", "__u")
+
+
+def chosen(df: DataFrame, n: int, key: str = "object_id", seed: int = 42) -> DataFrame:
+    """All rows of n whole objects, the first in hash order (all objects where there are no more)."""
+    picks = df.select(key).distinct().orderBy(uniform(key, seed=seed), key).limit(n)
+    return df.join(picks, key, "left_semi")
 
 
 def hash_split(df: DataFrame, id_: str, share: float, seed: int = 0) -> DataFrame:
@@ -124,5 +143,5 @@ def limited(df: DataFrame, order: Sequence[str], n: int, key: Sequence[str]) ->
 
 def batches(df: DataFrame, id_: str, size: int, epoch: int, key: Sequence[str] = ()) -> DataFrame:
     """Shuffled batches of an epoch: ``batch`` numbers by hash order."""
-    w = Window.partitionBy(*key).orderBy(uniform(id_, seed=epoch), id_)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    rows = ordered.placed(df.withColumn("__u", uniform(id_, seed=epoch)), ["__u", id_], "__at", key)
+    return rows.withColumn("batch", F.floor(F.col("__at") / size)).drop("__u", "__at")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huepoint.functions.maths import uniform
+from huepoint.operators import ordered
 
 
 def paired(df: DataFrame, base: str, other: str, obj: str = "obj", method: str = "method", value: str = "metric", key: Sequence[str] = ()) -> DataFrame:
@@ -93,6 +94,9 @@ def bootstrap_interval(pairs: DataFrame, key: Sequence[str], direction: str = "l
     return each.groupBy(*key).agg(*[F.when(enough, F.percentile("x", p)).alias(name) for p, name in zip(PERCENTILES, ("ci_lo", "ci_hi"))])
 
 
+#: Fixed value: the pairs that a signed-rank p needs; fewer have none.
+LEAST_SIGNED = 6
+
 SIGNED = "n long, statistic double, wilcoxon_p double"
 
 
@@ -101,6 +105,7 @@ def compared(pairs: DataFrame, key: Sequence[str], direction: str = "lower", dra
 
     def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         w, p = wilcoxon(pdf["a"].to_numpy(float), pdf["b"].to_numpy(float))
+        p = p if len(pdf) >= LEAST_SIGNED else math.nan
         return pd.DataFrame([[*k, len(pdf), w, p]], columns=[*key, "n", "statistic", "wilcoxon_p"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*key).schema)
@@ -122,8 +127,10 @@ def vote(results: DataFrame, key: Sequence[str], least: int = 2) -> DataFrame:
 
 def ranked(df: DataFrame, column: str, out: str, key: Sequence[str] = ()) -> DataFrame:
     """Adds average ranks (ties share their mean)."""
-    w = Window.partitionBy(*key)
-    return df.withColumn(out, F.rank().over(w.orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*key, column)) - 1) / 2)
+    if key:
+        return df.withColumn(out, F.rank().over(Window.partitionBy(*key).orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*key, column)) - 1) / 2)
+    by = ordered.value_counts(df, column, out="__n", before="__b").select(F.col(column).alias("__v"), (F.col("__b") + (F.col("__n") + 1) / 2).alias(out))
+    return df.join(by, F.col(column).eqNullSafe(F.col("__v"))).drop("__v")
 
 
 def correlations(df: DataFrame, x: str, y: str, key: Sequence[str] = ()) -> DataFrame:
@@ -132,6 +139,25 @@ def correlations(df: DataFrame, x: str, y: str, key: Sequence[str] = ()) -> Data
     return r.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson"), F.corr("__rx", "__ry").alias("spearman"))
 
 
+def with_p(df: DataFrame, correlation: str, n: str, out: str) -> DataFrame:
+    """``df(correlation, n)`` with the correlation's two-sided p; null below three rows or without a correlation."""
+
+    @F.pandas_udf("double")
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([correlation_p(x, int(m)) if x == x and m == m else math.nan for x, m in zip(r.astype(float), n.astype(float))], dtype=float)
+
+    return df.withColumn(out, F.nanvl(p(correlation, n), F.lit(None).cast("double")))
+
+
+def bars(df: DataFrame, value: str, key: Sequence[str], obj: str = "obj", draws: int = 2000, seed: int = 0, least: int = 3) -> DataFrame:
+    """key, n, mean of the objects' means, and how far its bootstrap interval reaches below and above; keys of ``least`` objects or more."""
+    per = df.groupBy(*key, F.col(obj).alias("obj")).agg(F.avg(value).alias("a")).dropna(subset=["a"]).withColumn("b", F.lit(0.0))
+    mean = per.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean")).filter(F.col("n") >= least)
+    lo, hi = (F.percentile("a", p) for p in PERCENTILES)
+    ends = resampled(per, key, draws, seed).groupBy(*key).agg(lo.alias("__lo"), hi.alias("__hi"))
+    return mean.join(ends, list(key)).select(*key, "n", "mean", (F.col("mean") - F.col("__lo")).alias("below"), (F.col("__hi") - F.col("mean")).alias("above"))
+
+
 def correlation_p(r: float, n: int) -> float:
     """Two-sided p of a correlation by Student's t, from the continued fraction of the incomplete beta function."""
     if n < 3 or not -1 < r < 1:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from huepoint.operators import stats as X
 from huepoint.queries._registry import query, r6, six
-from huepoint.views import EVAL, eval_rows
+from huepoint.views import EVAL, eval_rows, table
 
 PAIRS = f"""{EVAL}, pr AS (SELECT difficulty, obj, avg(metric) FILTER (method = 'N') AS a, avg(metric) FILTER (method = 'R') AS b FROM ev GROUP BY 1, 2), p AS (SELECT * FROM pr WHERE a IS NOT NULL AND b IS NOT NULL)"""
 
@@ -105,3 +105,29 @@ def metric_vote(spark, sf_dir):
     rows = eval_rows(spark, sf_dir)
     of = lambda m, direction: X.compared(X.paired(rows, "N", "R", value=m, key=("difficulty",)), ("difficulty",), direction, 500).select("difficulty", "verdict")
     return X.vote(of("metric", "lower").unionByName(of("other", "higher")), ("difficulty",))
+
+
+@query("correlation_p")
+def correlation_p(spark, sf_dir):
+    c = X.correlations(pairs(spark, sf_dir), "a", "b", ("difficulty",))
+    return six(X.with_p(X.with_p(c, "pearson", "n", "pearson_p"), "spearman", "n", "spearman_p"))
+
+
+@query(
+    "spearman_of_table",
+    "WITH r AS (SELECT rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS x, rank() OVER (ORDER BY doc_id) AS y FROM documents WHERE n_chars IS NOT NULL) SELECT count(*) AS n, " + r6("corr(x, y) AS spearman") + " FROM r",
+)
+def spearman_of_table(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return six(X.correlations(d, "n_chars", "doc_id").select("n", "spearman"))
+
+
+@query(
+    "bootstrap_bars",
+    f"""WITH {EVAL}, per AS (SELECT method, obj, avg(metric) AS a FROM ev GROUP BY 1, 2), placed AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY obj) - 1 AS place, count(*) OVER (PARTITION BY method) AS n FROM per),
+    picks AS (SELECT method, draw, floor({U(0, 'draw', 'place')} * n)::BIGINT AS place FROM placed, range(500) r(draw)), drawn AS (SELECT method, draw, avg(a) AS a FROM picks JOIN placed USING (method, place) GROUP BY 1, 2),
+    m AS (SELECT method, count(*) AS n, avg(a) AS mean FROM per GROUP BY 1 HAVING count(*) >= 3), e AS (SELECT method, quantile_cont(a, 0.025) AS lo, quantile_cont(a, 0.975) AS hi FROM drawn GROUP BY 1)
+    SELECT method, n, {r6('mean', 'mean - lo AS below', 'hi - mean AS above')} FROM m JOIN e USING (method)""",
+)
+def bootstrap_bars(spark, sf_dir):
+    return six(X.bars(eval_rows(spark, sf_dir), "metric", ("method",), draws=500))

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from huepoint.operators import sampling as S
-from huepoint.operators import schedules
+from huepoint.operators import ordered, schedules
 from huepoint.queries._registry import query, r6, six
 from huepoint.views import CLOUD, EVAL, cloud, eval_rows, table
 
@@ -65,7 +65,8 @@ def ema(spark, sf_dir):
 @query("metric_rank", f"WITH {EVAL}, m AS (SELECT obj, avg(metric) AS v FROM ev GROUP BY 1) SELECT obj, rank() OVER (ORDER BY v) AS low, rank() OVER (ORDER BY v DESC) AS high FROM m")
 def metric_rank(spark, sf_dir):
     m = eval_rows(spark, sf_dir).groupBy("obj").agg(F.avg("metric").alias("v"))
-    return six(m.select("obj", F.rank().over(Window.orderBy("v")).alias("low"), F.rank().over(Window.orderBy(F.desc("v"))).alias("high")))
+    by = ordered.value_counts(m, "v").crossJoin(F.broadcast(m.agg(F.count(F.lit(1)).alias("all"))))  # one row
+    return six(m.join(by, "v").select("obj", (F.col("before") + 1).alias("low"), (F.col("all") - F.col("before") - F.col("n") + 1).alias("high")))
 
 
 @query("difficulty_order", f"WITH {EVAL}, m AS (SELECT difficulty, avg(metric) AS v FROM ev GROUP BY 1) SELECT difficulty, {r6('v')}, row_number() OVER (ORDER BY CASE difficulty WHEN '5-LOW' THEN 0 WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END, difficulty) AS place FROM m")
@@ -136,3 +137,28 @@ def hash_split(spark, sf_dir):
 @query("epoch_batches", f"WITH {CLOUD} SELECT object_id, point_id, (row_number() OVER (PARTITION BY object_id ORDER BY {U(2, 'point_id')}, point_id) - 1) // 16 AS batch FROM cloud")
 def epoch_batches(spark, sf_dir):
     return S.batches(cloud(spark, sf_dir), "point_id", 16, 2, ("object_id",)).select("object_id", "point_id", "batch")
+
+
+@query("counted_split", f"WITH {CLOUD}, k AS (SELECT point_id, row_number() OVER (ORDER BY point_id) AS k FROM cloud) SELECT point_id, CASE WHEN k <= 150 THEN 'train' ELSE 'validation' END AS split FROM k WHERE k <= 190")
+def counted_split(spark, sf_dir):
+    return S.counted_split(cloud(spark, sf_dir).select("point_id"), "point_id", 150, 40)
+
+
+@query("permuted_split", f"WITH {CLOUD}, k AS (SELECT point_id, row_number() OVER (ORDER BY {U(42, 'point_id')}, point_id) AS k FROM cloud) SELECT point_id, CASE WHEN k <= 150 THEN 'train' ELSE 'validation' END AS split FROM k WHERE k <= 190")
+def permuted_split(spark, sf_dir):
+    return S.counted_split(cloud(spark, sf_dir).select("point_id"), "point_id", 150, 40, seed=42)
+
+
+@query("chosen_objects", f"WITH {CLOUD}, k AS (SELECT object_id FROM (SELECT DISTINCT object_id FROM cloud) ORDER BY {U(42, 'object_id')}, object_id LIMIT 2) SELECT object_id, point_id FROM cloud SEMI JOIN k USING (object_id)")
+def chosen_objects(spark, sf_dir):
+    return S.chosen(cloud(spark, sf_dir), 2).select("object_id", "point_id")
+
+
+@query("table_batches", f"WITH {CLOUD} SELECT point_id, (row_number() OVER (ORDER BY {U(3, 'point_id')}, point_id) - 1) // 16 AS batch FROM cloud")
+def table_batches(spark, sf_dir):
+    return S.batches(cloud(spark, sf_dir), "point_id", 16, 3).select("point_id", "batch")
+
+
+@query("table_tail_holdout", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) <= greatest(1, floor(count(*) OVER () * 0.25)) AS held_out FROM orders")
+def table_tail_holdout(spark, sf_dir):
+    return S.ranked_split(table(spark, sf_dir, "orders").select("o_orderkey"), ("o_orderkey",), 0.25)
