@@ -87,6 +87,15 @@ def seeded_sweep(df: DataFrame, views: int, difficulties: Sequence[tuple[str, fl
     return crop(rows.withColumns(drawn), [F.col(c) for c in drawn], F.col("ratio"), [*key, "difficulty", "view"]).drop(*drawn)
 
 
+def same_view(clouds: Sequence[tuple[str, DataFrame]], ratio: float, key: Sequence[str] = KEY, seed: int = 0) -> DataFrame:
+    """Crops of one object's clouds of several densities by one viewpoint, which its key alone determines; with ``resolution``, the cloud's name."""
+    out = None
+    for name, df in clouds:
+        one = crop(df, seeded_viewpoint(*key, seed=seed), ratio, key).withColumn("resolution", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def signed_permutations() -> list[tuple[tuple[int, int, int], tuple[int, int, int]]]:
     """The 48 axis orders with signs, in a fixed order."""
     return [(p, s) for p in itertools.permutations(range(3)) for s in itertools.product((1, -1), repeat=3)]
@@ -118,6 +127,14 @@ def alignment(part: DataFrame, ref: DataFrame, key: Sequence[str] = KEY) -> Data
     return scores.withColumn("frame_rank", F.row_number().over(Window.partitionBy(*key).orderBy("chamfer", "frame")))
 
 
+def transferred(part: DataFrame, ref: DataFrame, scores: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """``part(..., part)`` and ``alignment``'s scores -> key, point_id of ref, part of the nearest point in the best frame, residual, reflection."""
+    best = scores.filter("frame_rank = 1").select(*key, "frame", "reflection", F.col("chamfer").alias("residual"))
+    moved = transformed(rms_normalised(part, key).select(*key, "point_id", *XYZ)).join(best, [*key, "frame", "reflection"], "left_semi")
+    near = nn.attach(nn.nearest(rms_normalised(ref, key), moved, key), part, "n_id", ("part",), "", key)
+    return near.join(best, list(key)).select(*key, F.col("q_id").alias("point_id"), "part", "residual", "reflection")
+
+
 def alignment_verdict(scores: DataFrame, key: Sequence[str] = KEY, locked: float = 0.15, margin: float = 1.3) -> DataFrame:
     """key, frame, best, margin (runner-up over best), verdict."""
     best = scores.filter("frame_rank = 1").select(*key, "frame", F.col("chamfer").alias("best"))
@@ -187,3 +204,15 @@ def relative_edges(df: DataFrame, k: int, key: Sequence[str] = KEY) -> DataFrame
 
 def union_known(visible: DataFrame, completed: DataFrame) -> DataFrame:
     return visible.withColumn("known", F.lit(True)).unionByName(completed.withColumn("known", F.lit(False)), allowMissingColumns=True)
+
+
+def inpainting_input(visible: DataFrame, completed: DataFrame, drop_part: int | None = None, label: str = "part", key: Sequence[str] = KEY) -> DataFrame:
+    """Both clouds in one unit sphere with ``known``; colours of unknown points are 0.
+
+    With ``drop_part`` the points that ``label`` puts into that part are unknown too; let it be the true part, as a
+    guess that never names the part would drop nothing. A null label drops nothing.
+    """
+    both = unit_sphere(union_known(visible, completed), key, 1e-9)
+    if drop_part is not None:
+        both = both.withColumn("known", F.col("known") & F.coalesce(F.col(label) != drop_part, F.lit(True)))
+    return both.withColumns({c: F.when(F.col("known"), F.col(c)).otherwise(0.0) for c in ("r", "g", "b")})

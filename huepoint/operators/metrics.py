@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,61 @@ def completion(pred: DataFrame, ref: DataFrame, key: Sequence[str] = KEY, tau: f
     )
 
 
+def geometry_errors(pred: DataFrame, ref: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """Of clouds whose points correspond by id; colours are the reference's.
+
+    mse over coordinates, p2p and p2p_p95 of the distances of corresponding points, cd_l1, cd_l2, and
+    coloured_chamfer: mean CIE76 between a point's colour and that of the reference point nearest to its prediction.
+    """
+    lab = with_lab(ref)
+    side = lambda df, s: df.select(*key, "point_id", *[F.col(c).alias(f"{s}_{c}") for c in nn.XYZ])
+    gap = side(pred, "q").join(side(ref, "n"), [*key, "point_id"]).withColumn("d2", nn.square_distance())
+    own = gap.groupBy(*key).agg((F.avg("d2") / 3).alias("mse"), F.avg(F.sqrt("d2")).alias("p2p"), F.percentile(F.sqrt("d2"), 0.95).alias("p2p_p95"))
+    there, back = nn.nearest(pred, ref, key), nn.nearest(ref, pred, key)
+    e = nn.attach(nn.attach(there, lab, "q_id", LAB, "p_", key), lab, "n_id", LAB, "t_", key)
+    colour = F.sqrt(sum((F.pow(F.col(f"p_{c}") - F.col(f"t_{c}"), F.lit(2.0)) for c in LAB), F.lit(0.0)))
+    one = e.groupBy(*key).agg(F.avg("d").alias("a1"), F.avg(F.col("d") * F.col("d")).alias("a2"), F.avg(colour).alias("coloured_chamfer"))
+    two = back.groupBy(*key).agg(F.avg("d").alias("b1"), F.avg(F.col("d") * F.col("d")).alias("b2"))
+    return own.join(one, list(key)).join(two, list(key)).select(*key, "mse", "p2p", "p2p_p95", (F.col("a1") + F.col("b1")).alias("cd_l1"), (F.col("a2") + F.col("b2")).alias("cd_l2"), "coloured_chamfer")
+
+
+def coverage(df: DataFrame, probes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """key, coverage: mean distance of surface probes to the cloud, over the diagonal of the probes' box."""
+    box = probes.groupBy(*key).agg(F.sqrt(sum((F.pow(F.max(c) - F.min(c), F.lit(2.0)) for c in nn.XYZ), F.lit(0.0))).alias("diagonal"))
+    near = nn.nearest(probes, df, key).groupBy(*key).agg(F.avg("d").alias("d"))
+    return near.join(box, list(key)).select(*key, (F.col("d") / F.nullif(F.col("diagonal"), F.lit(0.0))).alias("coverage"))
+
+
+def part_ceiling(df: DataFrame, least: int = 11, key: Sequence[str] = KEY, profile: str = "spec7") -> DataFrame:
+    """key, parts, ceiling: mean over the parts of ``least`` points or more of CIE76 to the part's mean colour."""
+    means = [f"m_{c}" for c in RGB]
+    g = [*key, "part"]
+    j = df.join(df.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"), *[F.avg(c).alias(f"m_{c}") for c in RGB]).filter(F.col("__n") >= least), g)
+    j = with_lab(with_lab(j, RGB, _lab_of("t"), profile), means, _lab_of("m"), profile)
+    d = F.sqrt(sum((F.pow(F.col(f"m_{c}") - F.col(f"t_{c}"), F.lit(2.0)) for c in LAB), F.lit(0.0)))
+    return j.groupBy(*g).agg(F.avg(d).alias("d")).groupBy(*key).agg(F.count(F.lit(1)).alias("parts"), F.avg("d").alias("ceiling"))
+
+
+def fully_occluded(df: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """key, fully_occluded: whether a part has missing points and no visible one."""
+    by = df.groupBy(*key, "part").agg(F.every("is_missing").alias("gone"))
+    return by.groupBy(*key).agg(F.some("gone").alias("fully_occluded"))
+
+
+def part_edges(df: DataFrame, k: int, key: Sequence[str] = KEY) -> DataFrame:
+    """key, q_id, n_id: those of the k nearest that are of the point's part; itself where there are none."""
+    e = nn.knn(df, df, k, key, include_self=False)
+    e = nn.attach(nn.attach(e, df, "q_id", ("part",), "p_", key), df, "n_id", ("part",), "t_", key).filter("p_part = t_part")
+    own = df.select(*key, F.col("point_id").alias("q_id"))
+    return own.join(e.select(*key, "q_id", "n_id"), [*key, "q_id"], "left").select(*key, "q_id", F.coalesce("n_id", "q_id").alias("n_id"))
+
+
+def directions(n: int = 64, seed: int = 12345) -> list[list[float]]:
+    """n unit vectors of colour space from a seed, for ``sliced_wasserstein``."""
+    v = np.random.default_rng(seed).standard_normal((n, 3))
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).tolist()
+
+
 def sliced_wasserstein(a: DataFrame, b: DataFrame, directions: Sequence[Sequence[float]], columns: Sequence[str] = RGB, key: Sequence[str] = KEY) -> DataFrame:
     """key, swd: mean gap of the sorted projections, at as many evenly spaced ranks as the smaller cloud has points."""
     dirs = F.explode(F.array(*[F.struct(F.lit(i).alias("dir"), *[F.lit(float(v)).alias(f"d{j}") for j, v in enumerate(d)]) for i, d in enumerate(directions)])).alias("__d")

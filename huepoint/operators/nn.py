@@ -77,11 +77,18 @@ def padded(edges: DataFrame, k: int, key: Sequence[str] = KEY) -> DataFrame:
     return listed.select(*key, "q_id", at, "l").select(*key, "q_id", "rank", F.element_at("l", (F.pmod(F.col("rank") - 1, F.size("l")) + 1).cast("int"))["n_id"].alias("n_id"))
 
 
-def ball(query: DataFrame, ref: DataFrame, radius: float, samples: int, key: Sequence[str] = KEY) -> DataFrame:
-    """The first ``samples`` reference points by id within the radius; short lists are filled with their first one."""
+def ball(query: DataFrame, ref: DataFrame, radius: float, samples: int, key: Sequence[str] = KEY, fill_empty: bool = False) -> DataFrame:
+    """The first ``samples`` reference points by id within the radius; short lists are filled with their first one.
+
+    Query points without one give no rows, with ``fill_empty`` the object's first reference point.
+    """
     inside = _cell_pairs(query, ref, radius, key, True).filter(F.col("d2") <= radius * radius)
     ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy(*key, "q_id").orderBy("n_id"))).filter(F.col("rank") <= samples)
     first = ranked.filter("rank = 1").select(*key, "q_id", F.col("n_id").alias("first"))
+    if fill_empty:
+        lowest = ref.groupBy(*key).agg(F.min("point_id").alias("lowest"))
+        every = query.select(*key, F.col("point_id").alias("q_id")).join(lowest, list(key))
+        first = every.join(first, [*key, "q_id"], "left").select(*key, "q_id", F.coalesce("first", "lowest").alias("first"))
     slots = first.select(*key, "q_id", "first", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("rank"))
     return slots.join(ranked.select(*key, "q_id", "rank", "n_id"), [*key, "q_id", "rank"], "left").select(*key, "q_id", "rank", F.coalesce("n_id", "first").alias("n_id"))
 

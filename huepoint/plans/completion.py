@@ -36,6 +36,6 @@ def by_difficulty(scores: DataFrame, methods: Sequence[str] = ("nn_copy", "part_
     return scores.groupBy("difficulty").agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(m) for m in methods]).orderBy(order)
 
 
-def inpainted(crops: DataFrame, steps: int = 50, samples: int = 2) -> DataFrame:
+def inpainted(crops: DataFrame, steps: int = 50, samples: int = 2, adaptive: bool = False) -> DataFrame:
     """``crops`` of one difficulty and view with pred_r, pred_g, pred_b from the conditional walk."""
-    return models.applied(crops, models.Inpainter(models.PartMeanNoise(), steps, 10, samples), "pred_r double, pred_g double, pred_b double")
+    return models.applied(crops, models.Inpainter(models.PartMeanNoise(), steps, 10, samples, adaptive=adaptive), "pred_r double, pred_g double, pred_b double")

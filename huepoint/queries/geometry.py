@@ -185,3 +185,35 @@ _N = lambda i: "sqrt(-2 * ln(1 - {})) * cos(2 * pi() * {})".format(*(f"('0x' ||
 )
 def seeded_crop_sweep(spark, sf_dir):
     return G.seeded_sweep(cloud(spark, sf_dir), 2).filter("is_missing").select("object_id", "difficulty", F.col("view").cast("long").alias("view"), "point_id")
+
+
+@query(
+    "aligned_label_transfer",
+    f"""WITH {_ALIGN}, b AS (SELECT object_id, frame, reflection, chamfer FROM al WHERE frame_rank = 1),
+    e AS (SELECT pr.object_id, q, p, chamfer, b.reflection, row_number() OVER (PARTITION BY pr.object_id, q ORDER BY d2, p) AS k FROM pr JOIN b ON pr.object_id = b.object_id AND pr.frame = b.frame)
+    SELECT e.object_id, q AS point_id, c.part AS part, {r6('chamfer AS residual')}, reflection FROM e JOIN cloud c ON c.object_id = e.object_id AND c.point_id = p WHERE k = 1""",
+)
+def aligned_label_transfer(spark, sf_dir):
+    ref, qry = split(spark, sf_dir)
+    return six(G.transferred(qry, ref, _alignment(spark, sf_dir)))
+
+
+_V = lambda i: "sqrt(-2 * ln(1 - {})) * cos(2 * pi() * {})".format(*(f"('0x' || substr(md5(concat_ws(':', '0', object_id, {j})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE" for j in (2 * i, 2 * i + 1)))
+
+
+@query(
+    "dense_crop_same_view",
+    f"""WITH {CLOUD}, both_ AS (SELECT *, 'dense' AS resolution FROM cloud UNION ALL SELECT *, 'sparse' FROM ref),
+    cen AS (SELECT *, x - avg(x) OVER w AS cx, y - avg(y) OVER w AS cy, z - avg(z) OVER w AS cz FROM both_ WINDOW w AS (PARTITION BY object_id, resolution)),
+    u AS (SELECT object_id, resolution, point_id, cx / s AS ux, cy / s AS uy, cz / s AS uz, {_V(0)} AS vx, {_V(1)} AS vy, {_V(2)} AS vz FROM (SELECT *, max(sqrt(cx*cx + cy*cy + cz*cz)) OVER (PARTITION BY object_id, resolution) + 1e-12 AS s FROM cen)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY object_id, resolution ORDER BY power(ux - vx / sqrt(vx * vx + vy * vy + vz * vz), 2) + power(uy - vy / sqrt(vx * vx + vy * vy + vz * vz), 2) + power(uz - vz / sqrt(vx * vx + vy * vy + vz * vz), 2), point_id) AS k, count(*) OVER (PARTITION BY object_id, resolution) AS n FROM u)
+    SELECT object_id, resolution, point_id FROM r WHERE k <= round_even(n * 0.5, 0)""",
+)
+def dense_crop_same_view(spark, sf_dir):
+    c = cloud(spark, sf_dir)
+    return G.same_view((("dense", c), ("sparse", c.filter("point_id % 2 = 0"))), 0.5).filter("is_missing").select("object_id", "resolution", "point_id")
+
+
+@query("inpainting_input", f"WITH {UNIT.replace('1e-12', '1e-9')}, k AS (SELECT *, point_id % 2 = 0 AND part <> 2 AS known FROM unit) SELECT object_id, point_id, known, {r6('ux AS x', 'uy AS y', 'uz AS z', *(f'CASE WHEN known THEN {c} ELSE 0 END AS {c}' for c in 'rgb'))} FROM k")
+def inpainting_input(spark, sf_dir):
+    return six(G.inpainting_input(*split(spark, sf_dir), drop_part=2).select("object_id", "point_id", "known", *XYZ, "r", "g", "b"))

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from huepoint.operators import geometry as G
-from huepoint.operators import nn, stats
+from huepoint.operators import metrics, nn, stats
 from huepoint.queries._registry import query, r6, six
 from huepoint.sources import registry, sinks
 from huepoint.views import CLOUD, EVAL, cloud, eval_rows, split
@@ -189,3 +189,35 @@ def config_diff(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("name"), F.col("c_mktsegment").alias("value"), "c_custkey")
     b = c.filter("c_custkey % 4 <> 0").withColumn("value", F.when(F.col("c_custkey") % 5 == 0, "x").otherwise(F.col("value")))
     return stats.config_difference(c.filter("c_custkey % 3 <> 0"), b)
+
+
+@query(
+    "ball_query_filled",
+    f"""WITH {CLOUD}, f AS (SELECT * FROM ref WHERE part <> 1), l AS (SELECT object_id, min(point_id) AS lowest FROM f GROUP BY 1),
+    i AS (SELECT q.object_id, q.point_id AS q_id, n.point_id AS n_id, row_number() OVER (PARTITION BY q.object_id, q.point_id ORDER BY n.point_id) AS rank FROM qry q JOIN f n ON q.object_id = n.object_id AND {d2('q', 'n')} <= 0.05::DOUBLE * 0.05::DOUBLE QUALIFY rank <= 4),
+    s AS (SELECT q.object_id, q.point_id AS q_id, coalesce(i.n_id, lowest) AS first_id, unnest(range(1, 5)) AS rank FROM qry q JOIN l ON q.object_id = l.object_id LEFT JOIN i ON i.object_id = q.object_id AND i.q_id = q.point_id AND i.rank = 1)
+    SELECT s.object_id, s.q_id, s.rank, coalesce(i.n_id, first_id) AS n_id FROM s LEFT JOIN i ON s.object_id = i.object_id AND s.q_id = i.q_id AND s.rank = i.rank""",
+)
+def ball_query_filled(spark, sf_dir):
+    ref, qry = split(spark, sf_dir)
+    return six(nn.ball(qry, ref.filter("part <> 1"), 0.05, 4, fill_empty=True))
+
+
+@query("part_edges", f"WITH {CLOUD}, {knn_sql('e', 'cloud', 'cloud', 2, False)}, s AS (SELECT e.object_id, q_id, n_id FROM e JOIN cloud q ON e.object_id = q.object_id AND q_id = q.point_id JOIN cloud n ON e.object_id = n.object_id AND n_id = n.point_id WHERE q.part = n.part) SELECT c.object_id, c.point_id AS q_id, coalesce(n_id, c.point_id) AS n_id FROM cloud c LEFT JOIN s ON s.object_id = c.object_id AND q_id = c.point_id")
+def part_edges(spark, sf_dir):
+    return metrics.part_edges(cloud(spark, sf_dir), 2)
+
+
+@query(
+    "masks_last_wins",
+    """WITH m AS (SELECT l_suppkey % 10 AS model_id, l_partkey % 20 AS mask_id, l_orderkey * 10 + l_linenumber AS position, [l_quantity::BIGINT % 7, l_quantity::BIGINT % 5] AS faces FROM lineitem), f AS (SELECT model_id, mask_id, position, unnest(faces) AS face FROM m),
+    k AS (SELECT *, row_number() OVER (PARTITION BY model_id, face ORDER BY position DESC) AS k FROM f) SELECT model_id, face, CASE WHEN mask_id % 3 = 0 THEN 'part' || mask_id ELSE 'other' END AS part FROM k WHERE k = 1""",
+)
+def masks_last_wins(spark, sf_dir):
+    from huepoint.sources.textual import face_parts
+    from huepoint.views import table
+
+    q = F.col("l_quantity").cast("long")
+    m = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("model_id"), (F.col("l_partkey") % 20).alias("mask_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"), F.array(q % 7, q % 5).alias("faces"))
+    parts = m.select("model_id", "mask_id").distinct().filter("mask_id % 3 = 0").withColumn("name", F.concat(F.lit("part"), F.col("mask_id").cast("string"))).withColumn("depth", F.lit(0))
+    return face_parts(m, parts, order=("position",))

@@ -306,3 +306,53 @@ def fps_regions(spark, sf_dir):
 @query("noise_squared_error", f"WITH {CLOUD} SELECT object_id, {r6('avg((power(r - x, 2) + power(g - y, 2) + power(b - z, 2)) / 3) AS mse')} FROM cloud GROUP BY 1")
 def noise_squared_error(spark, sf_dir):
     return six(M.squared_error(cloud(spark, sf_dir), ("r", "g", "b"), ("x", "y", "z")))
+
+
+@query(
+    "geometry_errors",
+    f"""WITH {CLOUD}, p AS (SELECT object_id, point_id, y AS x, z AS y, x AS z FROM cloud), {knn_sql('pe', 'p', 'cloud', 1)}, {knn_sql('te', 'cloud', 'p', 1)}, lab AS (SELECT object_id, point_id, {sql_lab('r', 'g', 'b')} FROM cloud),
+    g AS (SELECT object_id, power(p.x - c.x, 2) + power(p.y - c.y, 2) + power(p.z - c.z, 2) AS d2 FROM p JOIN cloud c USING (object_id, point_id)),
+    o AS (SELECT object_id, avg(d2) / 3 AS mse, avg(sqrt(d2)) AS p2p, quantile_cont(sqrt(d2), 0.95) AS p2p_p95 FROM g GROUP BY 1),
+    a AS (SELECT e.object_id, avg(sqrt(d2)) AS a1, avg(d2) AS a2, avg(sqrt(power(q.lab_l - n.lab_l, 2) + power(q.lab_a - n.lab_a, 2) + power(q.lab_b - n.lab_b, 2))) AS cc FROM pe e JOIN lab q ON e.object_id = q.object_id AND q_id = q.point_id JOIN lab n ON e.object_id = n.object_id AND n_id = n.point_id GROUP BY 1),
+    b AS (SELECT object_id, avg(sqrt(d2)) AS b1, avg(d2) AS b2 FROM te GROUP BY 1)
+    SELECT object_id, {r6('mse', 'p2p', 'p2p_p95', 'a1 + b1 AS cd_l1', 'a2 + b2 AS cd_l2', 'cc AS coloured_chamfer')} FROM o JOIN a USING (object_id) JOIN b USING (object_id)""",
+)
+def geometry_errors(spark, sf_dir):
+    c = cloud(spark, sf_dir)
+    return six(M.geometry_errors(c.select("object_id", "point_id", F.col("y").alias("x"), F.col("z").alias("y"), F.col("x").alias("z")), c))
+
+
+@query("coverage", f"WITH {CLOUD}, {knn_sql('e', 'qry', 'ref', 1)}, b AS (SELECT object_id, sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2) + power(max(z) - min(z), 2)) AS diagonal FROM qry GROUP BY 1), d AS (SELECT object_id, avg(sqrt(d2)) AS d FROM e GROUP BY 1) SELECT object_id, {r6('d / diagonal AS coverage')} FROM d JOIN b USING (object_id)")
+def coverage(spark, sf_dir):
+    ref, qry = split(spark, sf_dir)
+    return six(M.coverage(ref, qry))
+
+
+@query(
+    "part_ceiling",
+    f"""WITH {CLOUD}, m AS (SELECT *, count(*) OVER w AS n, {', '.join(f'avg({c}) OVER w AS m{c}' for c in RGB)} FROM cloud WINDOW w AS (PARTITION BY object_id, part)), l AS (SELECT object_id, part, {sql_lab('r', 'g', 'b', 't')}, {sql_lab('mr', 'mg', 'mb', 'm')} FROM m WHERE n > 30),
+    d AS (SELECT object_id, part, avg(sqrt(power(m_l - t_l, 2) + power(m_a - t_a, 2) + power(m_b - t_b, 2))) AS d FROM l GROUP BY 1, 2) SELECT object_id, count(*) AS parts, {r6('avg(d) AS ceiling')} FROM d GROUP BY 1""",
+)
+def part_ceiling(spark, sf_dir):
+    return six(M.part_ceiling(cloud(spark, sf_dir), 31))
+
+
+@query("fully_occluded", f"WITH {UNIT}, {crop_sql('0.75')}, p AS (SELECT object_id, part, bool_and(is_missing) AS gone FROM crop GROUP BY 1, 2) SELECT object_id, bool_or(gone) AS fully_occluded FROM p GROUP BY 1")
+def fully_occluded(spark, sf_dir):
+    return M.fully_occluded(G.crop(cloud(spark, sf_dir), VIEW, 0.75))
+
+
+SEEDED = M.directions()
+_SEEDED = ", ".join(f"({i}, {', '.join(f'{v!r}::DOUBLE' for v in d)})" for i, d in enumerate(SEEDED))
+
+
+@query("colour_swd_seeded", f"WITH {CLOUD}, few AS (SELECT * FROM qry WHERE part <> 1), {swd_sql('ref', 'few').replace(_DIRS, _SEEDED)}")
+def colour_swd_seeded(spark, sf_dir):
+    ref, qry = split(spark, sf_dir)
+    return six(M.sliced_wasserstein(ref, qry.filter("part <> 1"), SEEDED))
+
+
+@query("inpainted_adaptive")
+def inpainted_adaptive(spark, sf_dir):
+    out = completion.inpainted(G.crop(cloud(spark, sf_dir), VIEW, 0.5), steps=20, adaptive=True)
+    return six(out.select("object_id", "point_id", "pred_r", "pred_g", "pred_b"))

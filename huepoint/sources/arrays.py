@@ -42,22 +42,25 @@ def npz_encoded(df: DataFrame, key: str = "object_id") -> DataFrame:
     return df.groupBy(key).applyInPandas(lambda k, pdf: pd.DataFrame([{key: k[0], "content": npz_bytes(pdf.sort_values("point_id"))}]), f"{key} {kind}, content binary")
 
 
-def hdf5_points(data: bytes, points: str = "points", parts: str = "points_part_labels", shape: str = "shape_label", only: int | None = None) -> pd.DataFrame:
-    """Many models of one file: point_id counts through the file, object number is point_id divided by the model's size."""
+def hdf5_points(data: bytes, points: str = "points", parts: str = "points_part_labels", shape: str = "shape_label", only: int | None = None, limit: int | None = None) -> pd.DataFrame:
+    """Many models of one file, of class ``only`` and ``limit`` at most: ``model`` is its row in the file, point_id counts through those read.
+
+    Only the rows wanted are read of the points.
+    """
     import h5py  # optional
 
     with h5py.File(io.BytesIO(data), "r") as f:
         rows = np.arange(len(f[points])) if only is None else np.flatnonzero(f[shape][:] == only)
-        xyz = f[points][:][rows]
-        part = f[parts][:][rows]
+        rows = rows[:limit]
+        xyz, part = f[points][rows], f[parts][rows]
     n, m = xyz.shape[:2]
     flat = xyz.reshape(n * m, -1).astype(float)
     rgb = flat[:, 3:6] / (255 if flat.shape[1] > 5 and n and flat[:, 3:6].max() > 1.5 else 1) if flat.shape[1] > 5 else np.full((n * m, 3), 0.5)
-    return pd.DataFrame({"point_id": np.arange(n * m), **{c: flat[:, i] for i, c in enumerate("xyz")}, **{c: rgb[:, i] for i, c in enumerate("rgb")}, "part": part.reshape(-1).astype(np.int64)})
+    return pd.DataFrame({"model": np.repeat(rows, m), "point_id": np.arange(n * m), **{c: flat[:, i] for i, c in enumerate("xyz")}, **{c: rgb[:, i] for i, c in enumerate("rgb")}, "part": part.reshape(-1).astype(np.int64)})
 
 
 def read_hdf5(spark: SparkSession, path: str, **options) -> DataFrame:
-    return ply.decoded(ply.files(spark, path, "*.h5"), lambda data: hdf5_points(data, **options))
+    return ply.decoded(ply.files(spark, path, "*.h5"), lambda data: hdf5_points(data, **options), f"{ply.POINTS}, model long")
 
 
 def members(archives: DataFrame, suffix: str = "") -> DataFrame:

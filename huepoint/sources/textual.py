@@ -103,10 +103,14 @@ def hierarchy(df: DataFrame, column: str = "tree") -> DataFrame:
             return out
 
 
-def face_parts(masks: DataFrame, parts: DataFrame, other: str = "other") -> DataFrame:
-    """``masks(model_id, mask_id, faces array)`` and ``parts(model_id, mask_id, name, depth)`` -> model_id, face, part: the deepest mask's part."""
-    f = masks.select("model_id", "mask_id", F.explode("faces").alias("face"))
-    j = f.join(parts, ["model_id", "mask_id"], "left").groupBy("model_id", "face").agg(F.max_by("name", F.struct("depth", "mask_id")).alias("part"))
+def face_parts(masks: DataFrame, parts: DataFrame, other: str = "other", order: Sequence[str] = ("depth", "mask_id")) -> DataFrame:
+    """``masks(model_id, mask_id, faces array)`` and ``parts(model_id, mask_id, name, depth)`` -> model_id, face, part: the deepest mask's part.
+
+    ``order`` names other columns of either whose highest values win: a mask's position gives the last one written.
+    A mask without a part counts as ``other`` where its order has no null.
+    """
+    f = masks.select("model_id", "mask_id", *[c for c in order if c in masks.columns and c != "mask_id"], F.explode("faces").alias("face"))
+    j = f.join(parts, ["model_id", "mask_id"], "left").groupBy("model_id", "face").agg(F.max_by("name", F.struct(*order)).alias("part"))
     return j.select("model_id", "face", F.coalesce("part", F.lit(other)).alias("part"))
 
 
