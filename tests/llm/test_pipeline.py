@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import random
 import zlib
 
@@ -7,7 +8,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from huepoint.llm import jaccard, mixing, tokenids, toxicity, winnowing  # noqa: E402
+from huepoint.llm import _store, jaccard, mixing, tokenids, toxicity, winnowing  # noqa: E402
 
 
 def fixture(spark, folder):
@@ -73,3 +74,23 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_stages_leave_their_result_alone(spark, tmp_path):
+    fixture(spark, tmp_path)
+    held = os.path.dirname(_store.shared_folder(spark)).removeprefix("file://")
+    before = set(os.listdir(held))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = set(os.listdir(held)) - before
+    assert len(left) == len(corpus_pipeline.STAGES) + 1  # a result each, and the token files
+    assert out.count() == out.count() > 60
+
+
+def test_settled_tables_outlive_what_they_came_from(spark):
+    def make():
+        inner = _store.stash(spark.range(50))
+        return inner.join(_store.stash(spark.range(25, 75)), "id")
+
+    kept = _store.settled(make)
+    again = _store.settled(lambda: _store.settled(lambda: kept.filter("id % 2 = 0")).filter("id % 3 = 0"))
+    assert kept.count() == 25 and sorted(r.id for r in again.collect()) == [30, 36, 42, 48]
