@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from huepoint.llm import jaccard, mixing, tokenids, toxicity, winnowing
-from huepoint.llm._store import settled, stash, table
+from huepoint.llm._store import stash, table
 from huepoint.llm.entries import vocabulary
 
 
@@ -70,9 +70,7 @@ ORACLE_SQL = None  # scores of a fitted model and a tokenizer's ids are beyond S
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages' tables of their own go when their result is written; the token files stay until the driver ends."""
     docs = table(spark, sf_dir, "documents")
-    *stages, (_, last) = STAGES
-    for _, stage in stages:
-        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
-    return stash(last(spark, docs, sf_dir))
+    for _, stage in STAGES:
+        docs = stash(stage(spark, docs, sf_dir))
+    return docs

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 import atexit
 import tempfile
-import threading
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
-_OWN = threading.local()  # folders that this thread has taken, in order
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,16 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
         base = _FALLBACK.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="huepoint-"))
     folder = f"{base.rstrip('/')}/huepoint-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, folder)
-    _taken().append(folder)
     return folder
 
 
-def _taken() -> list[str]:
-    if not hasattr(_OWN, "folders"):
-        _OWN.folders = []
-    return _OWN.folders
-
-
 def _remove(spark: SparkSession, folder: str) -> None:
     try:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -54,17 +44,6 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settled(make: Callable[[], DataFrame]) -> DataFrame:
-    """``make()`` stashed; the tables that it has stashed on its way are removed once the result is written."""
-    before = len(_taken())
-    out = stash(make())
-    *inner, own = _taken()[before:]
-    _taken()[before:] = [own]
-    for folder in inner:
-        _remove(out.sparkSession, folder)
-    return out
-
-
 #: A key is hot from this share of all rows on, so there are at most so many hot keys.
 HOT_KEYS = 10_000
 
