@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huepoint.llm import jaccard, lineblocks, linededup, mixing, oracles, pitmanyor, recompression, syncmers, tokenids, toxicity, winnowing
+from huepoint.llm import importance, jaccard, lineblocks, linededup, mixing, oracles, partcodes, pitmanyor, recompression, syncmers, tokenids, toxicity, winnowing
 from huepoint.llm._store import table
 
 
@@ -66,6 +66,15 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"), k=5, percent=75)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partcodes.coded(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -77,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -85,4 +96,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_source_mixing": mixing.SQL,
     "op8_substring_dedup": oracles.SUBSTRINGS,
     "op10_ngram_jaccard": oracles.JACCARD,
+    "op12_vector_codes": partcodes.SQL,
+    "op13_importance_resampling": importance.SQL,
 }
