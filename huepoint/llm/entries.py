@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huepoint.llm import importance, jaccard, lineblocks, linededup, mixing, oracles, partcodes, pitmanyor, recompression, syncmers, tokenids, toxicity, winnowing
+from huepoint.llm import importance, jaccard, lineblocks, linededup, mixing, oracles, partcodes, personal, pitmanyor, recompression, syncmers, tokenids, toxicity, winnowing
 from huepoint.llm._store import table
 
 
@@ -66,6 +66,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"), k=5, percent=75)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal.counted(docs, personal.fit(personal.labelled(docs)))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partcodes.coded(table(spark, sf_dir, "embeddings"))
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_personal_data": op11_personal_data,
     "op12_vector_codes": op12_vector_codes,
     "op13_importance_resampling": op13_importance_resampling,
 }
