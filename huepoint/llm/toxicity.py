@@ -1,16 +1,17 @@
 """Toxicity by a lexicon trie and Levenshtein automata.
 
-Terms are learned from labelled training rows: words, and stems (word beginnings that many words share),
-that stand in at least ``SUPPORT`` toxic texts and there far more often than in others. The bar is no share
-of the sample but what chance can do: were terms dealt blindly, with probability 1 - ``CHANCE`` none of
-all those tried would pass (Chernoff's bound of the binomial tail). They make a trie. The automaton that accepts
+Terms are learned from labelled training rows: words, and stems (word beginnings that many words share). A
+word or a stem must stand in at least ``SUPPORT`` toxic texts and there far more often than in others (``ODDS``),
+in next to none of these. A stem that chance puts into more of them can still be a pair: it stands in a text
+if two or more of its words begin so, which chance seldom does, and needs the same odds. The bar is the same at every size of the sample. They make a trie. The automaton that accepts
 all words within one edit of a term (two for terms of ``TWO_EDITS`` letters; none for short ones and for
 short stems) is the product of the trie with the Levenshtein automata of its terms; its states are sets
 of (trie node, edits so far), worked out the first time that a word reaches them. So a word costs a step
 for each letter until no term can match it. A word of four letters also counts with one letter replaced
 or doubled, unless a training text that isn't toxic has it so.
 
-A hit between quotation marks, or a window of ``WINDOW`` words with more quoted than direct hits, counts
+One lone hit of a pair in a text is none. A hit between quotation marks, however far apart (a
+mark before a word opens, one after a word closes, the last opening counts), or a window of ``WINDOW`` words with more quoted than direct hits, counts
 as quotation; a window's direct hits count as abuse. A logistic model of these window scores gives the
 score. Model and lexicon learn from at most ``SAMPLE_ROWS`` labelled rows, those whose ids' hashes are
 smallest; every text is scored as a whole.
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from huepoint.llm._store import stash
 from huepoint.llm._words import give_back
 
-SAMPLE_ROWS, SUPPORT, CHANCE = 20_000, 4, 0.05
+SAMPLE_ROWS, SUPPORT, ODDS = 20_000, 4, 30
 STEM_SIZES = (4, 5, 6)
 ONE_EDIT, TWO_EDITS, STEM_EDIT, SHORT = 5, 9, 6, 4
 WINDOW = 20
@@ -47,6 +48,8 @@ STRIP = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "“
 OPENING, CLOSING, EITHER = "„‹", "”›", '"“«»'  # languages use some of them both ways
 
 EXACT, STEM, FUZZY = 1, 2, 3
+OPENS, CLOSES, EITHER_WAY, OF_PAIR = 4, 8, 16, 32
+
 
 class Automaton:
     """Deterministic automaton of all words near a term; its states are found as they are needed."""
@@ -135,6 +138,7 @@ class Automaton:
 class Model:
     words: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
+    pairs: list[str] = field(default_factory=list)  # stems that count at two words and more
     weights: list[float] = field(default_factory=list)
     base: float = 0.0
     clean: list[str] = field(default_factory=list)  # words one edit from a word of SHORT letters that aren't misspellings of it
@@ -163,7 +167,7 @@ def most_in_window(direct: np.ndarray, quoted: np.ndarray) -> int:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.automaton, self.known = Automaton(model.words, model.stems), {}
+        self.automaton, self.pairs, self.known = Automaton(model.words, model.stems), Automaton([], model.pairs), {}
         self.short, self.clean = keys_of_short(model.words), set(model.clean)
 
     def match(self, word: str) -> int:
@@ -173,13 +177,16 @@ class Scorer:
         return found
 
     def code(self, raw: bytes) -> int:
-        """Kind of hit, plus 4 if the word opens, 8 if it closes a quotation, 16 if its mark can do either."""
+        """Kind of hit, plus marks: the word opens or closes a quotation, is a mark that can do either, is a hit of a pair."""
         word = raw.decode()
         core = word.strip(STRIP)
         c = self.match(core.lower()) if core else 0
+        if core and c not in (EXACT, STEM) and self.pairs.match(core.lower()) == STEM:
+            c = STEM | OF_PAIR
         head, tail = word[: len(word) - len(word.lstrip(STRIP))], word[len(word.rstrip(STRIP)) :]
-        marks = head + tail if core else word
-        return c | 4 * any(x in OPENING for x in marks) | 8 * any(x in CLOSING for x in marks) | 16 * (sum(x in EITHER for x in marks) % 2)
+        if not core:
+            return c | OPENS * any(x in OPENING for x in word) | CLOSES * any(x in CLOSING for x in word) | EITHER_WAY * (sum(x in EITHER for x in word) % 2)
+        return c | OPENS * any(x in OPENING or x in EITHER for x in head) | CLOSES * any(x in CLOSING or x in EITHER for x in tail)
 
     def features(self, text: bytes | None) -> list[float]:
         words = text.split() if text else []
@@ -191,18 +198,17 @@ class Scorer:
             if c is None:
                 c = known[w] = self.code(w)
             codes.append(c)
-        hits = [(i, c & 3) for i, c in enumerate(codes) if c & 3]
+        lone = sum(c >= OF_PAIR for c in codes) == 1
+        hits = [(i, c & 3) for i, c in enumerate(codes) if c & 3 and not (lone and c >= OF_PAIR)]
         if not hits:
             return [0.0] * 6
         spans, open_at = [], -1  # quotations
         for i, c in enumerate(codes):
-            if c & 28:
-                if open_at >= 0 and c & 24:
-                    spans.append((open_at, i))
-                    open_at = -1
-                elif c & 20:
-                    open_at = i
-        spans = [(a, b) for a, b in spans if b <= a + 4 * WINDOW]  # in order, no two share a word
+            if c & OPENS or c & EITHER_WAY and open_at < 0:
+                open_at = i
+            if open_at >= 0 and (c & CLOSES or c & EITHER_WAY and open_at < i):
+                spans.append((open_at, i))  # in order, no two share a word
+                open_at = -1
         firsts = [a for a, _ in spans]
         quoted = {i for i, _ in hits if (n := bisect_right(firsts, i)) and i <= spans[n - 1][1]}
         direct = [(i, k) for i, k in hits if i not in quoted]
@@ -212,7 +218,7 @@ class Scorer:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many toxic and other texts hold each word (sized 0) and each stem."""
+    """How many toxic and other texts hold each word (sized 0), each stem, and each stem at two words or more (sized below 0)."""
     counts: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
 
     def rows() -> pa.RecordBatch:
@@ -221,12 +227,14 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for text, label in zip(b["text"].to_pylist(), b["toxic"].to_pylist()):
-            own = set()
-            for raw in set((text or b"").split()):
+            own, begun = set(), Counter()
+            for raw in (text or b"").split():
                 w = raw.decode().strip(STRIP).lower()
                 if w:
                     own.add((w, 0))
-                    own.update((w[:n], n) for n in STEM_SIZES if len(w) >= n)
+                    begun.update((w[:n], n) for n in STEM_SIZES if len(w) >= n)
+            own.update(begun)
+            own.update((t, -n) for (t, n), times in begun.items() if times > 1)
             for x in own:
                 counts[x][0 if label else 1] += 1
         if len(counts) > 500_000:
@@ -235,20 +243,24 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def lexicon(rows: list[tuple[str, int, int, int]]) -> tuple[list[str], list[str]]:
-    """Words and stems from (term, size, toxic texts with it, longer words of toxic texts that begin with it) of the candidates."""
-    words = [t for t, n, *_ in rows if not n]
-    real = {t: toxic for t, n, toxic, longer in rows if n and longer >= 3}
+def longest(real: dict[str, int]) -> set[str]:
+    """Of nested stems the longest that loses next to none of the texts; ``real``: toxic texts of each."""
     sizes = {len(t) for t in real}
     beyond: dict[str, int] = defaultdict(int)  # of each beginning, the most texts of a longer stem
     for t, toxic in real.items():
         for n in sizes:
             if n < len(t):
                 beyond[t[:n]] = max(beyond[t[:n]], toxic)
-    # of nested stems the longest that loses next to none of the texts
     kept = {s for s in real if s not in beyond or beyond[s] < 0.95 * real[s]}
-    kept = {s for s in kept if not any(n < len(s) and s[:n] in kept and real[s[:n]] > real[s] for n in sizes)}
-    return [w for w in words if not any(w[:n] in kept for n in sizes)], sorted(kept)
+    return {s for s in kept if not any(n < len(s) and s[:n] in kept and real[s[:n]] > real[s] for n in sizes)}
+
+
+def lexicon(rows: list[tuple[str, int, int, int]]) -> tuple[list[str], list[str], list[str]]:
+    """Words, stems and pairs from (term, size, toxic texts with it, longer words of toxic texts that begin with it) of the candidates."""
+    stems = longest({t: toxic for t, n, toxic, longer in rows if n > 0 and longer >= 3})
+    begins = lambda t, kept: any(t[:n] in kept for n in range(1, len(t) + 1))
+    pairs = {t for t in longest({t: toxic for t, n, toxic, longer in rows if n < 0 and longer >= 3}) if not begins(t, stems)}
+    return [t for t, n, *_ in rows if not n and not begins(t, stems | pairs)], sorted(stems), sorted(pairs)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -302,16 +314,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     counts = stash(texts.select("text", "toxic").mapInArrow(_terms, "term string, size int, toxic long, other long").groupBy("term", "size").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
     seen, counts = counts, counts.filter("toxic > 0")
     odds = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("other") + 0.5) / (other + 1))
-    share = F.col("toxic") / (F.col("toxic") + F.col("other"))
-    rest = F.when(F.col("other") > 0, F.col("other") * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    unlikely = F.col("toxic") * F.log(share / base) + rest >= math.log(max(1, counts.count()) / CHANCE)
-    top = counts.filter((F.col("toxic") >= SUPPORT) & unlikely & (odds >= 30) & (F.col("other") <= F.col("toxic") * 0.02))
+    mostly = (F.col("size") < 0) | (F.col("other") <= F.col("toxic") * 0.02)
+    top = counts.filter((F.col("toxic") >= SUPPORT) & (odds >= ODDS) & mostly)
     sizes = F.explode(F.array(*[F.lit(n) for n in STEM_SIZES])).alias("size")
     words = counts.filter("size = 0").select("term", sizes).filter(F.length("term") > F.col("size"))
     longer = words.groupBy(F.expr("substr(term, 1, size)").alias("term"), "size").agg(F.count(F.lit(1)).alias("longer"))
-    top = top.join(longer, ["term", "size"], "left").select("term", "size", "toxic", F.coalesce("longer", F.lit(0)).alias("longer"))
-    words, stems = lexicon([tuple(r) for r in top.orderBy(F.desc("toxic"), "term", "size").collect()])
-    model = Model(words, stems, base=base, clean=clean_near_short(seen, words))
+    top = top.join(longer.withColumnRenamed("size", "letters"), (F.col("letters") == F.abs("size")) & (top["term"] == longer["term"]), "left").select(top["term"], "size", "toxic", F.coalesce("longer", F.lit(0)).alias("longer"))
+    words, stems, pairs = lexicon([tuple(r) for r in top.orderBy(F.desc("toxic"), "term", "size").collect()])
+    model = Model(words, stems, pairs, base=base, clean=clean_near_short(seen, words))
     rows = _featured(texts.select("text", "toxic", "doc_id"), model, ["doc_id", "toxic"], "doc_id long, toxic int").orderBy("doc_id", "toxic").collect()
     model.weights = logistic(np.array([r["features"] for r in rows]), np.array([r["toxic"] for r in rows], float)).tolist()
     return model

@@ -96,15 +96,9 @@ def test_every_window_of_a_long_text_is_seen():
     for _ in range(30):
         w = [r.choice(["idiot", "a", "b", "c", '"idiot', 'idiot"', '"x', 'x"', "„y", "y“"]) for _ in range(r.choice([5, 60, 900]))]
         codes = [s.code(x.encode()) for x in w]
-        spans, start = [], -1
-        for i, c in enumerate(codes):
-            if start >= 0 and c & 24:
-                spans.append((start, i))
-                start = -1
-            elif c & 20:
-                start = i
+        spans = quotations(codes)
         hits = [i for i, c in enumerate(codes) if c & 3]
-        quoted = [i for i in hits if any(a <= i <= b <= a + 4 * T.WINDOW for a, b in spans)]
+        quoted = [i for i in hits if any(a <= i <= b for a, b in spans)]
         direct = [i for i in hits if i not in quoted]
         most = max((sum(abs(i - j) <= T.WINDOW for j in direct) - sum(abs(i - j) <= T.WINDOW for j in quoted) for i in direct), default=0)
         got = s.features(" ".join(w).encode())
@@ -126,19 +120,26 @@ def test_rare_and_short_terms_of_large_samples(spark):
     assert len(many[0]) == 2500
 
 
+def quotations(codes):
+    """From the last opening mark to the next closing one."""
+    out, start = [], None
+    for i, c in enumerate(codes):
+        fresh = bool(c & 4 or c & 16 and start is None)
+        if fresh:
+            start = i
+        if start is not None and (c & 8 or c & 16 and not fresh):
+            out.append((start, i))
+            start = None
+    return out
+
+
 def plain_features(scorer, text):
     """The features by their definition: every hit against every quotation and every other hit."""
     words = text.split()
     codes = [scorer.code(w) for w in words]
-    spans, start = [], None
-    for i, c in enumerate(codes):
-        if c & 28:
-            if start is not None and c & 24:
-                spans.append((start, i))
-                start = None
-            elif c & 20:
-                start = i
-    spans = [(a, b) for a, b in spans if b - a <= 4 * T.WINDOW]
+    spans = quotations(codes)
+    if sum(bool(c & T.OF_PAIR) for c in codes) == 1:  # one word of a pair is none
+        codes = [0 if c & T.OF_PAIR else c for c in codes]
     hits = [i for i, c in enumerate(codes) if c & 3]
     quoted = [i for i in hits if any(a <= i <= b for a, b in spans)]
     direct = [i for i in hits if i not in set(quoted)]
@@ -151,7 +152,7 @@ def plain_features(scorer, text):
 @pytest.mark.parametrize("hits", [0, 1, 10, 130, 1000, 5000])
 def test_features_equal_their_definition(hits):
     r = random.Random(hits)
-    scorer = T.Scorer(T.Model(["idiot", "moron", "dumb"], ["stupid"]))
+    scorer = T.Scorer(T.Model(["idiot", "moron", "dumb"], ["stupid"], ["house"] if hits % 20 else []))
     words = [r.choice(["plain", "words", "of", "a", "text", "house"]) for _ in range(6000 - hits)]
     for _ in range(hits):
         words.insert(r.randrange(len(words)), r.choice(["idiot", "idi0t", "stupidly", "Moron!", "dummb", '"idiot"']))
@@ -166,3 +167,61 @@ def test_a_burst_counts_alike_wherever_it_stands():
     scattered = (["plain"] * 60 + ["idiot"]) * 2000
     got = {scorer.features(" ".join([*scattered[:at], *["idiot"] * 12, *scattered[at:]]).encode())[4] for at in range(61_025, 61_035)}  # too far from the scattered ones to count any
     assert len(got) == 1
+
+
+def test_quotations_of_any_length():
+    s = T.Scorer(T.Model(["idiot"], []))
+    for n in (0, 1, 81, 91, 5000):
+        words = ["he", "said", '"you', *["word"] * n, "idiot", *["word"] * n, 'there"', "and", "left"]
+        assert s.features(" ".join(words).encode())[:4] == [0.0, 0.0, 0.0, math.log1p(1)], n
+    stray = s.features(('"never closed ' + "word " * 50 + '"quoted idiot" then idiot').encode())
+    assert (stray[0], stray[3]) == (math.log1p(1), math.log1p(1))
+    assert s.features(b'an "idiot" he')[3] == s.features("un « idiot » il".encode())[3] == math.log1p(1)
+
+
+def test_one_word_of_a_pair_is_none():
+    s = T.Scorer(T.Model([], [], ["zoqu"]))
+    assert s.features(b"a zoquar here") == [0.0] * 6 and s.features(b"zoquar zoquin")[1] == math.log1p(2)
+
+
+def plain_lexicon(rows):
+    """Candidates by their definition, from (text, label)."""
+    toxic, other = sum(y for _, y in rows), sum(not y for _, y in rows)
+    held, longer = {}, {}
+    for text, y in rows:
+        words = [x for w in (text or "").split() if (x := w.strip(T.STRIP).lower())]
+        stems = {(w[:n], n) for w in words for n in T.STEM_SIZES if len(w) >= n}
+        for x in {(w, 0) for w in words} | stems | {(t, -n) for t, n in stems if sum(v[:n] == t for v in words) > 1}:
+            held.setdefault(x, [0, 0])[0 if y else 1] += 1
+        if y:
+            for w in words:
+                for n in T.STEM_SIZES:
+                    if len(w) > n:
+                        longer.setdefault((w[:n], n), set()).add(w)
+    out = []
+    for (t, n), (a, b) in held.items():
+        odds = (a + 0.5) / (toxic + 1) / ((b + 0.5) / (other + 1))
+        if a >= T.SUPPORT and odds >= T.ODDS and (n < 0 or b <= 0.02 * a):
+            out.append((t, n, a, len(longer.get((t, abs(n)), ()))))
+    return T.lexicon(sorted(out, key=lambda x: (-x[2], x[0], x[1])))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lexicon_equals_its_definition(spark, seed):
+    docs, labels = data(seed, 500)
+    rows = [(x, y) for (_, x), (_, y) in zip(docs, labels)]
+    model = T.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    words, stems, pairs = plain_lexicon(rows)
+    assert (sorted(model.words), sorted(model.stems), sorted(model.pairs)) == (sorted(words), sorted(stems), sorted(pairs)) and {"wretch", "stinker", "vermin"} <= set(words) and stems
+
+
+def test_held_out_recall_on_the_given_labels(spark):
+    """At least 0.9 of the toxic rows held out are caught, and at most 1 % of the others flagged."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    scores = T.score(docs, T.train(docs, labels)).filter(T.held_out()).join(labels.select("doc_id", "toxic"), "doc_id")
+    got = [(r.score >= T.THRESHOLD, r.toxic) for r in scores.collect() if r.toxic is not None]
+    caught, toxic = sum(p for p, y in got if y), sum(y for _, y in got)
+    flagged, clean = sum(p for p, y in got if not y), sum(not y for _, y in got)
+    assert toxic >= 100 and caught >= 0.9 * toxic, (caught, toxic)
+    assert flagged <= 0.01 * clean, (flagged, clean)
