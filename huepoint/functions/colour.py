@@ -105,10 +105,11 @@ def from_signed(c: str) -> Column:
     return clip01((F.col(c) + 1) / 2)
 
 
-def texel(u: str, v: str, width: int, height: int) -> tuple[Column, Column]:
+def texel(u: str, v: str, width: int | Column, height: int | Column) -> tuple[Column, Column]:
     """Pixel column and row of texture coordinates: wrapped, v upwards."""
-    x = F.least((F.pmod(F.col(u), F.lit(1.0)) * width).cast("int"), F.lit(width - 1))
-    y = F.least(((1 - F.pmod(F.col(v), F.lit(1.0))) * height).cast("int"), F.lit(height - 1))
+    w, h = (x if isinstance(x, Column) else F.lit(x) for x in (width, height))
+    x = F.least((F.pmod(F.col(u), F.lit(1.0)) * w).cast("int"), w - 1)
+    y = F.least(((1 - F.pmod(F.col(v), F.lit(1.0))) * h).cast("int"), h - 1)
     return F.greatest(x, F.lit(0)), F.greatest(y, F.lit(0))
 
 

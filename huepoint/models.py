@@ -76,13 +76,13 @@ class Inpainter:
 
     Steps down denoise and put the known colours' noised values back; steps up noise again. ``noise`` is
     any estimator with PartMeanNoise's method; the generator is seeded by the object's first id. A step up to
-    time t takes t's own rates, so that noise levels are exact (some walks take those of the time left). With
-    ``adaptive`` objects resample more often the less is known of their worst part, as ``metrics.part_visibility`` counts.
+    time t takes t's own rates, so that noise levels are exact (some walks take those of the time left). A column
+    ``resamples`` (``metrics.part_visibility`` counts it) says how often an object resamples, else ``samples``.
     """
 
-    def __init__(self, noise, steps: int = 50, length: int = 10, samples: int = 2, seed: int = 0, adaptive: bool = False):
+    def __init__(self, noise, steps: int = 50, length: int = 10, samples: int = 2, seed: int = 0):
         self.noise, self.steps, self.seed = noise, steps, seed
-        self.length, self.samples, self.adaptive = length, samples, adaptive
+        self.length = length
         t = np.arange(steps + 1) / steps
         f = np.cos((t + 0.008) / 1.008 * np.pi / 2) ** 2
         self.beta = np.clip(1 - f[1:] / f[:-1], 1e-8, 0.999)
@@ -90,15 +90,9 @@ class Inpainter:
         self.abar = np.cumprod(self.alpha)
         self.times = walk(steps, length, samples)
 
-    def resamples(self, part: np.ndarray, known: np.ndarray) -> int:
-        if not self.adaptive:
-            return self.samples
-        worst = min(known[part == p].mean() for p in np.unique(part))
-        return int(np.clip(round(self.samples * (1.5 - worst)), 1, 2 * self.samples))
-
     def predict(self, pdf: pd.DataFrame) -> pd.DataFrame:
         known = ~pdf["is_missing"].to_numpy(bool)
-        times = walk(self.steps, self.length, self.resamples(pdf["part"].to_numpy(), known)) if self.adaptive else self.times
+        times = walk(self.steps, self.length, int(pdf["resamples"].iloc[0])) if "resamples" in pdf else self.times
         clean = 2 * pdf[RGB].to_numpy(float) - 1
         rng = np.random.default_rng([self.seed, zlib.crc32(str(pdf["point_id"].iloc[0]).encode())])
         x = rng.standard_normal(clean.shape)

@@ -87,13 +87,16 @@ def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def roc_auc(df: DataFrame, label: str, score: str, key: Sequence[str] = ()) -> DataFrame:
     """Area under the curve from counts by score, ties shared; nulls where a class is missing."""
     by = df.groupBy(*key, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n"))
-    if key:
-        below = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        by = by.withColumn("below", below)
-    else:
-        by = ordered.earlier(by, F.col("n"), [score], "below")
-    area = by.withColumn("area", F.col("p") * (F.col("below") + F.col("n") / 2))
-    return area.groupBy(*key).agg((F.sum("area") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+    inner = list(key)
+    if not key:  # ranges of scores: each adds up its own pairs, and their sums make the pairs across
+        inner = ["__range"]
+        by = by.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), score).withColumn("__range", F.spark_partition_id())
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(*inner).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = by.withColumn("below", below).groupBy(*inner).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("area"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    if not key:
+        before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+        part = part.withColumn("area", F.col("area") + F.col("p") * before).agg(*[F.sum(c).alias(c) for c in ("area", "p", "n")])
+    return part.select(*key, (F.col("area") / F.nullif(F.col("p") * F.col("n"), F.lit(0))).alias("auc"), F.col("p").alias("positives"), F.col("n").alias("negatives"))
 
 
 def win_ledger(df: DataFrame, baseline: str, methods: Sequence[str]) -> DataFrame:

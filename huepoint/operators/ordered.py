@@ -7,31 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
+from huepoint.store import kept
 
+def earlier(df: DataFrame, value: Column, order: Sequence[str], out: str, ranges: int | None = None, key: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over all rows (of the same key, which isn't null) that sort before, ascending; 0 for the first.
 
-def _measure(df: DataFrame, column: str) -> Column:
-    """A number that never falls where the column's values rise: strings count by their first six bytes."""
-    if dict(df.dtypes)[column] != "string":
-        return F.col(column)
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-
-
-def earlier(df: DataFrame, value: Column, order: Sequence[str], out: str, ranges: int = RANGES) -> DataFrame:
-    """``df`` with ``out``: the sum of ``value`` over all rows that sort before, ascending; 0 for the first.
-
-    The first column of ``order`` is cut at its quantiles. Windows run inside a range, and the sums of the
-    ranges, ``ranges`` rows at most, are added up beside them. Rows that tie in the first column share a
-    range, so it should have many values. Nulls sort first.
+    Rows are dealt to ranges of key and ``order`` and kept once, so that every use sees the same ranges; whatever
+    the columns' type and however long their common beginnings are. Windows run inside a range, and the sums of
+    the ranges, ``ranges`` rows at most (None: as many as shuffles have partitions) and one more for each key, are
+    added up beside them; so a key of any size is spread over tasks. Rows equal in all of it share a range. Nulls sort first.
     """
-    points = [i / ranges for i in range(1, ranges)]
-    edges = df.select(_measure(df, order[0]).alias("__m")).agg(F.percentile_approx("__m", points, 10 * ranges).alias("__edges"))
-    cut = df.withColumns({"__m": _measure(df, order[0]), "__value": value}).crossJoin(F.broadcast(edges))  # one row
-    cut = cut.withColumn("__range", F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col("__m"))), F.lit(0))).drop("__edges", "__m")
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    base = cut.groupBy("__range").agg(F.sum("__value").alias("__sum")).select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return cut.join(F.broadcast(base), "__range").withColumn(out, F.col("__base") + F.coalesce(F.sum("__value").over(inside), F.lit(0))).drop("__range", "__value", "__base")
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(df.withColumn("__value", value).repartitionByRange(ranges, *key, *order).withColumn("__range", F.spark_partition_id()))
+    before = Window.partitionBy(*key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy(*key, "__range").agg(F.sum("__value").alias("__sum")).select(*key, "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__range", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.join(base if key else F.broadcast(base), [*key, "__range"])
+    return joined.select(*df.columns, (F.col("__base") + F.coalesce(F.sum("__value").over(inside), F.lit(0))).alias(out))
 
 
 def placed(df: DataFrame, order: Sequence[str], out: str, key: Sequence[str] = ()) -> DataFrame:

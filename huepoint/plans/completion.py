@@ -38,4 +38,7 @@ def by_difficulty(scores: DataFrame, methods: Sequence[str] = ("nn_copy", "part_
 
 def inpainted(crops: DataFrame, steps: int = 50, samples: int = 2, adaptive: bool = False) -> DataFrame:
     """``crops`` of one difficulty and view with pred_r, pred_g, pred_b from the conditional walk."""
-    return models.applied(crops, models.Inpainter(models.PartMeanNoise(), steps, 10, samples, adaptive=adaptive), "pred_r double, pred_g double, pred_b double")
+    model = models.Inpainter(models.PartMeanNoise(), steps, 10, samples)
+    if adaptive:  # the less is known of an object's worst part, the more often it resamples
+        crops = crops.join(metrics.part_visibility(crops, samples).select("object_id", "resamples"), "object_id")
+    return models.applied(crops, model, "pred_r double, pred_g double, pred_b double").drop("resamples")

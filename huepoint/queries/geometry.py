@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from huepoint.operators import geometry as G
-from huepoint.operators import nn
+from huepoint.operators import mesh, nn
 from huepoint.plans import completion
 from huepoint.queries._registry import query, r6, six
 from huepoint.views import CLOUD, FACES, cloud, faces, split
@@ -156,11 +156,50 @@ def point_to_surface(spark, sf_dir):
     return six(nn.to_surface(cloud(spark, sf_dir), triangles(spark, sf_dir)))
 
 
-@query("surface_samples")
+_U = lambda name: f"('0x' || substr(md5(concat_ws(':', '0', object_id, i, '{name}')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+_SAMPLES = f"""{_TRI}, fa AS (SELECT *, sqrt(power((by_ - ay) * (cz - az) - (bz - az) * (cy - ay), 2) + power((bz - az) * (cx - ax) - (bx - ax) * (cz - az), 2) + power((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax), 2)) / 2 AS area FROM tri WHERE cx IS NOT NULL),
+  fs AS (SELECT *, sum(area) OVER (PARTITION BY object_id ORDER BY face_id) AS after FROM fa), ft AS (SELECT object_id, max(after) AS total FROM fs GROUP BY 1),
+  dr AS (SELECT object_id, i, {_U('face')} * total AS at, {_U('u')} AS u, {_U('v')} AS v FROM ft, range(64) r(i)),
+  sm AS (SELECT object_id, i AS point_id, face_id, CASE WHEN u + v > 1 THEN 1 - u ELSE u END AS wb, CASE WHEN u + v > 1 THEN 1 - v ELSE v END AS wc, 1 - wb - wc AS wa, ax, ay, az, bx, by_, bz, cx, cy, cz FROM dr JOIN fs USING (object_id) WHERE at >= after - area AND at < after)"""
+
+
+@query("surface_samples", f"WITH {_SAMPLES} SELECT object_id, point_id, face_id, {r6('wa AS w_a', 'wb AS w_b', 'wc AS w_c', 'wa * ax + wb * bx + wc * cx AS x', 'wa * ay + wb * by_ + wc * cy AS y', 'wa * az + wb * bz + wc * cz AS z')} FROM sm")
 def surface_samples(spark, sf_dir):
-    from huepoint.plans.generate import surface_samples as sample
+    return six(mesh.surface_samples(triangles(spark, sf_dir), 64))
+
+
+_TEXTURE = 16  # texels of a side
+
 
-    return six(sample(triangles(spark, sf_dir), 64))
+def texture(spark, sf_dir):
+    """A texture for each object: texel (column, row) has the colour of the point at this place, beginning anew after the last."""
+    side = F.lit(_TEXTURE)
+    c = cloud(spark, sf_dir)
+    n = c.groupBy("object_id").agg(F.count(F.lit(1)).alias("n"), F.min("point_id").alias("first"))
+    at = n.withColumn("at", F.explode(F.sequence(F.lit(0), side * side - 1)))
+    at = at.select(F.col("object_id"), (F.col("first") + F.col("at") % F.col("n")).alias("point_id"), (F.col("at") % side).cast("int").alias("column"), F.floor(F.col("at") / side).cast("int").alias("row"))
+    return at.join(c.select("object_id", "point_id", "r", "g", "b"), ["object_id", "point_id"]).select(F.concat(F.lit("t"), F.col("object_id").cast("string")).alias("texture"), side.alias("width"), side.alias("height"), "column", "row", "r", "g", "b")
+
+
+@query(
+    "textured_samples",
+    f"""WITH {_SAMPLES}, uv AS (SELECT s.object_id, s.point_id, s.face_id, wa * ac.r + wb * bc.r + wc * cc.r AS u, wa * ac.g + wb * bc.g + wc * cc.g AS v, ac.part FROM sm s
+      JOIN cloud ac ON ac.point_id = face_id JOIN cloud bc ON bc.point_id = face_id + 4 JOIN cloud cc ON cc.point_id = face_id + 8),
+    tx AS (SELECT *, least(floor((u % 1.0) * {_TEXTURE})::BIGINT, {_TEXTURE - 1}) AS col, least(floor((1 - v % 1.0) * {_TEXTURE})::BIGINT, {_TEXTURE - 1}) AS row_ FROM uv),
+    n AS (SELECT object_id, count(*) AS n, min(point_id) AS first_ FROM cloud GROUP BY 1)
+    SELECT t.object_id, t.point_id, CASE WHEN t.face_id % 8 = 0 THEN t.part::VARCHAR ELSE 'other' END AS part, {r6('c.r AS r', 'c.g AS g', 'c.b AS b')} FROM tx t JOIN n USING (object_id) JOIN cloud c ON c.point_id = first_ + (col + {_TEXTURE} * row_) % n""",
+)
+def textured_samples(spark, sf_dir):
+    """Samples of each mesh with the colours of its texture and the parts of its faces' masks (every second face has one)."""
+    c, t = cloud(spark, sf_dir), triangles(spark, sf_dir)
+    s = mesh.surface_samples(t, 64)
+    corner = lambda p, step: c.select("object_id", (F.col("point_id") - step).alias("face_id"), F.col("r").alias(f"{p}u"), F.col("g").alias(f"{p}v"))
+    faces = t.select("object_id", "face_id")
+    for p, step in (("a", 0), ("b", 4), ("c", 8)):
+        faces = faces.join(corner(p, step), ["object_id", "face_id"])
+    uv = mesh.with_corners(s, faces, ("u", "v")).withColumn("texture", F.concat(F.lit("t"), F.col("object_id").cast("string")))
+    masks = c.filter("point_id % 8 = 0").select("object_id", F.col("point_id").alias("face"), F.col("part").cast("string").alias("part"))
+    return six(mesh.labelled(mesh.textured(uv, texture(spark, sf_dir)), masks).select("object_id", "point_id", "part", "r", "g", "b"))
 
 
 @query(

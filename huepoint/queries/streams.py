@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from huepoint.queries._registry import query, r6, six
+from huepoint.store import shared_folder
 from huepoint.streaming import results
 
 
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
     """What the stream has put out by its end, from a table in the shared folder; of complete output the last epoch's."""
     spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="huepoint-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
 
     def put(batch: DataFrame, epoch: int) -> None:
         # a rerun overwrites its epoch
@@ -28,7 +21,7 @@ def _drained(stream: DataFrame, mode: str) -> DataFrame:
 
     stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     try:
-        return spark.read.schema(stream.schema).parquet(f"{folder}/t")
+        return spark.read.parquet(f"{folder}/t").select(*stream.columns)  # without the epochs' own column
     except AnalysisException:  # no batch: no input
         return spark.createDataFrame([], stream.schema)
 

@@ -68,6 +68,49 @@ def textures(obj: DataFrame, mtl: DataFrame) -> DataFrame:
     return lib.join(tex, "library", "left").select("object_id", "library", "texture")
 
 
+def _last(column: Column) -> Column:
+    """The last value so far in the file."""
+    return F.last(column, True).over(Window.partitionBy("object_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+
+
+def obj_corners(lines: DataFrame) -> DataFrame:
+    """``lines(object_id, line_no, value)`` of OBJ files -> object_id, face_id, material, ax .. cz, au .. cv: triangles with their corners.
+
+    Polygons are cut into fans; indices from the end (negative) count as OBJ says; corners without texture
+    coordinates have null ones, faces before any ``usemtl`` a null material.
+    """
+    w = lines.select("object_id", "line_no", F.split(F.trim("value"), "\\s+").alias("w")).withColumn("kind", F.element_at("w", 1))
+    order = Window.partitionBy("object_id", "kind").orderBy("line_no")
+    numbered = lambda kind: w.filter(F.col("kind") == kind).select("object_id", "line_no", "w", F.row_number().over(order).cast("long").alias("i"))
+    v = numbered("v").select("object_id", "i", *[_number("w", k + 2).alias(c) for k, c in enumerate("xyz")])
+    vt = numbered("vt").select("object_id", "i", *[_number("w", k + 2).alias(c) for k, c in enumerate("uv")])
+    so_far = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).over(Window.partitionBy("object_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    f = w.withColumns({"material": _last(F.when(F.col("kind") == "usemtl", F.element_at("w", 2))), "n_v": so_far("v"), "n_vt": so_far("vt")}).filter("kind = 'f' and size(w) >= 4")
+    fan = f.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("w") - 3)))
+    fan = fan.withColumn("face_id", (F.row_number().over(Window.partitionBy("object_id").orderBy("line_no", "k")) - 1).cast("long"))
+    index = lambda corner, part, n: F.when((i := F.nullif(F.split_part(corner, F.lit("/"), F.lit(part)), F.lit("")).cast("long")) < 0, F.col(n) + i + 1).otherwise(i)
+    corners = {"a": F.lit(2), "b": F.col("k") + 2, "c": F.col("k") + 3}
+    out = fan.select("object_id", "face_id", "material", *[x for c, at in corners.items() for x in (index(F.element_at("w", at), 1, "n_v").alias(f"{c}_v"), index(F.element_at("w", at), 2, "n_vt").alias(f"{c}_vt"))])
+    for c in corners:
+        out = out.join(v.select("object_id", F.col("i").alias(f"{c}_v"), *[F.col(x).alias(f"{c}{x}") for x in "xyz"]), ["object_id", f"{c}_v"])
+        out = out.join(vt.select("object_id", F.col("i").alias(f"{c}_vt"), *[F.col(x).alias(f"{c}{x}") for x in "uv"]), ["object_id", f"{c}_vt"], "left")
+    return out.select("object_id", "face_id", "material", *[f"{c}{x}" for c in corners for x in "xyz"], *[f"{c}{x}" for c in corners for x in "uv"])
+
+
+def material_textures(obj: DataFrame, mtl: DataFrame) -> DataFrame:
+    """object_id, material, texture (its file's name): from the libraries that OBJ files name (``lines`` of both)."""
+    lib = obj.select("object_id", F.regexp_extract("value", r"^mtllib\s+(?:.*/)?([^/\s]+)\.mtl\s*$", 1).alias("library")).filter("library <> ''").distinct()
+    rows = mtl.withColumn("material", _last(F.nullif(F.regexp_extract("value", r"^\s*newmtl\s+(\S+)", 1), F.lit(""))))
+    tex = rows.select(F.col("object_id").alias("library"), "material", F.regexp_extract("value", r"^\s*map_Kd\s+(?:\S.*[/\\])?([^/\\]+?)\s*$", 1).alias("texture")).filter("texture <> ''")
+    return lib.join(tex, "library").select("object_id", "material", "texture")
+
+
+def read_textured_meshes(spark: SparkSession, path: str) -> DataFrame:
+    """Triangles of all OBJ files below the path, as ``obj_corners``, with the texture of their material (null without one)."""
+    obj = _lines(spark, path, "*.obj")
+    return obj_corners(obj).join(material_textures(obj, _lines(spark, path, "*.mtl")), ["object_id", "material"], "left")
+
+
 def read_results(spark: SparkSession, path: str, schema: str = RESULT) -> DataFrame:
     """JSON lines; malformed ones are dropped. tag: what the file's name says after ``results``, else ``base``."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

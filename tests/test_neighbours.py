@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from huepoint.operators import geometry as G
 from huepoint.operators import metrics as M
 from huepoint.operators import nn
-from huepoint.plans.generate import chair, clusters, objects
+from huepoint.plans.generate import chairs, clusters, objects
 
 XYZ = ["x", "y", "z"]
 
@@ -84,7 +84,7 @@ def test_normalisation_is_free_of_place_and_size(spark):
 
 
 def test_alignment_finds_the_frame(spark):
-    c = pd.concat([chair(200, s) for s in (1, 2)])
+    c = chairs(spark, 2, 200, seed=1).toPandas()
     perm, sign = G.signed_permutations()[13]
     moved = c.assign(**{f"n{j}": c[XYZ[perm[j]]] * sign[j] for j in range(3)})
     moved = moved.drop(columns=XYZ).rename(columns={f"n{j}": XYZ[j] for j in range(3)})
@@ -128,4 +128,4 @@ def test_same_part_edges_never_cross(spark):
 def test_generated_chairs_have_less_part_spread_than_whole(spark):
     d = M.dispersion(objects(spark, 2, 300)).collect()
     assert all(r.n_parts == 6 and r.r_micro < 0.5 for r in d)
-    assert len(clusters(50, 1)) == 50
+    assert clusters(spark, 1, 50).count() == 50

@@ -9,6 +9,8 @@ from huepoint.operators import aggregate as A
 from huepoint.operators import geometry as G
 from huepoint.operators import metrics as M
 from huepoint.operators import nn, ordered, sampling, stats
+from huepoint.operators.schedules import walk
+from huepoint.plans import completion
 from huepoint.sources import textual
 
 
@@ -119,11 +121,23 @@ def test_last_written_mask_wins(spark):
     assert got() == {0: "seat", 1: "seat", 2: "leg"} and got(order=("position",)) == {0: "seat", 1: "leg", 2: "other"}
 
 
-def test_hidden_parts_are_resampled_more():
-    known, part = np.array([True, True, False, True]), np.array([0, 0, 1, 1])
-    n = lambda **k: models.Inpainter(models.PartMeanNoise(), 20, 10, 4, **k).resamples(part, known)
-    assert n() == 4 and n(adaptive=True) == 4
-    assert models.Inpainter(models.PartMeanNoise(), 20, 10, 4, adaptive=True).resamples(part, np.array([True, True, False, False])) == 6
+def test_hidden_parts_are_resampled_more(spark):
+    rows = [(0, i, 0.0, 0.0, 0.0, 0.5, 0.5, 0.5, p, m) for i, (p, m) in enumerate([(0, False), (0, False), (1, True), (1, False)])] + [(1, i, 0.0, 0.0, 0.0, 0.5, 0.5, 0.5, p, m) for i, (p, m) in enumerate([(0, False), (0, False), (1, True), (1, True)])]
+    crops = spark.createDataFrame(rows, "object_id long, point_id long, x double, y double, z double, r double, g double, b double, part long, is_missing boolean")
+    assert {r.object_id: r.resamples for r in M.part_visibility(crops, 4).collect()} == {0: 4, 1: 6}
+    walks = []
+
+    class Spy(models.PartMeanNoise):
+        def estimate(self, x, abar, *rest):
+            walks.append(abar)
+            return super().estimate(x, abar, *rest)
+
+    for n in (4, 6):
+        walks.clear()
+        models.Inpainter(Spy(), 20, 10, 4).predict(crops.filter("object_id = 1").toPandas().assign(resamples=n))
+        times = walk(20, 10, n)
+        assert len(walks) == sum(b <= a for a, b in zip(times, times[1:]))
+    assert completion.inpainted(crops, 4, 2, adaptive=True).columns == [*crops.columns, "pred_r", "pred_g", "pred_b"]
 
 
 def test_views_do_not_depend_on_density(spark):

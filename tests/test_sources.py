@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from huepoint import models
 from huepoint.operators.geometry import crop
 from huepoint.plans import completion
-from huepoint.plans.generate import chair, clusters, objects, surface_samples
+from huepoint.operators.mesh import surface_samples
+from huepoint.plans.generate import chairs, clusters, objects
 from huepoint.sources import arrays, ply, registry, sinks, textual
 from huepoint.streaming import results
 
 
 @pytest.fixture(scope="module")
-def cloud():
-    return chair(50, 3)
+def cloud(spark):
+    return chairs(spark, 1, 50, seed=3, first=3).orderBy("point_id").toPandas()
 
 
 def test_ply_variants(cloud):
@@ -130,8 +131,8 @@ def test_registry(spark, tmp_path, monkeypatch):
     assert registry.resolve_root([str(tmp_path)]) == "/x"
 
 
-def test_segmenter_learns_clusters():
-    train, test = clusters(600, 1), clusters(600, 2)
+def test_segmenter_learns_clusters(spark):
+    train, test = (clusters(spark, 1, 600, seed=s).toPandas() for s in (1, 2))
     m = models.CentroidSegmenter.fitted(train, 3)
     assert (m.predict(test).part.to_numpy() == test.part.to_numpy()).mean() > 0.9
 
