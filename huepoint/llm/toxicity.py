@@ -3,7 +3,8 @@
 Terms are learned from labelled training rows: words, and stems (word beginnings that many words share). A
 word or a stem must stand in at least ``SUPPORT`` toxic texts and there far more often than in others (``ODDS``),
 in next to none of these. A stem that chance puts into more of them can still be a pair: it stands in a text
-if two or more of its words begin so, which chance seldom does, and needs the same odds. The bar is the same at every size of the sample. They make a trie. The automaton that accepts
+if two or more of its words begin so, which chance seldom does, and needs the same odds. Copies of a text are
+no support: a term needs ``SUPPORT`` different pairs of words around it in toxic texts, and one for every four of these. The bar is the same at every size of the sample. They make a trie. The automaton that accepts
 all words within one edit of a term (two for terms of ``TWO_EDITS`` letters; none for short ones and for
 short stems) is the product of the trie with the Levenshtein automata of its terms; its states are sets
 of (trie node, edits so far), worked out the first time that a word reaches them. So a word costs a step
@@ -24,6 +25,7 @@ kinds every score is the share of toxic ones (0 if there are none at all).
 from __future__ import annotations
 
 import math
+import zlib
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from huepoint.llm._store import stash
 from huepoint.llm._words import give_back
 
-SAMPLE_ROWS, SUPPORT, ODDS = 20_000, 4, 30
+SAMPLE_ROWS, SUPPORT, ODDS, APART = 20_000, 4, 30, 0.25
 STEM_SIZES = (4, 5, 6)
 ONE_EDIT, TWO_EDITS, STEM_EDIT, SHORT = 5, 9, 6, 4
 WINDOW = 20
@@ -167,7 +169,8 @@ def most_in_window(direct: np.ndarray, quoted: np.ndarray) -> int:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.automaton, self.pairs, self.known = Automaton(model.words, model.stems), Automaton([], model.pairs), {}
+        self.automaton, self.known = Automaton(model.words, model.stems), {}
+        self.pairs, self.sizes = set(model.pairs), sorted({len(t) for t in model.pairs})
         self.short, self.clean = keys_of_short(model.words), set(model.clean)
 
     def match(self, word: str) -> int:
@@ -181,7 +184,7 @@ class Scorer:
         word = raw.decode()
         core = word.strip(STRIP)
         c = self.match(core.lower()) if core else 0
-        if core and c not in (EXACT, STEM) and self.pairs.match(core.lower()) == STEM:
+        if c not in (EXACT, STEM) and any(core.lower()[:n] in self.pairs for n in self.sizes):
             c = STEM | OF_PAIR
         head, tail = word[: len(word) - len(word.lstrip(STRIP))], word[len(word.rstrip(STRIP)) :]
         if not core:
@@ -243,6 +246,29 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
+def _terms_of(word: str) -> list[tuple[str, int]]:
+    return [(word, 0), *((word[:n], n) for n in STEM_SIZES if len(word) >= n), *((word[:n], -n) for n in STEM_SIZES if len(word) >= n)]
+
+
+def _around(candidates: set[tuple[str, int]]):
+    """Each candidate in a text with the words before and after it, hashed."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = set()
+            for text in b["text"].to_pylist():
+                words = ["", *(raw.decode().strip(STRIP).lower() for raw in (text or b"").split()), ""]
+                for i in range(1, len(words) - 1):
+                    own = [x for x in _terms_of(words[i]) if x in candidates]
+                    if own:
+                        around = zlib.crc32(f"{words[i - 1]} {words[i + 1]}".encode())
+                        found.update((*x, around) for x in own)
+            rows = sorted(found)
+            yield pa.record_batch({"term": pa.array([r[0] for r in rows], pa.string()), "size": pa.array([r[1] for r in rows], pa.int32()), "around": pa.array([r[2] for r in rows], pa.int64())})
+
+    return fn
+
+
 def longest(real: dict[str, int]) -> set[str]:
     """Of nested stems the longest that loses next to none of the texts; ``real``: toxic texts of each."""
     sizes = {len(t) for t in real}
@@ -320,7 +346,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     words = counts.filter("size = 0").select("term", sizes).filter(F.length("term") > F.col("size"))
     longer = words.groupBy(F.expr("substr(term, 1, size)").alias("term"), "size").agg(F.count(F.lit(1)).alias("longer"))
     top = top.join(longer.withColumnRenamed("size", "letters"), (F.col("letters") == F.abs("size")) & (top["term"] == longer["term"]), "left").select(top["term"], "size", "toxic", F.coalesce("longer", F.lit(0)).alias("longer"))
-    words, stems, pairs = lexicon([tuple(r) for r in top.orderBy(F.desc("toxic"), "term", "size").collect()])
+    chosen = [tuple(r) for r in top.orderBy(F.desc("toxic"), "term", "size").collect()]
+    around = texts.filter("toxic = 1").select("text").mapInArrow(_around({(t, n) for t, n, *_ in chosen}), "term string, size int, around long")
+    apart = {(r["term"], r["size"]): r["n"] for r in around.distinct().groupBy("term", "size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    words, stems, pairs = lexicon([x for x in chosen if apart.get(x[:2], 0) >= max(SUPPORT, APART * x[2])])
     model = Model(words, stems, pairs, base=base, clean=clean_near_short(seen, words))
     rows = _featured(texts.select("text", "toxic", "doc_id"), model, ["doc_id", "toxic"], "doc_id long, toxic int").orderBy("doc_id", "toxic").collect()
     model.weights = logistic(np.array([r["features"] for r in rows]), np.array([r["toxic"] for r in rows], float)).tolist()

@@ -198,8 +198,17 @@ def plain_lexicon(rows):
                 for n in T.STEM_SIZES:
                     if len(w) > n:
                         longer.setdefault((w[:n], n), set()).add(w)
+    around = {}
+    for text, y in rows:
+        if y:
+            words = ["", *(w.strip(T.STRIP).lower() for w in (text or "").split()), ""]
+            for p, w, q in zip(words, words[1:], words[2:]):
+                for x in [(w, 0)] + [(w[:n], s * n) for n in T.STEM_SIZES if len(w) >= n for s in (1, -1)]:
+                    around.setdefault(x, set()).add((p, q))
     out = []
     for (t, n), (a, b) in held.items():
+        if len(around.get((t, n), ())) < max(T.SUPPORT, T.APART * a):
+            continue
         odds = (a + 0.5) / (toxic + 1) / ((b + 0.5) / (other + 1))
         if a >= T.SUPPORT and odds >= T.ODDS and (n < 0 or b <= 0.02 * a):
             out.append((t, n, a, len(longer.get((t, abs(n)), ()))))
@@ -225,3 +234,13 @@ def test_held_out_recall_on_the_given_labels(spark):
     flagged, clean = sum(p for p, y in got if not y), sum(not y for _, y in got)
     assert toxic >= 100 and caught >= 0.9 * toxic, (caught, toxic)
     assert flagged <= 0.01 * clean, (flagged, clean)
+
+
+def test_copies_are_no_support(spark):
+    r = random.Random(6)
+    words = ["".join(r.choice("bdfgklmnprs") + r.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    text = lambda *own: " ".join([*r.choices(words, k=30), *own, *r.choices(words, k=30)])
+    copied = text("wretch", "onlyhere")
+    rows = [(text("wretch"), 1) for _ in range(60)] + [(copied.replace(words[i % 9], "edited", 1), 1) for i in range(100)] + [(text(), 0) for _ in range(900)]
+    d = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(rows)], "doc_id long, text string, toxic int")
+    assert T.fit(d.select("doc_id", "text"), d.select("doc_id", "toxic")).words == ["wretch"]
