@@ -159,8 +159,8 @@ def point_to_surface(spark, sf_dir):
 _U = lambda name: f"('0x' || substr(md5(concat_ws(':', '0', object_id, i, '{name}')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
 _SAMPLES = f"""{_TRI}, fa AS (SELECT *, sqrt(power((by_ - ay) * (cz - az) - (bz - az) * (cy - ay), 2) + power((bz - az) * (cx - ax) - (bx - ax) * (cz - az), 2) + power((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax), 2)) / 2 AS area FROM tri WHERE cx IS NOT NULL),
   fs AS (SELECT *, sum(area) OVER (PARTITION BY object_id ORDER BY face_id) AS after FROM fa), ft AS (SELECT object_id, max(after) AS total FROM fs GROUP BY 1),
-  dr AS (SELECT object_id, i, {_U('face')} * total AS at, {_U('u')} AS u, {_U('v')} AS v FROM ft, range(64) r(i)),
-  sm AS (SELECT object_id, i AS point_id, face_id, CASE WHEN u + v > 1 THEN 1 - u ELSE u END AS wb, CASE WHEN u + v > 1 THEN 1 - v ELSE v END AS wc, 1 - wb - wc AS wa, ax, ay, az, bx, by_, bz, cx, cy, cz FROM dr JOIN fs USING (object_id) WHERE at >= after - area AND at < after)"""
+  dr AS (SELECT object_id, i, {_U('face')} * total AS spot, {_U('u')} AS u, {_U('v')} AS v FROM ft, range(64) r(i)),
+  sm AS (SELECT object_id, i AS point_id, face_id, CASE WHEN u + v > 1 THEN 1 - u ELSE u END AS wb, CASE WHEN u + v > 1 THEN 1 - v ELSE v END AS wc, 1 - wb - wc AS wa, ax, ay, az, bx, by_, bz, cx, cy, cz FROM dr JOIN fs USING (object_id) WHERE spot >= after - area AND spot < after)"""
 
 
 @query("surface_samples", f"WITH {_SAMPLES} SELECT object_id, point_id, face_id, {r6('wa AS w_a', 'wb AS w_b', 'wc AS w_c', 'wa * ax + wb * bx + wc * cx AS x', 'wa * ay + wb * by_ + wc * cy AS y', 'wa * az + wb * bz + wc * cz AS z')} FROM sm")
