@@ -222,6 +222,30 @@ def part_visibility(df: DataFrame, samples: int, key: Sequence[str] = KEY) -> Da
     return out.withColumn("resamples", F.greatest(F.lit(1), F.least(F.lit(2 * samples), half_even(samples * (1.5 - F.col("worst"))).cast("int"))))
 
 
+#: The spread of channels below which a cloud counts as uncoloured, and the residual above which an alignment is weak.
+LEAST_SPREAD, MOST_RESIDUAL = 0.01, 0.15
+
+
+def colour_quality(df: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """key, n, color_std (population spread of all channels' values together), color_ok."""
+    values = df.select(*key, F.explode(F.array(*RGB)).alias("v"))
+    out = values.groupBy(*key).agg((F.count(F.lit(1)) / len(RGB)).cast("long").alias("n"), F.stddev_pop("v").alias("color_std"))
+    return out.withColumn("color_ok", F.col("color_std") > LEAST_SPREAD)
+
+
+def weak(residual: str = "residual") -> Column:
+    """Whether an alignment's residual is too large to trust."""
+    return F.col(residual) > MOST_RESIDUAL
+
+
+def colour_gradient(df: DataFrame, k: int = 16, key: Sequence[str] = KEY) -> DataFrame:
+    """key, point_id, gradient: distance of each colour to the mean of the k nearest others'; 0 for a point alone."""
+    e = nn.attach(nn.knn(df, df, k, key, include_self=False), df, "n_id", RGB, "n_", key)
+    m = e.groupBy(*key, F.col("q_id").alias("point_id")).agg(*[F.avg(f"n_{c}").alias(f"n_{c}") for c in RGB])
+    d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"n_{c}"), F.lit(2.0)) for c in RGB), F.lit(0.0)))
+    return df.join(m, [*key, "point_id"], "left").select(*key, "point_id", F.coalesce(d, F.lit(0.0)).alias("gradient"))
+
+
 def fidelity(df: DataFrame, surface: DataFrame, k: int = 12, key: Sequence[str] = KEY) -> DataFrame:
     """speckle (mean channel spread of the k nearest, itself included), uniformity (variation of nearest distances), p2f (mean distance to the surface)."""
     e = nn.attach(nn.knn(df, df, k, key), df, "n_id", RGB, "n_", key)

@@ -1,19 +1,43 @@
 """Nearest-neighbour joins inside objects: by all pairs of an object, or by grid cells.
 
-Both give the same rows. ``brute`` is an equi-join on object_id whose pairs are reduced in the same
-stage; use it while objects have up to some thousand points. ``grid`` joins each query point with the
-27 cells around it, accepts what lies within one cell's width, and leaves the rest to wider cells, at
-last to all pairs; ties go to the smallest reference id.
+All strategies give the same rows. ``brute`` is an equi-join on object_id whose pairs are reduced in the same
+stage; use it while objects have up to some thousand points. ``cells`` is an index for each object: a grid whose
+width comes from the object's own extent and number of points, in which a query point meets the points of the
+eight cells nearest to it; what isn't settled within half a width goes on in cells twice as wide, at last to all
+pairs. Points and what is settled are kept once, so no round is worked out again, and the pairs of one object are
+spread over the tasks. ``grid`` is the same with 27 cells of a width given for all objects. Ties go to the
+smallest reference id.
+
+Every operator that looks for neighbours takes the strategy in force: ``with nn.using("cells"): metrics.completion(...)``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from huepoint.store import kept
+
 KEY, XYZ = ("object_id",), ("x", "y", "z")
+STRATEGIES = ("brute", "cells", "grid")
+_IN_FORCE: ContextVar[str] = ContextVar("strategy", default="brute")
+
+
+@contextmanager
+def using(strategy: str) -> Iterator[None]:
+    """Neighbours are looked for by this strategy wherever none is named."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}; known: {', '.join(STRATEGIES)}")
+    token = _IN_FORCE.set(strategy)
+    try:
+        yield
+    finally:
+        _IN_FORCE.reset(token)
 
 
 def square_distance(a: str = "q", b: str = "n") -> Column:
@@ -42,7 +66,47 @@ def _cell_pairs(query: DataFrame, ref: DataFrame, width: float, key: Sequence[st
     return out if include_self else out.filter("q_id <> n_id")
 
 
-def knn(query: DataFrame, ref: DataFrame, k: int = 1, key: Sequence[str] = KEY, include_self: bool = True, strategy: str = "brute", width: float = 0.1, rounds: int = 3) -> DataFrame:
+def _widths(ref: DataFrame, k: int, key: Sequence[str]) -> DataFrame:
+    """key, __width: cells within which half a width around a point of an even surface holds some k points of the object."""
+    box = ref.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), *[(F.max(c) - F.min(c)).alias(f"__{c}") for c in XYZ])
+    a, b, c = (F.col(f"__{x}") for x in XYZ)
+    # a box's half surface, spread over its points; a line or a point has none
+    surface, longest = a * b + b * c + a * c, F.greatest(a, b, c)
+    radius = F.greatest(F.sqrt(surface * (2 * (k + 2) / math.pi) / F.col("__n")), longest * (k + 2) / F.col("__n"))
+    return box.select(*key, F.when(radius > 0, 2 * radius).otherwise(1.0).alias("__width"))
+
+
+def _octant_pairs(query: DataFrame, ref: DataFrame, key: Sequence[str], include_self: bool) -> DataFrame:
+    """Pairs of points with those of the eight cells nearest to them; both have ``__width``."""
+    cell = lambda p, c, half=0.0: F.floor(F.col(f"{p}_{c}") / F.col("__width") + half)
+    r = ref.withColumns({f"cell_{c}": cell("n", c) for c in XYZ}).drop("__width")
+    q = query
+    for c in XYZ:  # the cell itself, and its neighbour on the nearer side
+        q = q.withColumn(f"cell_{c}", F.explode(F.array(cell("q", c, -0.5), cell("q", c, -0.5) + 1)))
+    out = q.join(r, [*key, *[f"cell_{c}" for c in XYZ]]).withColumn("d2", square_distance())
+    return out if include_self else out.filter("q_id <> n_id")
+
+
+def _by_cells(query: DataFrame, ref: DataFrame, key: Sequence[str], include_self: bool, k: int, best, rounds: int) -> DataFrame:
+    refs = kept(_side(ref, "n", key).join(_widths(ref, k, key), list(key)))
+    wide = refs.select(*key, "__width").distinct()
+    left = kept(_side(query, "q", key).join(wide, list(key)))
+    found = None
+    for i in range(rounds):
+        scale = F.col("__width") * 2**i
+        scaled = [x.withColumn("__width", scale) for x in (left, refs)]
+        near = best(_octant_pairs(*scaled, key, include_self)).join(wide, list(key))
+        settled = near.groupBy(*key, "q_id").agg(F.count(F.lit(1)).alias("__n"), F.max(F.sqrt("d2") / (scale / 2)).alias("__far"))
+        near = kept(near.join(settled, [*key, "q_id"]).filter((F.col("__n") == k) & (F.col("__far") <= 1)).select(*key, "q_id", "n_id", "d2", "rank"))
+        found = near if found is None else found.unionByName(near)
+        left = kept(left.join(near.select(*key, "q_id").distinct(), [*key, "q_id"], "left_anti"))
+        if left.isEmpty():
+            return found
+    rest = left.drop("__width").join(refs.drop("__width"), list(key)).withColumn("d2", square_distance())
+    return found.unionByName(best(rest if include_self else rest.filter("q_id <> n_id")))
+
+
+def knn(query: DataFrame, ref: DataFrame, k: int = 1, key: Sequence[str] = KEY, include_self: bool = True, strategy: str | None = None, width: float = 0.1, rounds: int = 3) -> DataFrame:
     """key, q_id, n_id, d2, rank (1 to k) of the k nearest; query points of objects with fewer get fewer."""
     order = Window.partitionBy(*key, "q_id").orderBy("d2", "n_id")
 
@@ -52,8 +116,11 @@ def knn(query: DataFrame, ref: DataFrame, k: int = 1, key: Sequence[str] = KEY,
             return got.select(*key, "q_id", F.col("m.n_id").alias("n_id"), F.col("m.d2").alias("d2"), F.lit(1).alias("rank"))
         return p.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*key, "q_id", "n_id", "d2", "rank")
 
+    strategy = strategy or _IN_FORCE.get()
     if strategy == "brute":
         return best(pairs(query, ref, key, include_self))
+    if strategy == "cells":
+        return _by_cells(query, ref, key, include_self, k, best, rounds)
     found, left = None, query
     for _ in range(rounds):
         near = best(_cell_pairs(left, ref, width, key, include_self))
@@ -65,7 +132,7 @@ def knn(query: DataFrame, ref: DataFrame, k: int = 1, key: Sequence[str] = KEY,
     return found.unionByName(best(pairs(left, ref, key, include_self)))
 
 
-def nearest(query: DataFrame, ref: DataFrame, key: Sequence[str] = KEY, strategy: str = "brute", width: float = 0.1) -> DataFrame:
+def nearest(query: DataFrame, ref: DataFrame, key: Sequence[str] = KEY, strategy: str | None = None, width: float = 0.1) -> DataFrame:
     """key, q_id, n_id, d (distance) of the nearest reference point."""
     return knn(query, ref, 1, key, True, strategy, width).select(*key, "q_id", "n_id", F.sqrt("d2").alias("d"))
 

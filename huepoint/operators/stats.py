@@ -64,17 +64,26 @@ def wilcoxon(a: np.ndarray, b: np.ndarray, exact_up_to: int = 25) -> tuple[float
     return float(w), float(min(1.0, math.erfc(abs(z) / math.sqrt(2))))
 
 
+#: How often a pair counts in a draw at most; more has a probability of 1e-12.
+MOST_TIMES = 14
+#: Poisson's distribution of mean 1: the probability of at most 0, 1, 2 ... times.
+AT_MOST = [math.fsum(math.exp(-1) / math.factorial(i) for i in range(j + 1)) for j in range(MOST_TIMES)]
+
+
 def resampled(pairs: DataFrame, key: Sequence[str], draws: int = 2000, seed: int = 0) -> DataFrame:
-    """key, draw, a, b: means of as many pairs as the key has, drawn with replacement.
+    """key, draw, a, b: means of pairs drawn with replacement (``pairs(key, obj, a, b)``).
 
-    Each (draw, slot) is a row that picks a pair by its place, so a key of any size is spread over all tasks.
-    Keys of equal size draw alike.
+    Each pair counts in each draw as often as a Poisson number of mean 1 says, from a hash of draw and obj: the
+    bootstrap for data in parts, whose draws have as many pairs as the key on average, not exactly. No pair needs a
+    place among the others, so tasks weigh the pairs that they have and send a sum for each key and draw. Keys with
+    the same objects draw alike; a draw without any pair has no row.
     """
-    w = Window.partitionBy(*key)
-    placed = pairs.select(*key, "a", "b", (F.row_number().over(w.orderBy("obj")) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(w).alias("n"))
-    slots = placed.select(*key, F.col("place").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picks = slots.select(*key, "draw", F.floor(uniform("draw", "slot", seed=seed) * F.col("n")).cast("long").alias("place"))
-    return picks.join(placed.drop("n"), [*key, "place"]).groupBy(*key, "draw").agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
+    each = pairs.select(*key, "a", "b", "obj", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    u = uniform("draw", "obj", seed=seed)
+    times = F.aggregate(F.array(*[F.lit(p) for p in AT_MOST]), F.struct(u.alias("u"), F.lit(0).alias("n")), lambda s, p: F.struct(s["u"].alias("u"), (s["n"] + (s["u"] >= p).cast("int")).alias("n")), lambda s: s["n"])
+    weighed = each.withColumn("__n", times).filter("__n > 0")
+    mean = lambda c: (F.sum(F.col(c) * F.col("__n")) / F.sum("__n")).alias(c)
+    return weighed.groupBy(*key, "draw").agg(mean("a"), mean("b"))
 
 
 #: The interval's percentiles, and the draws that it needs at least.

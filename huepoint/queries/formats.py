@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from huepoint.queries._registry import query, r6, six
-from huepoint.sources import arrays, ply, registry, sinks, textual
+from huepoint.sources import arrays, loaders, ply, registry, sinks, textual
+from huepoint.store import shared_folder
 from huepoint.views import CLOUD, EVAL, cloud, eval_rows, table
 
 
@@ -82,3 +83,42 @@ def unreadable_files(spark, sf_dir):
 def partial_pairs(spark, sf_dir):
     half = F.floor(F.col("s_suppkey") / 2).cast("string")
     return textual.partial_pairs(table(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 4 == 0, F.concat(half, F.lit("_missing"))).otherwise(half).alias("object_id")))
+
+
+def _named(df):
+    return df.withColumn("object_id", F.col("object_id").cast("string"))
+
+
+_FLOATS = ("x::FLOAT AS fx", "y::FLOAT AS fy", "z::FLOAT AS fz")
+
+
+@query(
+    "whole_and_partial",
+    f"""WITH {CLOUD}, f AS (SELECT object_id, point_id, {", ".join(_FLOATS)}, row_number() OVER (PARTITION BY object_id ORDER BY point_id) - 1 AS i FROM cloud),
+    s AS (SELECT DISTINCT object_id, fx, fy, fz FROM f WHERE point_id % 3 <> 0 AND object_id % 4 <> 3),
+    m AS (SELECT f.*, s.fx IS NULL AS is_missing FROM f LEFT JOIN s ON s.object_id = f.object_id AND s.fx = f.fx AND s.fy = f.fy AND s.fz = f.fz WHERE f.object_id % 4 <> 3)
+    SELECT object_id::VARCHAR AS object_id, i::BIGINT AS point_id, is_missing FROM m QUALIFY count(*) FILTER (is_missing) OVER (PARTITION BY object_id) >= 16 AND count(*) FILTER (NOT is_missing) OVER (PARTITION BY object_id) >= 16""",
+)
+def whole_and_partial(spark, sf_dir):
+    """Whole clouds and partial ones as files of their own formats, read together."""
+    folder = shared_folder(spark)
+    c = _named(cloud(spark, sf_dir))
+    whole = arrays.npz_encoded(c).select(F.concat("object_id", F.lit(".npz")).alias("name"), "content")
+    part = ply.encoded(c.filter("point_id % 3 <> 0 and cast(object_id as long) % 4 <> 3")).select(F.concat("object_id", F.lit(".ply")).alias("name"), "content")
+    for files, at in ((whole, "whole"), (part, "partial")):
+        sinks.write_files(files, f"{folder}/{at}").count()
+    return loaders.whole_and_partial(spark, f"{folder}/whole", f"{folder}/partial", least=16).select("object_id", "point_id", "is_missing")
+
+
+@query(
+    "resume_signature",
+    """WITH c AS (SELECT DISTINCT o_custkey AS cell, sha256('{"priority": "' || o_orderpriority || '"}')[1:16] AS config_hash FROM orders), g AS (SELECT cell FROM c WHERE config_hash = sha256('{"priority": "1-URGENT"}')[1:16])
+    SELECT cell, 'done' AS state FROM g UNION ALL SELECT c_custkey, 'pending' FROM customer WHERE c_custkey NOT IN (SELECT cell FROM g)""",
+)
+def resume_signature(spark, sf_dir):
+    """Customers as cells; a checkpoint of mixed configurations has some of them."""
+    text = F.concat(F.lit('{"priority": "'), F.col("o_orderpriority"), F.lit('"}'))
+    checkpoint = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cell"), F.substring(F.sha2(text.cast("binary"), 256), 1, 16).alias("config_hash")).distinct()
+    cells = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell"))
+    done, left = sinks.resumed(cells, checkpoint, ["cell"], {"priority": "1-URGENT"})
+    return done.select("cell", F.lit("done").alias("state")).unionByName(left.select("cell", F.lit("pending").alias("state")))

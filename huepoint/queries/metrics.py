@@ -356,3 +356,24 @@ def colour_swd_seeded(spark, sf_dir):
 def inpainted_adaptive(spark, sf_dir):
     out = completion.inpainted(G.crop(cloud(spark, sf_dir), VIEW, 0.5), steps=20, adaptive=True)
     return six(out.select("object_id", "point_id", "pred_r", "pred_g", "pred_b"))
+
+
+@query(
+    "colour_quality",
+    f"WITH {CLOUD}, v AS (SELECT object_id, unnest([r, g, b]) AS v FROM cloud), q AS (SELECT object_id, (count(*) // 3)::BIGINT AS n, stddev_pop(v) AS color_std FROM v GROUP BY 1), e AS (SELECT object_id, sqrt(power(avg(x), 2) + power(avg(y), 2) + power(avg(z), 2)) * 10 AS residual FROM cloud GROUP BY 1) SELECT object_id, n, {r6('color_std')}, color_std > 0.01 AS color_ok, residual > 0.15 AS weak FROM q JOIN e USING (object_id)",
+)
+def colour_quality(spark, sf_dir):
+    """Which objects have colours, and whose centre is far off."""
+    c = cloud(spark, sf_dir)
+    off = c.groupBy("object_id").agg((F.sqrt(sum((F.pow(F.avg(x), F.lit(2.0)) for x in ("x", "y", "z")), F.lit(0.0))) * 10).alias("residual"))
+    return six(M.colour_quality(c).join(off, "object_id").withColumn("weak", M.weak()).drop("residual"))
+
+
+@query(
+    "colour_gradient",
+    f"""WITH {CLOUD}, e AS (SELECT q.object_id, q.point_id, n.r, n.g, n.b FROM cloud q JOIN cloud n ON q.object_id = n.object_id AND q.point_id <> n.point_id QUALIFY row_number() OVER (PARTITION BY q.object_id, q.point_id ORDER BY power(q.x - n.x, 2) + power(q.y - n.y, 2) + power(q.z - n.z, 2), n.point_id) <= 8),
+    m AS (SELECT object_id, point_id, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM e GROUP BY 1, 2)
+    SELECT c.object_id, c.point_id, {r6('coalesce(sqrt(power(c.r - m.r, 2) + power(c.g - m.g, 2) + power(c.b - m.b, 2)), 0) AS gradient')} FROM cloud c LEFT JOIN m USING (object_id, point_id)""",
+)
+def colour_gradient(spark, sf_dir):
+    return six(M.colour_gradient(cloud(spark, sf_dir), 8))

@@ -59,11 +59,13 @@ def _compared(spark, sf_dir):
 U = lambda seed, *keys: f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
 
 
+TIMES = f"len(list_filter([{', '.join(map(repr, X.AT_MOST))}]::DOUBLE[], lambda q: {U(0, 'draw', 'obj')} >= q))"
+
+
 def _interval_sql(unit: str, pairs: str, sign: int = -1, draws: int = 500) -> str:
     """CTEs up to ``ci`` over p(difficulty, obj, a, b)."""
-    return f"""{pairs}, placed AS (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY obj) - 1 AS place, count(*) OVER (PARTITION BY difficulty) AS n FROM p),
-    picks AS (SELECT difficulty, draw, floor({U(0, 'draw', 'place')} * n)::BIGINT AS place FROM placed, range({draws}) r(draw)),
-    drawn AS (SELECT difficulty, draw, avg(a) AS a, avg(b) AS b FROM picks JOIN placed USING (difficulty, place) GROUP BY 1, 2),
+    return f"""{pairs}, times AS (SELECT *, {TIMES} AS w FROM p, range({draws}) r(draw)),
+    drawn AS (SELECT difficulty, draw, sum(w * a) / sum(w) AS a, sum(w * b) / sum(w) AS b FROM times GROUP BY 1, 2 HAVING sum(w) > 0),
     base AS (SELECT difficulty, abs(avg(a)) AS base, count(*) AS n FROM p GROUP BY 1),
     x AS (SELECT difficulty, n, {sign} * (b - a) * CASE WHEN base <= 1e-12 THEN 1 ELSE 100 / nullif({unit}, 0) END AS x FROM drawn JOIN base USING (difficulty)),
     ci AS (SELECT difficulty, any_value(n) AS n, CASE WHEN count(x) >= 20 THEN quantile_cont(x, 0.025) END AS ci_lo, CASE WHEN count(x) >= 20 THEN quantile_cont(x, 0.975) END AS ci_hi FROM x GROUP BY 1 HAVING any_value(n) >= 5)"""
@@ -124,8 +126,8 @@ def spearman_of_table(spark, sf_dir):
 
 @query(
     "bootstrap_bars",
-    f"""WITH {EVAL}, per AS (SELECT method, obj, avg(metric) AS a FROM ev GROUP BY 1, 2), placed AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY obj) - 1 AS place, count(*) OVER (PARTITION BY method) AS n FROM per),
-    picks AS (SELECT method, draw, floor({U(0, 'draw', 'place')} * n)::BIGINT AS place FROM placed, range(500) r(draw)), drawn AS (SELECT method, draw, avg(a) AS a FROM picks JOIN placed USING (method, place) GROUP BY 1, 2),
+    f"""WITH {EVAL}, per AS (SELECT method, obj, avg(metric) AS a FROM ev GROUP BY 1, 2), times AS (SELECT *, {TIMES} AS w FROM per, range(500) r(draw)),
+    drawn AS (SELECT method, draw, sum(w * a) / sum(w) AS a FROM times GROUP BY 1, 2 HAVING sum(w) > 0),
     m AS (SELECT method, count(*) AS n, avg(a) AS mean FROM per GROUP BY 1 HAVING count(*) >= 3), e AS (SELECT method, quantile_cont(a, 0.025) AS lo, quantile_cont(a, 0.975) AS hi FROM drawn GROUP BY 1)
     SELECT method, n, {r6('mean', 'mean - lo AS below', 'hi - mean AS above')} FROM m JOIN e USING (method)""",
 )

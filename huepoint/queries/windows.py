@@ -19,21 +19,28 @@ def runner_up_margin(spark, sf_dir):
 @query(
     "cumprod_schedule",
     f"""WITH t AS (SELECT unnest(range(0, 200)) AS t), f AS (SELECT t, power(cos((t / 200.0::DOUBLE + 0.008) / 1.008 * (pi() / 2)), 2) AS f0, power(cos(((t + 1) / 200.0::DOUBLE + 0.008) / 1.008 * (pi() / 2)), 2) AS f1 FROM t),
-    b AS (SELECT t, greatest(least(1 - f1 / f0, 0.999), 1e-8) AS beta FROM f), a AS (SELECT t, beta, exp(sum(ln(1 - beta)) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING)) AS abar FROM b)
-    SELECT t, {r6('beta', 'abar', 'lag(abar, 1, 1.0::DOUBLE) OVER (ORDER BY t) AS abar_prev')} FROM a""",
+    b AS (SELECT t, greatest(least(1 - f1 / f0, 0.999), 1e-8) AS beta FROM f), a AS (SELECT t, beta, exp(sum(ln(1 - beta)) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING)) AS abar FROM b),
+    s AS (SELECT t, beta, abar, lag(abar, 1, 1.0::DOUBLE) OVER (ORDER BY t) AS abar_prev FROM a)
+    SELECT event_id, t, {r6('beta', 'abar', 'abar_prev', 'sqrt(abar) * value AS kept')} FROM events JOIN s ON event_id % 200 = t""",
 )
 def cumprod_schedule(spark, sf_dir):
-    return six(schedules.products(schedules.cosine(spark, 200)).select("t", "beta", "abar", "abar_prev"))
+    """Each event's value as its step of the schedule leaves it."""
+    rates = schedules.products(schedules.cosine(spark, 200)).select("t", "beta", "abar", "abar_prev")
+    e = table(spark, sf_dir, "events").select("event_id", "value", (F.col("event_id") % 200).alias("t"))
+    return six(e.join(F.broadcast(rates), "t").select("event_id", "t", "beta", "abar", "abar_prev", (F.sqrt("abar") * F.col("value")).alias("kept")))  # 200 rows
 
 
 WALK = """WITH t AS (SELECT unnest(range(-1, 200)) AS m), b AS (SELECT m, [m] || CASE WHEN m % 10 = 0 AND m >= 0 AND m < 190 THEN (range(m + 1, m + 11) || range(m + 9, m - 1, -1)) || (range(m + 1, m + 11) || range(m + 9, m - 1, -1)) ELSE [] END AS ts FROM t),
 e AS (SELECT m, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM b), s AS (SELECT row_number() OVER (ORDER BY m DESC, i) - 1 AS step, t FROM e), n AS (SELECT step, t, lead(t) OVER (ORDER BY step) AS next_t FROM s)
-SELECT step, t, next_t, CASE WHEN next_t < t THEN 'denoise' ELSE 'jump' END AS kind FROM n WHERE next_t IS NOT NULL"""
+SELECT event_id, step, t, next_t, CASE WHEN next_t < t THEN 'denoise' ELSE 'jump' END AS kind FROM events JOIN n ON step = event_id % (SELECT count(*) - 1 FROM n) WHERE next_t IS NOT NULL"""
 
 
 @query("walk_steps", WALK)
 def walk_steps(spark, sf_dir):
-    return schedules.walk_steps(spark, 200, 10, 3)
+    """The step of the walk that each event takes, in turn."""
+    steps = schedules.walk_steps(spark, 200, 10, 3)
+    e = table(spark, sf_dir, "events").select("event_id").crossJoin(F.broadcast(steps.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    return e.withColumn("step", F.col("event_id") % F.col("n")).join(F.broadcast(steps), "step").select("event_id", "step", "t", "next_t", "kind")  # as many rows as the walk has steps
 
 
 @query("percent_rank_cdf", f"WITH {EVAL}, m AS (SELECT method, obj, avg(metric) AS v FROM ev GROUP BY 1, 2) SELECT method, obj, {r6('percent_rank() OVER (PARTITION BY method ORDER BY v) AS cdf', 'cume_dist() OVER (PARTITION BY method ORDER BY v) AS cume')} FROM m")

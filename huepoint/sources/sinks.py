@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,53 @@ def pending(cells: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:
     return cells.join(done.select(*key).distinct(), list(key), "left_anti")
 
 
+def of_signature(checkpoint: DataFrame, config: dict, column: str = "config_hash") -> DataFrame:
+    """The rows of a checkpoint that were made with this configuration; those without a signature aren't."""
+    return checkpoint.filter(F.col(column) == config_hash(config))
+
+
+def resumed(cells: DataFrame, checkpoint: DataFrame, key: Sequence[str], config: dict, column: str = "config_hash") -> tuple[DataFrame, DataFrame]:
+    """What a checkpoint has of the right signature, and the cells that remain to be done with the signature they will have."""
+    done = of_signature(checkpoint, config, column)
+    return done, pending(cells, done, key).withColumn(column, F.lit(config_hash(config)))
+
+
+def overridden(config: dict, flags: dict) -> dict:
+    """``config`` with the flags that are set: None and False leave it as it is."""
+    return config | {k: v for k, v in flags.items() if v is not None and v is not False}
+
+
+#: The overlay's colours of the aligned cloud and of the reference.
+ALIGNED, REFERENCE = (1.0, 0.0, 0.0), (0.6, 0.6, 0.6)
+
+
+def overlay(aligned: DataFrame, reference: DataFrame, key: str = "object_id") -> DataFrame:
+    """Both clouds of each object as one, each in its colour; part tells them apart (0 aligned, 1 reference). ``ply.write`` makes files of it."""
+    own = lambda df, rgb, part: df.select(key, "point_id", "x", "y", "z", *[F.lit(v).alias(c) for v, c in zip(rgb, "rgb")], F.lit(part).cast("long").alias("part"))
+    n = reference.groupBy(key).agg(F.max("point_id").alias("__last"))
+    shifted = aligned.join(n, key, "left").withColumn("point_id", F.col("point_id") + F.coalesce("__last", F.lit(-1)) + 1)
+    return own(reference, REFERENCE, 1).unionByName(own(shifted, ALIGNED, 0))
+
+
+def write_files(files: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
+    """Writes ``content`` to <folder>/<name> from the tasks that hold it; returns name, path, bytes. The folder must be one that all executors share."""
+    import pyarrow.fs as pafs
+
+    def put(batches):
+        fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file:{folder}")
+        for b in batches:
+            rows = []
+            for n, data in zip(b[name], b[content]):
+                path = f"{base}/{n}"
+                fs.create_dir(path.rsplit("/", 1)[0])
+                with fs.open_output_stream(path) as out:
+                    out.write(bytes(data))
+                rows.append((n, path, len(data)))
+            yield pd.DataFrame(rows, columns=["name", "path", "bytes"])
+
+    return files.select(name, content).mapInPandas(put, "name string, path string, bytes long")
+
+
 def markdown(df: DataFrame, digits: int = 3, blank: str = "") -> str:
     """A small table as Markdown."""
     show = lambda v: blank if v is None or v != v else f"{v:.{digits}f}" if isinstance(v, float) else str(v)

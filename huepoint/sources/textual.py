@@ -68,6 +68,21 @@ def textures(obj: DataFrame, mtl: DataFrame) -> DataFrame:
     return lib.join(tex, "library", "left").select("object_id", "library", "texture")
 
 
+def with_and_without_labels(points: DataFrame, masks: Sequence[tuple[str, DataFrame]], least: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Objects that have every label's file, and the others, which can only be tested on; objects of fewer than ``least`` points are neither.
+
+    An object has a label's file if ``masks`` of that name has rows of it.
+    """
+    n = points.groupBy("object_id").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least)
+    has = None
+    for name, m in masks:
+        one = m.select("object_id").distinct().withColumn("__label", F.lit(name))
+        has = one if has is None else has.unionByName(one)
+    full = has.groupBy("object_id").agg(F.count_distinct("__label").alias("__labels")).filter(F.col("__labels") == len(masks)).select("object_id")
+    large = points.join(n.select("object_id"), "object_id", "left_semi")
+    return large.join(full, "object_id", "left_semi"), large.join(full, "object_id", "left_anti")
+
+
 def _last(column: Column) -> Column:
     """The last value so far in the file."""
     return F.last(column, True).over(Window.partitionBy("object_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))

@@ -129,3 +129,45 @@ def test_generated_chairs_have_less_part_spread_than_whole(spark):
     d = M.dispersion(objects(spark, 2, 300)).collect()
     assert all(r.n_parts == 6 and r.r_micro < 0.5 for r in d)
     assert clusters(spark, 1, 50).count() == 50
+
+
+@pytest.mark.parametrize("k, include_self", [(1, True), (4, False), (7, True)])
+def test_cells_give_the_rows_of_all_pairs(spark, k, include_self):
+    """Surfaces, a volume, a line, one place only, fewer points than k, and queries far from all points."""
+    from huepoint.plans.generate import chairs
+
+    rng = np.random.default_rng(k)
+    shapes = {1: rng.normal(size=(150, 3)), 2: np.column_stack([np.arange(60), np.zeros(60), np.zeros(60)]), 3: np.zeros((20, 3)), 4: rng.random((3, 3)), 5: np.round(rng.random((80, 3)) * 4) / 4, 6: rng.random((50, 3)) * [100, 1, 0.01]}
+    rows = [(o, i, *map(float, p), 0.5, 0.5, 0.5, 0) for o, points in shapes.items() for i, p in enumerate(points)]
+    ref = chairs(spark, 1, 500).unionByName(spark.createDataFrame(rows, "object_id long, point_id long, x double, y double, z double, r double, g double, b double, part long"))
+    query = ref.filter("point_id % 3 = 0").withColumn("x", F.when(F.col("point_id") % 4 == 0, F.col("x") + 3).otherwise(F.col("x")))
+    got, want = (sorted(map(tuple, nn.knn(query, ref, k, include_self=include_self, strategy=s).collect())) for s in ("cells", "brute"))
+    assert got == want and len(got) > 250
+
+
+def test_metrics_take_the_strategy_in_force(spark):
+    a, b = spark.createDataFrame(clouds(90, 3)), spark.createDataFrame(clouds(80, 4))
+    measure = {"completion": lambda: M.completion(a, b), "edge_iou": lambda: M.edge_iou(a, b), "chamfer": lambda: G.chamfer(a, b), "graph": lambda: M.graph(a, 5)}
+    for name, fn in measure.items():
+        want = sorted(map(tuple, fn().collect()), key=str)
+        with nn.using("cells"):
+            got = sorted(map(tuple, fn().collect()), key=str)
+        assert len(got) == len(want) and all(x == pytest.approx(y, abs=1e-9) if isinstance(x, float) else x == y for r, s in zip(got, want) for x, y in zip(r, s)), name
+    with pytest.raises(ValueError), nn.using("guess"):
+        pass
+
+
+def test_leading_frames_are_those_of_the_whole_search(spark):
+    c = chairs(spark, 3, 160, seed=4).toPandas()
+    perm, sign = G.signed_permutations()[29]
+    moved = c.assign(**{f"n{j}": c[XYZ[perm[j]]] * sign[j] for j in range(3)})
+    moved = spark.createDataFrame(moved.drop(columns=XYZ).rename(columns={f"n{j}": XYZ[j] for j in range(3)}))
+    part = spark.createDataFrame(c)
+    whole = {(r.object_id, r.frame): r for r in G.alignment(part, moved).collect()}
+    for places in (1, 2):
+        lead = G.leading_frames(part, moved, places=places).collect()
+        for r in lead:
+            assert r.chamfer == pytest.approx(whole[r.object_id, r.frame].chamfer, abs=1e-12) and r.reflection == whole[r.object_id, r.frame].reflection
+        best = lambda rows: {(r.object_id, r.frame_rank, round(r.chamfer, 9)) for r in rows if r.frame_rank <= places}  # noqa: B023, E731
+        assert best(lead) == best(whole.values()) and len(best(lead)) == 3 * places
+        assert places == 2 or len(lead) <= len(whole) / 8
