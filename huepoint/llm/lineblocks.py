@@ -3,19 +3,22 @@
 The markup is stripped: a page becomes lines, cut at block elements, with the element that holds each
 line. Lines inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are no text; they are told by element, role, and class and id. Each other line has a weight: the
-length of its text outside links, nothing where links hold more than half of it. The weights of ``width``
+length of its text outside links, nothing where links hold more than half of it; of paragraphs
+and headlines up to ``width`` in a row may be links as a whole. The weights of ``width``
 lines in a row are summed; where the sum surges to ``surge`` the text begins, where it dives to zero it
 ends, and what lies between is text, all of it, on every page alike.
 
 Markup is evidence that moves the weights, no more: where an ``article`` (or else ``main``) holds at least
-half of the text outside links, its lines weigh ``surge`` more, however short, and lines outside weigh
-nothing; an article that holds less is a teaser and says nothing. Two stretches of one parent element
+half of the text outside links, its lines weigh ``MARKED`` times as much, so that short lines surge too, and lines
+outside weigh nothing; three lines in a row that are all links end the text there as well. An article that holds
+less is a teaser and says nothing. Two stretches of one parent element
 belong together with that element's lines between them, and a stretch takes the rest of its parent's
 lines, if that isn't the body.
 
 Elements nest as HTML says, with end tags left out (p, li, td ... end where the next one or their parent's
 end implies it). An excluded element whose own end tag is missing reaches to its parent's end, but never
-over an article or main that begins in it. A class or id excludes if one of its names has a word such as
+over an article or main that begins in it. Elements more than ``DEPTH`` deep nest by their own tags alone; those
+to be excluded are at any depth. A class or id excludes if one of its names has a word such as
 "ad", "sidebar" or "comments" and beside it nothing but words of layout ("left-sidebar", "ad-slot"), so
 that "short-form" or "search-results-explained" stay. A tag that no ">" ends is dropped up to the next "<".
 All steps take time in proportion to the page.
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, SURGE = 3, 60
+WIDTH, SURGE, MARKED = 3, 60, 20
 
 #: Their content is no markup, up to their own end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -82,8 +85,10 @@ LAYOUT = frozenset(
 PARTS = frozenset(["article", "main"])
 CELLS = frozenset("td th caption".split())
 TABLE = frozenset("table tbody thead tfoot tr td th caption body html".split())
-#: Elements open at once; deeper ones are part of the last (browsers have such a limit too). No text is lost by it.
+#: Elements whose end tags may be left out; deeper ones nest by their own tags alone, which keeps each step short.
 DEPTH = 256
+#: Lines of these are prose whatever part of them is a link.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd dt caption summary".split())
 
 REST_OF_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 ATTR = re.compile(r"([^\s=\"'/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -187,14 +192,15 @@ class Element:
 
 
 class Line:
-    __slots__ = ("text", "outside", "before", "inside", "part", "parent", "body")
+    __slots__ = ("text", "outside", "prose", "before", "inside", "part", "parent", "body")
 
-    def __init__(self, text: str, outside: int, stack: list[Element]):
+    def __init__(self, text: str, outside: int, stack: list[Element], deep_out: bool):
         self.text, self.outside = text, outside
+        self.prose = next((e.tag for e in reversed(stack) if e.tag in BLOCKS), "") in PROSE
         part = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in PARTS), -1)
         # excluded elements around the innermost part, and those in it (all, where there is none)
         self.before = [e for e in stack[: part + 1] if e.out]
-        self.inside = any(e.out for e in stack[part + 1 :])
+        self.inside = deep_out or any(e.out for e in stack[part + 1 :])
         kinds = {e.tag for e in stack if e.tag in PARTS}
         self.part = "article" if "article" in kinds else "main" if kinds else ""
         held = next((e for e in reversed(stack) if e.tag in BLOCKS and e.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "blockquote", "summary", "figcaption", "ul", "ol")), None)
@@ -209,7 +215,9 @@ def lines_of(page: str) -> list[Line]:
     lines: list[Line] = []
     stack: list[Element] = []
     buffer: list[str] = []
+    deep: list[tuple[str, bool]] = []  # elements below the stack, and whether they are excluded
     too_deep: Counter[str] = Counter()
+    deep_out = 0
     inline_out: Counter[str] = Counter()  # open inline elements that are excluded
     outside = links = count = 0
     quiet = False
@@ -219,7 +227,7 @@ def lines_of(page: str) -> list[Line]:
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                lines.append(Line(text, outside, stack))
+                lines.append(Line(text, outside, stack, deep_out > 0))
             buffer.clear()
         outside = 0
 
@@ -272,9 +280,14 @@ def lines_of(page: str) -> list[Line]:
             continue  # b, i, span ...: nothing depends on them
         if ends:
             if too_deep[tag]:
-                too_deep[tag] -= 1
                 if block:
                     close_line()
+                while True:  # what is open inside ends with it
+                    name, out = deep.pop()
+                    too_deep[name] -= 1
+                    deep_out -= out
+                    if name == tag:
+                        break
                 continue
             i = len(stack) - 1 if block or inline_out[tag] else -1
             while i >= 0 and stack[i].tag != tag:
@@ -287,6 +300,9 @@ def lines_of(page: str) -> list[Line]:
                 close_line()
                 links = 0
             if i >= 0:
+                deep.clear()
+                too_deep.clear()
+                deep_out = 0
                 cut(i, True)
             continue
         if block:
@@ -307,6 +323,8 @@ def lines_of(page: str) -> list[Line]:
             continue
         if len(stack) >= DEPTH:
             too_deep[tag] += 1
+            deep.append((tag, out))
+            deep_out += out
             inline_out[tag] -= not block
             continue
         count += 1
@@ -318,14 +336,21 @@ def lines_of(page: str) -> list[Line]:
     return lines
 
 
-def weights(lines: list[Line], surge: int) -> tuple[str, list[int]]:
-    """The part of the page that counts, if one does, and the lines' weights."""
+def weights(lines: list[Line], width: int) -> list[int]:
     plain = [x.outside if 2 * x.outside >= len(x.text) else 0 for x in lines]
+    at = 0
+    while at < len(lines):
+        stop = at
+        while stop < len(lines) and not plain[stop] and lines[stop].prose:
+            stop += 1
+        if stop - at <= width:  # more in a row are a list of links
+            plain[at:stop] = [len(x.text) for x in lines[at:stop]]
+        at = stop + 1
     for part in ("article", "main"):
         inside = sum(w for w, x in zip(plain, lines) if x.part == part)
         if any(x.part == part for x in lines) and 2 * inside >= sum(plain):
-            return part, [surge + len(x.text) if x.part == part else 0 for x in lines]
-    return "", plain
+            return [MARKED * w if x.part == part else 0 for w, x in zip(plain, lines)]
+    return plain
 
 
 def stretches(weigh: list[int], width: int, surge: int) -> list[tuple[int, int]]:
@@ -347,10 +372,11 @@ def main_text(page: str | None, width: int = WIDTH, surge: int = SURGE) -> str:
     if not page:
         return ""
     lines = [x for x in lines_of(page) if not x.out]
-    part, weigh = weights(lines, surge)
+    weigh = weights(lines, width)
     found = stretches(weigh, width, surge)
     if not found and any(weigh):  # nothing surges: all there is
-        found = [(0, len(lines))]
+        weighty = [i for i, w in enumerate(weigh) if w]
+        found = [(weighty[0], weighty[-1] + 1)]
     keep = [False] * len(lines)
     reach: dict[int, tuple[int, int]] = {}  # of each parent the first and the last line in a stretch
     for i, j in found:
@@ -363,7 +389,7 @@ def main_text(page: str | None, width: int = WIDTH, surge: int = SURGE) -> str:
         if weigh[x] and line.parent in reach:
             lo, hi = reach[line.parent]
             keep[x] |= lo < x < hi or not line.body
-    return "\n".join(line.text for x, line in enumerate(lines) if keep[x] and (not part or line.part == part))
+    return "\n".join(line.text for x, line in enumerate(lines) if keep[x])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ import time
 
 import pytest
 
+from huepoint.llm import lineblocks
 from huepoint.llm.lineblocks import extract, main_text
 
 LONG = "Some sentences of a story that is long enough to surge over the windows of short lines. "
@@ -127,3 +128,42 @@ def test_time_grows_with_the_page_only(piece):
     began = time.time()
     main_text(piece * (1_000_000 // len(piece)))
     assert time.time() - began < 60
+
+
+WORDS = "Enough words of plain prose to count as a line of text on a page, and then a few more."
+
+
+@pytest.mark.parametrize("depth", [10, 255, 256, 300, 2000])
+def test_exclusion_at_any_depth(depth):
+    page = "<body>" + "<div>" * depth + f"<nav><ul><li><a>Menu</a></li><li>Shop</li></ul></nav><p>{WORDS}</p><div class='sidebar'><div><p>{WORDS}</p></div></div><p>The end.</p>" + "</div>" * depth
+    assert lineblocks.main_text(page) == f"{WORDS}\nThe end."
+
+
+def test_deep_elements_end_with_their_own_tags():
+    page = "<body>" + "<div>" * 300 + f"<nav><b>x<section>Menu</section></nav><p>{WORDS}</p><nav>open" + "</div>" * 45 + f"<p>{WORDS}</p>" + "</div>" * 255 + f"<p>{WORDS}</p>"
+    assert lineblocks.main_text(page) == "\n".join([WORDS] * 3)
+
+
+def test_links_in_prose_are_text():
+    link = lambda x: f"<p><a href='#'>{x}</a></p>"
+    body = f"<div><p>{WORDS}</p>{link('One line that is a link')}{link('Another one')}{link('And a third')}<p>Closing.</p></div>"
+    assert lineblocks.main_text(f"<body>{body}</body>") == f"{WORDS}\nOne line that is a link\nAnother one\nAnd a third\nClosing."
+    assert lineblocks.main_text(f"<body>{link(WORDS)}</body>") == WORDS
+    assert lineblocks.main_text(f"<body><h1>Title</h1><p>{WORDS}</p>{link('Last line, a link')}</body>") == f"Title\n{WORDS}\nLast line, a link"
+
+
+def test_a_long_run_that_does_not_surge_goes_from_an_article_too():
+    links = "".join(f"<li><a href='#{i}'>Elsewhere {i}</a></li>" for i in range(12))
+    page = f"<body><article><h1>T</h1><p>{WORDS}</p><p>So.</p><ul>{links}</ul></article><div><p>Outside of it.</p></div></body>"
+    assert lineblocks.main_text(page) == f"T\n{WORDS}\nSo."
+    assert lineblocks.main_text(f"<body><article><p>{WORDS}</p><ul><li><a>One</a></li><li>of two</li></ul><p>{WORDS}</p></article></body>") == f"{WORDS}\nOne\nof two\n{WORDS}"
+
+
+def test_given_pages_do_not_need_their_article_tags():
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.1/pages.parquet")["html"].to_pylist():
+        bare = page
+        for tag in ("article", "main"):
+            bare = bare.replace(f"<{tag}", "<div").replace(f"</{tag}", "</div")
+        assert lineblocks.main_text(bare) == lineblocks.main_text(page) != ""
