@@ -59,7 +59,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = syncmers.fingerprints(table(spark, sf_dir, "documents"))
     sha = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
-    return found.select("doc_id", "n_chars", sha, syncmers.written("anchors").alias("fingerprint"), syncmers.written("edited_anchors").alias("edited_fingerprint"), F.col("match_edited").alias("near_edited"), F.col("match_next").alias("near_next"), "next_id")
+    return found.select("doc_id", "n_chars", sha, syncmers.written("all_anchors").alias("fingerprint"), syncmers.written("all_edited_anchors").alias("edited_fingerprint"), F.col("match_edited").alias("near_edited"), F.col("match_next").alias("near_next"), "next_id")
+
+
+def document_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited texts that op9 compares with."""
+    found = syncmers.edits(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "next_id", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_personal_data": op11_personal_data,
     "op12_vector_codes": op12_vector_codes,
     "op13_importance_resampling": op13_importance_resampling,
+    "document_edits": document_edits,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -104,4 +111,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_ngram_jaccard": oracles.JACCARD,
     "op12_vector_codes": partcodes.SQL,
     "op13_importance_resampling": importance.SQL,
+    "document_edits": syncmers.SQL,
 }

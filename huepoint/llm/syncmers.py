@@ -3,15 +3,16 @@
 A text's symbols are its blank-separated words (of a longer word, each 16 characters). Every k symbols
 are a k-mer, every s of them inside an s-mer. A k-mer is an anchor if the smallest hash of its s-mers is
 that of its first or its last one: a choice that depends on the k-mer alone, so a stretch of text has
-the same anchors wherever it stands. The fingerprint is the ``keep`` smallest distinct anchor hashes (40
-bits) in order, each with the place of its first anchor, as ``hash:place,hash:place...``; a text of fewer
-than k symbols is one anchor.
+the same anchors wherever it stands. The fingerprint is all distinct anchor hashes in order, each with the place
+of its first anchor, as ``hash:place,hash:place...``; a text of fewer than k symbols is one anchor. Hashes have 40
+bits, as only two texts meet at a time: of two with 10,000 anchors each one in 10,000 pairs shares one by chance.
+A digest of the ``keep`` smallest serves where room is scarce.
 
 Two texts are matched by all their distinct anchors and the places of these: an anchor that both have
 matches if it stands at the same place in both or if another one is moved by as many symbols, as those
 of a shared passage are. Common phrases scattered over both texts don't match. The share of anchors that
-match is 2 |matching| / (|A| + |B|). ``likeness`` estimates the share of common anchors, wherever they
-stand, from two printed fingerprints alone (exact for texts of up to ``keep`` anchors).
+match is 2 |matching| / (|A| + |B|), and follows from the two fingerprints alone. ``likeness`` estimates the share
+of common anchors, wherever they stand, from two digests (exact for texts of up to ``keep`` anchors).
 
 Null texts are empty ones; texts without symbols have the empty fingerprint, likeness 1 to each other
 and 0 to the rest. Equal texts have equal fingerprints.
@@ -101,8 +102,11 @@ def with_matching(df: DataFrame, a: str, b: str, out: str, place_bits: int = PLA
     return df.withColumn(out, F.when(size == 0, F.lit(1.0)).otherwise(2.0 * found / size)).drop(merged, merged_wide, moved)
 
 
-def written(anchors: str) -> Column:
-    return F.array_join(F.zip_with(f"{anchors}.hash", f"{anchors}.place", lambda x, p: F.concat(F.lpad(F.lower(F.hex(x)), 10, "0"), F.lit(":"), p.cast("string"))), ",")
+def written(anchors: str, place_bits: int = PLACE_BITS) -> Column:
+    """The fingerprint of a text from its ``all_...`` column."""
+    pair = lambda x, p: F.concat(F.lpad(F.lower(F.hex(x)), 10, "0"), F.lit(":"), p.cast("string"))
+    packed = F.transform(f"{anchors}.packed", lambda e: pair(F.shiftright(e, place_bits), e.bitwiseAND((1 << place_bits) - 1)))
+    return F.array_join(F.coalesce(packed, F.transform(f"{anchors}.wide", lambda e: pair(e["hash"], e["place"]))), ",")
 
 
 def likeness(a: str, b: str, keep: int = KEEP) -> Column:
@@ -130,13 +134,10 @@ def key(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("null"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """Each document and its text edited: the last third replaced by the beginning of the next document by descending id.
+def edits(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, text, edited, next_id, next_text: each text, and it with its last third replaced by the beginning of the next document's, by descending id.
 
-    doc_id, n_chars, edited (text), anchors, edited_anchors, next_id, near_edited, near_next (likeness of the
-    fingerprints), match_edited, match_next (by all anchors and their places). Where rows repeat an id, all have
-    the next smaller id as next, and the smallest of its texts is taken. Texts travel, not their anchors, which
-    would take more room.
+    Where rows repeat an id, all have the next smaller id as next, and the smallest of its texts is taken.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lengths = base.select("doc_id", F.length("text").alias("n"))
@@ -150,10 +151,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     given = giver.join(asked, "k").select(F.col("to").alias("k"), F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
     n, third = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - third), F.col("next_text").substr(F.lit(1), third))
-    out = rows.join(given, "k").select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "text", "next_id", "next_text")
+    return rows.join(given, "k").select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_id", "next_text")
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """Each document and its edited text (``edits``).
+
+    doc_id, n_chars, edited (text), all_anchors, all_edited_anchors (``written`` prints them), next_id, match_edited,
+    match_next (by all anchors and their places); anchors, edited_anchors (digests), near_edited, near_next (likeness
+    of the digests). Texts travel, not their anchors, which would take more room.
+    """
+    out = edits(docs)
     for text, anchors in (("text", "anchors"), ("edited", "edited_anchors"), ("next_text", "next_anchors")):
         out = with_anchors(out, text, anchors)
     out = out.withColumn("near_edited", likeness("anchors", "edited_anchors")).withColumn("near_next", likeness("anchors", "next_anchors"))
     out = with_matching(out, "all_anchors", "all_edited_anchors", "match_edited")
     out = with_matching(out, "all_anchors", "all_next_anchors", "match_next")
-    return out.drop("text", "next_text", "next_anchors", "all_anchors", "all_edited_anchors", "all_next_anchors")
+    return out.drop("text", "next_text", "next_anchors", "all_next_anchors")
+
+
+#: Of the documents, what SQL can say about ``edits``.
+SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), o AS (SELECT *, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id, coalesce(lead(t) OVER w, first_value(t) OVER w) AS u FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, length(t)::BIGINT AS n_chars, next_id, sha256(substr(t, 1, length(t) - length(t) // 3) || substr(u, 1, length(t) // 3)) AS edited_sha256 FROM o
+"""

@@ -108,3 +108,24 @@ def test_places_have_no_bound(spark):
         for row in syncmers.with_matching(out, "all_x_anchors", "all_y_anchors", "m", bits).collect():
             assert row.m == matched(row.x, row.y)
             assert list(zip(row.x_anchors["hash"], row.x_anchors["place"])) == anchors(row.x)
+
+
+def test_likeness_follows_from_what_is_printed(spark, tmp_path):
+    from huepoint.llm import entries
+
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(90)]
+    texts = [" ".join(r.choices(words, k=r.choice([0, 1, 3, 4, 60, 700]))) for _ in range(40)]
+    spark.createDataFrame(list(enumerate([*texts[:20], *texts[:3], *texts[20:]])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {x.doc_id: x for x in entries.op9_document_fingerprints(spark, str(tmp_path)).collect()}
+    parsed = lambda p: {h: int(at) for h, at in (x.split(":") for x in p.split(",") if x)}
+
+    def share(a, b):
+        moved = [b[h] - a[h] for h in a.keys() & b.keys()]
+        return 2 * sum(d == 0 or moved.count(d) > 1 for d in moved) / (len(a) + len(b)) if a or b else 1.0
+
+    assert max(len(parsed(x.fingerprint)) for x in rows.values()) > 300
+    for i, x in rows.items():
+        own, after = parsed(x.fingerprint), parsed(rows[x.next_id].fingerprint)
+        assert x.near_edited == share(own, parsed(x.edited_fingerprint)) and x.near_next == share(own, after)
+        assert x.next_id == (i - 1 if i else max(rows))
