@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Sequence
 
@@ -35,6 +36,11 @@ def _grouped(df: DataFrame, fn, extra: str, key: Sequence[str]) -> DataFrame:
     return df.groupBy(*key).applyInPandas(fn, schema)
 
 
+def drawn_of(seed: int, *keys: object) -> float:
+    """As ``maths.uniform``, of values."""
+    return int(hashlib.md5(":".join(map(str, (seed, *keys))).encode()).hexdigest()[:13], 16) / (1 << 52)
+
+
 def fps(df: DataFrame, n: int, key: Sequence[str] = KEY, seed: int | None = None, pad: bool = False) -> DataFrame:
     """n farthest points of each object with ``fps_order``; start: the first by id, or one drawn by seed and key.
 
@@ -44,7 +50,7 @@ def fps(df: DataFrame, n: int, key: Sequence[str] = KEY, seed: int | None = None
 
     def pick(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id").reset_index(drop=True)
-        start = 0 if seed is None else int(np.random.default_rng([seed, *(zlib.crc32(str(x).encode()) for x in k)]).integers(len(pdf)))
+        start = 0 if seed is None else int(drawn_of(seed, *k) * len(pdf))
         order = farthest_points(pdf[list(XYZ)].to_numpy(float), n, start)
         if pad and len(order) < n:
             order = np.resize(order, n)

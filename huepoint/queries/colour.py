@@ -96,6 +96,11 @@ def key_hashes(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name"), M.short_hash(name.cast("binary")).alias("hash"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("padded"))
 
 
-@query("crc32_seed")
+#: CRC-32 over the bytes of s, by its table, made of the reversed polynomial.
+_CRC = """z AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS z),
+k AS (SELECT s, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(hex(s)) // 2), lambda i: ('0x' || substr(hex(s), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, z[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM t, z)"""
+
+
+@query("crc32_seed", f"WITH t AS (SELECT o_orderkey, o_orderkey || '_' || o_orderpriority AS s FROM orders), {_CRC} SELECT o_orderkey, crc & 2147483647 AS seed FROM t JOIN k USING (s)")
 def crc32_seed(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", M.seed_of("o_orderkey", "o_orderpriority").alias("seed"))

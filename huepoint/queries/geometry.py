@@ -151,7 +151,25 @@ def triangles(spark, sf_dir):
     return c.select("object_id", F.col("point_id").alias("face_id"), *[F.col(x).alias(f"a{x}") for x in XYZ], *[F.lead(x, 1).over(w).alias(f"b{x}") for x in XYZ], *[F.lead(x, 2).over(w).alias(f"c{x}") for x in XYZ]).dropna()
 
 
-@query("point_to_surface")
+def _dot(u, v):
+    return "(" + " + ".join(f"({a}) * ({b})" for a, b in zip(u, v)) + ")"
+
+
+def _to_edge(s, e):
+    """Distance of p to an edge."""
+    d, w = ([f"({x} - {y})" for x, y in zip(a, b)] for a, b in ((e, s), (_P, s)))
+    t = f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce({_dot(w, d)} / nullif({_dot(d, d)}, 0), 0)))"
+    r = [f"({x} - {t} * {y})" for x, y in zip(w, d)]
+    return f"sqrt({_dot(r, r)})"
+
+
+_P, _A, _B, _C = ("x", "y", "z"), ("ax", "ay", "az"), ("bx", "by_", "bz"), ("cx", "cy", "cz")
+_SURFACE = f"""{_TRI}, fu AS (SELECT c.object_id, c.point_id, c.x, c.y, c.z, t.* EXCLUDE (object_id), bx - ax AS u1, by_ - ay AS u2, bz - az AS u3, cx - ax AS v1, cy - ay AS v2, cz - az AS v3, x - ax AS w1, y - ay AS w2, z - az AS w3 FROM cloud c JOIN tri t USING (object_id) WHERE cx IS NOT NULL),
+  fd AS (SELECT *, u2 * v3 - u3 * v2 AS n1, u3 * v1 - u1 * v3 AS n2, u1 * v2 - u2 * v1 AS n3, u1*u1 + u2*u2 + u3*u3 AS uu, u1*v1 + u2*v2 + u3*v3 AS uv, v1*v1 + v2*v2 + v3*v3 AS vv, w1*u1 + w2*u2 + w3*u3 AS wu, w1*v1 + w2*v2 + w3*v3 AS wv, (vv * wu - uv * wv) / nullif(uu * vv - uv * uv, 0) AS s, (uu * wv - uv * wu) / nullif(uu * vv - uv * uv, 0) AS t FROM fu),
+  su AS (SELECT object_id, point_id, face_id, CASE WHEN s >= 0 AND t >= 0 AND s + t <= 1 THEN abs(w1 * n1 + w2 * n2 + w3 * n3) / sqrt(n1 * n1 + n2 * n2 + n3 * n3) ELSE least({_to_edge(_A, _B)}, {_to_edge(_B, _C)}, {_to_edge(_C, _A)}) END AS d FROM fd QUALIFY row_number() OVER (PARTITION BY object_id, point_id ORDER BY d, face_id) = 1)"""
+
+
+@query("point_to_surface", f"WITH {_SURFACE} SELECT object_id, point_id, face_id, {r6('d')} FROM su")
 def point_to_surface(spark, sf_dir):
     return six(nn.to_surface(cloud(spark, sf_dir), triangles(spark, sf_dir)))
 

@@ -7,8 +7,9 @@ from huepoint.operators import metrics as M
 from huepoint.operators import sampling
 from huepoint.plans import completion
 from huepoint.queries._registry import query, r6, six
-from huepoint.queries.geometry import UNIT, VIEW, crop_sql, triangles
+from huepoint.queries.geometry import _SURFACE, UNIT, VIEW, crop_sql, triangles
 from huepoint.queries.joins import knn_sql
+from huepoint.queries.windows import fps_sql
 from huepoint.views import CLOUD, cloud, split, sql_de00, sql_lab
 
 RGB, LAB = ("r", "g", "b"), ("l", "a", "b")
@@ -229,7 +230,12 @@ def edge_alignment(spark, sf_dir):
     return six(v.groupBy("object_id").agg(F.avg(F.when(F.col("boundary"), one("strong"))).alias("recall"), F.avg(F.when(F.col("strong"), one("boundary"))).alias("precision"), F.avg(one("strong")).alias("chance")))
 
 
-@query("fidelity")
+@query(
+    "fidelity",
+    f"""WITH {_SURFACE}, {knn_sql('e', 'cloud', 'cloud', 12)}, sp AS (SELECT e.object_id, e.q_id, (stddev_pop(c.r) + stddev_pop(c.g) + stddev_pop(c.b)) / 3 AS s FROM e JOIN cloud c ON c.point_id = e.n_id GROUP BY 1, 2),
+    a AS (SELECT object_id, avg(s) AS speckle FROM sp GROUP BY 1), b AS (SELECT object_id, stddev_pop(sqrt(d2)) / (avg(sqrt(d2)) + 1e-12) AS uniformity FROM e WHERE rank = 2 GROUP BY 1), p AS (SELECT object_id, avg(d) AS p2f FROM su GROUP BY 1)
+    SELECT object_id, {r6('speckle', 'uniformity', 'p2f')} FROM a JOIN b USING (object_id) JOIN p USING (object_id)""",
+)
 def fidelity(spark, sf_dir):
     return six(M.fidelity(cloud(spark, sf_dir), triangles(spark, sf_dir)))
 
@@ -297,7 +303,11 @@ def inpainted_colours(spark, sf_dir):
     return six(out.select("object_id", "point_id", "pred_r", "pred_g", "pred_b"))
 
 
-@query("fps_regions")
+@query(
+    "fps_regions",
+    f"""WITH {fps_sql(8)}, s AS (SELECT object_id, ids[at_] AS seed FROM fp JOIN ob USING (object_id)), p AS (SELECT c.*, s.seed, power(c.x - q.x, 2) + power(c.y - q.y, 2) + power(c.z - q.z, 2) AS d FROM cloud c JOIN s USING (object_id) JOIN cloud q ON q.point_id = s.seed)
+    SELECT object_id, point_id, seed AS cell FROM p QUALIFY row_number() OVER (PARTITION BY object_id, point_id ORDER BY d, seed) = 1""",
+)
 def fps_regions(spark, sf_dir):
     c = cloud(spark, sf_dir)
     return M.regions(c, sampling.fps(c, 8)).select("object_id", "point_id", "cell")

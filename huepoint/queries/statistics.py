@@ -90,10 +90,15 @@ def wilcoxon_statistic(spark, sf_dir):
     return six(_compared(spark, sf_dir).select("difficulty", "statistic"))
 
 
-@query("verdicts")
+@query("verdicts", f"WITH {_interval_sql('abs(a)', PAIRS)} SELECT difficulty, CASE WHEN ci_lo > 0 THEN 'helps' WHEN ci_hi < 0 THEN 'hurts' ELSE 'unresolved' END AS verdict, CASE WHEN ci_lo > 0 THEN 'second wins' WHEN ci_hi < 0 THEN 'first wins' ELSE 'unresolved' END AS winner FROM ci")
 def verdicts(spark, sf_dir):
     c = _compared(spark, sf_dir)
-    return six(c.select("difficulty", "wilcoxon_p", "verdict", X.verdict(words=("second wins", "first wins", "unresolved")).alias("winner")))
+    return c.select("difficulty", "verdict", X.verdict(words=("second wins", "first wins", "unresolved")).alias("winner"))
+
+
+@query("wilcoxon_p")
+def wilcoxon_p(spark, sf_dir):
+    return six(_compared(spark, sf_dir).select("difficulty", "wilcoxon_p"))
 
 
 VOTES = " UNION ALL ".join(

@@ -98,12 +98,23 @@ def head_split(spark, sf_dir):
     return S.ranked_split(cloud(spark, sf_dir), ("point_id",), 0.8, ("object_id",), tail=False).select("object_id", "point_id", F.col("held_out").alias("train"))
 
 
-@query("fps")
+def fps_sql(n: int, start: str = "1") -> str:
+    """CTEs up to fp(object_id, i, at): the place of each object's i-th farthest point, both from 1."""
+    square = lambda q, s: " + ".join(f"({q}[{k}] - {s}[{k}]) * ({q}[{k}] - {s}[{k}])" for k in (1, 2, 3))
+    return f"""RECURSIVE {CLOUD}, ob AS (SELECT object_id, list(point_id ORDER BY point_id) AS ids, list([x, y, z] ORDER BY point_id) AS ps FROM cloud GROUP BY 1),
+    fp AS (SELECT object_id, 1 AS i, {start} AS at_, [1e308::DOUBLE for q in ps] AS d FROM ob
+      UNION ALL SELECT object_id, i + 1, list_position(e, list_max(e)), e FROM (SELECT object_id, i, list_transform(ps, lambda q, j: least(d[j], {square('q', 'ps[at_]')})) AS e FROM fp JOIN ob USING (object_id) WHERE i < least({n}, len(ps))))"""
+
+
+@query("fps", f"WITH {fps_sql(16)} SELECT object_id, ids[at_] AS point_id, i::BIGINT - 1 AS fps_order FROM fp JOIN ob USING (object_id)")
 def fps(spark, sf_dir):
     return S.fps(cloud(spark, sf_dir), 16).select("object_id", "point_id", "fps_order")
 
 
-@query("fps_padded")
+_START = "floor(('0x' || substr(md5('3:' || object_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * len(ps))::BIGINT + 1"
+
+
+@query("fps_padded", f"WITH {fps_sql(160, _START)}, n AS (SELECT object_id, max(i) AS n FROM fp GROUP BY 1) SELECT object_id, ids[at_] AS point_id, k::BIGINT AS fps_order FROM (SELECT object_id, n, unnest(range(160)) AS k FROM n) JOIN fp USING (object_id) JOIN ob USING (object_id) WHERE i = k % n + 1")
 def fps_padded(spark, sf_dir):
     return S.fps(cloud(spark, sf_dir), 160, seed=3, pad=True).select("object_id", "point_id", "fps_order")
 
