@@ -73,3 +73,39 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def put(spark, folder, docs, labels=(), items=()):
+    extra = ", score double, n int, row long, key string"  # names that stages use themselves
+    rows = [(*d, len(d[1] or ""), 0.5, 1, 2, "k") for d in docs]
+    for name, data, schema in (("documents", rows, "doc_id long, text string, source string, n_chars int" + extra), ("labels", list(labels), "doc_id long, toxic int"), ("benchmark", list(items), "item_id long, text string")):
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/{name}.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_empty_tables(spark, tmp_path):
+    put(spark, tmp_path, [])
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() == 0
+
+
+def test_repeated_ids_nulls_and_very_long_texts(spark, tmp_path):
+    r = random.Random(3)
+    say = lambda n: " ".join(f"w{r.randrange(20_000)}" for _ in range(n))
+    long, item = say(60_000), say(14)
+    near = long.split()
+    near[30_000] = "changed"
+    docs = [(1, say(30), "a"), (1, say(30), "a"), (1, None, None), (None, say(20), "b"), (None, None, "b"), (2, long, "b"), (3, " ".join(near), "c"), (4, f"{say(50_000)} {item}", "c"), (5, "", "a"), (6, "", "a")]
+    df = put(spark, tmp_path, docs, items=[(1, item), (2, None), (3, "")])
+    kept = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == df.columns, name
+        if name == "toxicity":  # nothing is known to be toxic
+            assert kept.count() == len(docs)
+        if name == "decontamination":
+            left = sorted((x.doc_id or 0, len((x.text or "").split())) for x in kept.collect())
+            assert left == [(0, 0), (0, 20), (1, 0), (1, 30), (1, 30), (2, 60_000), (5, 0), (6, 0)]
+    rows = sorted(tuple(x) for x in corpus_pipeline.run(spark, str(tmp_path)).collect() if x.doc_id is not None)
+    assert {x[0] for x in rows} >= {1, 2} and 3 not in {x[0] for x in rows} and 4 not in {x[0] for x in rows}
+    assert rows == sorted(tuple(x) for x in corpus_pipeline.run(spark, str(tmp_path)).collect() if x.doc_id is not None)
