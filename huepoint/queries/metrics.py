@@ -202,7 +202,16 @@ def coherence_ratio(spark, sf_dir):
     return six(M.dispersion(cloud(spark, sf_dir)))
 
 
-@query("coherence_null")
+_H = lambda seed: f"('0x' || substr(md5(concat_ws(':', '{seed}', point_id)), 1, 13))::BIGINT"
+
+
+@query(
+    "coherence_null",
+    f"""WITH {CLOUD}, own AS (SELECT object_id, part, row_number() OVER (PARTITION BY object_id ORDER BY point_id) AS k FROM cloud), dl AS (SELECT object_id, r, g, b, row_number() OVER (PARTITION BY object_id ORDER BY {_H(5)}, point_id) AS k FROM cloud),
+    lab AS (SELECT object_id, part, {sql_lab('r', 'g', 'b')} FROM dl JOIN own USING (object_id, k)), s AS (SELECT object_id, part, {', '.join(f'lab_{c} - avg(lab_{c}) OVER (PARTITION BY object_id) AS g{c}, lab_{c} - avg(lab_{c}) OVER (PARTITION BY object_id, part) AS p{c}' for c in LAB)} FROM lab),
+    d AS (SELECT object_id, part, sqrt(gl*gl + ga*ga + gb*gb) AS g, sqrt(pl*pl + pa*pa + pb*pb) AS p FROM s), v AS (SELECT object_id, part, avg(p) AS v, count(*) AS w, sum(g) AS g FROM d GROUP BY 1, 2)
+    SELECT object_id, {r6('sum(v * w) / sum(w) / (sum(g) / sum(w)) AS r_micro_null')} FROM v GROUP BY 1""",
+)
 def coherence_null(spark, sf_dir):
     """Dispersion of random parts of the same sizes: parts dealt anew by hash order."""
     from pyspark.sql import Window

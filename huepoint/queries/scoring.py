@@ -7,7 +7,7 @@ from huepoint.operators import stats, tables
 from huepoint.plans import scoring
 from huepoint.queries._registry import query, r6, six
 from huepoint.queries.joins import knn_sql
-from huepoint.queries.metrics import LAB, seeds, turned
+from huepoint.queries.metrics import _H, LAB, SEEDS, seeds, turned
 from huepoint.views import CLOUD, EVAL, cloud, eval_rows, split, sql_lab, table
 
 RGB = ("r", "g", "b")
@@ -19,7 +19,17 @@ def spec_score(spark, sf_dir):
     return six(scoring.score(cloud(spark, sf_dir), ref, seeds(spark, sf_dir)))
 
 
-@query("region_chance")
+_APART = "sum(n * sqrt(power(p_l - t_l, 2) + power(p_a - t_a, 2) + power(p_b - t_b, 2))) / sum(n)"
+
+
+@query(
+    "region_chance",
+    f"""WITH {CLOUD}, {SEEDS}, {knn_sql('ce', 'cloud', 'sd', 1)}, pl AS (SELECT object_id, point_id, row_number() OVER (PARTITION BY object_id ORDER BY point_id) AS k FROM cloud), co AS (SELECT object_id, r AS sr, g AS sg, b AS sb, row_number() OVER (PARTITION BY object_id ORDER BY {_H(0)}, point_id) AS k FROM cloud),
+    m AS (SELECT c.object_id, n_id AS cell, count(*) AS n, {', '.join(f'avg({x}) AS {x}' for x in ('r', 'g', 'b', 'sr', 'sg', 'sb'))} FROM ce JOIN cloud c ON ce.object_id = c.object_id AND q_id = c.point_id JOIN pl ON pl.object_id = c.object_id AND pl.point_id = c.point_id JOIN co ON co.object_id = c.object_id AND co.k = pl.k GROUP BY 1, 2),
+    own AS (SELECT object_id, {_APART} AS own FROM (SELECT object_id, n, {sql_lab('r', 'g', 'b', 't')}, {sql_lab('b', 'r', 'g', 'p')} FROM m) GROUP BY 1),
+    ch AS (SELECT object_id, {_APART} AS chance FROM (SELECT object_id, n, {sql_lab('r', 'g', 'b', 't')}, {sql_lab('sr', 'sg', 'sb', 'p')} FROM m) GROUP BY 1)
+    SELECT object_id, {r6('own AS region_de76', 'chance', 'CASE WHEN chance > 1 THEN own / chance END AS norm')} FROM own JOIN ch USING (object_id)""",
+)
 def region_chance(spark, sf_dir):
     return six(scoring.region_chance(turned(spark, sf_dir), cloud(spark, sf_dir), seeds(spark, sf_dir)))
 
