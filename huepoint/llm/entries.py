@@ -26,6 +26,12 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitmanyor.scored(table(spark, sf_dir, "documents"))
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that SQL can follow."""
+    found = pitmanyor.scored(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", (F.round("base_score", 6) + 0.0).alias("base_score"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_vector_codes": op12_vector_codes,
     "op13_importance_resampling": op13_importance_resampling,
     "document_edits": document_edits,
+    "lm_base_scores": lm_base_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -112,4 +119,5 @@ ORACLE_SQL: dict[str, str] = {
     "op12_vector_codes": partcodes.SQL,
     "op13_importance_resampling": importance.SQL,
     "document_edits": syncmers.SQL,
+    "lm_base_scores": oracles.BASE_SCORES,
 }

@@ -36,3 +36,15 @@ e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 reach AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.y, r.root FROM reach r JOIN e ON e.x = r.doc_id WHERE r.root < e.y)
 SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(root) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
+
+#: What SQL can say about language-model scores: the split, the counts and the base score.
+BASE_SCORES = f"""
+WITH z AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS z),
+k AS (SELECT doc_id, {LOWER} AS t, hex(doc_id::VARCHAR) AS x FROM documents),
+d AS (SELECT doc_id, list_append(regexp_extract_all(t, {BLANKS}), ' ') AS ws, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, z[(xor(c, b) & 255) + 1])), 4294967295) % 10 = 0 AS held_out FROM k, z),
+w AS (SELECT doc_id, held_out, unnest(ws) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM w WHERE NOT held_out GROUP BY 1),
+a AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 6) + 0.0 AS base_score
+FROM w LEFT JOIN c USING (w), a GROUP BY 1, 2
+"""
