@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from huepoint.llm._store import stash
+from huepoint.llm._store import keyed_join, stash
 
 MIN_SITES, LG_K, MARGIN = 10, 12, 4.0
 
@@ -30,12 +30,13 @@ def line_hash(line: Column) -> Column:
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, margin: float = MARGIN) -> DataFrame:
-    """``lines(hash, site)`` -> hash of the lines of at least ``min_sites`` sites."""
+    """``lines(hash, site)`` -> hash, n (rows) of the lines of at least ``min_sites`` sites. Lines of very many rows are joined where they are."""
     wide = margin * error_of(lg_k)
-    merged = stash(lines.groupBy("hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites")).filter(F.col("sites") >= min_sites * (1 - wide) - 1))
+    merged = stash(lines.groupBy("hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"), F.count(F.lit(1)).alias("n")).filter(F.col("sites") >= min_sites * (1 - wide) - 1))
     near = merged.filter(F.col("sites") <= min_sites * (1 + wide) + 1)
-    exact = lines.join(near.select("hash"), "hash").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= min_sites)
-    return merged.filter(F.col("sites") > min_sites * (1 + wide) + 1).select("hash").unionByName(exact.select("hash"))
+    spread = keyed_join(lines, near.select("hash", "n"), ["hash"], "n", lines.count()).distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= min_sites)
+    exact = near.select("hash", "n").join(spread.select("hash"), "hash")
+    return stash(merged.filter(F.col("sites") > min_sites * (1 + wide) + 1).select("hash", "n").unionByName(exact))
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, margin: float = MARGIN) -> DataFrame:
@@ -45,7 +46,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
     exploded = base.select(key, "site", F.explode(F.split("text", "\n")).alias("line")).filter(F.trim("line") != "")
     lines = stash(exploded.select("key", "site", line_hash(F.col("line")).alias("hash")))
     bad = boilerplate(lines.select("hash", "site"), min_sites, lg_k, margin)
-    gone = lines.select("key", "hash").distinct().join(bad, "hash").groupBy("key").agg(F.collect_list("hash").alias("gone"))  # as long as one text at most
+    found = keyed_join(lines.select("key", "hash"), bad, ["hash"], "n", lines.count())
+    gone = found.groupBy("key").agg(F.collect_set("hash").alias("gone"))  # as long as one text at most
     out = base.select("doc_id", key, F.split(F.coalesce("text", F.lit("")), "\n").alias("lines")).join(gone, "key", "left")
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("gone", line_hash(x))))
     out = out.select("doc_id", "lines", kept.alias("kept"))

@@ -38,3 +38,11 @@ def test_near_the_threshold_counts_are_exact_though_sketches_are_coarse(spark):
 
 def test_empty_table(spark):
     assert rows(spark, [], min_sites=2) == []
+
+
+def test_lines_of_a_third_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr("huepoint.llm._store.HOT_KEYS", 20)  # a twentieth of all rows is hot
+    r = random.Random(5)
+    docs = [(i, "\n".join(["license", "seldom" if i % 90 == 0 else f"own {i}", f"word {r.randrange(40)}"][i % 3 > 0 :]), f"site{r.randrange(30)}") for i in range(900)]
+    docs += [(i, "few sites\nfew sites", f"site{i % 9}") for i in range(1000, 1300)]
+    assert rows(spark, docs, min_sites=10) == sorted(reference(docs, 10), key=str)
