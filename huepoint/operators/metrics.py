@@ -176,15 +176,19 @@ def histogram_chi2(pred: DataFrame, ref: DataFrame, bins: int = 8, key: Sequence
     return j.groupBy(*key).agg((0.5 * F.sum(F.pow(F.col("p") - F.col("t"), F.lit(2.0)) / (F.col("p") + F.col("t") + 1e-12))).alias("chi2"))
 
 
-def dispersion(df: DataFrame, parts: str = "part", key: Sequence[str] = KEY, least: int = 1) -> DataFrame:
-    """Spread of Lab around part means against the object's: v_global, r_micro (weighted by points), r_macro, n_parts; null spreads below two parts."""
+def spreads(df: DataFrame, parts: str = "part", key: Sequence[str] = KEY, least: int = 1) -> DataFrame:
+    """Mean distance of Lab to the object's mean (v_global) and to part means (micro, weighted by points, and macro), and n_parts; parts below ``least`` points don't count."""
     lab = with_lab(df)
     spread = lambda g: F.sqrt(sum((F.pow(F.col(c) - F.avg(c).over(Window.partitionBy(*g)), F.lit(2.0)) for c in LAB), F.lit(0.0)))
     d = lab.withColumns({"__g": spread(key), "__p": spread([*key, parts])})
     by = d.groupBy(*key, parts).agg(F.avg("__p").alias("v"), F.count(F.lit(1)).alias("w"), F.sum("__g").alias("g")).withColumn("ok", F.col("w") >= least)
-    out = by.groupBy(*key).agg((F.sum("g") / F.sum("w")).alias("v_global"), (F.sum(F.when(F.col("ok"), F.col("v") * F.col("w"))) / F.sum(F.when(F.col("ok"), F.col("w")))).alias("micro"), F.avg(F.when(F.col("ok"), F.col("v"))).alias("macro"), F.sum(F.col("ok").cast("long")).alias("n_parts"))
+    return by.groupBy(*key).agg((F.sum("g") / F.sum("w")).alias("v_global"), (F.sum(F.when(F.col("ok"), F.col("v") * F.col("w"))) / F.sum(F.when(F.col("ok"), F.col("w")))).alias("micro"), F.avg(F.when(F.col("ok"), F.col("v"))).alias("macro"), F.sum(F.col("ok").cast("long")).alias("n_parts"))
+
+
+def dispersion(df: DataFrame, parts: str = "part", key: Sequence[str] = KEY, least: int = 1) -> DataFrame:
+    """Spread of Lab around part means against the object's: v_global, r_micro (weighted by points), r_macro, n_parts; null spreads below two parts."""
     fine = (F.col("n_parts") >= 2) & (F.col("v_global") >= 1e-9)
-    return out.select(*key, "v_global", F.when(fine, F.col("micro") / F.col("v_global")).alias("r_micro"), F.when(fine, F.col("macro") / F.col("v_global")).alias("r_macro"), "n_parts")
+    return spreads(df, parts, key, least).select(*key, "v_global", F.when(fine, F.col("micro") / F.col("v_global")).alias("r_micro"), F.when(fine, F.col("macro") / F.col("v_global")).alias("r_macro"), "n_parts")
 
 
 def headroom(df: DataFrame, parts: int, profile: str = "cie4", key: Sequence[str] = KEY) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from huepoint.functions.maths import uniform
 from huepoint.operators import ordered
+from huepoint.store import kept
 
 
 def paired(df: DataFrame, base: str, other: str, obj: str = "obj", method: str = "method", value: str = "metric", key: Sequence[str] = ()) -> DataFrame:
@@ -138,6 +139,7 @@ def ranked(df: DataFrame, column: str, out: str, key: Sequence[str] = ()) -> Dat
     """Adds average ranks (ties share their mean)."""
     if key:
         return df.withColumn(out, F.rank().over(Window.partitionBy(*key).orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*key, column)) - 1) / 2)
+    df = kept(df)  # values that are worked out again may differ in their last digits, and not meet
     by = ordered.value_counts(df, column, out="__n", before="__b").select(F.col(column).alias("__v"), (F.col("__b") + (F.col("__n") + 1) / 2).alias(out))
     return df.join(by, F.col(column).eqNullSafe(F.col("__v"))).drop("__v")
 
@@ -148,6 +150,16 @@ def correlations(df: DataFrame, x: str, y: str, key: Sequence[str] = ()) -> Data
     return r.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson"), F.corr("__rx", "__ry").alias("spearman"))
 
 
+def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
+    """n (all rows), pearson of the rows with both; NaN where a side is constant or NaN, null without rows."""
+    m = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    both = lambda c: F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), c)
+    # a constant side has no correlation, and ANSI mode no quotient
+    got = m.agg(F.count(F.lit(1)).alias("n"), F.covar_pop("x", "y").alias("c"), F.stddev_pop(both(F.col("x"))).alias("sx"), F.stddev_pop(both(F.col("y"))).alias("sy"))
+    spread = F.col("sx") * F.col("sy")
+    return got.select("n", F.when(spread == 0, F.lit(float("nan"))).otherwise(F.col("c") / spread).alias("pearson"))
+
+
 def with_p(df: DataFrame, correlation: str, n: str, out: str) -> DataFrame:
     """``df(correlation, n)`` with the correlation's two-sided p; null below three rows or without a correlation."""
 
