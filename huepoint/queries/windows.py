@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from huepoint.operators import sampling as S
 from huepoint.operators import ordered, schedules
 from huepoint.queries._registry import query, r6, six
+from huepoint.store import kept
 from huepoint.views import CLOUD, EVAL, cloud, eval_rows, table
 
 
@@ -71,9 +72,11 @@ def ema(spark, sf_dir):
 
 @query("metric_rank", f"WITH {EVAL}, m AS (SELECT obj, avg(metric) AS v FROM ev GROUP BY 1) SELECT obj, rank() OVER (ORDER BY v) AS low, rank() OVER (ORDER BY v DESC) AS high FROM m")
 def metric_rank(spark, sf_dir):
-    m = eval_rows(spark, sf_dir).groupBy("obj").agg(F.avg("metric").alias("v"))
-    by = ordered.value_counts(m, "v").crossJoin(F.broadcast(m.agg(F.count(F.lit(1)).alias("all"))))  # one row
-    return six(m.join(by, "v").select("obj", (F.col("before") + 1).alias("low"), (F.col("all") - F.col("before") - F.col("n") + 1).alias("high")))
+    m = kept(eval_rows(spark, sf_dir).groupBy("obj").agg(F.avg("metric").alias("v")))  # means that are worked out again may differ in their last digits
+    by = ordered.value_counts(m.dropna(subset=["v"]), "v")
+    out = m.join(by, "v", "left").crossJoin(F.broadcast(m.agg(F.count("v").alias("all"))))  # one row; SQL puts nulls last in both orders
+    after = lambda c: F.coalesce(c, F.col("all")) + 1
+    return six(out.select("obj", after(F.col("before")).alias("low"), after(F.col("all") - F.col("before") - F.col("n")).alias("high")))
 
 
 @query("difficulty_order", f"WITH {EVAL}, m AS (SELECT difficulty, avg(metric) AS v FROM ev GROUP BY 1) SELECT difficulty, {r6('v')}, row_number() OVER (ORDER BY CASE difficulty WHEN '5-LOW' THEN 0 WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END, difficulty) AS place FROM m")

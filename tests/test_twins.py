@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from huepoint.catalog import ORACLE_SQL as SQL
 from huepoint.catalog import QUERIES
 from huepoint.operators import stats
+from huepoint.queries import windows
 
 
 def embeddings(n, seed=1, label=None, size=8):
@@ -56,3 +57,15 @@ def test_ranks_of_values_that_differ_when_worked_out_again(spark):
     draw = F.udf(lambda: random.random(), "double").asNondeterministic()
     df = spark.range(200).withColumn("x", draw()).withColumn("y", F.col("id").cast("double"))
     assert stats.correlations(df, "x", "y").first().n == 200
+
+
+def test_metric_rank_of_means_that_differ_when_worked_out_again(spark, monkeypatch):
+    draw = F.udf(lambda: random.random(), "double").asNondeterministic()
+    monkeypatch.setattr(windows, "eval_rows", lambda *_: spark.range(50).select(F.col("id").alias("obj"), draw().alias("metric")))
+    got = QUERIES["metric_rank"](spark, "").collect()
+    assert sorted(r.low for r in got) == list(range(1, 51)) and all(r.low + r.high == 51 for r in got)
+
+
+def test_metric_rank_puts_nulls_last(spark, twin):
+    lines = pd.DataFrame({"l_orderkey": [1, 1, 1, 2], "l_partkey": [1, 2, 2, 3], "l_extendedprice": [5.0, 7.0, 9.0, None], "l_quantity": [1.0, 2.0, 3.0, 4.0], "l_returnflag": ["A", "N", "R", "A"]})
+    twin("metric_rank", lineitem=lines, orders=pd.DataFrame({"o_orderkey": [1, 2], "o_orderpriority": ["x", "y"]}))
