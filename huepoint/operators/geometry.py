@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -199,28 +201,81 @@ def duplicate_faces(faces: DataFrame, threshold: float = 0.0, key: Sequence[str]
 def reconciled(faces: DataFrame, mesh: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Faces of a text file that a mesh library kept: file faces in order, matched greedily to mesh faces in order.
 
-    key, face_id, dropped; objects whose mesh faces aren't a subsequence of the file's give no rows. The walk
-    through an object is sequential, so it is a grouped function; an object's faces fit one task.
+    key, face_id, dropped; objects whose mesh faces aren't a subsequence of the file's give no rows, and a face with a
+    null vertex matches none. The walk through an object is sequential: Spark sorts, mesh faces first, and a task reads
+    its objects as streams. Mesh faces wait in a temporary file of the task, so Python holds two batches, however large
+    the object is. Rows are kept once, as only an object's last one tells whether all of it matched.
     """
+    corners, side, fails = ["v0", "v1", "v2"], "__side", "__fails"
 
-    def walk(key_: tuple, a, b):
+    def rows(b) -> list[tuple]:
+        return list(zip(*(b[c].to_pylist() if b[c].null_count else b[c].to_numpy(zero_copy_only=False).tolist() for c in corners)))
+
+    def waiting(file, first):
+        """Mesh faces in order, read back batch by batch."""
+        import pyarrow as pa
+
+        file.seek(0)
+        for b in pa.ipc.open_stream(file) if first is not None else ():
+            yield from (x if None not in x else () for x in rows(b))
+
+    def runs(batches):
+        """Pieces of batches, each of one object and one side, and the number of the object."""
+        import numpy as np
         import pandas as pd
 
-        if not len(a) or not len(b):  # an absent group comes without columns
-            return pd.DataFrame({c: [] for c in [*key, "face_id", "dropped"]})
-        a, b = (x.sort_values(["face_id", "v0", "v1", "v2"]) for x in (a, b))
-        left, want, j = a[["v0", "v1", "v2"]].to_numpy(), b[["v0", "v1", "v2"]].to_numpy(), 0
-        dropped = []
-        for row in left:
-            same = j < len(want) and (row == want[j]).all()
-            dropped.append(not same)
-            j += same
-        out = a[[*key, "face_id"]].assign(dropped=dropped)
-        return out if j == len(want) else pd.DataFrame(out.iloc[:0])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in faces.select(*key, "face_id").schema) + ", dropped boolean"
-    mesh = mesh.select(*[F.col(c).alias(c) for c in mesh.columns])  # columns of its own, should both come from one table
-    return faces.groupBy(*key).cogroup(mesh.groupBy(*key)).applyInPandas(walk, schema)
+        last, n = None, -1
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = np.stack([pd.factorize(b[c].to_pandas(), use_na_sentinel=False)[0] for c in [*key, side]])
+            cuts = [0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                piece = b.slice(i, j - i)
+                this = [piece[c][0].as_py() for c in key]
+                n += last is None or this != last[0]
+                last = (this,)
+                yield n, piece
+
+    def walk(batches):
+        import itertools
+        import tempfile
+
+        import pyarrow as pa
+
+        for _, pieces in itertools.groupby(runs(batches), lambda x: x[0]):
+            with tempfile.TemporaryFile() as file:
+                sink = want = now = None
+                for _, b in pieces:
+                    if not b[side][0].as_py():
+                        sink = sink or pa.ipc.new_stream(file, b.select(corners).schema)
+                        sink.write_batch(b.select(corners))
+                        continue
+                    if sink is None:  # no mesh face
+                        continue
+                    if want is None:
+                        sink.close()
+                        want = waiting(file, sink)
+                        now = next(want, None)
+                    dropped = []
+                    for x in rows(b):
+                        same = x == now and None not in x
+                        dropped.append(not same)
+                        if same:
+                            now = next(want, None)
+                    yield pa.record_batch([*(b[c] for c in [*key, "face_id"]), pa.array(dropped, pa.bool_()), pa.array([False] * len(dropped), pa.bool_())], names=[*key, "face_id", "dropped", fails])
+                    end = b.slice(b.num_rows - 1)
+                if now is not None:
+                    yield pa.record_batch([*(end[c] for c in [*key, "face_id"]), pa.array([True], pa.bool_()), pa.array([True], pa.bool_())], names=[*key, "face_id", "dropped", fails])
+
+    of = lambda df, n: df.select(*key, "face_id", *corners, F.lit(n).alias(side))
+    order = [*key, side, *[F.col(c).asc_nulls_last() for c in ("face_id", *corners)]]
+    both = of(mesh, False).unionByName(of(faces, True)).repartition(*key).sortWithinPartitions(*order)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in faces.select(*key, "face_id").schema) + f", dropped boolean, {fails} boolean"
+    walked = kept(both.mapInArrow(walk, schema))
+    failed = walked.filter(fails).select(*[F.col(c).alias(f"__{c}") for c in key])
+    unmatched = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key))
+    return walked.join(failed, unmatched, "left_anti").drop(fails)
 
 
 def bounding_diagonal(df: DataFrame, key: Sequence[str] = KEY) -> DataFrame:

@@ -171,3 +171,30 @@ def test_leading_frames_are_those_of_the_whole_search(spark):
         best = lambda rows: {(r.object_id, r.frame_rank, round(r.chamfer, 9)) for r in rows if r.frame_rank <= places}  # noqa: B023, E731
         assert best(lead) == best(whole.values()) and len(best(lead)) == 3 * places
         assert places == 2 or len(lead) <= len(whole) / 8
+
+
+def test_reconciled_faces_hold_no_object_in_python(spark):
+    """Every object against a plain walk: repeated faces, nulls, absent sides; no grouped function that takes an object whole."""
+    r = np.random.default_rng(5)
+    rows = pd.DataFrame({"object_id": r.integers(0, 6, 3000), "face_id": r.permutation(3000), **{f"v{i}": r.integers(0, 3, 3000) for i in range(3)}})
+    mesh = rows[(r.random(3000) < 0.8) & (rows.object_id != 4)].copy()
+    mesh["face_id"] = mesh.face_id * 10 + 7  # numbers of its own
+    mesh.loc[mesh.index[mesh.object_id == 2][:1], "v0"] = 99
+    want = set()
+    for o, a in rows.groupby("object_id"):
+        a, b = a.sort_values("face_id"), mesh[mesh.object_id == o].sort_values("face_id")[["v0", "v1", "v2"]].values.tolist()
+        at, found = 0, []
+        for f, *v in a[["face_id", "v0", "v1", "v2"]].values.tolist():
+            same = at < len(b) and v == b[at]
+            at += same
+            found.append((o, f, not same))
+        want |= set(found) if b and at == len(b) else set()
+    got = G.reconciled(spark.createDataFrame(rows), spark.createDataFrame(mesh)).collect()
+    assert {(x.object_id, x.face_id, x.dropped) for x in got} == want and len(got) == len(want) and {o for o, *_ in want} == {0, 1, 3, 5}
+
+    nulls = spark.createDataFrame([(None, 0, 1, 2, 3), (None, 1, None, 2, 3), (None, 2, 4, 5, 6), (1, 0, None, 2, 3)], "object_id long, face_id long, v0 long, v1 long, v2 long")
+    got = G.reconciled(nulls, nulls.filter("v0 is not null or object_id = 1")).collect()
+    assert sorted((x.object_id, x.face_id, x.dropped) for x in got) == [(None, 0, False), (None, 1, True), (None, 2, False)]
+
+    plan = G.reconciled(spark.createDataFrame(rows), spark.createDataFrame(mesh))._jdf.queryExecution().toString()
+    assert "CoGroups" not in plan
