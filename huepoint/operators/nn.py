@@ -1,7 +1,7 @@
 """Nearest-neighbour joins inside objects: by all pairs of an object, or by grid cells.
 
 All strategies give the same rows. ``brute`` is an equi-join on object_id whose pairs are reduced in the same
-stage; use it while objects have up to some thousand points. ``cells`` is an index for each object: a grid whose
+stage, first to a bound of each point's k-th distance and then to the pairs up to it (``close_pairs``); use it while objects have up to some thousand points. ``cells`` is an index for each object: a grid whose
 width comes from the object's own extent and number of points, in which a query point meets the points of the
 eight cells nearest to it; what isn't settled within half a width goes on in cells twice as wide, at last to all
 pairs. Points and what is settled are kept once, so no round is worked out again, and the pairs of one object are
@@ -28,6 +28,10 @@ STRATEGIES = ("brute", "cells", "grid")
 _IN_FORCE: ContextVar[str] = ContextVar("strategy", default="brute")
 
 
+def in_force() -> str:
+    return _IN_FORCE.get()
+
+
 @contextmanager
 def using(strategy: str) -> Iterator[None]:
     """Neighbours are looked for by this strategy wherever none is named."""
@@ -46,20 +50,46 @@ def square_distance(a: str = "q", b: str = "n") -> Column:
     return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
 
 
-def _side(df: DataFrame, prefix: str, key: Sequence[str]) -> DataFrame:
+def side(df: DataFrame, prefix: str, key: Sequence[str]) -> DataFrame:
     return df.select(*key, F.col("point_id").alias(f"{prefix}_id"), *[F.col(c).alias(f"{prefix}_{c}") for c in XYZ])
 
 
 def pairs(query: DataFrame, ref: DataFrame, key: Sequence[str] = KEY, include_self: bool = True) -> DataFrame:
     """key, q_id, n_id, d2 of all pairs of an object."""
-    out = _side(query, "q", key).join(_side(ref, "n", key), list(key)).withColumn("d2", square_distance())
+    out = side(query, "q", key).join(side(ref, "n", key), list(key)).withColumn("d2", square_distance())
     return out if include_self else out.filter("q_id <> n_id")
 
 
+#: Groups of reference points by hash whose least distances bound the k-th; beyond so many neighbours all pairs are ranked.
+GROUPS, MANY = 64, 32
+
+
+def close_pairs(query: DataFrame, ref: DataFrame, k: int, key: Sequence[str] = KEY, include_self: bool = True) -> DataFrame:
+    """``pairs`` without those that can't be among the k nearest, so that few are sorted.
+
+    Reference points are dealt to groups by hash, and each query point's least distance to each group is found
+    without sorting. The k-th least of them bounds the k-th nearest, as k points are that near; pairs up to the
+    bound, equal ones too, are made once more. Where fewer than k groups have points all pairs stay.
+    """
+    if k > MANY:
+        return pairs(query, ref, key, include_self)
+    n = min(4 * k, GROUPS)
+    met = pairs(query, ref, key, include_self)
+    if k == 1:
+        bounds = met.groupBy(*key, "q_id").agg(F.min("d2").alias("__bound"))
+    else:
+        met = met.withColumn("__group", F.pmod(F.xxhash64("n_id"), F.lit(n)))
+        least = met.groupBy(*key, "q_id").agg(*[F.min(F.when(F.col("__group") == i, F.col("d2"))).alias(f"__{i}") for i in range(n)])
+        bounds = least.select(*key, "q_id", F.array_sort(F.array(*[f"__{i}" for i in range(n)]))[k - 1].alias("__bound"))
+    again = side(query, "q", key).join(bounds, [*key, "q_id"]).join(side(ref, "n", key), list(key)).withColumn("d2", square_distance())
+    near = again.filter(F.col("__bound").isNull() | (F.col("d2") <= F.col("__bound"))).drop("__bound")
+    return near if include_self else near.filter("q_id <> n_id")
+
+
 def _cell_pairs(query: DataFrame, ref: DataFrame, width: float, key: Sequence[str], include_self: bool) -> DataFrame:
     cell = lambda p, c: F.floor(F.col(f"{p}_{c}") / width)
-    r = _side(ref, "n", key).withColumns({f"cell_{c}": cell("n", c) for c in XYZ})
-    q = _side(query, "q", key)
+    r = side(ref, "n", key).withColumns({f"cell_{c}": cell("n", c) for c in XYZ})
+    q = side(query, "q", key)
     for c in XYZ:
         q = q.withColumn(f"cell_{c}", F.explode(F.array(*[cell("q", c) + i for i in (-1, 0, 1)])))
     out = q.join(r, [*key, *[f"cell_{c}" for c in XYZ]]).withColumn("d2", square_distance())
@@ -88,9 +118,9 @@ def _octant_pairs(query: DataFrame, ref: DataFrame, key: Sequence[str], include_
 
 
 def _by_cells(query: DataFrame, ref: DataFrame, key: Sequence[str], include_self: bool, k: int, best, rounds: int) -> DataFrame:
-    refs = kept(_side(ref, "n", key).join(_widths(ref, k, key), list(key)))
+    refs = kept(side(ref, "n", key).join(_widths(ref, k, key), list(key)))
     wide = refs.select(*key, "__width").distinct()
-    left = kept(_side(query, "q", key).join(wide, list(key)))
+    left = kept(side(query, "q", key).join(wide, list(key)))
     found = None
     for i in range(rounds):
         scale = F.col("__width") * 2**i
@@ -108,7 +138,7 @@ def _by_cells(query: DataFrame, ref: DataFrame, key: Sequence[str], include_self
 
 def knn(query: DataFrame, ref: DataFrame, k: int = 1, key: Sequence[str] = KEY, include_self: bool = True, strategy: str | None = None, width: float = 0.1, rounds: int = 3) -> DataFrame:
     """key, q_id, n_id, d2, rank (1 to k) of the k nearest; query points of objects with fewer get fewer."""
-    order = Window.partitionBy(*key, "q_id").orderBy("d2", "n_id")
+    order = Window.partitionBy(*key, "q_id").orderBy(F.asc_nulls_last("d2"), "n_id")
 
     def best(p: DataFrame) -> DataFrame:
         if k == 1:
@@ -118,7 +148,7 @@ def knn(query: DataFrame, ref: DataFrame, k: int = 1, key: Sequence[str] = KEY,
 
     strategy = strategy or _IN_FORCE.get()
     if strategy == "brute":
-        return best(pairs(query, ref, key, include_self))
+        return best(close_pairs(query, ref, k, key, include_self))
     if strategy == "cells":
         return _by_cells(query, ref, key, include_self, k, best, rounds)
     found, left = None, query
@@ -190,9 +220,22 @@ def to_triangle(p: Sequence[Column], a: Sequence[Column], b: Sequence[Column], c
     return F.when((s >= 0) & (t >= 0) & (s + t <= 1), F.abs(dot(w, n)) / F.sqrt(nn)).otherwise(F.least(to_edge(a, b), to_edge(b, c), to_edge(c, a)))
 
 
+def _face_distances(points: DataFrame, triangles: DataFrame, key: Sequence[str]) -> DataFrame:
+    p, corner = [F.col(c) for c in XYZ], lambda n: [F.col(f"{n}{c}") for c in XYZ]
+    return points.join(triangles, list(key)).withColumn("d", to_triangle(p, corner("a"), corner("b"), corner("c")))
+
+
+def surface_distance(points: DataFrame, triangles: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """``triangles(key, face_id, ax..cz)`` -> key, point_id, d to the nearest face of the object."""
+    return _face_distances(points.select(*key, "point_id", *XYZ), triangles, key).groupBy(*key, "point_id").agg(F.min("d").alias("d"))
+
+
 def to_surface(points: DataFrame, triangles: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """``triangles(key, face_id, ax..cz)`` -> key, point_id, face_id, d of the nearest face of the object."""
-    p = [F.col(c) for c in XYZ]
-    corner = lambda n: [F.col(f"{n}{c}") for c in XYZ]
-    both = points.select(*key, "point_id", *XYZ).join(triangles, list(key)).withColumn("d", to_triangle(p, corner("a"), corner("b"), corner("c")))
-    return both.groupBy(*key, "point_id").agg(F.min(F.struct("d", "face_id")).alias("m")).select(*key, "point_id", F.col("m.face_id").alias("face_id"), F.col("m.d").alias("d"))
+    """``triangles(key, face_id, ax..cz)`` -> key, point_id, face_id, d of the nearest face of the object.
+
+    The least distance comes first, then the lowest of the faces that have it, so that no pairs are sorted.
+    """
+    least = surface_distance(points, triangles, key).withColumnRenamed("d", "__least")
+    again = _face_distances(points.select(*key, "point_id", *XYZ).join(least, [*key, "point_id"]), triangles, key)
+    face = F.min(F.when(F.col("d").eqNullSafe(F.col("__least")), F.col("face_id")))
+    return again.groupBy(*key, "point_id").agg(face.alias("face_id"), F.min("d").alias("d"))
