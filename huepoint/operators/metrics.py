@@ -253,12 +253,11 @@ def colour_gradient(df: DataFrame, k: int = 16, key: Sequence[str] = KEY) -> Dat
 def fidelity(df: DataFrame, surface: DataFrame, k: int = 12, key: Sequence[str] = KEY) -> DataFrame:
     """speckle (mean channel spread of the k nearest, itself included), uniformity (variation of nearest distances), p2f (mean distance to the surface)."""
     e = nn.attach(nn.knn(df, df, k, key), df, "n_id", RGB, "n_", key)
-    per = e.groupBy(*key, "q_id").agg(((F.stddev_pop("n_r") + F.stddev_pop("n_g") + F.stddev_pop("n_b")) / 3).alias("s"))
-    near = nn.knn(df, df, 2, key).filter("rank = 2").withColumn("d", F.sqrt("d2"))
-    a = per.groupBy(*key).agg(F.avg("s").alias("speckle"))
-    b = near.groupBy(*key).agg((F.stddev_pop("d") / (F.avg("d") + 1e-12)).alias("uniformity"))
-    c = nn.to_surface(df, surface, key).groupBy(*key).agg(F.avg("d").alias("p2f"))
-    return a.join(b, list(key)).join(c, list(key))
+    nearest = F.max(F.when(F.col("rank") == 2, F.sqrt("d2")))  # the first is the point itself
+    per = e.groupBy(*key, "q_id").agg(((F.stddev_pop("n_r") + F.stddev_pop("n_g") + F.stddev_pop("n_b")) / 3).alias("s"), nearest.alias("d"))
+    a = per.groupBy(*key).agg(F.avg("s").alias("speckle"), (F.stddev_pop("d") / (F.avg("d") + 1e-12)).alias("uniformity"), F.count("d").alias("n"))
+    c = nn.surface_distance(df, surface, key).groupBy(*key).agg(F.avg("d").alias("p2f"))
+    return a.filter("n > 0").drop("n").join(c, list(key))
 
 
 def pointwise(pred: DataFrame, ref: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
