@@ -115,6 +115,12 @@ def transformed(df: DataFrame) -> DataFrame:
     return df.withColumn("__t", F.explode(F.array(*rows))).drop(*XYZ).select("*", "__t.*").drop("__t")
 
 
+def in_frame(df: DataFrame) -> DataFrame:
+    """Each row under the signed permutation that its ``frame`` numbers."""
+    turned = F.array(*[F.struct(*[(F.col(XYZ[p[j]]) * s[j]).alias(XYZ[j]) for j in range(3)]) for p, s in signed_permutations()])
+    return df.withColumn("__t", turned[F.col("frame")]).withColumns({c: F.col(f"__t.{c}") for c in XYZ}).drop("__t")
+
+
 def chamfer(a: DataFrame, b: DataFrame, key: Sequence[str] = KEY, square: bool = False) -> DataFrame:
     """key, chamfer: mean distance of a's points to b plus of b's to a."""
     one = lambda q, r: nn.nearest(q, r, key).groupBy(*key).agg(F.avg(F.col("d") * F.col("d") if square else F.col("d")).alias("m"))
@@ -122,7 +128,22 @@ def chamfer(a: DataFrame, b: DataFrame, key: Sequence[str] = KEY, square: bool =
 
 
 def alignment(part: DataFrame, ref: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """key, frame, reflection, chamfer, frame_rank: every signed permutation of part against ref, best first."""
+    """key, frame, reflection, chamfer, frame_rank: every signed permutation of part against ref, best first.
+
+    Points meet once, not once for each frame: a pair has 18 squared differences of a signed axis to an axis, and each
+    frame's distance adds three of them. A point's least distance in each frame is a column of its own.
+    """
+    if nn.in_force() != "brute":  # cells differ from frame to frame
+        return _alignment_by_cells(part, ref, key)
+    p, t = rms_normalised(part, key).select(*key, "point_id", *XYZ), rms_normalised(ref, key).select(*key, "point_id", *XYZ)
+    one = lambda q, r, moves: _least_by_frame(q, r, moves, key).groupBy(*key).agg(*[F.avg(F.sqrt(f"f{i}")).alias(f"m{i}") for i in range(48)])
+    there, back = one(p, t, "q"), one(t, p, "n").withColumnsRenamed({f"m{i}": f"n{i}" for i in range(48)})
+    frames = F.array(*[F.struct(F.lit(i).alias("frame"), F.lit(is_reflection(*f)).alias("reflection"), (F.col(f"m{i}") + F.col(f"n{i}")).alias("chamfer")) for i, f in enumerate(signed_permutations())])
+    scores = there.join(back, list(key)).select(*key, F.inline(frames)).select(*key, "frame", "chamfer", "reflection")
+    return scores.withColumn("frame_rank", F.row_number().over(Window.partitionBy(*key).orderBy("chamfer", "frame")))
+
+
+def _alignment_by_cells(part: DataFrame, ref: DataFrame, key: Sequence[str]) -> DataFrame:
     moved = transformed(rms_normalised(part, key))
     frames = moved.select(*key, "frame", "reflection").distinct()
     target = rms_normalised(ref, key).join(frames.select(*key, "frame"), list(key))
@@ -130,6 +151,17 @@ def alignment(part: DataFrame, ref: DataFrame, key: Sequence[str] = KEY) -> Data
     return scores.withColumn("frame_rank", F.row_number().over(Window.partitionBy(*key).orderBy("chamfer", "frame")))
 
 
+def _least_by_frame(query: DataFrame, ref: DataFrame, moves: str, key: Sequence[str]) -> DataFrame:
+    """key, q_id, f0 to f47: each query point's least squared distance to ref in each frame, of those where q or n (``moves``) is turned."""
+    stays = "n" if moves == "q" else "q"
+    gap = {(i, j, s): (F.col(f"{moves}_{XYZ[i]}") * s - F.col(f"{stays}_{XYZ[j]}")) for i in range(3) for j in range(3) for s in (1, -1)}
+    met = nn.side(query, "q", key).join(nn.side(ref, "n", key), list(key))
+    met = met.select(*key, "q_id", *[(d * d).alias(f"d{i}{j}{'+' if s > 0 else '-'}") for (i, j, s), d in gap.items()])
+    square = lambda p, s: [F.col(f"d{p[j]}{j}{'+' if s[j] > 0 else '-'}") for j in range(3)]
+    least = lambda d: F.min(d[0] + d[1] + d[2])
+    return met.groupBy(*key, "q_id").agg(*[least(square(p, s)).alias(f"f{i}") for i, (p, s) in enumerate(signed_permutations())])
+
+
 def leading_frames(part: DataFrame, ref: DataFrame, key: Sequence[str] = KEY, places: int = 1, share: int = 4) -> DataFrame:
     """As ``alignment``, of the frames that can be among an object's best ``places`` alone; their scores and ranks are the same.
 
@@ -170,7 +202,7 @@ def _mean_over(near: DataFrame, query: DataFrame, key: Sequence[str]) -> DataFra
 def transferred(part: DataFrame, ref: DataFrame, scores: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """``part(..., part)`` and ``alignment``'s scores -> key, point_id of ref, part of the nearest point in the best frame, residual, reflection."""
     best = scores.filter("frame_rank = 1").select(*key, "frame", "reflection", F.col("chamfer").alias("residual"))
-    moved = transformed(rms_normalised(part, key).select(*key, "point_id", *XYZ)).join(best, [*key, "frame", "reflection"], "left_semi")
+    moved = in_frame(rms_normalised(part, key).select(*key, "point_id", *XYZ).join(best.select(*key, "frame"), list(key)))
     near = nn.attach(nn.nearest(rms_normalised(ref, key), moved, key), part, "n_id", ("part",), "", key)
     return near.join(best, list(key)).select(*key, F.col("q_id").alias("point_id"), "part", "residual", "reflection")
 

@@ -198,3 +198,34 @@ def test_reconciled_faces_hold_no_object_in_python(spark):
 
     plan = G.reconciled(spark.createDataFrame(rows), spark.createDataFrame(mesh))._jdf.queryExecution().toString()
     assert "CoGroups" not in plan
+
+
+def test_points_without_a_place_are_no_neighbours(spark):
+    """As in SQL, where nulls sort last."""
+    rows = [(0, i, float(i), 0.0, 0.0) for i in range(40)] + [(0, 90, None, 0.0, 0.0)]
+    ref = spark.createDataFrame(rows, "object_id long, point_id long, x double, y double, z double")
+    q = ref.filter("point_id = 3")
+    assert [r.n_id for r in nn.knn(q, ref).collect()] == [3]
+    assert [r.n_id for r in nn.knn(q, ref, 3).orderBy("rank").collect()] == [3, 2, 4]
+
+
+@pytest.mark.parametrize("k", [1, 3, 12])
+def test_few_pairs_are_ranked(spark, k):
+    a = spark.createDataFrame(clouds(300, 8, 1))
+    assert nn.close_pairs(a, a, k).count() < 300 * (2 * k + 2)
+    assert nn.close_pairs(a.limit(2), a.limit(2), k).count() >= 2
+
+
+def test_points_meet_once_in_all_frames(spark):
+    """No row for each frame before the scores, which are those of the frames one by one; cells give the same."""
+    a, b = clouds(40, 3, 2), clouds(50, 4, 2)
+    part, ref = spark.createDataFrame(a), spark.createDataFrame(b)
+    scores = G.alignment(part, ref)
+    assert "Generate explode" not in scores._jdf.queryExecution().toString()
+    got = {(r.object_id, r.frame): (r.chamfer, r.reflection, r.frame_rank) for r in scores.collect()}
+    with nn.using("cells"):
+        other = {(r.object_id, r.frame): (r.chamfer, r.reflection, r.frame_rank) for r in G.alignment(part, ref).collect()}
+    assert len(got) == 96 and got.keys() == other.keys() and all(x[0] == pytest.approx(other[i][0], abs=1e-12) and x[1] == other[i][1] for i, x in got.items())
+    turned = {tuple(r.asDict()[c] for c in ("object_id", "point_id", "frame", *XYZ)) for r in G.transformed(part).collect()}
+    frames = part.crossJoin(spark.range(48).select(F.col("id").cast("int").alias("frame")))
+    assert {tuple(r.asDict()[c] for c in ("object_id", "point_id", "frame", *XYZ)) for r in G.in_frame(frames).collect()} == turned
