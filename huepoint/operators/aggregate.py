@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huepoint.operators import ordered
+from huepoint.store import kept
 
 KEY, RGB = ("object_id",), ("r", "g", "b")
 
@@ -16,6 +17,19 @@ def grid_means(df: DataFrame, keys: Sequence[str], means: Sequence[str], firsts:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.first(c, ignorenulls=True).alias(c) for c in firsts], *[F.avg(c).alias(c) for c in means])
 
 
+def percentiles(df: DataFrame, value: str, points: dict[str, float], keys: Sequence[str]) -> DataFrame:
+    """keys and a column for each of ``points``: exact, interpolated, as ``F.percentile``; a group of any size is spread over tasks by ranges of value."""
+    counts = kept(df.select(F.struct(*keys).alias("__key"), F.col(value).cast("double").alias("__v")).groupBy("__key", "__v").agg(F.count(F.lit(1)).alias("__n")))  # a struct is no null
+    sizes = counts.groupBy("__key").agg(F.coalesce(F.sum(F.when(F.col("__v").isNotNull(), F.col("__n"))), F.lit(0)).alias("__all"))
+    at = ordered.earlier(counts.dropna(subset=["__v"]), F.col("__n"), ["__v"], "__before", key=["__key"]).join(F.broadcast(sizes), "__key")  # a row of each group
+    spot = {n: (F.col("__all") - 1) * F.lit(float(p)) for n, p in points.items()}
+    holds = lambda i: (F.col("__before") <= i) & (i < F.col("__before") + F.col("__n"))
+    ends = {f"{n}_{e}": F.max(F.when(holds(f(x)), F.col("__v"))) for n, x in spot.items() for e, f in (("lo", F.floor), ("hi", F.ceil))}
+    found = sizes.join(at.groupBy("__key").agg(*[c.alias(n) for n, c in ends.items()]), "__key", "left")
+    between = lambda n: F.when(F.col(f"{n}_lo") == F.col(f"{n}_hi"), F.col(f"{n}_lo")).otherwise((F.ceil(spot[n]) - spot[n]) * F.col(f"{n}_lo") + (spot[n] - F.floor(spot[n])) * F.col(f"{n}_hi"))
+    return found.select("__key.*", *[between(n).alias(n) for n in points])
+
+
 def two_stage_mean(df: DataFrame, inner: Sequence[str], outer: Sequence[str], value: str) -> DataFrame:
     """Mean of the inner groups' means."""
     return df.groupBy(*{*inner, *outer}).agg(F.avg(value).alias("m")).groupBy(*outer).agg(F.avg("m").alias(value), F.count(F.lit(1)).alias("n"))

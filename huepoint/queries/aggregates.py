@@ -58,12 +58,13 @@ def std_pop_samp(spark, sf_dir):
 
 @query("percentiles", f"WITH {EVAL} SELECT difficulty, {r6('quantile_cont(metric / 7, 0.025) AS p025', 'quantile_cont(metric / 7, 0.9) AS p90', 'quantile_cont(metric / 7, 0.975) AS p975')} FROM ev GROUP BY 1")
 def percentiles(spark, sf_dir):
-    return six(eval_rows(spark, sf_dir).groupBy("difficulty").agg(*[F.percentile(F.col("metric") / 7, p).alias(n) for p, n in ((0.025, "p025"), (0.9, "p90"), (0.975, "p975"))]))
+    ev = eval_rows(spark, sf_dir).withColumn("v", F.col("metric") / 7)
+    return six(A.percentiles(ev, "v", {"p025": 0.025, "p90": 0.9, "p975": 0.975}, ("difficulty",)))
 
 
 @query("median", f"WITH {EVAL} SELECT obj, {r6('median(metric) AS median')} FROM ev GROUP BY 1")
 def median(spark, sf_dir):
-    return six(eval_rows(spark, sf_dir).groupBy("obj").agg(F.median("metric").alias("median")))
+    return six(A.percentiles(eval_rows(spark, sf_dir), "metric", {"median": 0.5}, ("obj",)))
 
 
 @query("distinct_colours", f"WITH {CLOUD} SELECT object_id, count(DISTINCT (floor(r * 255)::INT, floor(g * 255)::INT, floor(b * 255)::INT)) AS colours, list_sort(list(DISTINCT part))::VARCHAR AS parts FROM cloud GROUP BY 1")

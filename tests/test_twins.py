@@ -69,3 +69,19 @@ def test_metric_rank_of_means_that_differ_when_worked_out_again(spark, monkeypat
 def test_metric_rank_puts_nulls_last(spark, twin):
     lines = pd.DataFrame({"l_orderkey": [1, 1, 1, 2], "l_partkey": [1, 2, 2, 3], "l_extendedprice": [5.0, 7.0, 9.0, None], "l_quantity": [1.0, 2.0, 3.0, 4.0], "l_returnflag": ["A", "N", "R", "A"]})
     twin("metric_rank", lineitem=lines, orders=pd.DataFrame({"o_orderkey": [1, 2], "o_orderpriority": ["x", "y"]}))
+
+
+def test_percentiles_spread_a_group_over_tasks(spark):
+    """Equal to Spark's own of groups of any kind, a null key, nulls alone and a single value too, without one task for a group."""
+    from huepoint.operators import aggregate as A
+
+    r = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in r.integers(0, 40, 501)] + [(None, float(x)) for x in r.random(300)] + [("b", None), ("c", 2.5), ("c", None), ("d", None), ("d", 1.0), ("d", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    points = {"lo": 0.025, "mid": 0.5, "hi": 0.975, "all": 1.0}
+    want = {x.k: x for x in df.groupBy("k").agg(*[F.percentile("v", p).alias(n) for n, p in points.items()]).collect()}
+    got = A.percentiles(df, "v", points, ("k",)).collect()
+    assert len(got) == len(want) == 5
+    for x in got:
+        for n in points:
+            assert x[n] == (None if want[x.k][n] is None else pytest.approx(want[x.k][n], abs=1e-12)), (x, n)
