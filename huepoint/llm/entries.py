@@ -27,8 +27,8 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of op2 that SQL can follow."""
-    found = pitmanyor.scored(table(spark, sf_dir, "documents"))
+    """The columns of op2 that SQL can follow, by the steps of op2 that make them."""
+    found = pitmanyor.base_scored(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", (F.round("base_score", 6) + 0.0).alias("base_score"))
 
 

@@ -48,12 +48,14 @@ from huepoint.llm._words import BASE, U64, blank_words, give_back, mix, values
 
 FOLDS, BURN_IN, SAMPLES = 10, 2, 3
 CHUNK_BYTES = 9 << 20
+WORDS_A_BYTE = 0.04  # distinct words of chunks, by which buckets are numbered
 STRENGTH, PARENT_STRENGTH, PARENT_DISCOUNT = 1.0, 1.0, 0.75
 END, START = U64(0x1D8E4E27C47D124F), U64(0xEB44ACCAB455D165)
 #: Keys under which chunks add up: training tokens, known words, customers and tables of the parent, pairs that occur once and twice.
 STATS = np.array([0x0123456789ABCDEF, 0x2B7E151628AED2A6, 0x452821E638D01377, 0x3C6EF372FE94F82B, 0x6A09E667F3BCC908, 0x9B05688C2B3E6C1F], U64)
 
-OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+BASE_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double"
+OUT = BASE_OUT + ", score double"
 
 
 def held_out(doc_id: int | None, folds: int = FOLDS) -> bool:
@@ -159,19 +161,24 @@ class Chunk:
     def pair_counts(self) -> np.ndarray:
         return np.bincount(self.pair[self.trained], minlength=len(self.pairs))
 
-    def learn(self, replies: dict[int, dict[int, bytes]], words: X.Spread, pairs: X.Spread) -> None:
-        """Counts over all training texts, and what of them this chunk owns."""
-        word, pair = X.answers(replies[WORDS], self.words, words), X.answers(replies[PAIRS], self.pairs, pairs)
+    def learn_words(self, replies: dict[int, bytes], words: X.Spread) -> None:
+        """Counts of words over all training texts, and which of them this chunk owns."""
+        word = X.answers(replies, self.words, words)
         self.count, self.own_word = word >> 1, (word & 1) > 0
-        self.pair_count, self.own = pair >> 1, (pair & 1) > 0
         self.total = int(self.count[self.stats[0]])
         self.count[self.stats] = 0
+        self.known = self.own_word & (self.count > 0)
+        self.known[self.start] = False
+
+    def learn(self, replies: dict[int, dict[int, bytes]], words: X.Spread, pairs: X.Spread) -> None:
+        """Counts over all training texts, and what of them this chunk owns."""
+        self.learn_words(replies[WORDS], words)
+        pair = X.answers(replies[PAIRS], self.pairs, pairs)
+        self.pair_count, self.own = pair >> 1, (pair & 1) > 0
 
     def owned(self, words: X.Spread, pairs: X.Spread) -> bytes:
         """What the sweeps need: own pairs that occur twice and more one by one, the others' sums by word."""
         once, more = self.own & (self.pair_count == 1), np.flatnonzero(self.own & (self.pair_count > 1))
-        known = self.own_word & (self.count > 0)
-        known[self.start] = False
         single = lambda x: np.bincount(x[once], minlength=len(self.words)).astype(np.uint32)
         return squeeze(
             word_at=X.bounds(self.words, words.near),
@@ -184,20 +191,35 @@ class Chunk:
             key=(self.pairs[more] >> U64(32)).astype(np.uint32),
             single_tables=single(self.pair_context),
             single_customers=single(self.pair_word),
-            known=known,
-            sums=np.array([int(known.sum()), int(once.sum()), int((self.pair_count[more] == 2).sum())], np.int64),
+            known=self.known,
+            sums=np.array([int(self.known.sum()), int(once.sum()), int((self.pair_count[more] == 2).sum())], np.int64),
+        )
+
+    def add(self, x: np.ndarray) -> np.ndarray:
+        """Of the tokens' numbers, each text's sum."""
+        return np.bincount(self.doc, x, len(self.ids)) if len(self.ids) else np.empty(0)
+
+    def base(self, known: int) -> pa.Table:
+        """All columns but the score; known: distinct words of all training texts."""
+        n, count = len(self.ids), self.count[self.word]
+        base = self.add(np.log10((self.count + 0.1) / (self.total + 0.1 * (known + 1)))[self.word]) if self.total else np.zeros(n)
+        return pa.table(
+            {
+                "doc_id": pa.array(self.ids, pa.int64()),
+                "held_out": pa.array(self.out),
+                "n_tokens": pa.array(self.sizes),
+                "n_known": pa.array(self.add(count > 0).astype(np.int64)),
+                "train_tokens": pa.array(np.full(n, self.total, np.int64)),
+                "base_score": pa.array(base, pa.float64()),
+            }
         )
 
     def scores(self, replies: dict[int, dict[int, bytes]], words: X.Spread, pairs: X.Spread, kept: list[int]) -> pa.Table:
-        n = len(self.ids)
-        add = lambda x: np.bincount(self.doc, x, n) if n else np.empty(0)
-        count = self.count[self.word]
-        if not self.total:
-            base = score = np.zeros(n)
-        else:
+        known, score = 0, np.zeros(len(self.ids))
+        if self.total:
             told = lambda k: Sums(X.answers(replies[SWEEP + k], self.words, words, Seats.each, X.untight), self.stats)
             first = told(kept[0])
-            base = add(np.log10((count + 0.1) / (self.total + 0.1 * (first.known + 1))))
+            known = first.known
             tables = X.answers(replies[KEPT], self.pairs, pairs, 1, X.untight) + len(kept) * (self.pair_count > 0)
             p = np.zeros(len(self.word))
             for k in kept:
@@ -206,18 +228,8 @@ class Chunk:
                 parent /= sums.total + PARENT_STRENGTH
                 p += (STRENGTH + first.discount * sums.tables)[self.context] * parent[self.word]
             p += np.maximum(len(kept) * self.pair_count - first.discount * tables, 0)[self.pair]
-            score = add(np.log10(p / (len(kept) * (STRENGTH + self.count[self.context]))))
-        return pa.table(
-            {
-                "doc_id": pa.array(self.ids, pa.int64()),
-                "held_out": pa.array(self.out),
-                "n_tokens": pa.array(self.sizes),
-                "n_known": pa.array(add(count > 0).astype(np.int64)),
-                "train_tokens": pa.array(np.full(n, self.total, np.int64)),
-                "base_score": pa.array(base, pa.float64()),
-                "score": pa.array(score, pa.float64()),
-            }
-        )
+            score = self.add(np.log10(p / (len(kept) * (STRENGTH + self.count[self.context]))))
+        return self.base(known).append_column("score", pa.array(score, pa.float64()))
 
 
 class Sums:
@@ -293,24 +305,55 @@ def bodies(t: pa.Table) -> dict[int, dict[int, bytes]]:
     return out
 
 
+def in_chunks(docs: DataFrame, layout: X.Layout) -> DataFrame:
+    return X.dealt(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lambda batches: chunked(batches, CHUNK_BYTES), SIZED), layout.partitions, "chunk")
+
+
+def word_messages(parts: DataFrame, words: X.Spread, folds: int) -> DataFrame:
+    """Each chunk's training counts of its words."""
+
+    def count_words(key: tuple, t: pa.Table) -> pa.Table:
+        chunk = Chunk(t, folds, False)
+        return X.messages(chunk.number, chunk.words, chunk.word_counts(), words)
+
+    return parts.groupBy("chunk").applyInArrow(count_words, X.MESSAGE)
+
+
+def base_scored(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """The columns of ``scored`` but the score. They follow from counts of words alone: no pair is counted, nothing is drawn."""
+    layout = X.Layout(docs)
+    parts, words = in_chunks(docs, layout), layout.spread(WORDS_A_BYTE)
+    counts = X.exchange(word_messages(parts, words, folds), words, X.Own(), layout).groupBy("chunk")
+
+    def learned(t: pa.Table, r: pa.Table) -> Chunk:
+        chunk = Chunk(t, folds, False)
+        chunk.learn_words(dict(zip(r["bucket"].to_pylist(), r["body"].to_pylist())), words)
+        return chunk
+
+    def own_known(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
+        return pa.table({"known": pa.array([int(learned(t, r).known.sum())], pa.int64())})
+
+    def base(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
+        return learned(t, r).base(t["known"][0].as_py())
+
+    known = parts.groupBy("chunk").cogroup(counts).applyInArrow(own_known, "known long").agg(F.sum("known").alias("known"))
+    return parts.crossJoin(F.broadcast(known)).groupBy("chunk").cogroup(counts).applyInArrow(base, BASE_OUT)
+
+
 def scored(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, folds: int = FOLDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The first state has one table for each pair; it and the states of the next ``burn_in`` - 1 sweeps aren't kept (burn_in = 0: it is).
     """
     layout = X.Layout(docs)
-    parts = X.dealt(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lambda batches: chunked(batches, CHUNK_BYTES), SIZED), layout.partitions, "chunk")
-    words, pairs = layout.spread(0.04), layout.spread(0.12, 6)
+    parts = in_chunks(docs, layout)
+    words, pairs = layout.spread(WORDS_A_BYTE), layout.spread(0.12, 6)
     kept = list(range(burn_in, burn_in + samples))
     last = burn_in + samples + 1  # one more sweep: its exchange tells how many tables the parent had in the last kept state
 
     def staged(replies: DataFrame, stage: int) -> DataFrame:
         return replies.selectExpr("chunk", "bucket", "body", f"{stage} AS stage")
 
-    def count_words(key: tuple, t: pa.Table) -> pa.Table:
-        chunk = Chunk(t, folds, False)
-        return X.messages(chunk.number, chunk.words, chunk.word_counts(), words)
-
     def count_pairs(key: tuple, t: pa.Table) -> pa.Table:
         chunk = Chunk(t, folds)
         return X.messages(chunk.number, chunk.pairs, chunk.pair_counts(), pairs)
@@ -367,7 +410,7 @@ def scored(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, fold
         """A row for each chunk; so frames that are dealt by chunk meet in joins, where a union of them would be dealt once more."""
         return replies.groupBy("chunk").agg(F.collect_list(F.struct("stage", "bucket", "body")).alias(name))
 
-    sent_words = parts.groupBy("chunk").applyInArrow(count_words, X.MESSAGE)
+    sent_words = word_messages(parts, words, folds)
     sent_pairs = parts.groupBy("chunk").applyInArrow(count_pairs, X.MESSAGE)
     counts = X.dealt(staged(X.exchange(sent_words, words, X.Own(), layout, deal=False), WORDS).unionByName(staged(X.exchange(sent_pairs, pairs, X.Own(), layout, deal=False), PAIRS)), layout.partitions, "chunk")
     counted = parts.join(listed(counts, "counts"), "chunk")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from huepoint.llm import _seating as S
+from huepoint.llm import entries
 from huepoint.llm import pitmanyor as P
 
 
@@ -182,3 +183,15 @@ def test_untrained_and_empty(spark):
     rows = P.scored(spark.createDataFrame([(out, "a b")], "doc_id long, text string")).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows] == [(3, 0, 0, 0.0, 0.0)]
     assert P.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_base_columns_alone_are_those_of_the_scores_and_draw_nothing(spark):
+    docs = spark.createDataFrame(corpus(5, 200), "doc_id long, text string")
+    alone, full = P.base_scored(docs), P.scored(docs).drop("score")
+    assert sorted(map(str, alone.collect())) == sorted(map(str, full.collect()))
+    assert P.base_scored(docs.limit(0)).count() == 0
+
+
+def test_base_scores_count_no_pairs(spark):
+    plan = entries.lm_base_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InArrow") < 12  # 300 with pairs and sweeps
