@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from huepoint.llm._words import U64, give_back
+from huepoint.llm._words import U64, give_back, numbered
 
 MESSAGE = "bucket int, chunk int, keys binary, vals binary"
 REPLY = "chunk int not null, bucket int, body binary"
@@ -205,6 +205,9 @@ class Sum:
 class Own(Sum):
     """Twice each key's total, plus 1 for one message that has it: one chunk owns each key."""
 
+    def codes(self, keys: np.ndarray, vals: np.ndarray) -> np.ndarray:
+        return numbered(keys)[1]
+
     def down(self, codes: np.ndarray, vals: np.ndarray, merged: np.ndarray, reply: np.ndarray | None) -> np.ndarray:
         total, give = (merged, np.ones(len(merged), bool)) if reply is None else (reply >> 1, (reply & 1) > 0)
         first = np.full(len(merged), len(codes))

@@ -16,6 +16,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 
 from huepoint.llm._words import U64, mix
 
@@ -38,6 +39,15 @@ def gammaln(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def gammaln_of(n: np.ndarray, plus: float) -> np.ndarray:
+    """log of the gamma function of whole numbers plus ``plus``; where many lie close together, once for each number."""
+    if len(n):
+        low, high = int(n.min()), int(n.max())
+        if high - low < len(n):
+            return gammaln(np.arange(low, high + 1) + plus)[n - low]
+    return gammaln(n + plus)
+
+
 def exact_table(discount: float, most: int) -> np.ndarray:
     """log S(c, t) for all c and t up to ``most``."""
     out = np.full((most + 1, most + 1), -np.inf)
@@ -55,11 +65,16 @@ def saddle(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
     ratio = c / t
     y = np.minimum(np.log(ratio / discount) / (discount - 1), -np.minimum(2 * (ratio - 1) / (1 - discount), 0.5))
     y = np.minimum(y, -1e-9)
+    going, log = np.arange(len(y)), np.log(ratio)
     for _ in range(9):
-        one, part = -np.expm1(y), -np.expm1(discount * y)
-        g = np.log(discount * one / part) + (discount - 1) * y - np.log(ratio)
+        x = y[going]
+        one, part = -np.expm1(x), -np.expm1(discount * x)
+        g = np.log(discount * one / part) + (discount - 1) * x - log[going]
         slope = discount * (1 - part) / part + (discount - 1) - (1 - one) / one
-        y = np.minimum(y - np.clip(g / slope, -3, 3), -1e-12)
+        y[going] = to = np.minimum(x - np.clip(g / slope, -3, 3), -1e-12)
+        going = going[np.abs(to - x) > -1e-9 * to]  # steps square the distance, so the others are as near as they get
+        if not len(going):
+            break
     return y
 
 
@@ -86,6 +101,8 @@ class Stirling:
         c, t = np.broadcast_arrays(np.asarray(c, np.int64), np.asarray(t, np.int64))
         out = self.table[np.minimum(c, REF), np.clip(t, 0, REF)]
         out = np.where((t < 1) & (c > 0) | (t > c), -np.inf, out)
+        if not out.size or c.max() <= REF:
+            return out
         big = np.flatnonzero((c > REF) & (t >= 1) & (t < c))
         if len(big):
             b, k = c[big].astype(float), t[big].astype(float)
@@ -155,11 +172,13 @@ def pair_tables(c: np.ndarray, now: np.ndarray, tables: np.ndarray, customers: n
     others = tables - now
     rest = customers - now
     few = customers <= REF
-    growth = up.growth(customers, parents)
+    growth = np.zeros(len(customers))  # the same for all pairs of a word
+    which, words = pd.factorize(customers[~few] + 1j * parents[~few])
+    growth[~few] = up.growth(words.real, words.imag)[which]
 
     def target(at: np.ndarray, t: np.ndarray) -> np.ndarray:
-        out = own(c[at], t) + gammaln(strength / discount + others[at] + t) + t * math.log(discount)
-        out -= gammaln(parent_strength + np.maximum(total - now[at], 0) + t)
+        out = own(c[at], t) + gammaln_of(others[at] + t, strength / discount) + t * math.log(discount)
+        out -= gammaln_of(np.maximum(total - now[at], 0) + t, parent_strength)
         return out + np.where(few[at], up(np.where(few[at], rest[at] + t, 1), np.where(few[at], parents[at], 1)), t * growth[at])
 
     return draw(c, now, target, key, salt)
@@ -170,4 +189,4 @@ def parent_tables(customers: np.ndarray, now: np.ndarray, all_tables: int, base:
     *_, strength, discount = model
     own, others = stirling(discount), np.maximum(all_tables - now, 0)
     cost = math.log(discount) + math.log(base)
-    return draw(customers, now, lambda at, t: own(customers[at], t) + gammaln(strength / discount + others[at] + t) + t * cost, key, salt)
+    return draw(customers, now, lambda at, t: own(customers[at], t) + gammaln_of(others[at] + t, strength / discount) + t * cost, key, salt)

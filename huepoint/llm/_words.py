@@ -7,6 +7,7 @@ import gc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Odd, so that every word of a window keeps all its bits in the polynomial modulo 2**64.
@@ -40,6 +41,47 @@ def values(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(VALUES.__getitem__, words), U64, len(words))
 
 
+def distinct_words(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As blank_words() of all texts: values of the distinct words, each word's place among them, and each text's number of words.
+
+    Arrow splits at the same six bytes; it leaves an empty word at a blank end of a text.
+    """
+    whole = pa.array([x or b"" for x in texts], pa.large_binary()).cast(pa.large_string(), safe=False)  # bytes as they are
+    split = pc.ascii_split_whitespace(pc.ascii_lower(whole) if lower else whole)
+    words, text = split.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+    real = pc.greater(pc.binary_length(words), 0)
+    words, text = words.filter(real).dictionary_encode(), text[real.to_numpy(zero_copy_only=False)]
+    distinct = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), U64, len(distinct)), words.indices.to_numpy(), np.bincount(text, minlength=len(texts))
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys (64 bits each, mixed) and the place of each key among them.
+
+    Sorts numbers of the leading bits of a key and its place, several times as fast as sorting places by key; where
+    that leaves keys with equal leading bits out of order, which is rare, it does the latter.
+    """
+    if not len(keys):
+        return keys, np.empty(0, np.int32)
+    low = keys.min()
+    spare, bits = U64(64 - int(keys.max() - low).bit_length()), U64(len(keys).bit_length())
+    if spare == 64:
+        return keys[:1], np.zeros(len(keys), np.int32)
+    packed = (keys - low << spare >> bits << bits) | np.arange(len(keys), dtype=U64)
+    packed.sort()
+    order = (packed & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    del packed
+    ordered = keys[order]
+    if (ordered[1:] < ordered[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return ordered[new], place
+
+
 def corpus(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """All word values one text after another, and the len(texts) + 1 offsets."""
     parts = [values(blank_words(t, lower)) for t in texts]

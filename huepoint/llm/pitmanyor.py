@@ -35,7 +35,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -44,7 +43,7 @@ from pyspark.sql import functions as F
 
 from huepoint.llm import _exchange as X
 from huepoint.llm._seating import pair_tables, parent_tables
-from huepoint.llm._words import BASE, U64, blank_words, give_back, mix, values
+from huepoint.llm._words import BASE, U64, distinct_words, give_back, mix, numbered
 
 FOLDS, BURN_IN, SAMPLES = 10, 2, 3
 CHUNK_BYTES = 9 << 20
@@ -62,15 +61,6 @@ def held_out(doc_id: int | None, folds: int = FOLDS) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == 0
 
 
-def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the place of each key among them."""
-    codes, distinct = pd.factorize(keys)
-    order = np.argsort(distinct)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return distinct[order], rank[codes]
-
-
 def squeeze(**arrays: np.ndarray) -> bytes:
     """Arrays by name; each byte plane of a column apart, as high bytes are few."""
     plain = {k: (x.dtype.str, x.tobytes() if x.dtype.itemsize == 1 else np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes(), len(x)) for k, x in arrays.items()}
@@ -96,14 +86,16 @@ def chunked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
     task = TaskContext.get()
 
     def row() -> pa.RecordBatch:
-        parts = [values(blank_words(x, lower=True)) for x in texts]
-        ends = np.array([END], U64)
-        tokens = np.concatenate([x for p in parts for x in (p, ends)])
-        codes, words = pd.factorize(np.concatenate([tokens, np.array([START], U64), STATS]))
-        often = np.argsort(-np.bincount(codes), kind="stable")
+        distinct, at, sizes = distinct_words(texts, lower=True)
+        words = np.concatenate([distinct, np.array([END, START], U64), STATS])
+        inside = np.ones(len(at) + len(texts), bool)
+        inside[np.cumsum(sizes + 1) - 1] = False
+        codes = np.full(len(inside), len(distinct))
+        codes[inside] = at
+        often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
         place = np.empty(len(often), np.uint32)
         place[often] = np.arange(len(often), dtype=np.uint32)
-        body = squeeze(sizes=np.array([len(p) + 1 for p in parts], np.int64), words=mix(words[often]), codes=place[codes[: len(tokens)]])
+        body = squeeze(sizes=(sizes + 1).astype(np.int64), words=mix(words[often]), codes=place[codes])
         if task.partitionId() >= 1 << 20 or count >= 1 << 11:
             raise ValueError("chunks are numbered for up to 2**20 partitions of up to 18 GB; repartition the documents")
         number = task.partitionId() + (count << 20)
@@ -132,10 +124,7 @@ class Chunk:
         self.number, self.ids = row["chunk"], row["ids"]
         self.out = np.array([held_out(i, folds) for i in self.ids], bool)
         self.sizes = body["sizes"]
-        order = np.argsort(body["words"])
-        self.words = body["words"][order]
-        rank = np.empty(len(order), np.int32)  # here and below 4 bytes a token: these are most of a task's memory
-        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.words, rank = numbered(body["words"])  # places, here and below, of 4 bytes a token: these are most of a task's memory
         self.word = rank[body["codes"]]
         del body, row, rank
         self.start, *stats = np.searchsorted(self.words, mix(np.append(START, STATS)))
@@ -147,7 +136,6 @@ class Chunk:
             self.context = np.append(np.int32(self.start), self.word[:-1]).astype(np.int32)
             self.context[starts] = self.start
             self.pairs, self.pair = numbered(mix(self.words[self.context] * U64(BASE) + self.words[self.word]))
-            self.pair = self.pair.astype(np.int32)
             self.pair_word, self.pair_context = np.empty(len(self.pairs), np.int32), np.empty(len(self.pairs), np.int32)
             self.pair_word[self.pair], self.pair_context[self.pair] = self.word, self.context
 
@@ -221,14 +209,14 @@ class Chunk:
             first = told(kept[0])
             known = first.known
             tables = X.answers(replies[KEPT], self.pairs, pairs, 1, X.untight) + len(kept) * (self.pair_count > 0)
-            p = np.zeros(len(self.word))
+            p = np.zeros(len(self.pairs))
             for k in kept:
                 sums, parents = told(k), told(k + 1).parents
                 parent = sums.customers - PARENT_DISCOUNT * sums.tables_there + (PARENT_STRENGTH + PARENT_DISCOUNT * parents) / (first.known + 1)
                 parent /= sums.total + PARENT_STRENGTH
-                p += (STRENGTH + first.discount * sums.tables)[self.context] * parent[self.word]
-            p += np.maximum(len(kept) * self.pair_count - first.discount * tables, 0)[self.pair]
-            score = self.add(np.log10(p / (len(kept) * (STRENGTH + self.count[self.context]))))
+                p += (STRENGTH + first.discount * sums.tables)[self.pair_context] * parent[self.pair_word]
+            p += np.maximum(len(kept) * self.pair_count - first.discount * tables, 0)
+            score = self.add(np.log10(p / (len(kept) * (STRENGTH + self.count[self.pair_context])))[self.pair])
         return self.base(known).append_column("score", pa.array(score, pa.float64()))
 
 
@@ -249,6 +237,9 @@ class Extra(X.Sum):
 
     packed, unpacked = staticmethod(X.tight), staticmethod(X.untight)
 
+    def codes(self, keys: np.ndarray, vals: np.ndarray) -> np.ndarray:
+        return numbered(keys)[1]
+
     def read(self, b: bytes, n: int) -> np.ndarray:
         return X.untight(b, n)
 
@@ -273,7 +264,7 @@ class Seats(X.Sum):
         return struct.pack("<qq", *self.head) + X.tight(x.ravel())
 
     def codes(self, keys: np.ndarray, vals: np.ndarray) -> np.ndarray:
-        codes, self.keys = pd.factorize(keys)
+        self.keys, codes = numbered(keys)
         return codes
 
     def up(self, codes: np.ndarray, n: int, vals: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from huepoint.llm import _seating as S
+from huepoint.llm import _words as W
 from huepoint.llm import entries
 from huepoint.llm import pitmanyor as P
 
@@ -195,3 +196,49 @@ def test_base_columns_alone_are_those_of_the_scores_and_draw_nothing(spark):
 def test_base_scores_count_no_pairs(spark):
     plan = entries.lm_base_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("InArrow") < 12  # 300 with pairs and sweeps
+
+
+def test_growth_is_worked_out_once_a_word_and_gammas_once_a_number(monkeypatch):
+    """20,000 pairs of three frequent words: before, each pair's growth and gammas were worked out by themselves."""
+    r, met = np.random.default_rng(3), Counter()
+    word = r.integers(0, 3, 20_000)
+    customers, parents = np.array([5000, 700, 5000])[word], np.array([300, 90, 300])[word]
+    c, now, tables = r.integers(2, 9, len(word)), np.ones(len(word), np.int64), r.integers(5, 400, len(word))
+    saddle, gammaln = S.saddle, S.gammaln
+    monkeypatch.setattr(S, "saddle", lambda c, *a: (met.update(saddle=len(c)), saddle(c, *a))[1])
+    monkeypatch.setattr(S, "gammaln", lambda x: (met.update(gamma=len(x)), gammaln(x))[1])
+    model, key = (P.STRENGTH, 0.6, P.PARENT_STRENGTH, P.PARENT_DISCOUNT), np.arange(len(word)).astype(np.uint64)
+    S.stirling(0.6), S.stirling(P.PARENT_DISCOUNT)
+    met.clear()
+    got = S.pair_tables(c, now, tables, customers, parents, 6000, model, key, 1)
+    assert met["saddle"] == 2 and met["gamma"] < 10_000
+    some = np.arange(0, len(word), 997)  # each alone, where there is nothing to share
+    alone = [S.pair_tables(c[i : i + 1], now[i : i + 1], tables[i : i + 1], customers[i : i + 1], parents[i : i + 1], 6000, model, key[i : i + 1], 1)[0] for i in some]
+    assert got[some].tolist() == alone
+
+
+@pytest.mark.parametrize("d", [0.05, 0.5, 0.75, 0.95])
+def test_saddle_points_solve_their_equation(d):
+    c = np.repeat([193.0, 1e4, 1e7, 1e10], 6)
+    t = np.tile([0.002, 0.01, 0.1, 0.5, 0.9, 0.998], 4) * c
+    y = S.saddle(c, t, d)
+    mean = d * -np.expm1(y) / -np.expm1(d * y) * np.exp((d - 1) * y)  # customers a table at that point
+    assert mean[y > -600] == pytest.approx((c / t)[y > -600], rel=1e-9)
+
+
+def test_distinct_words_are_those_of_bytes_split():
+    texts = [None, b"", b" \t\n\x0b\x0c\r", b"A b\x1ca\x1f\xc2\xa0a\xc2\x85 \xe2\x80\x83a B", b"\xff\xfeA \x00  \xff\xfea\n", b"  lead trail  ", "É é".encode()]
+    for some in (texts, texts[:3], []):
+        distinct, at, sizes = W.distinct_words(some, lower=True)
+        words = [W.blank_words(x, lower=True) for x in some]
+        assert sizes.tolist() == [len(w) for w in words]
+        assert distinct[at].tolist() == [int(v) for w in words for v in W.values(w)] and len(set(distinct.tolist())) == len(distinct)
+
+
+def test_numbered_keys():
+    r = np.random.default_rng(2)
+    near = np.uint64(1) << np.uint64(63) | np.arange(50, dtype=np.uint64)  # equal in all leading bits
+    for keys in (r.integers(0, 1 << 64, 5000, np.uint64), r.integers(0, 40, 900).astype(np.uint64), np.append(r.permutation(np.tile(near, 3)), np.uint64(3)), np.full(7, 9, np.uint64), near[:0]):
+        distinct, place = W.numbered(keys)
+        want, at = np.unique(keys, return_inverse=True)
+        assert distinct.tolist() == want.tolist() and place.tolist() == at.tolist()
