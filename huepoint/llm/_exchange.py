@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from huepoint.llm._words import U64, give_back, numbered
+from huepoint.llm._words import U64, forget, give_back, numbered
 
 MESSAGE = "bucket int, chunk int, keys binary, vals binary"
 REPLY = "chunk int not null, bucket int, body binary"
@@ -36,6 +36,7 @@ REPLY = "chunk int not null, bucket int, body binary"
 CHUNK_BYTES = 4 << 20
 BUCKET_KEYS = 3_000_000
 FAN = 512
+PIECE = 1 << 18  # keys whose numbers NumPy converts at once
 
 
 @dataclass(frozen=True)
@@ -191,11 +192,14 @@ class Sum:
     packed, unpacked = staticmethod(pack), staticmethod(unpack)  # of answers
 
     def codes(self, keys: np.ndarray, vals: np.ndarray) -> np.ndarray:
-        """The number of each entry's key among all."""
-        return pd.factorize(keys)[0]
+        """The number of each entry's key among all. By sorting: a table of hashes takes several times the memory of the keys."""
+        return numbered(keys)[1]
 
     def up(self, codes: np.ndarray, n: int, vals: np.ndarray) -> np.ndarray:
-        return np.bincount(codes, vals, n).astype(np.int64)
+        out = np.zeros(n, np.int64)
+        for at in range(0, len(codes), PIECE):
+            np.add.at(out, codes[at : at + PIECE], vals[at : at + PIECE])
+        return out
 
     def down(self, codes: np.ndarray, vals: np.ndarray, merged: np.ndarray, reply: np.ndarray | None) -> np.ndarray:
         """merged: of these messages; reply: what the far buckets say of it, if there are any."""
@@ -205,9 +209,6 @@ class Sum:
 class Own(Sum):
     """Twice each key's total, plus 1 for one message that has it: one chunk owns each key."""
 
-    def codes(self, keys: np.ndarray, vals: np.ndarray) -> np.ndarray:
-        return numbered(keys)[1]
-
     def down(self, codes: np.ndarray, vals: np.ndarray, merged: np.ndarray, reply: np.ndarray | None) -> np.ndarray:
         total, give = (merged, np.ones(len(merged), bool)) if reply is None else (reply >> 1, (reply & 1) > 0)
         first = np.full(len(merged), len(codes))
@@ -255,17 +256,23 @@ def exchange(sent: DataFrame, spread: Spread, op: Sum, layout: Layout, keys: Dat
     """
     near, far, buckets, width, notes = spread.near, spread.far, spread.buckets, spread.width, keys is not None
 
-    def opened(left: pa.Table, right: pa.Table | None, bucket: int, buckets: int) -> tuple:
-        """Senders, sizes, codes and values of a bucket's messages; then of each distinct key itself and the merged value."""
-        left = left.sort_by("chunk")  # a rerun sees the same order
-        senders, got = left["chunk"].to_pylist(), [unpack_keys(b, bucket, buckets, width) for b in left["keys"].to_pylist()]
-        said = dict(zip(right["chunk"].to_pylist(), right["vals"].to_pylist())) if right is not None else dict(zip(senders, left["vals"].to_pylist()))
-        vals = np.concatenate([op.read(said[c], len(k)) for c, k in zip(senders, got)], -1)
-        sizes, flat = [len(k) for k in got], np.concatenate(got)
+    def opened(left: pa.Table, right: pa.Table | None, bucket: int, buckets: int, name: bool = True) -> tuple:
+        """Senders, sizes, codes and values of a bucket's messages; then of each distinct key itself (if name) and the merged value."""
+        forget()
+        senders, said = left["chunk"].to_pylist(), left if right is None else right
+        order = sorted(range(len(senders)), key=senders.__getitem__)  # a rerun sees the same order
+        of_sender = {c: i for i, c in enumerate(said["chunk"].to_pylist())}
+        # a message at a time leaves Arrow's table, and what has been read is freed
+        got = [unpack_keys(left["keys"][i].as_py(), bucket, buckets, width) for i in order]
+        senders, sizes, flat = [senders[i] for i in order], [len(k) for k in got], np.concatenate(got)
+        del got
+        vals = np.concatenate([op.read(said["vals"][of_sender[c]].as_py(), n) for c, n in zip(senders, sizes)], -1)
         codes = op.codes(flat, vals)
-        n = int(codes.max()) + 1
-        of = np.empty(n, U64)
-        of[codes] = flat
+        n, of = int(codes.max()) + 1, None
+        if name:
+            of = np.empty(n, U64)
+            of[codes] = flat
+        del flat
         return senders, sizes, codes, vals, of, op.up(codes, n, vals)
 
     def cut(x: np.ndarray, sizes: list[int]) -> list[bytes]:
@@ -275,7 +282,7 @@ def exchange(sent: DataFrame, spread: Spread, op: Sum, layout: Layout, keys: Dat
         return replies_of(t["chunk"].to_pylist(), t["bucket"].to_pylist(), t["vals"].to_pylist())
 
     def answered(left: pa.Table, right: pa.Table | None, bucket: int, buckets: int) -> pa.Table:
-        senders, sizes, codes, vals, _, merged = opened(left, right, bucket, buckets)
+        senders, sizes, codes, vals, _, merged = opened(left, right, bucket, buckets, name=False)
         out = replies_of(senders, [bucket] * len(senders), cut(op.down(codes, vals, merged, None), sizes))
         give_back()
         return out

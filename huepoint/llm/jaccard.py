@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from huepoint.llm import _exchange as X
 from huepoint.llm._store import keyed_join, stash
-from huepoint.llm._words import U64, blank_words, give_back, mix, rolling, values
+from huepoint.llm._words import U64, VALUES, blank_words, forget, give_back, mix, rolling, values
 from huepoint.llm.components import components
 
 NULL_ID = np.iinfo(np.int64).max
@@ -67,6 +67,7 @@ def shingle_set(w: np.ndarray, k: int) -> np.ndarray:
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for b in batches:
         rows = []
         for t in b["text"]:  # one text's words at a time
@@ -78,7 +79,7 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(t: pa.Table, nodes: pa.Table, k: int) -> list[tuple[int, int, int, np.ndarray]]:
     """id, both hashes and set of the texts that are nodes, each once."""
-    give_back()  # what the chunk before has left
+    forget(but=VALUES)  # and give back what the chunk before has left
     wanted = {x for x in zip(nodes["rep"].to_pylist(), nodes["h1"].to_pylist(), nodes["h2"].to_pylist()) if x[1] is not None}
     out = []
     for i, text in zip(t["doc_id"].to_pylist(), t["text"].to_pylist()):

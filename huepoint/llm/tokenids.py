@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from huepoint.llm._exchange import Layout
 from huepoint.llm._store import shared_folder
-from huepoint.llm._words import give_back
+from huepoint.llm._words import MEMOS, forget, give_back
 
 NULL_ID = np.iinfo(np.int64).max
 MEMO_WORDS = 400_000
@@ -46,6 +46,7 @@ PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([!-&(-/:-
 
 #: Ids of pieces by vocabulary, kept from task to task of a worker.
 _PIECES: dict[tuple[str, str], dict[str, bytes]] = {}
+MEMOS.append(_PIECES)
 
 
 class Encoder:
@@ -128,6 +129,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> list[dict
     layout = Layout(docs)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(but=_PIECES)
         encoder, at = Encoder(path, end_id, dtype), 0
         fs, base = _filesystem(folder)
         fs.create_dir(base)

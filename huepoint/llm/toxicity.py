@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from huepoint.llm._store import stash
-from huepoint.llm._words import give_back
+from huepoint.llm._words import forget, give_back
 
 SAMPLE_ROWS, SUPPORT, ODDS, APART = 20_000, 4, 30, 0.25
 STEM_SIZES = (4, 5, 6)
@@ -222,6 +222,7 @@ class Scorer:
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many toxic and other texts hold each word (sized 0), each stem, and each stem at two words or more (sized below 0)."""
+    forget()
     counts: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
 
     def rows() -> pa.RecordBatch:
@@ -244,6 +245,8 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows()
             counts.clear()
     yield rows()
+    counts.clear()
+    give_back()
 
 
 def _terms_of(word: str) -> list[tuple[str, int]]:
@@ -308,9 +311,10 @@ def _featured(docs: DataFrame, model: Model, keep: list[str], schema: str) -> Da
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         scorer = Scorer(sent.value)
         for b in batches:
-            got = [scorer.features(t) for t in b["text"].to_pylist()]
+            got = [scorer.features(t.as_py()) for t in b["text"]]
             yield pa.record_batch({c: b[c] for c in keep} | {"features": pa.array(got, pa.list_(pa.float64()))})
 
     return docs.mapInArrow(fn, f"{schema}, features array<double>")
@@ -373,6 +377,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     @F.arrow_udf("boolean")
     def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         scorer, w = Scorer(sent.value), np.array(sent.value.weights)
         for texts in batches:
             if len(w):

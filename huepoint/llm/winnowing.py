@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huepoint.llm._store import keyed_join, stash
-from huepoint.llm._words import U64, rolling, values
+from huepoint.llm._words import U64, VALUES, forget, rolling, values
 
 #: Lower-cases A-Z, keeps 0-9, a-z and all bytes of non-ASCII characters, makes the rest spaces.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -279,6 +279,7 @@ def _without_hits(docs: DataFrame, index: Index) -> Column:
 
     @F.arrow_udf("boolean")
     def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget(but=VALUES)
         for texts in batches:
             yield pa.array([not sent.value.hits(values(plain_words(t.as_py())))[0].any() for t in texts], pa.bool_())
 

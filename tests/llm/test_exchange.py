@@ -1,7 +1,10 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
 from huepoint.llm import _exchange as X
+from huepoint.llm import _words, tokenids
 
 r = np.random.default_rng(3)
 
@@ -115,3 +118,28 @@ def test_sizes_stay_fixed_as_a_corpus_grows():
 def test_a_missing_answer_is_an_error():
     with pytest.raises(KeyError):
         X.answers({}, np.array([5], np.uint64), X.Spread(4))
+
+
+def test_a_bucket_is_merged_in_few_times_its_keys():
+    keys = r.integers(0, 1 << 63, 1_000_000).astype(np.uint64) * np.uint64(2)
+    vals, op = np.ones(len(keys), np.int64), X.Sum()
+    tracemalloc.start()
+    try:
+        codes = op.codes(keys, vals)
+        got = op.up(codes, int(codes.max()) + 1, vals)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    distinct, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
+    assert got[codes].tolist() == times[inverse].tolist()
+    assert peak < 4 * keys.nbytes  # with a table of hashes 7 times
+
+
+def test_a_step_begins_without_the_words_that_others_have_kept(monkeypatch):
+    assert _words.VALUES in _words.MEMOS and any(x is tokenids._PIECES for x in _words.MEMOS)
+    one, other = {b"a": 1}, {b"b": 2}
+    monkeypatch.setattr(_words, "MEMOS", [one, other])
+    _words.forget(but=other)
+    assert (one, other) == ({}, {b"b": 2})
+    _words.forget()
+    assert not other
