@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_rows(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    """A few rows of the driver. As a list of tuples they would pass through a second set of Python workers, which stays beside Arrow's."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local mode)."""
     sc = spark.sparkContext

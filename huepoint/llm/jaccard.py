@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huepoint.llm import _exchange as X
-from huepoint.llm._store import keyed_join, stash
+from huepoint.llm._store import keyed_join, local_rows, stash
 from huepoint.llm._words import U64, VALUES, blank_words, forget, give_back, mix, rolling, values
 from huepoint.llm.components import components
 
@@ -91,6 +91,7 @@ def _sets(t: pa.Table, nodes: pa.Table, k: int) -> list[tuple[int, int, int, np.
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each prefix shingle; rest: the shingles from this one on."""
+    forget()  # no step from here on reads words
     for b in batches:
         ids, n, shared, tokens = (b[c].to_pylist() for c in ("id", "n", "shared", "prefix"))
         for at in range(0, len(ids), 500):
@@ -117,6 +118,7 @@ def fold(x: np.ndarray, words: int) -> np.ndarray:
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for b in batches:
         bits = [bitmap(np.frombuffer(t, U64), n).tobytes() for t, n in zip(b["tokens"].to_pylist(), b["n"].to_pylist())]
         yield pa.record_batch({"id": b["id"], "single": b["single"], "bits": pa.array(bits, pa.binary())})
@@ -193,6 +195,7 @@ class _Join:
         percent = self.percent
 
         def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             for b in batches:
                 keep = [
                     bool(linked(len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True)), m + n, percent))
@@ -215,7 +218,7 @@ class _Join:
         tiles = stash(rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi").select("token", F.ceil(F.col("rows") / BLOCK).alias("blocks"), "rows"))
         size = tiles.agg(F.sum(F.col("rows") * F.col("blocks"))).first()[0]
         if not size:
-            return spark.createDataFrame([], "a long, b long, ca long, cb long, differ long")
+            return local_rows(spark, {x: pa.array([], pa.int64()) for x in PAIRS})
         band = self.band()
         rows = rows.join(tiles.drop("rows"), "token").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
         rows = rows.withColumn("x", F.explode(F.array(F.struct(band.alias("band"), F.lit(1).alias("home")), F.struct((band - 1).alias("band"), F.lit(0).alias("home"))))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -225,6 +228,7 @@ class _Join:
         rows = rows.join(bits, "id").withColumn("deal", F.pmod(F.xxhash64("token", "band", "bi", "bj"), F.lit(groups)))
         
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             yield from _tile_pairs(pa.Table.from_batches(batches), percent, all_pairs)
 
         return rows.groupBy("deal").applyInArrow(pairs, "a long, b long, ca long, cb long, differ long")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huepoint.llm._exchange import Layout
-from huepoint.llm._store import shared_folder
+from huepoint.llm._store import local_rows, shared_folder
 from huepoint.llm._words import MEMOS, forget, give_back
 
 NULL_ID = np.iinfo(np.int64).max
@@ -65,14 +65,15 @@ class Encoder:
         self.tokenizer, self.dtype, self.known, self.pieces = Tokenizer.from_file(path), dtype, {}, _PIECES.setdefault((path, dtype), {})
         self.kind = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.end = np.array([end_id], dtype).tobytes()
-        rules = json.loads(self.tokenizer.to_str())
-        split = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])
+        # of the rules alone: the whole file, read as JSON, takes tens of MB in each task
+        rule = lambda x: json.loads(x.__getstate__()) if x else {}
+        split = rule(self.tokenizer.pre_tokenizer).get("pretokenizers", [{}, {}])
         self.by_word = (
-            (rules["normalizer"] or {}).get("normalizers") == NORMAL
-            and not rules["post_processor"]
+            rule(self.tokenizer.normalizer).get("normalizers") == NORMAL
+            and not self.tokenizer.post_processor
             and (split[0].get("pattern"), split[0].get("behavior"), split[0].get("invert")) == ({"Regex": SPLIT}, "Removed", True)
             and [x.get("type") for x in split] == ["Split", "ByteLevel"]
-            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in rules["added_tokens"])
+            and not any(t.lstrip or t.rstrip or t.single_word or t.normalized or any(c.isspace() for c in t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         )
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(33, 0x130)}
@@ -189,9 +190,9 @@ def read(spark: SparkSession, index: list[dict]) -> DataFrame:
                     some = ids[lo : lo + 10_000]
                     yield pa.record_batch({"doc_id": pa.array(some, pa.int64(), mask=np.asarray(some == NULL_ID)), "start": pa.array(at[:-1] + r["base"]), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64())})
 
-    rows = [(r["path"], r["docs"], r["base"], r["dtype"]) for r in index]
-    shards = spark.createDataFrame(rows, "path string, docs long, base long, dtype string")
-    return (shards.repartition(len(rows)) if rows else shards).mapInArrow(fn, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    kinds = {"path": pa.string(), "docs": pa.int64(), "base": pa.int64(), "dtype": pa.string()}
+    shards = local_rows(spark, {c: pa.array([r[c] for r in index], kind) for c, kind in kinds.items()})
+    return (shards.repartition(len(index)) if index else shards).mapInArrow(fn, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:

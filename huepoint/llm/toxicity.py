@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huepoint.llm._store import stash
+from huepoint.llm._store import local_rows, stash
 from huepoint.llm._words import forget, give_back
 
 SAMPLE_ROWS, SUPPORT, ODDS, APART = 20_000, 4, 30, 0.25
@@ -326,7 +326,7 @@ def clean_near_short(counts: DataFrame, words: list[str]) -> list[str]:
     if not short:
         return []
     near = counts.filter(f"size = 0 and other > 0 and length(term) between {SHORT} and {SHORT + 1}").select("term", F.explode(F.udf(edits_of_short, "array<string>")("term")).alias("key"))
-    keys = counts.sparkSession.createDataFrame([(x,) for x in short], "key string")
+    keys = local_rows(counts.sparkSession, {"key": pa.array(short, pa.string())})
     own = set(words)
     return sorted(r["term"] for r in near.join(F.broadcast(keys), "key").select("term").distinct().collect() if r["term"] not in own)
 

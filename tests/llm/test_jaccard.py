@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from huepoint.llm import jaccard
+from huepoint.llm import _words, jaccard
 
 
 def run(spark, docs, schema="doc_id long, text string", k=3):
@@ -76,3 +76,9 @@ def test_many_documents_just_below_the_threshold(spark):
     assert len(got) == len(rows)
     assert all(got[i] == (44, i) for i in range(5000)) and all(got[5000 + i] == (45, i) for i in range(50))
     assert all(got[6000 + i] == (2, 6000) for i in range(3000)) and all(got[9500 + i] == (0, 9500 + i) for i in range(300))
+
+
+@pytest.mark.parametrize("step", [jaccard._prefixes, jaccard._bitmaps])
+def test_steps_without_texts_keep_no_words(step):
+    _words.VALUES[b"kept"]
+    assert list(step(iter([]))) == [] and not _words.VALUES

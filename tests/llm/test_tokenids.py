@@ -1,5 +1,6 @@
 import json
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -51,3 +52,13 @@ def test_files_round_trip(spark, tmp_path):
 
 def test_empty_table(spark):
     assert tokenids.write_and_read(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_an_encoder_reads_the_rules_alone():
+    tracemalloc.start()
+    try:
+        assert tokenids.Encoder(PATH, 1, "<u4").by_word
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 2e6  # with the whole vocabulary as JSON 20 MB

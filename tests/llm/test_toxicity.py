@@ -2,9 +2,11 @@ import itertools
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from huepoint.llm import toxicity as T
+from huepoint.llm._store import local_rows
 
 
 def distance(a, b):
@@ -244,3 +246,11 @@ def test_copies_are_no_support(spark):
     rows = [(text("wretch"), 1) for _ in range(60)] + [(copied.replace(words[i % 9], "edited", 1), 1) for i in range(100)] + [(text(), 0) for _ in range(900)]
     d = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(rows)], "doc_id long, text string, toxic int")
     assert T.fit(d.select("doc_id", "text"), d.select("doc_id", "toxic")).words == ["wretch"]
+
+
+def test_near_short_words_need_no_second_set_of_workers(spark, monkeypatch):
+    counts = spark.createDataFrame([("sca", 0, 1), ("sxum", 0, 2), ("scuum", 0, 1), ("scuum", 1, 1), ("other", 0, 3), ("scum", 0, 1), ("scam", 0, 0)], "term string, size int, other long")
+    own = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: own(self, data, *a, **b) if isinstance(data, pa.Table) else pytest.fail("rows that aren't Arrow's"))
+    assert T.clean_near_short(counts, ["scum"]) == ["scuum", "sxum"]
+    assert "ExistingRDD" not in local_rows(spark, {"key": pa.array(["a"])})._jdf.queryExecution().executedPlan().toString()
